@@ -158,36 +158,38 @@ class Words:
         self.starts, self.ends = begin[keep], places[1:][keep]
         self.doc = np.searchsorted(self.offsets, self.starts, side="right") - 1
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.hashes = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        out = np.zeros(len(self.starts), np.uint64)
-        block = _BLOCK
-        up, down = powers(_STEP, 2 * block + 1), powers(_STEP_BACK, 2 * block + 1)
-        at = 0
-        while at < len(self.starts):
-            low = int(self.starts[at])
-            to = int(np.searchsorted(self.ends, low + 2 * block, side="right"))
-            if to <= at:  # one word longer than a block
-                out[at] = self._long(low, int(self.ends[at]))
-                at += 1
-                continue
-            high = int(self.ends[to - 1])
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTE_VALUE[self.data[low:high]] * up[: high - low], out=sums[1:])
-            s, e = self.starts[at:to] - low, self.ends[at:to] - low
-            out[at:to] = (sums[e] - sums[s]) * down[s]
-            at = to
-        return mix(out + (self.ends - self.starts).astype(np.uint64))
-
-    def _long(self, low: int, high: int) -> np.uint64:
-        block, total, lead = _BLOCK, 0, 1
-        up = powers(_STEP, block)
-        for at in range(low, high, block):
-            part = _BYTE_VALUE[self.data[at : min(high, at + block)]]
-            total = (total + int((part * up[: len(part)]).sum(dtype=np.uint64)) * lead) % (1 << 64)
-            lead = lead * pow(_STEP, block, 1 << 64) % (1 << 64)
-        return np.uint64(total)
+        self.hashes = segment_hashes(data, self.starts, self.ends)
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each segment's bytes; segments follow each other and do not overlap."""
+    out = np.zeros(len(starts), np.uint64)
+    up, down = powers(_STEP, 2 * _BLOCK + 1), powers(_STEP_BACK, 2 * _BLOCK + 1)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = int(np.searchsorted(ends, low + 2 * _BLOCK, side="right"))
+        if to <= at:  # one segment longer than two blocks
+            out[at] = _long_hash(data, low, int(ends[at]))
+            at += 1
+            continue
+        high = int(ends[to - 1])
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE_VALUE[data[low:high]] * up[: high - low], out=sums[1:])
+        s, e = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = (sums[e] - sums[s]) * down[s]
+        at = to
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _long_hash(data: np.ndarray, low: int, high: int) -> np.uint64:
+    total, lead = 0, 1
+    up = powers(_STEP, _BLOCK)
+    for at in range(low, high, _BLOCK):
+        part = _BYTE_VALUE[data[at : min(high, at + _BLOCK)]]
+        total = (total + int((part * up[: len(part)]).sum(dtype=np.uint64)) * lead) % (1 << 64)
+        lead = lead * pow(_STEP, _BLOCK, 1 << 64) % (1 << 64)
+    return np.uint64(total)
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
