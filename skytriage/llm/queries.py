@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
+from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality_rules
 from .secret_scan import find_secrets
@@ -19,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +44,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-_ALL = (op1_token_counts, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op10_sharding)
+_ALL = (op1_token_counts, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op10_sharding)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
