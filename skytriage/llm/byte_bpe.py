@@ -15,6 +15,8 @@ import numpy as np
 #: White space other than the space and the line feed.
 _ODD = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A space, then no white space at either end and no other space.
+_LED = re.compile(r" \S(?:[^ ]*\S)?")
 
 
 def chunks(text: str) -> list[str]:
@@ -26,13 +28,18 @@ def chunks(text: str) -> list[str]:
 class ByteBpe:
     """encode(texts): ids of all texts in one array, and each text's number of ids. remember: chunks kept at most."""
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.remember = remember
+        #: Bytes that an id stands for: a character of the vocabulary's alphabet is a byte, added tokens stand for themselves.
+        self.width = np.zeros(self.library.get_vocab_size(), np.int64)
+        added = self.library.get_added_tokens_decoder()
+        for token, k in self.library.get_vocab().items():
+            self.width[k] = len(token.encode()) if k in added else len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -43,16 +50,28 @@ class ByteBpe:
         self.used = 0
 
     def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((x for ids in found for x in ids), self.dtype, int(sizes.sum()))
+        """Chunks that are led by one space are cut apart where they meet, so many go to the library as one text."""
+        joined = [x for x in new if _LED.fullmatch(x)]
+        single = [x for x in new if not _LED.fullmatch(x)] if len(joined) < len(new) else []
+        for at in range(0, len(joined), 20_000):
+            part = joined[at : at + 20_000]
+            texts = ["".join(part[i : i + 200]) for i in range(0, len(part), 200)]
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+            size = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part))
+            self._keep(part, ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1, prepend=0))
+        if single:
+            found = [e.ids for e in self.library.encode_batch_fast(single, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._keep(single, np.fromiter((x for ids in found for x in ids), self.dtype, int(sizes.sum())), sizes)
+
+    def _keep(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.places)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(new) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.at[n : n + len(new)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.at[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(new)] = sizes
         self.used += len(ids)
         self.places.update(zip(new, range(n, n + len(new)), strict=True))
