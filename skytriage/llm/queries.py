@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
+from .hash_forest import nearest
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality_rules
@@ -40,10 +41,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-_ALL = (op1_token_counts, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op10_sharding)
+_ALL = (op1_token_counts, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op8_hash_forest, op10_sharding)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
