@@ -15,6 +15,7 @@ from .secret_scan import find_secrets
 from .sharding import assign_shards
 from .token_counts import count_tokens
 from .token_store import token_store
+from .warc import archive
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +47,14 @@ def op8_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-_ALL = (op1_token_counts, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op8_hash_forest, op10_sharding)
+_ALL = (op1_token_counts, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op8_hash_forest, op9_warc, op10_sharding)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
