@@ -69,7 +69,7 @@ def attempt_name() -> str:
     return f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in slices of at most `most` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -179,6 +179,31 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return [found["t"][i] for i in order], np.array([found["y"][i] for i in order], np.float64)
 
 
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
+    spark = ready(docs.sparkSession)
+    return spark.sparkContext.broadcast(fit(*labelled(docs, labels, id_col, text_col, label_col)))
+
+
+def judge(model: Model, column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Base counts, which texts fail the base, and all probabilities of quality."""
+    w, n = base_counts(column)
+    failed = (n["n_words"] < LEAST_WORDS) | (100 * n["n_repeat_words"] > MOST_REPEATED * n["n_words"])
+    return n, failed, model.probabilities(model.margins(w, texts_of(column)))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules keeps; each row is judged where it lies."""
+    model = _model(docs, labels, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, at, SLICE_BYTES):
+            _, failed, p = judge(model.value, batch.column(at))
+            yield batch.filter(pa.array(~failed & (p >= KEEP)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Rows (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept), one per document.
 
@@ -186,15 +211,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     each; other columns are not read; an empty table gives no rows. Labels without rows, or of one class, give a
     constant verdict. Whole texts are counted and scored.
     """
-    spark = ready(docs.sparkSession)
-    model = spark.sparkContext.broadcast(fit(*labelled(docs, labels, id_col, text_col, label_col)))
+    model = _model(docs, labels, id_col, text_col, label_col)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
-            w, n = base_counts(batch.column("text"))
-            failed = (n["n_words"] < LEAST_WORDS) | (100 * n["n_repeat_words"] > MOST_REPEATED * n["n_words"])
-            p = model.value.probabilities(model.value.margins(w, texts_of(batch.column("text"))))
+            n, failed, p = judge(model.value, batch.column("text"))
             arrays = [batch.column("id"), *(pa.array(x.astype(np.int64)) for x in n.values()), pa.array(failed), pa.array(p), pa.array(~failed & (p >= KEEP))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", *n, "base_failed", "quality", "kept"])
 

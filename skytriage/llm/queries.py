@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
 from .hash_forest import nearest
+from .merge_dropout import encode_decode
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality_rules
@@ -22,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), rate=0.1, seed=7)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), width=5, percent=80)
 
@@ -55,6 +60,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-_ALL = (op1_token_counts, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op8_hash_forest, op9_warc, op10_sharding)
+_ALL = (op1_token_counts, op2_merge_dropout, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op8_hash_forest, op9_warc, op10_sharding)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}

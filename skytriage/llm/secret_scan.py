@@ -192,14 +192,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Null texts stay null, texts without spans unchanged."""
     names = F.array(*(F.lit(r.kind) for r in RULES))
-    whole = scan(docs, RULES, id_col, text_col).withColumn("_spans", F.array_sort(F.flatten("_spans")))
-    text = F.col(text_col)
+    columns = docs.columns  # renamed by place, so that none can clash with the scan's own
+    id_at, text_at = (f"_in{columns.index(c)}" for c in (id_col, text_col))
+    whole = scan(docs.toDF(*(f"_in{k}" for k in range(len(columns)))), RULES, id_at, text_at).withColumn("_spans", F.array_sort(F.flatten("_spans")))
+    text = F.col(text_at)
     step = lambda acc, x: F.struct(
         F.greatest(acc["at"], x["end"]).alias("at"),
         F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.element_at(names, x["k"] + 1), F.lit("]"))).alias("out"),
     )
     clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return whole.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_spans")
+    return whole.withColumn(text_at, F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_spans").toDF(*columns)
 
 
 def matches(text: str, rule: Rule) -> list[tuple[int, int]]:
