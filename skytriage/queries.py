@@ -1,5 +1,10 @@
 """Registry of the engine's own queries and of the SQL they are held against."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import query_features, query_metrics, query_population, query_triage
+
+_MODULES = (query_features, query_population, query_metrics, query_triage)
+FLAGSHIP = "a5_rise_rates"
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
