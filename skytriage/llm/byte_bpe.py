@@ -8,25 +8,21 @@ chunk need be encoded by the library only once while it is remembered. Ids equal
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space other than the space and the line feed.
-_ODD = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: A space, then no white space at either end and no other space.
-_LED = re.compile(r" \S(?:[^ ]*\S)?")
-
-
-def chunks(text: str) -> list[str]:
-    if "  " in text or " \n" in text or "\n " in text or _ODD.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\x00 ").split("\x00")
+#: White space but single spaces and line feeds, or a space beside other white space: such a text goes to the library whole.
+_ODD = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n "
+#: Chunks that are encoded as one text, and such texts in a call.
+_JOIN, _CALL = 200, 100
 
 
 class ByteBpe:
-    """encode(texts): ids of all texts in one array, and each text's number of ids. remember: chunks kept at most."""
+    """encode(texts): ids of all texts in one array, and each text's number of ids. remember: chunks kept at most.
+
+    When more are known, those met once since the last time are forgotten, then all if these were too few."""
 
     def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,58 +36,92 @@ class ByteBpe:
         added = self.library.get_added_tokens_decoder()
         for token, k in self.library.get_vocab().items():
             self.width[k] = len(token.encode()) if k in added else len(token)
-        self._forget()
+        self._start()
 
-    def _forget(self) -> None:
+    def _start(self) -> None:
         self.places: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, self.dtype)
-        self.at = np.zeros(1 << 15, np.int64)
-        self.size = np.zeros(1 << 15, np.int64)
+        self.at, self.size, self.met = (np.zeros(1 << 15, np.int64) for _ in range(3))
         self.used = 0
 
+    def _forget(self) -> None:
+        n = len(self.places)
+        keep = np.flatnonzero(self.met[:n] > 1)
+        if len(keep) > self.remember // 2:
+            return self._start()
+        names = list(self.places)
+        size, old, at = self.size[keep], self.flat, self.at[keep]
+        self._start()
+        self._keep([names[k] for k in keep], old[_runs(at, size)], size)
+
     def _learn(self, new: list[str]) -> None:
         """Chunks that are led by one space are cut apart where they meet, so many go to the library as one text."""
-        joined = [x for x in new if _LED.fullmatch(x)]
-        single = [x for x in new if not _LED.fullmatch(x)] if len(joined) < len(new) else []
-        for at in range(0, len(joined), 20_000):
-            part = joined[at : at + 20_000]
-            texts = ["".join(part[i : i + 200]) for i in range(0, len(part), 200)]
+        led = [len(x) > 1 and x[0] == " " != x[-1] and x[1] != " " and x.isprintable() for x in new]
+        joined = [x for x, y in zip(new, led, strict=True) if y]
+        for at in range(0, len(joined), _JOIN * _CALL):
+            part = joined[at : at + _JOIN * _CALL]
+            texts = ["".join(part[i : i + _JOIN]) for i in range(0, len(part), _JOIN)]
             ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
             size = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part))
             self._keep(part, ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1, prepend=0))
-        if single:
-            found = [e.ids for e in self.library.encode_batch_fast(single, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._keep(single, np.fromiter((x for ids in found for x in ids), self.dtype, int(sizes.sum())), sizes)
+        if len(joined) < len(new):
+            single = [x for x, y in zip(new, led, strict=True) if not y]
+            self._keep(single, *self._whole(single))
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
     def _keep(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.places)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(new) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            self.at, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
         self.at[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(new)] = sizes
         self.used += len(ids)
         self.places.update(zip(new, range(n, n + len(new)), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts: list[str] = []
-        of_text = np.zeros(len(texts) + 1, np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                parts += chunks(text)
-            of_text[k + 1] = len(parts)
-        if not parts:
-            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() for texts that are cut at each space."""
+        lists = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        k = np.fromiter(map(self.places.get, names, [-1] * len(names)), np.int64, len(names))
+        if (k < 0).any():
+            self._learn([names[i] for i in np.flatnonzero(k < 0)])
+            k = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+        which = coded.indices.to_numpy()
+        self.met[k] += np.bincount(which, minlength=len(names))
+        k = k[which]
+        sizes = self.size[k]
+        return self.flat[_runs(self.at[k], sizes)], np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sizes = np.zeros(len(texts), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         if len(self.places) > self.remember:
             self._forget()
-        if new := [x for x in dict.fromkeys(parts) if x not in self.places]:
-            self._learn(new)
-        k = np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
-        sizes = self.size[k]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.at[k] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        ends = np.concatenate([[0], ends])
-        return ids, np.diff(ends[of_text])
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for own, encode in ((~odd & ~empty, self._chunks), (odd, lambda x: self._whole(x.to_pylist()))):
+            if own.any():
+                ids, sizes[own] = encode(texts.filter(pa.array(own)))
+                parts.append((np.flatnonzero(own), ids))
+        if len(parts) < 2:
+            return parts[0][1] if parts else np.zeros(0, self.dtype), sizes
+        out = np.zeros(int(sizes.sum()), self.dtype)
+        at = np.cumsum(sizes) - sizes
+        for rows, ids in parts:
+            out[_runs(at[rows], sizes[rows])] = ids
+        return out, sizes
+
+
+def _runs(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (sizes[0] of them), then from at[1], and so on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(at - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)

@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byte_bpe import ByteBpe
-from .common import by_bytes, ready, texts_of
+from .common import by_bytes, ready
 
 #: Cost of a token, and of a pair of tokens that attend to each other, in units of a token's share of matrix products.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Tokens that are packed together; bounds a task's memory and the share of sequences that end a group short of full.
 GROUP_TOKENS = 1 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 
 
 def assign(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
             return out
 
         for batch in by_bytes(batches, "text", SLICE_BYTES):
-            flat, n = bpe.encode(texts_of(batch.column("text")))
+            flat, n = bpe.encode(batch.column("text"))
             ends = np.cumsum(n)
             flat = np.insert(flat, ends, np.asarray(end_id, flat.dtype))
             ids.append(batch.column("id"))

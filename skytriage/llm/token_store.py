@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBpe
-from .common import attempt_name, by_bytes, filesystem, publish, ready, shared_folder, texts_of
+from .common import attempt_name, by_bytes, filesystem, publish, ready, shared_folder
 
 LENGTH, BATCH = 2048, 256
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 #: Bytes of text in a file's range of documents.
 FILE_BYTES = 48 << 20
 
@@ -88,7 +88,7 @@ def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int, leng
             with pa.ipc.new_file(out, schema) as file:
                 held, count = [], 0
                 for batch in by_bytes(batches, "text", SLICE_BYTES):
-                    flat, n = bpe.encode(texts_of(batch.column("text")))
+                    flat, n = bpe.encode(batch.column("text"))
                     flat = np.insert(flat, np.cumsum(n), np.asarray(end_id, flat.dtype))
                     ids.append(batch.column("id"))
                     sizes.append(n + 1)
