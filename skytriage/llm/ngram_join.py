@@ -1,13 +1,15 @@
 """N-gram Jaccard join by rare-first prefixes, and the components of its links.
 
-1. One pass takes each document's set of hashed word n-grams, a fingerprint of the set (equal sets are one class), and
-   counts all n-grams in a sketch of fixed size. The sketch gives every n-gram a rank; the order (rank, hash) puts the
-   n-grams that stand out as frequent last, wherever they occur.
+1. One pass takes each document's set of hashed word n-grams and a fingerprint of the set (equal sets are one class), and
+   counts n-grams that repeat within chunks of CHUNK n-grams. The most frequent of these, LISTED at most, are a table of
+   fixed size that every task gets. The order (listed count, hash) puts the n-grams known as frequent last, wherever they
+   occur; the table only ranks, so what it leaves out costs time and never a link.
 2. A second pass emits each class's prefix in that order: two sets with Jaccard of at least T share an n-gram of their
-   prefixes. Prefix rows meet by n-gram; n-grams that the sketch knows as frequent are split into cells.
-3. Pairs of a cell that pass the length and positional filters are candidates. First each cell pairs its members with a
-   few pivots only; what these connect needs no further comparison. At last all remaining pairs between different
-   components are candidates, cell against cell, so every link between components is found.
+   prefixes. Prefix rows meet by n-gram, those of very frequent n-grams split into cells, and stay if some other row of
+   their n-gram passes the length and positional filters.
+3. First each cell pairs its members with a few pivots only; what these connect needs no further comparison. At last all
+   remaining pairs between different components are candidates, cell against cell, so every link between components is
+   found.
 4. A candidate pair is verified once: a suffix filter, then the intersection of the two sets.
 """
 
@@ -24,13 +26,12 @@ from .common import Words, by_bytes, mix, ready, shared_folder, windows
 from .components import connected_components
 
 SLICE_BYTES = 1 << 20
-#: Bits of the sketch's slots, and parts that it is summed in.
-SKETCH_BITS, SKETCH_PARTS = 22, 64
+#: N-grams that are counted together, and most entries of the table of frequent ones.
+CHUNK, LISTED = 1 << 22, 1 << 20
 #: Rows of a frequent n-gram in a cell, pivots of a cell, rounds of pivots, pairs that are verified against one copy of a set.
 CELL_ROWS, PIVOTS, PIVOT_ROUNDS, PAIRS_PER_COPY = 2048, 3, 2, 1024
 #: Halvings of the suffix filter.
 SUFFIX_DEPTH = 3
-_TOP = np.uint64(64 - SKETCH_BITS)
 
 
 def token_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -69,71 +70,69 @@ def enough(common, n, m, percent: int):
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row (id, n, node, check) for each document, and rows (part, counts) of each task's sketch."""
+    """A row (id, n, node, check) for each document, and rows (token, times) of n-grams that repeat within a chunk."""
     id_type = docs.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        held, size = [], 0
+        names = ["id", "n", "node", "check", "token", "times"]
+        held, size, seen = [], 0, set()
         schema = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            token, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            token, times = token[times > 1].view(np.int64), times[times > 1]
+            held.clear()
+            for at in range(0, len(token), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                none = [pa.nulls(len(token[part]), schema.field(k).type) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(token[part]), pa.array(times[part])], schema=schema)
+
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             sets = token_sets(batch.column("text"), width)
             prints = np.array([fingerprint(x) for x in sets], np.int64).reshape(-1, 2)
-            for x in sets:
-                held.append((x >> _TOP).astype(np.int64))
-                size += len(x)
-            if size > 1 << 20:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
-                held, size = [], 0
             n = len(sets)
-            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "n", "node", "check", "part", "counts"])
+            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
             schema = out.schema
             yield out
+            for x, node in zip(sets, prints[:, 0].tolist(), strict=True):
+                if len(x) and node not in seen:
+                    seen.add(node)
+                    held.append(x)
+                    size += len(x)
+            if size >= CHUNK:
+                yield from close()
+                size, seen = 0, set()
         if schema is not None:
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
-            rows = np.minimum(counts, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
-            none = [pa.nulls(SKETCH_PARTS, schema.field(k).type) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, f"id {id_type.simpleString()}, n long, node long, check long, part int, counts binary")
-
+            yield from close()
 
-def _sketch(parts: DataFrame) -> np.ndarray:
-    """Sums of the tasks' sketches: SKETCH_PARTS rows of fixed size reach the driver."""
+    return docs.mapInArrow(run, f"id {id_type.simpleString()}, n long, node long, check long, token long, times long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, c in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-                x = np.frombuffer(c.as_buffer(), np.uint8)
-                sums[k] = sums[k] + x if k in sums else x.astype(np.uint64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
-
-    rows = parts.repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, counts binary").collect()
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.float64)
-    for part, counts in rows:
-        out[part] += np.frombuffer(counts, np.uint32)
-    return out.ravel()
 
-
-def _ranks(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each slot: a rank that grows with what it holds beyond the noise of all n-grams, and its number of cells."""
-    noise = sketch.mean() + 6 * np.sqrt(sketch.mean()) + 1
-    extra = np.maximum(sketch - noise, 0)
-    rank = np.where(extra > 0, 1 + np.floor(4 * np.log2(1 + extra)), 0)
-    return np.minimum(rank, 255).astype(np.uint8), np.minimum(1 + extra // CELL_ROWS, 65535).astype(np.uint16)
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted n-grams, each one's rank (which grows with its count) and number of cells: at most LISTED entries."""
+    counts = counts.groupBy("token").agg(F.sum("times").alias("times"))
+    # powers of 2^(1/4) keep this histogram to a few hundred rows
+    level = F.floor(4 * F.log2("times")).cast("int")
+    least, total = 1 << 20, 0
+    for k, n in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if total + n > LISTED:
+            break
+        least, total = k, total + n
+    found = counts.where(level >= least).toArrow()
+    token, times = found.column("token").to_numpy().view(np.uint64), found.column("times").to_numpy()
+    order = np.argsort(token)
+    token, times = token[order], times[order]
+    return token, np.minimum(np.floor(4 * np.log2(np.maximum(times, 1))), 255).astype(np.uint8), np.minimum(1 + times // CELL_ROWS, 65535).astype(np.int32)
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
     """Rows (token, cell, cells, node, n, at): each class's prefix, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, cells = ranks.value
+        listed, rank, cells = (np.append(x, x.dtype.type(y)) for x, y in zip(ranks.value, (2**64 - 1, 0, 1), strict=True))
         seen: set[int] = set()
         for batch in by_bytes(batches, "text", SLICE_BYTES):
-            tokens, nodes, sizes, places = [], [], [], []
+            tokens, splits, nodes, sizes, places = [], [], [], [], []
             for x in token_sets(batch.column("text"), width):
                 if not len(x):
                     continue
@@ -142,9 +141,11 @@ def _prefixes(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
                     continue
                 seen.add(node)
                 p = prefix_length(len(x), percent)
-                slot = (x >> _TOP).astype(np.int64)
-                order = np.argsort((rank[slot].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8)), kind="stable")[:p]
+                k = np.searchsorted(listed, x)
+                k[listed[k] != x] = len(rank) - 1
+                order = np.argsort((rank[k].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8)), kind="stable")[:p]
                 tokens.append(x[order])
+                splits.append(cells[k[order]])
                 nodes.append(node)
                 sizes.append(len(x))
                 places.append(p)
@@ -153,7 +154,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
             token, repeat = np.concatenate(tokens), np.array(places)
             node, n = np.repeat(np.array(nodes, np.int64), repeat), np.repeat(np.array(sizes, np.int32), repeat)
             at = (np.arange(len(token)) - np.repeat(np.cumsum(repeat) - repeat, repeat)).astype(np.int32)
-            split = cells[(token >> _TOP).astype(np.int64)].astype(np.int32)
+            split = np.concatenate(splits)
             cell = (mix(node.view(np.uint64)) % split.astype(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*map(pa.array, (token.view(np.int64), cell, split, node, n, at))], ["token", "cell", "cells", "node", "n", "at"])
 
@@ -181,8 +182,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield rest, np.array([0, len(rest[keys[0]])])
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows whose n-gram occurs in more than one class, or is split into cells; each class once."""
+def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Prefix rows that pass the length and positional filters with another row of their cell, or whose n-gram is split
+    into cells; each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "cell", "cells", "node", "n", "at"]
@@ -191,8 +193,21 @@ def _shared(prefixes: DataFrame) -> DataFrame:
             fresh[1:] = (rows["node"][1:] != rows["node"][:-1]) | (rows["token"][1:] != rows["token"][:-1])
             size = np.add.reduceat(fresh.astype(np.int64), first[:-1])
             keep = fresh & ((np.repeat(size, np.diff(first)) > 1) | (rows["cells"] > 1))
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in names], names)
+            rows = {c: rows[c][keep] for c in names} | {"root": rows["node"][keep]}
+            if not keep.any():
+                continue
+            edge = np.flatnonzero((rows["token"][1:] != rows["token"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])) + 1
+            end = np.repeat(np.append(edge, keep.sum()), np.diff(np.concatenate([[0], edge, [keep.sum()]])))
+            place = np.arange(len(end))
+            met = rows["cells"] > 1
+            step = 1
+            while not met.all() and len(x := np.flatnonzero(place + step < end)):
+                x = x[~(met[x] & met[x + step])]
+                good = x[_pairs(rows, x, x + step, percent)]
+                met[good] = met[good + step] = True
+                step += 1
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c][met]) for c in names], names)
 
     return prefixes.repartition("token", "cell").sortWithinPartitions("token", "cell", "node").mapInArrow(run, prefixes.schema)
 
@@ -358,10 +373,10 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     spark = ready(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     described = _kept(spark, _describe(rows, width), "documents")
-    ranks = spark.sparkContext.broadcast(_ranks(_sketch(described.where("part is not null").select("part", "counts"))))
-    sized = described.where("part is null").select("id", "n", "node", "check")
+    ranks = spark.sparkContext.broadcast(_frequent(described.where("token is not null").select("token", "times")))
+    sized = described.where("token is null").select("id", "n", "node", "check")
 
-    shared = _kept(spark, _shared(_prefixes(rows, width, percent, ranks)), "shared")
+    shared = _kept(spark, _shared(_prefixes(rows, width, percent, ranks), percent), "shared")
     sets = _kept(spark, _sets_of(rows, shared.select("node").distinct(), width).dropDuplicates(["node"]), "sets")
 
     links = tried = roots = None
