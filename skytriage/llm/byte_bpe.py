@@ -7,6 +7,7 @@ chunk need be encoded by the library only once while it is remembered. Ids equal
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -121,6 +122,12 @@ class ByteBpe:
         return out, sizes
 
 
+@functools.cache
+def worker_bpe(path: str) -> ByteBpe:
+    """The encoder of this process: what a task has learnt serves the next one in the same worker."""
+    return ByteBpe(path)
+
+
 def _runs(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """at[0], at[0] + 1, ... (sizes[0] of them), then from at[1], and so on."""
     ends = np.cumsum(sizes)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .byte_bpe import ByteBpe
+from .byte_bpe import worker_bpe
 from .common import by_bytes, ready
 
 #: Cost of a token, and of a pair of tokens that attend to each other, in units of a token's share of matrix products.
@@ -77,7 +77,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, first = ByteBpe(vocabulary), TaskContext.get().partitionId() << 32
+        bpe, first = worker_bpe(vocabulary), TaskContext.get().partitionId() << 32
         ids: list[pa.Array] = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []

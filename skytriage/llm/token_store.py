@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import ByteBpe
+from .byte_bpe import worker_bpe
 from .common import attempt_name, by_bytes, filesystem, publish, ready, shared_folder
 
 LENGTH, BATCH = 2048, 256
 SLICE_BYTES = 4 << 20
-#: Bytes of text in a file's range of documents.
-FILE_BYTES = 48 << 20
+#: Bytes of input in a file's range of documents.
+FILE_BYTES = 16 << 20
 
 
 def _schema(width: np.dtype, length: int) -> pa.Schema:
@@ -64,6 +64,12 @@ class Reader:
             yield self.batch(k).ravel()
 
 
+def _size(rows: DataFrame) -> int:
+    """Bytes of text: the planner's estimate from file sizes, or a sum where it has none."""
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 55 else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, appends end_id, and writes the store; returns one row per file (file, base, n_ids, n_docs).
 
@@ -72,14 +78,14 @@ def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int, leng
     """
     spark = ready(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = _size(rows)
     parts = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         k, attempt = TaskContext.get().partitionId(), attempt_name()
-        bpe = ByteBpe(vocabulary)
+        bpe = worker_bpe(vocabulary)
         schema = _schema(bpe.dtype, length)
         ids: list[pa.Array] = []
         sizes: list[np.ndarray] = []
