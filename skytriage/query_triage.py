@@ -1,4 +1,362 @@
-from .registry import Registry
+"""Queries on triggering, resampling and models."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from .config import BaselineConfig, DecisionConfig
+from .functions.binomial import clopper_pearson
+from .functions.scalars import hash_uniform, poisson_one
+from .operators import asof
+from .operators import calibration as C
+from .operators import decision as D
+from .operators import models as M
+from .operators import novelty as N
+from .operators import resample as R
+from .plans.views import SCORED_SQL, SEL_SQL, metadata, observations, scored, selected, uniform_sql
+from .query_features import wide
+from .registry import Registry, rounded
 
 query = Registry()
+CONFIG = DecisionConfig()
+
+
+def _scale(rows) -> float:
+    return N.scale(rows.where("epoch = 2 and S = 1"))
+
+
+def _cohort(spark, sf_dir):
+    """Evaluated rows (S = 0), training rows (S = 1) and the novelty scale."""
+    rows = scored(spark, sf_dir)
+    return rows.where("S = 0"), rows.where("S = 1"), _scale(rows)
+
+
+def score_sql(weight: float, target: int = 64) -> str:
+    return f"""{SCORED_SQL}, sc AS (SELECT stddev_pop(novelty) AS scale FROM scored WHERE epoch = 2 AND S = 1),
+ev AS (SELECT object_id, epoch, y, p_{target} + {weight}::DOUBLE * novelty / scale AS score, S FROM scored, sc)"""
+
+
+def _quota_sql(k: int) -> str:
+    """CTE `tau`: the train score at the quota's rank, largest over epochs; Python's round() is half to even."""
+    ranks = f"greatest(1, round_even((SELECT count(*) FROM ev WHERE S = 1 AND epoch = t.epoch) * {k}.0::DOUBLE / (SELECT count(DISTINCT object_id) FROM ev WHERE S = 0), 0))"
+    return f"tau AS (SELECT max(score) AS cut FROM (SELECT t.epoch, score, row_number() OVER (PARTITION BY t.epoch ORDER BY score DESC, object_id) AS r, {ranks} AS q FROM ev t WHERE S = 1) WHERE r = q)"
+
+
+def trig_sql(cut: str, k: int) -> str:
+    """CTE `trig` over `ev`: top k of epoch 0, then of epoch 2 without them."""
+    return f"""e0 AS (SELECT object_id, 0.0::DOUBLE AS trigger_epoch, score FROM ev WHERE S = 0 AND epoch = 0 AND score >= {cut} ORDER BY score DESC, object_id LIMIT {k}),
+e2 AS (SELECT object_id, 2.0::DOUBLE AS trigger_epoch, score FROM ev WHERE S = 0 AND epoch = 2 AND score >= {cut} AND object_id NOT IN (SELECT object_id FROM e0) ORDER BY score DESC, object_id LIMIT {k}),
+trig AS (SELECT * FROM e0 UNION ALL SELECT * FROM e2)"""
+
+
+def outcome_sql(target: int = 64, c: DecisionConfig = CONFIG) -> str:
+    return f"""oc AS (SELECT o.object_id, o.y, t.object_id IS NOT NULL AS triggered, o.y = {target} AS is_target,
+  CASE WHEN t.object_id IS NOT NULL AND o.y = {target} THEN {c.u_tp}::DOUBLE WHEN t.object_id IS NOT NULL THEN {c.u_fp}::DOUBLE WHEN o.y = {target} THEN {c.u_fn}::DOUBLE ELSE {c.u_tn}::DOUBLE END AS utility
+  FROM (SELECT DISTINCT object_id, y FROM ev WHERE S = 0) o LEFT JOIN trig t USING (object_id))"""
+
+
+def regret_sql(k: int, by: str = "", w: str = "1", c: DecisionConfig = CONFIG) -> str:
+    """CTE `rg` over `oc`."""
+    pre = f"{by}, " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    return f"""s0 AS (SELECT {pre}sum({w} * utility)::DOUBLE AS u_policy, sum({w} * is_target::INT)::DOUBLE AS n_targets, sum({w} * (NOT is_target)::INT)::DOUBLE AS n_others, sum({w} * (triggered AND is_target)::INT)::DOUBLE AS hits, sum({w} * (triggered AND NOT is_target)::INT)::DOUBLE AS false_triggers, 0.0::DOUBLE AS u_no_trigger FROM oc{group}),
+s1 AS (SELECT *, least(n_targets, {k}) * {c.u_tp}::DOUBLE + (n_targets - least(n_targets, {k})) * {c.u_fn}::DOUBLE AS u_oracle FROM s0),
+rg AS (SELECT {pre}u_policy, n_targets, n_others, hits, false_triggers, u_no_trigger, u_oracle, u_oracle - u_policy AS regret, round((u_oracle - u_policy) / greatest(1.0::DOUBLE, u_oracle), 6) + 0.0 AS normalized_regret,
+  CASE WHEN n_targets = 0 THEN 0.0::DOUBLE ELSE round((n_targets - hits) / n_targets, 6) END AS mhver, CASE WHEN n_others = 0 THEN 0.0::DOUBLE ELSE round(false_triggers / n_others, 6) END AS false_trigger_rate,
+  CASE WHEN n_targets = 0 THEN 0.0::DOUBLE ELSE round(hits / n_targets, 6) END AS target_rate, CASE WHEN hits + false_triggers = 0 THEN 0.0::DOUBLE ELSE round(hits / (hits + false_triggers), 6) END AS purity FROM s1)"""
+
+
+@query("w3_top_k_threshold", f"WITH {score_sql(0.05)} SELECT object_id, round(score, 6) AS score FROM ev WHERE epoch = 2 AND score >= 0.3 ORDER BY ev.score DESC, object_id LIMIT 25")
+def top_k(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    return rounded(D.top_k(D.with_score(rows.where("epoch = 2"), 0.05, _scale(rows)), 25, 0.3).select("object_id", "score"))
+
+
+@query("w4_sequential_policy", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)} SELECT object_id, trigger_epoch, round(score, 6) AS score FROM trig")
+def sequential(spark, sf_dir):
+    ev, _, scale = _cohort(spark, sf_dir)
+    return rounded(D.sequential(D.with_score(ev, 0.05, scale), 22, 0.001, 2.0))
+
+
+@query("w5_quota_threshold", f"WITH {score_sql(0.0)}, {_quota_sql(22)} SELECT round(cut, 6) AS cut FROM tau")
+def quota(spark, sf_dir):
+    ev, train, scale = _cohort(spark, sf_dir)
+    n = ev.select("object_id").distinct().count()
+    return rounded(spark.createDataFrame([(D.quota_threshold(D.with_score(train, 0.0, scale), 22, n),)], "cut double"))
+
+
+@query("w6_oracle_choice", f"WITH {SCORED_SQL} SELECT object_id, row_number() OVER (ORDER BY object_id)::INT AS place FROM (SELECT DISTINCT object_id FROM scored WHERE S = 0 AND y = 64) ORDER BY object_id LIMIT 22")
+def oracle_choice(spark, sf_dir):
+    from pyspark.sql import Window
+
+    ev, _, _ = _cohort(spark, sf_dir)
+    first = ev.where("y = 64").select("object_id").distinct().orderBy("object_id").limit(22)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("object_id")))  # 22 rows
+
+
+def _outcomes(spark, sf_dir, k: int = 22):
+    ev, _, scale = _cohort(spark, sf_dir)
+    trig = D.sequential(D.with_score(ev, 0.05, scale), k, 0.001, 2.0)
+    return D.outcomes(ev.groupBy("object_id").agg(F.first("y").alias("y")), trig)
+
+
+@query("a27_object_utility", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)}, {outcome_sql()} SELECT triggered, is_target, utility, count(*) AS n FROM oc GROUP BY ALL")
+def object_utility(spark, sf_dir):
+    return _outcomes(spark, sf_dir).groupBy("triggered", "is_target", "utility").agg(F.count("*").alias("n"))
+
+
+_REGRET = "u_policy, n_targets, n_others, hits, false_triggers, u_no_trigger, u_oracle, regret, normalized_regret, mhver, false_trigger_rate, target_rate, purity"
+
+
+@query("a28_regret", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)}, {outcome_sql()}, {regret_sql(22)} SELECT {_REGRET} FROM rg")
+def regret(spark, sf_dir):
+    return rounded(D.regret(_outcomes(spark, sf_dir), 22))
+
+
+@query("a29_miss_rate", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 5)}, {outcome_sql()}, {regret_sql(5)} SELECT n_targets, hits, mhver FROM rg")
+def miss_rate(spark, sf_dir):
+    return rounded(D.regret(_outcomes(spark, sf_dir, 5), 5).select("n_targets", "hits", "mhver"))
+
+
+@query("a30_rates_by_deadline", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)}, o AS (SELECT DISTINCT object_id, y FROM ev WHERE S = 0) SELECT d AS deadline, count(*) FILTER (y = 64) AS n_targets, round(count(*) FILTER (y = 64 AND trigger_epoch <= d) / count(*) FILTER (y = 64), 6) AS target_rate, round(count(*) FILTER (y <> 64 AND trigger_epoch <= d) / count(*) FILTER (y <> 64), 6) AS false_trigger_rate FROM (SELECT unnest([0.0::DOUBLE, 2.0::DOUBLE]) AS d), o LEFT JOIN trig USING (object_id) GROUP BY d")
+def rates(spark, sf_dir):
+    rows = _outcomes(spark, sf_dir).withColumn("deadline", F.explode(F.array(F.lit(0.0), F.lit(2.0))))
+    by = F.coalesce(F.col("trigger_epoch") <= F.col("deadline"), F.lit(False))
+    g = F.col("is_target")
+    return rounded(rows.groupBy("deadline").agg(F.count_if(g).alias("n_targets"), (F.count_if(g & by) / F.count_if(g)).alias("target_rate"), (F.count_if(~g & by) / F.count_if(~g)).alias("false_trigger_rate")))
+
+
+@query(
+    "b7_jackknife",
+    f"""WITH {score_sql(0.05)}, {trig_sql('0.001', 22)}, {outcome_sql()}, {regret_sql(22)}, j AS (SELECT o.triggered, o.utility, g.u_policy, g.hits, g.n_targets - 1 AS m, least(g.n_targets - 1, 22) * 2.0::DOUBLE AS u FROM oc o, rg g WHERE is_target),
+l AS (SELECT u - (u_policy - utility) AS r, (u - (u_policy - utility)) / greatest(1.0::DOUBLE, u) AS nr, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE (m - (hits - triggered::INT)) / m END AS miss FROM j)
+SELECT count(*) AS n_left_out, round(min(r), 6) AS regret_min, round(max(r), 6) AS regret_max, round(min(nr), 6) AS normalized_min, round(max(nr), 6) AS normalized_max, round(min(miss), 6) AS mhver_min, round(max(miss), 6) AS mhver_max FROM l""",
+)
+def jackknife(spark, sf_dir):
+    return rounded(D.jackknife(_outcomes(spark, sf_dir), 22))
+
+
+def _arm_sql(name: str, weight: float, cut: str, k: int, target: int, columns: str) -> str:
+    quota = f", {_quota_sql(k)}" if "tau" in cut else ""
+    return f"SELECT '{name}' AS arm, {columns} FROM (WITH {score_sql(weight, target)}{quota}, {trig_sql(cut, k)}, {outcome_sql(target)}, {regret_sql(k)} SELECT * FROM rg)"
+
+
+def _arms_sql(k: int, target: int) -> str:
+    return " UNION ALL ".join(_arm_sql(a.name, a.weight, "(SELECT cut FROM tau)" if a.threshold is None else str(a.threshold), k, target, _REGRET) for a in D.ARMS)
+
+
+def _arms(spark, sf_dir, k: int, target: int):
+    ev, train, scale = _cohort(spark, sf_dir)
+    return rounded(D.compare_arms(D.ARMS, ev, train, scale, k, 2.0, target))
+
+
+@query("d1_three_arms", _arms_sql(5, 64))
+def three_arms(spark, sf_dir):
+    return _arms(spark, sf_dir, 5, 64)
+
+
+@query("d2_corrected_capacity", _arms_sql(22, 64))
+def corrected_capacity(spark, sf_dir):
+    return _arms(spark, sf_dir, 22, 64)
+
+
+@query("d3_other_target", _arms_sql(5, 95))
+def other_target(spark, sf_dir):
+    return _arms(spark, sf_dir, 5, 95)
+
+
+_GRID = [(u, k, w) for u in (1.0, 2.0, 5.0) for k in (1, 5, 10) for w in (0.0, 0.05, 0.1)]
+
+
+def _grid_sql() -> str:
+    cells = []
+    for u, k, w in _GRID:
+        c = DecisionConfig(u_tp=u, capacity=k, novelty_weight=w)
+        cells.append(f"SELECT {u}::DOUBLE AS u_tp, {k} AS k, {w}::DOUBLE AS weight, u_policy, u_oracle, hits FROM (WITH {score_sql(w)}, {trig_sql('0.001', k)}, {outcome_sql(64, c)}, {regret_sql(k, c=c)} SELECT * FROM rg)")
+    return " UNION ALL ".join(cells)
+
+
+@query("d4_sensitivity_grid", _grid_sql())
+def grid(spark, sf_dir):
+    """Triggers depend on capacity and weight only, so nine policies serve 27 cells."""
+    ev, _, scale = _cohort(spark, sf_dir)
+    ev = ev.where("epoch <= 2").cache()
+    objects = ev.groupBy("object_id").agg(F.first("y").alias("y"))
+    out = None
+    for k, w in sorted({(k, w) for _, k, w in _GRID}):
+        trig = D.sequential(D.with_score(ev, w, scale), k, 0.001, 2.0)
+        for u in (1.0, 2.0, 5.0):
+            c = DecisionConfig(u_tp=u, capacity=k, novelty_weight=w)
+            row = D.regret(D.outcomes(objects, trig, config=c), k, c).select(F.lit(u).alias("u_tp"), F.lit(k).alias("k"), F.lit(w).alias("weight"), "u_policy", "u_oracle", "hits")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("d5_target_audit", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)} SELECT object_id, s.epoch, round(p_64, 6) AS p_64, round(novelty, 6) AS novelty, trigger_epoch FROM scored s LEFT JOIN trig USING (object_id) WHERE s.S = 0 AND y = 64")
+def audit(spark, sf_dir):
+    ev, _, scale = _cohort(spark, sf_dir)
+    return rounded(D.audit_targets(ev, D.sequential(D.with_score(ev, 0.05, scale), 22, 0.001, 2.0)))
+
+
+def _trig_of(weight: float) -> str:
+    return f"SELECT object_id FROM (WITH {score_sql(weight)}, {trig_sql('0.001', 22)} SELECT * FROM trig)"
+
+
+@query("u3_changed_triggers", f"SELECT object_id, 'first' AS arm FROM ({_trig_of(0.05)} EXCEPT {_trig_of(0.0)}) UNION ALL SELECT object_id, 'second' FROM ({_trig_of(0.0)} EXCEPT {_trig_of(0.05)})")
+def changed(spark, sf_dir):
+    ev, _, scale = _cohort(spark, sf_dir)
+    a, b = (D.sequential(D.with_score(ev, w, scale), 22, 0.001, 2.0) for w in (0.05, 0.0))
+    return D.changed_triggers(a, b)
+
+
+def _poisson_sql(u: str, most: int = 8) -> str:
+    term, total, out = math.exp(-1), 0.0, "CASE"
+    for k in range(most):
+        total += term
+        out += f" WHEN {u} < {total!r}::DOUBLE THEN {k}"
+        term /= k + 1
+    return f"{out} ELSE {most} END"
+
+
+def boot_sql(source: str, n: int, seed: int = 42) -> str:
+    """CTE `bt`: source once for each replicate with its weight."""
+    u = uniform_sql(f"'{seed}:' || replicate || ':' || object_id")
+    return f"bt AS (SELECT * FROM (SELECT s.*, replicate, {_poisson_sql(u)} AS weight FROM {source} s, (SELECT unnest(range({n})) AS replicate)) WHERE weight > 0)"
+
+
+_ONE = "(SELECT * FROM scored WHERE epoch = 2)"
+
+
+@query("b1_bootstrap_weights", f"WITH {SCORED_SQL}, {boot_sql(_ONE, 5)} SELECT replicate::INT AS replicate, weight, count(*) AS n FROM bt GROUP BY ALL")
+def bootstrap_weights(spark, sf_dir):
+    rows = R.replicates(scored(spark, sf_dir).where("epoch = 2"), 5)
+    return rows.groupBy("replicate", "weight").agg(F.count("*").alias("n"))
+
+
+_LP = " UNION ALL ".join(f"SELECT replicate, weight, {c} AS class_id, p_{c} AS p, (y = {c})::INT::DOUBLE AS hit FROM bt" for c in (64, 90, 95))
+_BINX = "CASE WHEN p < 0 OR p > 1 THEN NULL " + " ".join(f"WHEN p >= {k}::DOUBLE * 0.1::DOUBLE THEN {k}" for k in range(9, 0, -1)) + " ELSE 0 END"
+
+
+@query(
+    "b1_calibration_bootstrap",
+    f"""WITH {SCORED_SQL}, {boot_sql(_ONE, 20)}, lp AS ({_LP}), b AS (SELECT replicate, class_id, {_BINX} AS bin, sum(weight)::DOUBLE AS n, sum(weight * p) / sum(weight) AS mp, sum(weight * hit) / sum(weight) AS mo FROM lp GROUP BY ALL),
+m0 AS (SELECT *, n / sum(n) OVER (PARTITION BY replicate, class_id) AS w, sum(n * mo) OVER (PARTITION BY replicate, class_id) / sum(n) OVER (PARTITION BY replicate, class_id) AS base FROM b),
+m1 AS (SELECT replicate, class_id, sum(w * (mp - mo) * (mp - mo)) AS rel, sum(w * (mo - base) * (mo - base)) AS res, max(base * (1 - base)) AS unc, sum(w * abs(mp - mo)) AS ece FROM m0 GROUP BY ALL)
+SELECT replicate::INT AS replicate, round(sum(rel), 6) AS reliability, round(sum(res), 6) AS resolution, round(sum(unc), 6) AS uncertainty, round(avg(ece), 6) AS mean_ece, round(sum(rel) - sum(res) + sum(unc), 6) AS binned_brier FROM m1 GROUP BY 1""",
+)
+def calibration_bootstrap(spark, sf_dir):
+    return rounded(R.calibration(scored(spark, sf_dir).where("epoch = 2"), 20))
+
+
+_GAP = "+".join(f"(p_{c} - (y = {c})::INT) * (p_{c} - (y = {c})::INT)" for c in (64, 90, 95))
+
+
+def _gap(t: str):
+    return sum((F.col(f"{t}_{c}") - (F.col("y") == c).cast("double")) * (F.col(f"{t}_{c}") - (F.col("y") == c).cast("double")) for c in (64, 90, 95))
+
+
+@query("b2_paired_bootstrap", f"WITH {SCORED_SQL}, pr AS (SELECT object_id, max(g) FILTER (epoch = 0) AS a, max(g) FILTER (epoch = 7) AS b FROM (SELECT object_id, epoch, {_GAP} AS g FROM scored) GROUP BY 1), {boot_sql('pr', 20)} SELECT replicate::INT AS replicate, round(sum(weight * (a - b)) / sum(weight), 6) AS delta FROM bt GROUP BY 1")
+def paired(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumn("g", _gap("p"))
+    both = rows.groupBy("object_id").agg(F.max(F.when(F.col("epoch") == 0, F.col("g"))).alias("a"), F.max(F.when(F.col("epoch") == 7, F.col("g"))).alias("b"))
+    return rounded(R.paired(both, "a", "b", 20))
+
+
+@query(
+    "b3_shift_bootstrap",
+    f"""WITH {SEL_SQL}, {boot_sql('sel', 20)}, s AS (SELECT replicate, sum(weight) AS n1, sum(weight * S) AS n2, sum(weight * hostgal_photoz) AS a1, sum(weight * S * hostgal_photoz) AS a2, sum(weight * hostgal_photoz * hostgal_photoz) AS b1, sum(weight * S * hostgal_photoz * hostgal_photoz) AS b2 FROM bt GROUP BY 1)
+SELECT replicate::INT AS replicate, round(a2 / n2 - a1 / n1, 6) AS mean_shift, round((a2 / n2 - a1 / n1) / sqrt((b1 - a1 * a1 / n1 + b2 - a2 * a2 / n2) / (n1 + n2 - 2)), 6) AS cohens_d FROM s""",
+)
+def shift_bootstrap(spark, sf_dir):
+    return rounded(R.shift(selected(spark, sf_dir), "hostgal_photoz", "S", 20))
+
+
+@query(
+    "b4_auc_bootstrap",
+    f"""WITH {SCORED_SQL}, {boot_sql(_ONE, 10)}, g AS (SELECT replicate, p_64 AS x, sum(weight * (y = 64)::INT) AS tp, sum(weight * (y <> 64)::INT) AS fp FROM bt GROUP BY ALL),
+c AS (SELECT *, sum(tp) OVER (PARTITION BY replicate ORDER BY x DESC) AS ctp, sum(fp) OVER (PARTITION BY replicate ORDER BY x DESC) AS cfp FROM g)
+SELECT replicate::INT AS replicate, round(sum(fp * (ctp - tp / 2.0::DOUBLE)) / (sum(tp)::DOUBLE * sum(fp)), 6) AS roc_auc, round(sum(tp * (ctp / (ctp + cfp))) / sum(tp), 6) AS avg_precision FROM c GROUP BY 1""",
+)
+def auc_bootstrap(spark, sf_dir):
+    rows = scored(spark, sf_dir).where("epoch = 2").withColumn("hit", (F.col("y") == 64).cast("long"))
+    return rounded(R.ranking(rows, "p_64", 10))
+
+
+@query("b5_regret_bootstrap", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)}, {outcome_sql().replace('oc AS', 'o1 AS')}, {boot_sql('o1', 20)}, oc AS (SELECT * FROM bt), {regret_sql(22, 'replicate', 'weight')} SELECT replicate::INT AS replicate, {_REGRET} FROM rg")
+def regret_bootstrap(spark, sf_dir):
+    return rounded(R.decisions(_outcomes(spark, sf_dir), 22, 20))
+
+
+@query("b6_retention_bootstrap", f"WITH {SEL_SQL}, {boot_sql('sel', 20)} SELECT replicate::INT AS replicate, true_target, round(sum(weight * S) / sum(weight), 6) AS retention FROM bt GROUP BY replicate, true_target")
+def retention_bootstrap(spark, sf_dir):
+    return rounded(R.retention(selected(spark, sf_dir), 20))
+
+
+@query("b6_retention_interval", f"WITH {SEL_SQL}, {boot_sql('sel', 20)}, r AS (SELECT replicate, sum(weight * S) / sum(weight) AS v FROM bt WHERE true_target = 90 GROUP BY 1) SELECT count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM r")
+def retention_interval(spark, sf_dir):
+    rows = R.retention(selected(spark, sf_dir).where("true_target = 90"), 20)
+    return rounded(R.interval(rows, "retention"))
+
+
+@query("f_hash_uniform", f"WITH {SEL_SQL} SELECT object_id, round({uniform_sql(chr(39) + 'x:' + chr(39) + ' || object_id')}, 9) AS u, {_poisson_sql(uniform_sql(chr(39) + 'x:' + chr(39) + ' || object_id'))} AS k FROM sel")
+def uniforms(spark, sf_dir):
+    u = hash_uniform("x", F.col("object_id"))
+    return rounded(selected(spark, sf_dir).select("object_id", u.alias("u"), poisson_one(u).alias("k")), 9)
+
+
+@query("f8_exact_intervals")
+def exact_intervals(spark, sf_dir):
+    """Clopper-Pearson intervals of each class's retention; DuckDB has no beta quantile, tests hold known values."""
+    rows = selected(spark, sf_dir).groupBy("true_target").agg(F.sum("S").alias("k"), F.count("*").alias("n")).collect()  # a row for each class
+    return spark.createDataFrame([(r.true_target, r.k, r.n, *clopper_pearson(r.k, r.n)) for r in rows], "true_target int, k long, n long, low double, high double")
+
+
+_FEATURES = ["hostgal_photoz", "alert_snr_0", "snr_growth_rate", "rise_rate_pb2", "color_pb2_pb3", "n_det_total", "n_det_passbands", "alert_snr_0_status", "snr_growth_rate_status"]
+
+
+def _training(spark, sf_dir):
+    meta = metadata(spark, sf_dir).where("true_target <> 15")
+    rows = wide(spark, sf_dir).where("epoch = 7").join(meta.select("object_id", F.col("true_target").alias("y")), "object_id")
+    return rows.withColumn("S", (hash_uniform(42, F.col("object_id")) < 0.5).cast("int")).cache()
+
+
+@query("m1_baseline_classifier")
+def baseline(spark, sf_dir):
+    rows = _training(spark, sf_dir)
+    model = M.BaselineClassifier(BaselineConfig(rounds=5, depth=3)).fit_epoch(rows.where("S = 1"), 7.0, _FEATURES)
+    return model.predict(rows.where("S = 0"), 7.0).select("object_id", "y", "p_64", "p_90", "p_95")
+
+
+@query("m3_recalibration")
+def recalibration(spark, sf_dir):
+    rows = scored(spark, sf_dir).where("epoch = 2").join(selected(spark, sf_dir).select("object_id", (1.0 / F.col("p_spec")).alias("w")), "object_id")
+    model = M.SelectionAwareRecalibrator().fit(rows.where("S = 1"))
+    return model.predict(rows.where("S = 0")).select("object_id", "y", "hostgal_photoz", "p_64", "p_90", "p_95", "q_64", "q_90", "q_95")
+
+
+@query("m4_recalibrated_scores")
+def recalibrated_scores(spark, sf_dir):
+    rows = recalibration(spark, sf_dir)
+    new = rows.select("object_id", "y", *(F.col(f"q_{c}").alias(f"p_{c}") for c in (64, 90, 95)))
+    return C.deltas(rows, new)
+
+
+@query("b9_nested_cv")
+def nested_cv(spark, sf_dir):
+    grid = [BaselineConfig(rounds=3, depth=2), BaselineConfig(rounds=3, depth=3)]
+    found = M.nested_cv(_training(spark, sf_dir).where("S = 1"), ["hostgal_photoz", "n_det_total"], 90, grid, outer=2)
+    return spark.createDataFrame([(k, c.rounds, c.depth, a) for k, c, a in found], "fold int, rounds int, depth int, auc double")
+
+
+@query("o5_all_epochs_one_pass")
+def all_epochs(spark, sf_dir):
+    """Every object's prefixes at every epoch from one scan, with the leakage check."""
+    obs = observations(spark, sf_dir)
+    t0 = asof.first_detection(obs)
+    asof.assert_leakage_safety(asof.truncate_at_epoch(obs, 2.0), t0, 2.0)
+    return asof.epoch_sequences(obs).groupBy("epoch").agg(F.count("*").alias("n"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle
