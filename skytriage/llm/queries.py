@@ -10,6 +10,7 @@ from .common import table, tokenizer_path
 from .hash_forest import nearest
 from .merge_dropout import encode_decode
 from .ngram_join import ngram_join
+from .oracles import ORACLE as ORACLE
 from .packing import pack
 from .quality import quality_rules
 from .secret_scan import find_secrets
@@ -62,4 +63,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_token_counts, op2_merge_dropout, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op8_hash_forest, op9_warc, op10_sharding)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}

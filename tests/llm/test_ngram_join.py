@@ -66,7 +66,7 @@ def near_copies(rnd, count, words=60, edits=1, start=0):
 def test_components(spark, monkeypatch, cell):
     monkeypatch.setattr(N, "CELL_ROWS", cell)
     rnd = random.Random(3)
-    docs = near_copies(rnd, 40, start=100) + near_copies(rnd, 30, words=40, edits=1, start=300) + near_copies(rnd, 25, words=80, edits=3, start=500)
+    docs = near_copies(rnd, 40, start=100) + near_copies(rnd, 30, words=40, edits=1, start=300) + near_copies(rnd, 45, words=80, edits=3, start=500) + near_copies(rnd, 60, words=60, edits=2, start=1000)
     docs += [(i, "one two three") for i in range(5)] + [(9, "One TWO three"), (10, ""), (11, None), (12, " \n"), (13, "É a b c d e"), (14, "é a b c d e"), (None, "One two three"), (None, "lonely words"), (10, "")]
     docs += [(700 + i, " ".join(f"c{j}" for j in range(i, i + 46))) for i in range(30)]  # a chain: neighbours link, ends don't
     docs += [(800, "rep eat " * 5000), (801, "rep eat " * 4000), (802, docs[0][1]), (802, docs[0][1])]
