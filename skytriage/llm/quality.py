@@ -111,7 +111,7 @@ def fit(texts: list[str], good: np.ndarray) -> Model:
     good = np.asarray(good, np.float64)
     if not len(texts) or good.min() == good.max():
         return Model(np.zeros((KINDS, SLOTS), np.float32), 0.0, (0.0, 8.0 if not len(texts) or good[0] else -8.0), (1.0, 0.0))
-    rows, columns, values = [], [], []
+    rows, columns, values = [], [], []  # intp, which sums by index take as they are
     for at in range(0, len(texts), 256):
         part = texts[at : at + 256]
         for k, (slots, bounds) in enumerate(_slots(Words(pa.array(part, pa.string())), part)):
@@ -125,8 +125,7 @@ def fit(texts: list[str], good: np.ndarray) -> Model:
     held = np.arange(len(texts)) % HELD_OUT == HELD_OUT - 1
     if len({*good[~held]}) < 2 or len({*good[held]}) < 2:
         held[:] = False
-    mine = ~held[row]
-    r, c, v = row[mine], column[mine], value[mine]
+    r, c, v = row, column, value  # held-out rows have no gap
     size = KINDS * SLOTS
     theta, m, s = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     count = (~held).sum()
@@ -166,22 +165,39 @@ def _platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(ab[0] / wide), float(ab[1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """At most about FIT_ROWS labelled texts, the same at any partitioning. The broadcast holds those rows' ids alone."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """Rows (k, t, y) of at most about FIT_ROWS labelled texts, the same at any partitioning. The broadcast holds those
+    rows' ids alone."""
     rows = labels.select(labels[id_col].alias("k"), labels[label_col].alias("y")).where("k is not null and y is not null")
     rows = rows.groupBy("k").agg(F.max("y").alias("y"))
     n = rows.count()
     if n > FIT_ROWS:
         rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < (FIT_ROWS << 20) // n)
     texts = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t")).where("t is not null")
-    found = texts.join(F.broadcast(rows), "k").toArrow().to_pydict()
-    order = sorted(range(len(found["k"])), key=lambda i: (found["k"][i], found["t"][i]))
-    return [found["t"][i] for i in order], np.array([found["y"][i] for i in order], np.float64)
+    return texts.join(F.broadcast(rows), "k").select("k", "t", F.col("y").cast("double").alias("y"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """The model of the bounded sample, fitted in one task, in the order of ids and texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, good = [], []
+        for batch in batches:
+            texts += batch.column("t").to_pylist()
+            good += batch.column("y").to_pylist()
+        m = fit(texts, np.array(good))
+        yield pa.RecordBatch.from_pylist([{"weights": m.weights.tobytes(), "bias": m.bias, "a": m.scale[0], "b": m.scale[1], "accuracy": m.held_out[0], "loss": m.held_out[1]}])
+
+    rows = labelled(docs, labels, id_col, text_col, label_col)
+    found = rows.repartition(1).sortWithinPartitions("k", "t").mapInArrow(run, "weights binary, bias double, a double, b double, accuracy double, loss double").first()
+    if found is None:
+        return fit([], np.zeros(0))
+    return Model(np.frombuffer(found.weights, np.float32).reshape(KINDS, SLOTS), found.bias, (found.a, found.b), (found.accuracy, found.loss))
 
 
 def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
     spark = ready(docs.sparkSession)
-    return spark.sparkContext.broadcast(fit(*labelled(docs, labels, id_col, text_col, label_col)))
+    return spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
 
 
 def judge(model: Model, column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:

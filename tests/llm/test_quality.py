@@ -63,6 +63,6 @@ def test_quality(spark):
 def test_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    model = Q.fit(*Q.labelled(docs, labels, "doc_id", "text", "quality"))
+    model = Q.train(docs, labels)
     accuracy, loss = model.held_out
     assert accuracy > 0.93 and loss < 0.25
