@@ -10,6 +10,9 @@
 3. First each cell pairs its members with a few pivots only; what these connect needs no further comparison. At last all
    remaining pairs between different components are candidates, cell against cell, so every link between components is
    found.
+   Rows of n-grams with many rows carry a signature, counts of their set by 256 slots: what two signatures differ by
+   bounds the symmetric difference from below, so large groups of sets that are near each other but do not link are not
+   paired.
 4. A candidate pair is verified once: a suffix filter, then the intersection of the two sets.
 """
 
@@ -32,6 +35,8 @@ CHUNK, LISTED = 1 << 22, 1 << 20
 CELL_ROWS, PIVOTS, PIVOT_ROUNDS, PAIRS_PER_COPY = 2048, 3, 2, 1024
 #: Halvings of the suffix filter.
 SUFFIX_DEPTH = 3
+#: Rows of an n-gram from which on they carry signatures, slots of a signature.
+MANY, SLOTS = 24, 256
 
 
 def token_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -167,7 +172,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        new = {c: _signatures(batch.column(c)) if c == "slots" else batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         rows = new if rest is None else {c: np.concatenate([rest[c], x]) for c, x in new.items()}
         edge = np.zeros(len(rows[keys[0]]) - 1, bool)
         for k in keys:
@@ -187,13 +192,14 @@ def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
     into cells; each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "cell", "cells", "node", "n", "at"]
+        names = ["token", "cell", "cells", "node", "n", "at", "many"]
         for rows, first in _groups(batches, ["token", "cell"]):
             fresh = np.ones(len(rows["token"]), bool)
             fresh[1:] = (rows["node"][1:] != rows["node"][:-1]) | (rows["token"][1:] != rows["token"][:-1])
             size = np.add.reduceat(fresh.astype(np.int64), first[:-1])
             keep = fresh & ((np.repeat(size, np.diff(first)) > 1) | (rows["cells"] > 1))
-            rows = {c: rows[c][keep] for c in names} | {"root": rows["node"][keep]}
+            rows |= {"many": (np.repeat(size, np.diff(first)) >= MANY) | (rows["cells"] > 1), "root": rows["node"]}
+            rows = {c: x[keep] for c, x in rows.items()}
             if not keep.any():
                 continue
             edge = np.flatnonzero((rows["token"][1:] != rows["token"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])) + 1
@@ -209,14 +215,38 @@ def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
             if met.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rows[c][met]) for c in names], names)
 
-    return prefixes.repartition("token", "cell").sortWithinPartitions("token", "cell", "node").mapInArrow(run, prefixes.schema)
+    return prefixes.repartition("token", "cell").sortWithinPartitions("token", "cell", "node").mapInArrow(run, "token long, cell int, cells int, node long, n int, at int, many boolean")
+
+
+def signature(x: np.ndarray) -> bytes:
+    return np.bincount((x & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint8).tobytes()
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, SLOTS)
+
+
+def _near(slots: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs of signatures differ by `most` at most; counts are modulo 256, and so are their differences."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), 8192):
+        part = slice(at, at + 8192)
+        gap = slots[x[part]] - slots[y[part]]
+        out[part] = np.minimum(gap, -gap).sum(axis=1, dtype=np.int64) <= most[part]
+    return out
 
 
 def _pairs(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of rows lie in different components and pass the length and positional filters."""
     n, m = rows["n"][x].astype(np.int64), rows["n"][y].astype(np.int64)
     left = np.minimum(n - rows["at"][x], m - rows["at"][y])
-    return (rows["root"][x] != rows["root"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & enough(left, n, m, percent)
+    good = (rows["root"][x] != rows["root"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & enough(left, n, m, percent)
+    if "slots" in rows:
+        k = np.flatnonzero(good)
+        total = (n + m)[k]
+        good[k] = _near(rows["slots"], x[k], y[k], total - 2 * -(-percent * total // (100 + percent)))
+    return good
 
 
 def _emit(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +274,13 @@ def _pivot_pairs(rows: DataFrame, keys: list[str], seed: int, percent: int) -> D
                 found.append(np.stack([rows["node"][x[keep]], rows["node"][y[keep]]], 1))
             yield from _emit([f for f in found if len(f)])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b), a < b: every pair of an n-gram's rows, cells of a split n-gram meeting two by two."""
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    met = rows.withColumn("other", other).select("token", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "node", "n", "at", "root")
+    met = rows.withColumn("other", other).withColumns({"low": F.least("cell", "other"), "high": F.greatest("cell", "other")}).drop("other", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, first in _groups(batches, ["token", "low", "high"]):
@@ -270,11 +300,11 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
             yield from _emit(found)
 
     keys = ["token", "low", "high"]
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Rows (node, tokens): sorted n-grams of the classes in nodes, and of few others.
+    """Rows (node, tokens, slots): sorted n-grams and signatures of the classes in nodes, and of few others.
 
     The broadcast is a bitmap of 2^26 bits, 8 MB at any size; where it fills up, more sets than needed are kept."""
     slot = F.shiftrightunsigned("node", 38)
@@ -295,11 +325,12 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 bucket, place = _bit(s)
                 if len(x) and node not in seen and bitmap[bucket, place >> 3] >> (place & 7) & 1:
                     seen.add(node)
-                    out.append((node, x.tobytes()))
+                    out.append((node, x.tobytes(), signature(x)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["node", "tokens"])
+                a, b, c = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["node", "tokens", "slots"])
 
-    return docs.mapInArrow(run, "node long, tokens binary")
+    return docs.mapInArrow(run, "node long, tokens binary, slots binary")
 
 
 def _bit(value: int) -> tuple[int, int]:
@@ -330,28 +361,35 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return bool(enough(int((x[np.minimum(at, n - 1)] == y).sum()), n, m, percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links. A pair's second set travels to its first; a set with very many pairs goes to several places."""
+def _requests(pairs: DataFrame) -> DataFrame:
+    """Rows (node, a, copy, b): which set goes where. A pair's second set travels to its first, which goes there once (b
+    null); a set with very many pairs goes to several places."""
     copies = (1 + F.floor((F.col("times") - 1) / PAIRS_PER_COPY)).cast("int")
     firsts = pairs.groupBy("a").agg(F.count("*").alias("times")).select("a", copies.alias("copies"))
-    seconds = pairs.join(sets.withColumnRenamed("node", "b"), "b").join(firsts, "a").select("a", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"), "b", "tokens", F.lit(1).alias("kind"))
-    heads = firsts.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"), "tokens", F.lit(0).alias("kind"))
+    seconds = pairs.join(firsts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"), "b")
+    heads = firsts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"))
+    return seconds.unionByName(heads)
+
+
+def _verified(requests: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links. Sets are shuffled once, and not at all where the requests are few enough to broadcast."""
+    moved = requests.join(sets.select("node", "tokens"), "node").drop("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, x = None, None
         for batch in batches:
             out = []
             tokens = batch.column("tokens")
-            for k, (a, b, kind) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+            for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
                 y = np.frombuffer(tokens[k].as_buffer(), np.uint64)
-                if not kind:
+                if b is None:
                     own, x = a, y.copy()
                 elif own == a and linked(x, y, percent):
                     out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    return seconds.unionByName(heads).repartition("a", "copy").sortWithinPartitions("a", "copy", "kind").mapInArrow(run, "a long, b long")
+    return moved.repartition("a", "copy").sortWithinPartitions("a", "copy", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -385,22 +423,23 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         if roots is not None:
             open_ = now.groupBy("token").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("token")
             now = now.join(open_, "token", "left_semi")
-        now = now.select("token", "cell", "cells", "node", "n", "at", "root")
+        few, many = now.where("not many").drop("many"), now.where("many").drop("many").join(sets.select("node", "slots"), "node")
         if turn == PIVOT_ROUNDS:
-            pairs = _all_pairs(now, percent)
+            pairs = _all_pairs(few, percent).union(_all_pairs(many, percent))
         elif turn:  # cells of a split n-gram send a member of each component
-            one = F.min_by(F.struct("node", "n", "at"), F.xxhash64("node", F.lit(turn)))
-            whole, split = now.where("cells = 1"), now.where("cells > 1")
-            split = split.groupBy("token", "cell", "cells", "root").agg(one.alias("x")).select("token", "cell", "cells", "x.node", "x.n", "x.at", "root")
-            pairs = _pivot_pairs(whole.unionByName(split), ["token"], turn, percent)
+            one = F.min_by(F.struct("node", "n", "at", "slots"), F.xxhash64("node", F.lit(turn)))
+            whole, split = many.where("cells = 1"), many.where("cells > 1")
+            split = split.groupBy("token", "cell", "cells", "root").agg(one.alias("x")).select("token", "cell", "cells", "root", "x.*")
+            pairs = _pivot_pairs(few, ["token"], turn, percent).union(_pivot_pairs(whole.unionByName(split), ["token"], turn, percent))
         else:
-            pairs = _pivot_pairs(now, ["token", "cell"], turn, percent)
+            pairs = _pivot_pairs(few, ["token", "cell"], turn, percent).union(_pivot_pairs(many, ["token", "cell"], turn, percent))
         if tried is not None:
             pairs = pairs.join(tried, (F.least(pairs.a, pairs.b) == tried.low) & (F.greatest(pairs.a, pairs.b) == tried.high), "left_anti")
         pairs = _kept(spark, pairs.dropDuplicates(["a", "b"]), f"pairs-{turn}")
         if pairs.isEmpty():
             continue
-        new = _kept(spark, _verified(pairs, sets, percent), f"links-{turn}")
+        requests = _kept(spark, _requests(pairs), f"requests-{turn}")
+        new = _kept(spark, _verified(requests, sets, percent), f"links-{turn}")
         links = new if links is None else links.unionByName(new)
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tried = done if tried is None else tried.unionByName(done)

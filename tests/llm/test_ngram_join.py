@@ -62,9 +62,11 @@ def near_copies(rnd, count, words=60, edits=1, start=0):
     return out
 
 
-@pytest.mark.parametrize("cell", [2048, 5])
-def test_components(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "listed"), [(2048, 1 << 20), (5, 1 << 20), (2048, 3)])
+def test_components(spark, monkeypatch, cell, listed):
+    """Whatever the cells and however little the table of frequent n-grams holds, the links are the same."""
     monkeypatch.setattr(N, "CELL_ROWS", cell)
+    monkeypatch.setattr(N, "LISTED", listed)
     rnd = random.Random(3)
     docs = near_copies(rnd, 40, start=100) + near_copies(rnd, 30, words=40, edits=1, start=300) + near_copies(rnd, 45, words=80, edits=3, start=500) + near_copies(rnd, 60, words=60, edits=2, start=1000)
     docs += [(i, "one two three") for i in range(5)] + [(9, "One TWO three"), (10, ""), (11, None), (12, " \n"), (13, "É a b c d e"), (14, "é a b c d e"), (None, "One two three"), (None, "lonely words"), (10, "")]

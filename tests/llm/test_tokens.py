@@ -36,6 +36,15 @@ def test_chunks_give_the_same_ids(library, spark):
         assert flat[at[k] : at[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[:40])
 
 
+def test_other_vocabularies_stay_whole():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tk, texts = Tokenizer.from_file(path), ["Some Words", "a  b", ""]
+    flat, n = byte_bpe.ByteBpe(path).encode(texts)
+    assert flat.tolist() == [i for t in texts for i in tk.encode(t, add_special_tokens=False).ids] and n[2] == 0
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_counts(spark, name):
     if name.endswith(".model"):
