@@ -37,26 +37,28 @@ class ByteBpe:
         added = self.library.get_added_tokens_decoder()
         for token, k in self.library.get_vocab().items():
             self.width[k] = len(token.encode()) if k in added else len(token)
+        before = self.library.pre_tokenizer
+        #: Other vocabularies' texts all go to the library whole.
+        self.cuts = self.library.normalizer is None and before is not None and [x for x, _ in before.pre_tokenize_str("ab cd, e")] == ["ab", "Ġcd", ",", "Ġe"]
         self._start()
 
     def _start(self) -> None:
-        self.places: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.flat = np.zeros(1 << 16, self.dtype)
         self.at, self.size, self.met = (np.zeros(1 << 15, np.int64) for _ in range(3))
         self.used = 0
 
     def _forget(self) -> None:
-        n = len(self.places)
-        keep = np.flatnonzero(self.met[:n] > 1)
+        keep = np.flatnonzero(self.met[: len(self.known)] > 1)
         if len(keep) > self.remember // 2:
             return self._start()
-        names = list(self.places)
-        size, old, at = self.size[keep], self.flat, self.at[keep]
+        names, size, old, at = self.known.take(pa.array(keep)), self.size[keep], self.flat, self.at[keep]
         self._start()
-        self._keep([names[k] for k in keep], old[_runs(at, size)], size)
+        self._keep(names, old[_runs(at, size)], size)
 
-    def _learn(self, new: list[str]) -> None:
-        """Chunks that are led by one space are cut apart where they meet, so many go to the library as one text."""
+    def _learn(self, new: list[str]) -> list[str]:
+        """Encodes new chunks and returns them in the order of their places. Those that are led by one space are cut apart
+        where they meet, so many go to the library as one text."""
         led = [len(x) > 1 and x[0] == " " != x[-1] and x[1] != " " and x.isprintable() for x in new]
         joined = [x for x, y in zip(new, led, strict=True) if y]
         for at in range(0, len(joined), _JOIN * _CALL):
@@ -64,17 +66,22 @@ class ByteBpe:
             texts = ["".join(part[i : i + _JOIN]) for i in range(0, len(part), _JOIN)]
             ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
             size = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part))
-            self._keep(part, ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1, prepend=0))
-        if len(joined) < len(new):
-            single = [x for x, y in zip(new, led, strict=True) if not y]
-            self._keep(single, *self._whole(single))
+            spelt, ends = np.cumsum(self.width[ids]), np.cumsum(size)
+            last = np.searchsorted(spelt, ends)
+            if (spelt[last] != ends).any():
+                raise ValueError("an id goes on past the end of a chunk")
+            self._keep(pa.array(part, pa.string()), ids, np.diff(last + 1, prepend=0))
+        single = [x for x, y in zip(new, led, strict=True) if not y]
+        if single:
+            self._keep(pa.array(single, pa.string()), *self._whole(single))
+        return joined + single
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
-    def _keep(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.places)
+    def _keep(self, new: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(new) > len(self.at):
@@ -83,18 +90,20 @@ class ByteBpe:
         self.at[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(new)] = sizes
         self.used += len(ids)
-        self.places.update(zip(new, range(n, n + len(new)), strict=True))
+        self.known = pa.concat_arrays([self.known, new])
 
     def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """encode() for texts that are cut at each space."""
         lists = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
         first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        k = np.fromiter(map(self.places.get, names, [-1] * len(names)), np.int64, len(names))
-        if (k < 0).any():
-            self._learn([names[i] for i in np.flatnonzero(k < 0)])
-            k = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+        names = coded.dictionary
+        k = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(k < 0)
+        if len(missing):
+            n, new = len(self.known), names.take(pa.array(missing)).to_pylist()
+            places = {x: n + i for i, x in enumerate(self._learn(new))}
+            k[missing] = [places[x] for x in new]
         which = coded.indices.to_numpy()
         self.met[k] += np.bincount(which, minlength=len(names))
         k = k[which]
@@ -105,10 +114,10 @@ class ByteBpe:
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         sizes = np.zeros(len(texts), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(self.places) > self.remember:
+        if len(self.known) > self.remember:
             self._forget()
         empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.cuts else ~empty
         for own, encode in ((~odd & ~empty, self._chunks), (odd, lambda x: self._whole(x.to_pylist()))):
             if own.any():
                 ids, sizes[own] = encode(texts.filter(pa.array(own)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import os
 import shutil
@@ -81,6 +82,16 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, most: int) ->
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system, since a worker goes on to other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def text_bytes(column: pa.Array) -> np.ndarray:
