@@ -21,7 +21,7 @@ from .common import attempt_name, filesystem, publish, ready, shared_folder
 TREES, BITS, SEED = 48, 32, 11
 SHARD_ROWS, QUERY_BLOCK = 32768, 128
 #: Rows and queries of the sample that the share is fitted to, recall to reach there, shares that are tried.
-FIT_ROWS, FIT_QUERIES, TARGET = 4096, 96, 0.96
+FIT_ROWS, FIT_QUERIES, TARGET = 4096, 192, 0.93
 SHARES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.85, 1.0)
 
 
