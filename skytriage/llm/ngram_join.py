@@ -13,11 +13,12 @@
    Rows of n-grams with many rows carry a signature, counts of their set by 256 slots: what two signatures differ by
    bounds the symmetric difference from below, so large groups of sets that are near each other but do not link are not
    paired.
-4. A candidate pair is verified once: a suffix filter, then the intersection of the two sets.
+4. A candidate pair is verified once: its signatures, a suffix filter, then the intersection of the two sets.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -304,7 +305,7 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Rows (node, tokens, slots): sorted n-grams and signatures of the classes in nodes, and of few others.
+    """Rows (node, n, tokens, slots): sorted n-grams and signatures of the classes in nodes, and of few others.
 
     The broadcast is a bitmap of 2^26 bits, 8 MB at any size; where it fills up, more sets than needed are kept."""
     slot = F.shiftrightunsigned("node", 38)
@@ -325,12 +326,38 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 bucket, place = _bit(s)
                 if len(x) and node not in seen and bitmap[bucket, place >> 3] >> (place & 7) & 1:
                     seen.add(node)
-                    out.append((node, x.tobytes(), signature(x)))
+                    out.append((node, len(x), x.tobytes(), signature(x)))
             if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["node", "tokens", "slots"])
+                a, n, b, c = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["node", "n", "tokens", "slots"])
 
-    return docs.mapInArrow(run, "node long, tokens binary, slots binary")
+    return docs.mapInArrow(run, "node long, n long, tokens binary, slots binary")
+
+
+def _bucketed(spark: SparkSession, df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The rows with one row per key, as a table of the shared folder bucketed by key: what joins on it stays where it is."""
+    name = f"ngram_join_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", shared_folder(spark, "ngram-join-sets")).saveAsTable(name)
+    return spark.table(name), name
+
+
+def _screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures allow a link; signatures are a thirtieth of a common set and travel in its stead."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("slots").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("slots").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            k = np.arange(batch.num_rows)
+            slots = np.concatenate([_signatures(batch.column("x")), _signatures(batch.column("y"))])
+            good = _near(slots, k, k + len(k), total - 2 * -(-percent * total // (100 + percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
 def _bit(value: int) -> tuple[int, int]:
@@ -415,7 +442,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     sized = described.where("token is null").select("id", "n", "node", "check")
 
     shared = _kept(spark, _shared(_prefixes(rows, width, percent, ranks), percent), "shared")
-    sets = _kept(spark, _sets_of(rows, shared.select("node").distinct(), width).dropDuplicates(["node"]), "sets")
+    sets, sets_name = _bucketed(spark, _sets_of(rows, shared.select("node").distinct(), width), "node")
 
     links = tried = roots = None
     for turn in range(PIVOT_ROUNDS + 1):
@@ -423,14 +450,15 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         if roots is not None:
             open_ = now.groupBy("token").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("token")
             now = now.join(open_, "token", "left_semi")
+        if turn and turn < PIVOT_ROUNDS:
+            now = now.where("cells > 1")
         few, many = now.where("not many").drop("many"), now.where("many").drop("many").join(sets.select("node", "slots"), "node")
         if turn == PIVOT_ROUNDS:
             pairs = _all_pairs(few, percent).union(_all_pairs(many, percent))
-        elif turn:  # cells of a split n-gram send a member of each component
+        elif turn:  # cells of a split n-gram send a member of each component; others have met already
             one = F.min_by(F.struct("node", "n", "at", "slots"), F.xxhash64("node", F.lit(turn)))
-            whole, split = many.where("cells = 1"), many.where("cells > 1")
-            split = split.groupBy("token", "cell", "cells", "root").agg(one.alias("x")).select("token", "cell", "cells", "root", "x.*")
-            pairs = _pivot_pairs(few, ["token"], turn, percent).union(_pivot_pairs(whole.unionByName(split), ["token"], turn, percent))
+            split = many.groupBy("token", "cell", "cells", "root").agg(one.alias("x")).select("token", "cell", "cells", "root", "x.*")
+            pairs = _pivot_pairs(split, ["token"], turn, percent)
         else:
             pairs = _pivot_pairs(few, ["token", "cell"], turn, percent).union(_pivot_pairs(many, ["token", "cell"], turn, percent))
         if tried is not None:
@@ -438,13 +466,15 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         pairs = _kept(spark, pairs.dropDuplicates(["a", "b"]), f"pairs-{turn}")
         if pairs.isEmpty():
             continue
-        requests = _kept(spark, _requests(pairs), f"requests-{turn}")
+        near = _kept(spark, _screened(pairs, sets, percent), f"near-{turn}")
+        requests = _kept(spark, _requests(near), f"requests-{turn}")
         new = _kept(spark, _verified(requests, sets, percent), f"links-{turn}")
         links = new if links is None else links.unionByName(new)
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tried = done if tried is None else tried.unionByName(done)
         roots = _kept(spark, connected_components(links), f"roots-{turn}")
 
+    spark.sql(f"DROP TABLE {sets_name}")
     classes = sized.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     if roots is not None:
         classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
