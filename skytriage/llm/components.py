@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Links up to which one partition holds them all: no exchange then, and a task's work stays small.
+ONE_TASK = 1 << 16
+
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of links (a, b): root is the smallest node that can be reached.
@@ -14,9 +17,11 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     a, b = links.columns[:2]
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct().checkpoint()
+    if edges.count() <= ONE_TASK:
+        edges = edges.coalesce(1)
     state = None
     for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: what is above u goes to the least around u
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -27,5 +32,4 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))).alias("e")).select("e.*").distinct()
