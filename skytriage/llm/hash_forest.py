@@ -20,6 +20,8 @@ from .common import attempt_name, filesystem, publish, ready, shared_folder
 
 TREES, BITS, SEED = 48, 32, 11
 SHARD_ROWS, QUERY_BLOCK = 32768, 128
+#: Rows of a shard that a query meets at least.
+LEAST_ROWS = 1024
 #: Rows and queries of the sample that the share is fitted to, recall to reach there, shares that are tried.
 FIT_ROWS, FIT_QUERIES, TARGET = 4096, 192, 0.93
 SHARES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.85, 1.0)
@@ -213,7 +215,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                     forest = Forest(data["vectors"], data["sorted"], data["perm"])
                     u = _scaled(forest.vectors)
                     ids = [x.tolist() for x in np.split(data["ids"], np.cumsum(data["sizes"])[:-1])]
-                least = max(4 * k + 1, int(np.ceil(share * len(u))))
+                least = max(LEAST_ROWS, 4 * k + 1, int(np.ceil(share * len(u))))
                 q = _vectors(batch.column("v").slice(a, b - a))
                 q_ids = batch.column("id").slice(a, b - a).to_pylist()
                 own = strings(q)
