@@ -1,16 +1,19 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 A text's segments (spaces and what follows up to the next space) never merge with each other, so each is encoded by an
-agenda of its own: the candidate of best score, leftmost among equals, is taken; where the keyed hash of (seed, segment,
-variant, place, merged piece) falls below the rate it is skipped, and comes back only in another merge. Which of
-VARIANTS segmentations a segment takes is a keyed hash of (seed, document key, the segment's number). Many segments'
-agendas run in step on arrays, and segmentations are remembered. Rate 0 gives the library's own ids. Pieces and byte
-pieces spell every text, a literal space mark included, so decoding is exact.
+agenda of its own: the candidate of best score, leftmost among equals, is taken; where the keyed hash of (seed, document
+key, the segment's number, place, merged piece) falls below the rate it is skipped, and comes back only in another merge.
+So every occurrence has draws of its own. What is remembered draws nothing: a path is the candidates that a segment's
+agenda meets after given skips if no more are skipped, and the ids that this ends in. An occurrence draws for the
+candidates of its segment's path without skips, and goes on to another path where one is skipped; beyond DEPTH skips its
+agenda runs by itself. Many agendas run in step on arrays. Rate 0 gives the library's own ids. Pieces and byte pieces
+spell every text, a literal space mark included, so decoding is exact.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,21 +21,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import _runs
 from .common import by_bytes, mix, ready
 
-VARIANTS, SLICE_BYTES = 16, 2 << 20
-#: Segments and segmentations remembered at most; characters beyond which a segment's agenda is a heap.
-REMEMBER, REMEMBER_CUTS, LONG = 300_000, 1_200_000, 64
+SLICE_BYTES = 2 << 20
+#: Segments and paths remembered at most; skips on a remembered path; characters beyond which a segment's agenda is a heap.
+REMEMBER, REMEMBER_PATHS, DEPTH, LONG = 300_000, 1_200_000, 2, 64
+#: Occurrences whose candidates are drawn for at once.
+_DRAWN = 1 << 14
 _MARK = "▁"
 _SEGMENT = re.compile(" *[^ ]+| +")
 _M64 = (1 << 64) - 1
 
 
+def _mixed(x: int) -> int:
+    """mix() of one number."""
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 & _M64
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D & _M64
+    return x ^ x >> 33
+
+
 class Dropout:
     def __init__(self, model_path: str, rate: float, seed: int):
         import sentencepiece
@@ -69,14 +82,21 @@ class Dropout:
 
     def _start(self) -> None:
         self.names: dict[str, int] = {}
-        self.name_hash = np.zeros(1 << 12, np.uint64)
-        self.cut = np.full((1 << 12, VARIANTS), -1, np.int32)
+        self.texts: list[str] = []
+        self.base = np.full(1 << 12, -1, np.int32)  # a segment's path without skips; long ones have none
         self.flat = np.zeros(1 << 16, np.int32)
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.used = self.cuts = 0
+        self.owner, self.after = np.zeros(1 << 14, np.int32), np.full((1 << 14, DEPTH), -1, np.int16)
+        self.step_at, self.steps = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.candidate, self.child = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.used = self.paths = self.drawn = 0
 
     def skips(self, key, place, merged):
-        return mix(key + mix(place.astype(np.uint64) << np.uint64(32) | merged.astype(np.uint64))) < np.uint64(self.chance)
+        return mix(key + self._candidate(place, merged)) < np.uint64(self.chance)
+
+    @staticmethod
+    def _candidate(place, merged):
+        return mix(place.astype(np.uint64) << np.uint64(32) | merged.astype(np.uint64))
 
     def _long(self, symbols: list[int], key: int) -> list[int]:
         """One segment's agenda as a heap."""
@@ -94,7 +114,7 @@ class Dropout:
             _, i, m, was = heapq.heappop(heap)
             if symbols[i] < 0 or nxt[i] < 0 or symbols[i] << 21 | symbols[nxt[i]] != was:
                 continue
-            if self.chance and self.skips(np.array([key], np.uint64), np.array([i]), np.array([m]))[0]:
+            if self.chance and _mixed(key + _mixed(i << 32 | m) & _M64) < self.chance:
                 continue
             j = nxt[i]
             symbols[i], symbols[j] = m, -1
@@ -113,8 +133,12 @@ class Dropout:
         m = self.merged[k]
         return np.where(there, self.score[m], -np.inf), m
 
-    def _in_step(self, symbols: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Agendas of all rows; rows are padded with -1 on the right, and merged away symbols become -1."""
+    def _in_step(self, symbols: np.ndarray, keys: np.ndarray | None, after: np.ndarray | None = None, met: list | None = None) -> np.ndarray:
+        """Agendas of all rows; rows are padded with -1 on the right, and merged away symbols become -1.
+
+        Without keys, the candidates whose numbers are in `after` are skipped, and (row, candidate) of those behind
+        them go to `met`.
+        """
         rows, width = symbols.shape
         nxt = np.tile(np.arange(1, width + 1), (rows, 1))
         prev = np.tile(np.arange(-1, width - 1), (rows, 1))
@@ -123,7 +147,10 @@ class Dropout:
         symbols = np.concatenate([symbols, pad], axis=1)  # the last column stands for none
         score, merged = self._best(symbols[:, :-1], symbols[:, 1:])
         live = np.arange(rows)
-        while len(live):
+        last = after.max(axis=1) if keys is None else None
+        for number in itertools.count():
+            if not len(live):
+                break
             s = score[live]
             i = s.argmax(axis=1)
             open_ = s[np.arange(len(live)), i] > -np.inf
@@ -131,7 +158,12 @@ class Dropout:
             if not len(live):
                 break
             m = merged[live, i]
-            skip = self.skips(keys[live], i, m) if self.chance else np.zeros(len(live), bool)
+            if keys is None:
+                skip = (after[live] == number).any(axis=1)
+                behind = number > last[live]
+                met.append((live[behind], self._candidate(i[behind], m[behind])))
+            else:
+                skip = self.skips(keys[live], i, m) if self.chance else np.zeros(len(live), bool)
             score[live[skip], i[skip]] = -np.inf
             r, i, m = live[~skip], i[~skip], m[~skip]
             j = nxt[r, i]
@@ -161,12 +193,14 @@ class Dropout:
             out[starts[i] : starts[i] + len(x)] = x
         return out, sizes
 
-    def _learn(self, names: list[str], owner: np.ndarray, variant: np.ndarray) -> None:
-        """Cuts segment names[k] for variants: owner is its number, of which names follow `names`."""
-        keys = mix(mix(self.name_hash[owner] ^ np.uint64(self.seed)) + variant.astype(np.uint64))
-        lengths = np.fromiter(map(len, names), np.int64, len(names))
+    def _cut(self, owner: np.ndarray, keys: np.ndarray | None, after: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of new paths, one for each owner (a segment's number): by keys, or behind the skips `after`."""
+        distinct, which = np.unique(owner, return_inverse=True)
+        names = [self.texts[k] for k in distinct.tolist()]
+        length = np.fromiter(map(len, names), np.int64, len(names))
         points = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
-        first = np.cumsum(lengths) - lengths
+        first, lengths = (np.cumsum(length) - length)[which], length[which]
+        out = np.zeros(len(owner), np.int32)
         for low, high in ((0, 4), (4, 8), (8, 12), (12, 20), (20, 32), (32, LONG)):
             own = np.flatnonzero((lengths > low) & (lengths <= high))
             step = (1 << 19) // high
@@ -175,27 +209,84 @@ class Dropout:
                 grid = np.full((len(k), high), -1, np.int64)
                 inside = np.arange(high) < lengths[k][:, None]
                 grid[inside] = self.symbol[points[_runs(first[k], lengths[k])]]
-                done = self._in_step(grid, keys[k])
+                met: list[tuple[np.ndarray, np.ndarray]] = []
+                done = self._in_step(grid, None if keys is None else keys[k], None if after is None else after[k], met)
                 alive = done >= 0
-                self._store(owner[k], variant[k], done[alive], alive.sum(axis=1))
+                out[k] = self._store(done[alive], alive.sum(axis=1))
+                if keys is None:
+                    self.owner[out[k]], self.after[out[k]] = owner[k], after[k]
+                    self._remember(out[k], met)
         for k in np.flatnonzero(lengths > LONG):
             done = np.array(self._long(self.symbol[points[first[k] : first[k] + lengths[k]]].tolist(), int(keys[k])), np.int64)
-            self._store(owner[k : k + 1], variant[k : k + 1], done, np.array([len(done)]))
+            out[k] = self._store(done, np.array([len(done)]))[0]
+        return out
+
+    def _remember(self, paths: np.ndarray, met: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The candidates that new paths meet, path by path."""
+        row, candidate = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        order, n = np.argsort(row, kind="stable"), np.bincount(row, minlength=len(paths))
+        while self.drawn + len(row) > len(self.candidate):
+            self.candidate, self.child = (np.concatenate([x, np.zeros_like(x)]) for x in (self.candidate, self.child))
+        self.candidate[self.drawn : self.drawn + len(row)] = candidate[order]
+        self.child[self.drawn : self.drawn + len(row)] = -1
+        self.step_at[paths], self.steps[paths] = self.drawn + np.cumsum(n) - n, n
+        self.drawn += len(row)
 
-    def _store(self, owner: np.ndarray, variant: np.ndarray, symbols: np.ndarray, sizes: np.ndarray) -> None:
+    def _store(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         ids, per = self._spell(symbols)
         ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum(sizes)]
         sizes = np.diff(ends, prepend=0)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.cuts + len(sizes) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        while self.paths + len(sizes) > len(self.at):
+            self.at, self.size, self.owner, self.after, self.step_at, self.steps = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.owner, self.after, self.step_at, self.steps))
         self.flat[self.used : self.used + len(ids)] = ids
-        place = np.arange(self.cuts, self.cuts + len(sizes))
+        place = np.arange(self.paths, self.paths + len(sizes))
         self.at[place], self.size[place] = self.used + ends - sizes, sizes
-        self.cut[owner, variant] = place
         self.used += len(ids)
-        self.cuts += len(sizes)
+        self.paths += len(sizes)
+        return place
+
+    def _skipped(self, path: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences that skip a candidate of their paths, and where the first of these is held."""
+        rows, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(path) if self.chance else 0, _DRAWN):
+            p = path[at : at + _DRAWN]
+            n = self.steps[p].astype(np.int64)
+            held = _runs(self.step_at[p], n)
+            hit = np.flatnonzero(mix(np.repeat(draw[at : at + _DRAWN], n) + self.candidate[held]) < np.uint64(self.chance))
+            row = np.searchsorted(np.cumsum(n), hit, side="right")
+            new = np.diff(row, prepend=-1) > 0
+            rows.append(row[new] + at)
+            slots.append(held[hit[new]])
+        return np.concatenate(rows), np.concatenate(slots)
+
+    def _paths(self, own: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """Each occurrence's path. Those that end by themselves are stored last and are to be forgotten."""
+        path = self.base[own]
+        rows = np.flatnonzero(path >= 0)
+        alone = [np.flatnonzero(path < 0)]
+        for depth in range(DEPTH + 1):
+            some, slots = self._skipped(path[rows], draw[rows])
+            rows = rows[some]
+            if depth == DEPTH:
+                alone.append(rows)
+                break
+            missing = np.unique(slots[self.child[slots] < 0])
+            if len(missing):
+                before = np.zeros(self.drawn, np.int32)
+                before[slots] = path[rows]
+                parent = before[missing]
+                after = self.after[parent].copy()
+                # a path's candidates are numbered from the one behind its last skip
+                after[:, depth] = missing - self.step_at[parent] + (after.max(axis=1) + 1)
+                self.child[missing] = self._cut(self.owner[parent], None, after)
+            path[rows] = self.child[slots]
+        self.kept = self.used, self.paths
+        left = np.concatenate(alone)
+        if len(left):
+            path[left] = self._cut(own[left], draw[left])
+        return path
 
     def _segments(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct segments, each occurrence's, and each text's first occurrence (and one entry more)."""
@@ -212,28 +303,26 @@ class Dropout:
     def encode(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's number of ids. keys: 64 bits for each text."""
         texts = pc.fill_null(texts, "")
-        if len(self.names) > REMEMBER or self.cuts > REMEMBER_CUTS:
+        if len(self.names) > REMEMBER or self.paths > REMEMBER_PATHS:
             self._start()
         names, which, first = self._segments(texts)
         new = [x for x in names if x not in self.names]
         n = len(self.names)
         self.names.update(zip(new, range(n, n + len(new)), strict=True))
-        while len(self.names) > len(self.name_hash):
-            self.name_hash = np.concatenate([self.name_hash, np.zeros_like(self.name_hash)])
-            self.cut = np.concatenate([self.cut, np.full_like(self.cut, -1)])
-        self.name_hash[n : n + len(new)] = np.fromiter((xxhash.xxh64_intdigest(x) for x in new), np.uint64, len(new))
+        self.texts += new
+        while len(self.names) > len(self.base):
+            self.base = np.concatenate([self.base, np.full_like(self.base, -1)])
+        short = n + np.flatnonzero(np.fromiter(map(len, new), np.int64, len(new)) <= LONG)
+        if len(short):
+            self.base[short] = self._cut(short, None, np.full((len(short), DEPTH), -1, np.int16))
         own = np.fromiter(map(self.names.__getitem__, names), np.int64, len(names))[which] if names else which
         number = np.arange(len(which)) - np.repeat(first[:-1], np.diff(first))
         draw = mix(np.repeat(mix(keys ^ np.uint64(self.seed)), np.diff(first)) + number.astype(np.uint64))
-        variant = (draw % np.uint64(VARIANTS)).astype(np.int64)
-        missing = np.unique((own * VARIANTS + variant)[self.cut[own, variant] < 0])
-        if len(missing):
-            owner = missing // VARIANTS
-            text_of = dict(zip(own.tolist(), which.tolist(), strict=True))
-            self._learn([names[text_of[k]] for k in owner.tolist()], owner, missing % VARIANTS)
-        place = self.cut[own, variant]
+        place = self._paths(own, draw)
         sizes = self.size[place].astype(np.int64)
-        return self.flat[_runs(self.at[place], sizes)], np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
+        ids = self.flat[_runs(self.at[place], sizes)]
+        self.used, self.paths = self.kept
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts in one array, and each text's number of bytes; the space before a text is left out."""

@@ -82,3 +82,19 @@ def test_query_rows(spark):
     assert one == {(r.doc_id, r.n_tokens, r.ids_crc32, r.lossless) for r in two} and all(r.lossless and len(r.ids) == r.n_tokens for r in two)
     assert len(two) == len(data)
     assert M.encode_decode(df.limit(0), PIECE).count() == 0
+
+
+def test_every_occurrence_draws_for_itself():
+    word, n = " transportation", 4000
+    model = M.Dropout(PIECE, 0.1, 5)
+    ids = encode(model, [word[1:] + word * (n - 1)])[0]
+    own = M.mix(M.mix(np.array([0], np.uint64) ^ np.uint64(model.seed)) + np.arange(n, dtype=np.uint64))
+    symbols = model.symbol[np.array([ord(c) for c in word])].tolist()
+    cuts = [model._long(list(symbols), int(key)) for key in own]
+    assert ids == [i for x in cuts for i in x]
+    assert len({tuple(x) for x in cuts}) > 16
+
+
+def test_copies_of_a_long_segment_differ():
+    texts = ["transportation" * 20] * 40
+    assert len({tuple(x) for x in encode(M.Dropout(PIECE, 0.1, 5), texts)}) > 35
