@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     Score is the cosine in double precision on the original vectors; ties go to the smaller id. Rows whose id or vector
     is null, and vectors that are empty, zero or hold null or non-finite components take no part, as rows or as queries.
     Vectors are compared with those of their own length. Rows that repeat an id count as that id once, with their best
-    score; of equal vectors in a shard the k + 1 smallest ids stand for all, which loses no result. Fewer candidates
+    score; of equal vectors in a shard the k + 1 smallest different ids stand for all, which loses no result. Fewer candidates
     give fewer rows; an empty table gives none. Other columns are not read.
     """
     spark = ready(vectors.sparkSession)
@@ -165,12 +165,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             all_ids, all_v = all_ids[order], all_v[order]
             own, which = np.unique(all_v, axis=0, return_inverse=True)
             order = np.argsort(which, kind="stable")  # by vector, then by id
+            which, all_ids = which[order], all_ids[order]
+            once = np.ones(len(order), bool)
+            once[1:] = (which[1:] != which[:-1]) | (all_ids[1:] != all_ids[:-1])
+            which, all_ids = which[once], all_ids[once]
             sizes = np.bincount(which, minlength=len(own))
-            place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = place <= k
             forest = Forest(own)
             data = io.BytesIO()
-            np.savez(data, vectors=own, sorted=forest.sorted, perm=forest.perm, ids=all_ids[order][keep], sizes=np.minimum(sizes, k + 1))
+            np.savez(data, vectors=own, sorted=forest.sorted, perm=forest.perm, ids=all_ids[keep], sizes=np.minimum(sizes, k + 1))
             publish(f"{folder}/shard-{key[0]}-{key[1]}.npz", lambda out: out.write(data.getbuffer()), attempt_name())
             return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32())], ["size", "shard"])
 

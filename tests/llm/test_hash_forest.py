@@ -44,6 +44,14 @@ def test_exact_cases(spark):
     assert H.nearest(single, single).count() == 0
 
 
+def test_repeated_rows_leave_room_for_equal_vectors(spark):
+    rows = [(1, [1.0, 2.0])] * 20 + [(i, [1.0, 2.0]) for i in (2, 3, 4)] * 4 + [(9, [1.0, -1.0]), (10, [2.0, 3.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collect(H.nearest(df, df.where("vec_id in (1, 9, 10)"), share=1.0))
+    assert got == brute(rows, {1, 9, 10}, 5)
+    assert [i for _, i in got[10]] == [1, 2, 3, 4, 9]
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_recall(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
