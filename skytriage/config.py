@@ -100,15 +100,29 @@ class DatasetConfig:
 class BaselineConfig:
     """Boosted trees per class."""
 
-    rounds: int = 20
-    depth: int = 4
-    step: float = 0.1
+    rounds: int = 100
+    depth: int = 5
+    step: float = 0.05
     seed: int = 42
 
     def __post_init__(self) -> None:
         _need(self.rounds > 0 and 0 < self.depth <= 10 and 0 < self.step <= 1, "rounds, depth or step out of bounds")
 
 
+@dataclass(frozen=True)
+class BoostingConfig:
+    """The reference's multi-class trees: rounds, depth, step, rows of a leaf at least, penalty of leaf values."""
+
+    rounds: int = 100
+    depth: int = 5
+    step: float = 0.05
+    leaf: int = 20
+    l2: float = 1.0
+
+    def __post_init__(self) -> None:
+        _need(min(self.rounds, self.depth, self.leaf) > 0 and 0 < self.step <= 1 and self.l2 > 0, "boosting settings out of bounds")
+
+
 def load_yaml(path: str, kind: type):
     """Settings of class `kind` from a YAML mapping; unknown names are errors."""
     import yaml

@@ -96,11 +96,11 @@ class SelectionAwareRecalibrator:
         return rows.withColumns({f"q_{c}": F.when(inside, x).otherwise(F.col(f"p_{c}")) for c, x in new.items()}).drop("_features", "_p", "_raw", "_pred")
 
 
-def folds(df: DataFrame, n: int, seed: int, label: str = "y") -> DataFrame:
-    """Fold numbers by hash order inside each class, so that every fold has each class's share to one object."""
+def folds(df: DataFrame, n: int, seed: int, label: str = "y", by: tuple = ()) -> DataFrame:
+    """Fold numbers by hash order inside each class (or each group by `by`), so that every fold has each class's share to one object."""
     from pyspark.sql import Window
 
-    order = F.row_number().over(Window.partitionBy(label).orderBy(hash_uniform(seed, F.col("object_id")), "object_id"))
+    order = F.row_number().over(Window.partitionBy(*by or (label,)).orderBy(hash_uniform(seed, F.col("object_id")), "object_id"))
     return df.withColumn("fold", F.pmod(order - 1, F.lit(n)))
 
 

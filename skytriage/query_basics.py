@@ -191,13 +191,13 @@ def curves(spark, sf_dir):
 
 @query("m2_aligned_probabilities")
 def aligned(spark, sf_dir):
-    """Probabilities of a model that never saw one class: that class has 0."""
-    from .config import BaselineConfig
-    from .operators.models import BaselineClassifier
+    """Probabilities of models that never saw one class: that class has 0."""
+    from .config import BoostingConfig
+    from .operators import boosting
+    from .query_triage import _training
 
-    rows = selected(spark, sf_dir).withColumnRenamed("true_target", "y")
-    model = BaselineClassifier(BaselineConfig(rounds=3, depth=2)).fit_epoch(rows.where("S = 1 and y <> 95"), 0.0, ["hostgal_photoz", "mwebv"])
-    return model.predict(rows.where("S = 0"), 0.0).select("object_id", "y", "p_64", "p_90", "p_95")
+    rows, names = _training(spark, sf_dir)
+    return boosting.predictions(rows.where("S = 0 or y <> 95"), names, BoostingConfig())
 
 
 QUERIES, ORACLE = query.queries, query.oracle

@@ -6,10 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from .config import BaselineConfig, DecisionConfig
+from .config import BoostingConfig, DecisionConfig
 from .functions.binomial import clopper_pearson
 from .functions.scalars import hash_uniform, poisson_one
-from .operators import asof
+from .operators import asof, boosting
 from .operators import calibration as C
 from .operators import decision as D
 from .operators import models as M
@@ -313,20 +313,20 @@ def exact_intervals(spark, sf_dir):
     return spark.createDataFrame([(r.true_target, r.k, r.n, *clopper_pearson(r.k, r.n)) for r in rows], "true_target int, k long, n long, low double, high double")
 
 
-_FEATURES = ["hostgal_photoz", "alert_snr_0", "snr_growth_rate", "rise_rate_pb2", "color_pb2_pb3", "n_det_total", "n_det_passbands", "alert_snr_0_status", "snr_growth_rate_status"]
-
-
 def _training(spark, sf_dir):
+    """Representations at all epochs with class and S, and the names of their features."""
     meta = metadata(spark, sf_dir).where("true_target <> 15")
-    rows = wide(spark, sf_dir).where("epoch = 7").join(meta.select("object_id", F.col("true_target").alias("y")), "object_id")
-    return rows.withColumn("S", (hash_uniform(42, F.col("object_id")) < 0.5).cast("int")).cache()
+    rows = wide(spark, sf_dir)
+    names = [c for c in rows.columns if c not in ("object_id", "epoch")]
+    rows = rows.join(meta.select("object_id", F.col("true_target").alias("y")), "object_id")
+    return rows.withColumn("S", (hash_uniform(42, F.col("object_id")) < 0.5).cast("int")), names
 
 
 @query("m1_baseline_classifier")
 def baseline(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    model = M.BaselineClassifier(BaselineConfig(rounds=5, depth=3)).fit_epoch(rows.where("S = 1"), 7.0, _FEATURES)
-    return model.predict(rows.where("S = 0"), 7.0).select("object_id", "y", "p_64", "p_90", "p_95")
+    """The reference's settings, at each of its epochs, on all features."""
+    rows, names = _training(spark, sf_dir)
+    return boosting.predictions(rows, names, BoostingConfig())
 
 
 @query("m3_recalibration")
@@ -343,11 +343,20 @@ def recalibrated_scores(spark, sf_dir):
     return C.deltas(rows, new)
 
 
+#: The reference's settings, in the order in which its search breaks ties.
+GRID = [BoostingConfig(n, d, s, leaf, l2) for l2 in (1.0, 10.0) for s in (0.05, 0.1) for d in (3, 5) for n in (50, 100) for leaf in (20, 50)]
+
+
 @query("b9_nested_cv")
 def nested_cv(spark, sf_dir):
-    grid = [BaselineConfig(rounds=3, depth=2), BaselineConfig(rounds=3, depth=3)]
-    found = M.nested_cv(_training(spark, sf_dir).where("S = 1"), ["hostgal_photoz", "n_det_total"], 90, grid, outer=2)
-    return spark.createDataFrame([(k, c.rounds, c.depth, a) for k, c, a in found], "fold int, rounds int, depth int, auc double")
+    """Five outer and three inner folds over all settings, at each epoch, for the kilonova."""
+    rows, names = _training(spark, sf_dir)
+    rows = M.folds(rows.where("S = 1").drop("fold"), 5, 42, by=("epoch", "y")).withColumnRenamed("fold", "outer")
+    for k in range(5):
+        rows = M.folds(rows, 3, 43 + k, by=("epoch", "y", F.col("outer") != k)).withColumnRenamed("fold", f"inner_{k}")
+    found = boosting.nested(rows, names, 64, GRID)
+    settings = spark.createDataFrame([(g, c.rounds, c.depth, c.step, c.leaf, c.l2) for g, c in enumerate(GRID)], "setting int, rounds int, depth int, step double, leaf int, l2 double")  # a row for each setting
+    return found.join(F.broadcast(settings), "setting").drop("setting")
 
 
 @query("o5_all_epochs_one_pass")
