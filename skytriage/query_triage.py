@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import functions as F
@@ -230,8 +231,8 @@ _ONE = "(SELECT * FROM scored WHERE epoch = 2)"
 
 
 @query("b1_bootstrap_weights", f"WITH {SCORED_SQL}, {boot_sql(_ONE, 5)} SELECT replicate::INT AS replicate, weight, count(*) AS n FROM bt GROUP BY ALL")
-def bootstrap_weights(spark, sf_dir):
-    rows = R.replicates(scored(spark, sf_dir).where("epoch = 2"), 5)
+def bootstrap_weights(spark, sf_dir, n=5):
+    rows = R.replicates(scored(spark, sf_dir).where("epoch = 2"), n)
     return rows.groupBy("replicate", "weight").agg(F.count("*").alias("n"))
 
 
@@ -246,8 +247,8 @@ m0 AS (SELECT *, n / sum(n) OVER (PARTITION BY replicate, class_id) AS w, sum(n
 m1 AS (SELECT replicate, class_id, sum(w * (mp - mo) * (mp - mo)) AS rel, sum(w * (mo - base) * (mo - base)) AS res, max(base * (1 - base)) AS unc, sum(w * abs(mp - mo)) AS ece FROM m0 GROUP BY ALL)
 SELECT replicate::INT AS replicate, round(sum(rel), 6) AS reliability, round(sum(res), 6) AS resolution, round(sum(unc), 6) AS uncertainty, round(avg(ece), 6) AS mean_ece, round(sum(rel) - sum(res) + sum(unc), 6) AS binned_brier FROM m1 GROUP BY 1""",
 )
-def calibration_bootstrap(spark, sf_dir):
-    return rounded(R.calibration(scored(spark, sf_dir).where("epoch = 2"), 20))
+def calibration_bootstrap(spark, sf_dir, n=20):
+    return rounded(R.calibration(scored(spark, sf_dir).where("epoch = 2"), n))
 
 
 _GAP = "+".join(f"(p_{c} - (y = {c})::INT) * (p_{c} - (y = {c})::INT)" for c in (64, 90, 95))
@@ -258,10 +259,10 @@ def _gap(t: str):
 
 
 @query("b2_paired_bootstrap", f"WITH {SCORED_SQL}, pr AS (SELECT object_id, max(g) FILTER (epoch = 0) AS a, max(g) FILTER (epoch = 7) AS b FROM (SELECT object_id, epoch, {_GAP} AS g FROM scored) GROUP BY 1), {boot_sql('pr', 20)} SELECT replicate::INT AS replicate, round(sum(weight * (a - b)) / sum(weight), 6) AS delta FROM bt GROUP BY 1")
-def paired(spark, sf_dir):
+def paired(spark, sf_dir, n=20):
     rows = scored(spark, sf_dir).withColumn("g", _gap("p"))
     both = rows.groupBy("object_id").agg(F.max(F.when(F.col("epoch") == 0, F.col("g"))).alias("a"), F.max(F.when(F.col("epoch") == 7, F.col("g"))).alias("b"))
-    return rounded(R.paired(both, "a", "b", 20))
+    return rounded(R.paired(both, "a", "b", n))
 
 
 @query(
@@ -269,8 +270,8 @@ def paired(spark, sf_dir):
     f"""WITH {SEL_SQL}, {boot_sql('sel', 20)}, s AS (SELECT replicate, sum(weight) AS n1, sum(weight * S) AS n2, sum(weight * hostgal_photoz) AS a1, sum(weight * S * hostgal_photoz) AS a2, sum(weight * hostgal_photoz * hostgal_photoz) AS b1, sum(weight * S * hostgal_photoz * hostgal_photoz) AS b2 FROM bt GROUP BY 1)
 SELECT replicate::INT AS replicate, round(a2 / n2 - a1 / n1, 6) AS mean_shift, round((a2 / n2 - a1 / n1) / sqrt((b1 - a1 * a1 / n1 + b2 - a2 * a2 / n2) / (n1 + n2 - 2)), 6) AS cohens_d FROM s""",
 )
-def shift_bootstrap(spark, sf_dir):
-    return rounded(R.shift(selected(spark, sf_dir), "hostgal_photoz", "S", 20))
+def shift_bootstrap(spark, sf_dir, n=20):
+    return rounded(R.shift(selected(spark, sf_dir), "hostgal_photoz", "S", n))
 
 
 @query(
@@ -279,27 +280,42 @@ def shift_bootstrap(spark, sf_dir):
 c AS (SELECT *, sum(tp) OVER (PARTITION BY replicate ORDER BY x DESC) AS ctp, sum(fp) OVER (PARTITION BY replicate ORDER BY x DESC) AS cfp FROM g)
 SELECT replicate::INT AS replicate, round(sum(fp * (ctp - tp / 2.0::DOUBLE)) / (sum(tp)::DOUBLE * sum(fp)), 6) AS roc_auc, round(sum(tp * (ctp / (ctp + cfp))) / sum(tp), 6) AS avg_precision FROM c GROUP BY 1""",
 )
-def auc_bootstrap(spark, sf_dir):
+def auc_bootstrap(spark, sf_dir, n=10):
     rows = scored(spark, sf_dir).where("epoch = 2").withColumn("hit", (F.col("y") == 64).cast("long"))
-    return rounded(R.ranking(rows, "p_64", 10))
+    return rounded(R.ranking(rows, "p_64", n))
 
 
 @query("b5_regret_bootstrap", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)}, {outcome_sql().replace('oc AS', 'o1 AS')}, {boot_sql('o1', 20)}, oc AS (SELECT * FROM bt), {regret_sql(22, 'replicate', 'weight')} SELECT replicate::INT AS replicate, {_REGRET} FROM rg")
-def regret_bootstrap(spark, sf_dir):
-    return rounded(R.decisions(_outcomes(spark, sf_dir), 22, 20))
+def regret_bootstrap(spark, sf_dir, n=20):
+    return rounded(R.decisions(_outcomes(spark, sf_dir), 22, n))
 
 
 @query("b6_retention_bootstrap", f"WITH {SEL_SQL}, {boot_sql('sel', 20)} SELECT replicate::INT AS replicate, true_target, round(sum(weight * S) / sum(weight), 6) AS retention FROM bt GROUP BY replicate, true_target")
-def retention_bootstrap(spark, sf_dir):
-    return rounded(R.retention(selected(spark, sf_dir), 20))
+def retention_bootstrap(spark, sf_dir, n=20):
+    return rounded(R.retention(selected(spark, sf_dir), n))
 
 
 @query("b6_retention_interval", f"WITH {SEL_SQL}, {boot_sql('sel', 20)}, r AS (SELECT replicate, sum(weight * S) / sum(weight) AS v FROM bt WHERE true_target = 90 GROUP BY 1) SELECT count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM r")
-def retention_interval(spark, sf_dir):
-    rows = R.retention(selected(spark, sf_dir).where("true_target = 90"), 20)
+def retention_interval(spark, sf_dir, n=20):
+    rows = R.retention(selected(spark, sf_dir).where("true_target = 90"), n)
     return rounded(R.interval(rows, "retention"))
 
 
+#: The reference's replicates. The queries above have few, as their SQL does; these are the whole bootstraps.
+REPLICATES = 1000
+for _name, _run in {
+    "b1_bootstrap_weights": bootstrap_weights,
+    "b1_calibration_bootstrap": calibration_bootstrap,
+    "b2_paired_bootstrap": paired,
+    "b3_shift_bootstrap": shift_bootstrap,
+    "b4_auc_bootstrap": auc_bootstrap,
+    "b5_regret_bootstrap": regret_bootstrap,
+    "b6_retention_bootstrap": retention_bootstrap,
+    "b6_retention_interval": retention_interval,
+}.items():
+    query(f"{_name}_full")(functools.partial(_run, n=REPLICATES))
+
+
 @query("f_hash_uniform", f"WITH {SEL_SQL} SELECT object_id, round({uniform_sql(chr(39) + 'x:' + chr(39) + ' || object_id')}, 9) AS u, {_poisson_sql(uniform_sql(chr(39) + 'x:' + chr(39) + ' || object_id'))} AS k FROM sel")
 def uniforms(spark, sf_dir):
     u = hash_uniform("x", F.col("object_id"))
