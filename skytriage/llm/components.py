@@ -13,7 +13,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of links (a, b): root is the smallest node that can be reached.
 
     Each round is two grouped minima and two joins, cut off by a checkpoint; nothing is gathered by group, so a node
-    with very many links is summed where its links lie. No rows in, no rows out.
+    with very many links is summed where its links lie. No rows in, no rows out. Raises where rounds do not suffice.
     """
     a, b = links.columns[:2]
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct().checkpoint()
@@ -32,4 +32,6 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"links have not converged to components in {most_rounds} rounds")
     return edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))).alias("e")).select("e.*").distinct()

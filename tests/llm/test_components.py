@@ -7,6 +7,12 @@ import pytest
 from skytriage.llm import components as C
 
 
+def test_too_few_rounds_raise(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError, match="converged"):
+        C.connected_components(links, most_rounds=2)
+
+
 @pytest.mark.parametrize("one_task", [1 << 16, 0])
 def test_components(spark, monkeypatch, one_task):
     monkeypatch.setattr(C, "ONE_TASK", one_task)
