@@ -84,6 +84,14 @@ def object_cutoffs(spark, sf_dir):
     return asof.truncate_at_mjd(obs, cut).groupBy("object_id").agg(F.count("*").alias("n"))
 
 
+@query("p6_all_object_cutoffs", f"WITH {T0_SQL} SELECT object_id, count(*) AS n FROM obs JOIN t0s USING (object_id) WHERE t0 IS NOT NULL AND mjd <= t0 + 3.5::DOUBLE GROUP BY 1")
+def all_object_cutoffs(spark, sf_dir):
+    """Every object with a detection has a cutoff; those without one drop out."""
+    obs = observations(spark, sf_dir)
+    cut = asof.first_detection(obs).where("t0 is not null").select("object_id", (F.col("t0") + 3.5).alias("cutoff"))
+    return asof.truncate_at_mjd(obs, cut).groupBy("object_id").agg(F.count("*").alias("n"))
+
+
 _NAMES_SQL = "CASE alert_snr_0_status " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(STATUS_NAMES)) + " ELSE 'other' END"
 
 

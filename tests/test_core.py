@@ -27,6 +27,12 @@ def curves(spark):
     return spark.createDataFrame(rows, OBS)
 
 
+def test_objects_without_cutoff_drop_out(curves):
+    cut = asof.first_detection(curves).where("t0 is not null").selectExpr("object_id", "t0 + 3.5 as cutoff")
+    n = {r.object_id: r["count"] for r in asof.truncate_at_mjd(curves, cut).groupBy("object_id").count().collect()}
+    assert n == {64001: 7, 90001: 3}
+
+
 def test_golden_prefixes(curves):
     n = {(r.object_id, r.epoch): r["count"] for r in asof.epoch_sequences(curves).groupBy("object_id", "epoch").count().collect()}
     assert [n[64001, e] for e in (0.0, 2.0, 7.0)] == [3, 6, 9]
