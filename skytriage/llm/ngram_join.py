@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, mix, ready, shared_folder, windows
+from .common import Words, by_bytes, discard, mix, ready, shared_folder, windows
 from .components import connected_components
 
 SLICE_BYTES = 1 << 20
@@ -38,6 +38,8 @@ CELL_ROWS, PIVOTS, PIVOT_ROUNDS, PAIRS_PER_COPY = 2048, 3, 2, 1024
 SUFFIX_DEPTH = 3
 #: Rows of an n-gram from which on they carry signatures, slots of a signature.
 MANY, SLOTS = 24, 256
+#: Bytes of all sets for which there is a bucket at least.
+BUCKET_BYTES = 128 << 20
 
 
 def token_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -66,6 +68,14 @@ def fingerprint(x: np.ndarray) -> tuple[int, int]:
     return tuple(mix(np.array([a, b + np.uint64(len(x))])).view(np.int64).tolist())
 
 
+def named(print_: tuple[int, int], shared: frozenset[int] = frozenset()) -> int:
+    """A class's node: the first half of its fingerprint, or, where another set has the same, a mix of both."""
+    if print_[0] not in shared:
+        return print_[0]
+    a, b = np.array(print_, np.int64).view(np.uint64)
+    return int(mix(np.array([mix(a) + b])).view(np.int64)[0])
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -131,7 +141,12 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, np.minimum(np.floor(4 * np.log2(np.maximum(times, 1))), 255).astype(np.uint8), np.minimum(1 + times // CELL_ROWS, 65535).astype(np.int32)
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
+def _alike(sized: DataFrame) -> frozenset[int]:
+    """First halves of fingerprints that different sets have in common: some n * n / 2^65 of n sets, so nearly always none."""
+    return frozenset(r[0] for r in sized.where("n > 0").groupBy("node").agg((F.min("check") < F.max("check")).alias("alike")).where("alike").select("node").collect())
+
+
+def _prefixes(docs: DataFrame, width: int, percent: int, ranks, alike: frozenset[int]) -> DataFrame:
     """Rows (token, cell, cells, node, n, at): each class's prefix, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +157,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
             for x in token_sets(batch.column("text"), width):
                 if not len(x):
                     continue
-                node = fingerprint(x)[0]
+                node = named(fingerprint(x), alike)
                 if node in seen:
                     continue
                 seen.add(node)
@@ -190,7 +205,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
     """Prefix rows that pass the length and positional filters with another row of their cell, or whose n-gram is split
-    into cells; each class once."""
+    into cells; each class once. An n-gram that the table of frequent ones lacks is split here if it has many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "cell", "cells", "node", "n", "at", "many"]
@@ -198,6 +213,7 @@ def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
             fresh = np.ones(len(rows["token"]), bool)
             fresh[1:] = (rows["node"][1:] != rows["node"][:-1]) | (rows["token"][1:] != rows["token"][:-1])
             size = np.add.reduceat(fresh.astype(np.int64), first[:-1])
+            rows["cells"] = np.where(rows["cells"] > 1, rows["cells"], np.minimum(1 + np.repeat(size, np.diff(first)) // CELL_ROWS, 65535)).astype(np.int32)
             keep = fresh & ((np.repeat(size, np.diff(first)) > 1) | (rows["cells"] > 1))
             rows |= {"many": (np.repeat(size, np.diff(first)) >= MANY) | (rows["cells"] > 1), "root": rows["node"]}
             rows = {c: x[keep] for c, x in rows.items()}
@@ -214,6 +230,7 @@ def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
                 met[good] = met[good + step] = True
                 step += 1
             if met.any():
+                rows["cell"] = (mix(rows["node"].view(np.uint64)) % rows["cells"].astype(np.uint64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[c][met]) for c in names], names)
 
     return prefixes.repartition("token", "cell").sortWithinPartitions("token", "cell", "node").mapInArrow(run, "token long, cell int, cells int, node long, n int, at int, many boolean")
@@ -304,7 +321,7 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, alike: frozenset[int]) -> DataFrame:
     """Rows (node, n, tokens, slots): sorted n-grams and signatures of the classes in nodes, and of few others.
 
     The broadcast is a bitmap of 2^26 bits, 8 MB at any size; where it fills up, more sets than needed are kept."""
@@ -321,7 +338,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             out = []
             for x in token_sets(batch.column("text"), width):
-                node = fingerprint(x)[0] if len(x) else 0
+                node = named(fingerprint(x), alike) if len(x) else 0
                 s = (node & (1 << 64) - 1) >> 38
                 bucket, place = _bit(s)
                 if len(x) and node not in seen and bitmap[bucket, place >> 3] >> (place & 7) & 1:
@@ -334,12 +351,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, n long, tokens binary, slots binary")
 
 
-def _bucketed(spark: SparkSession, df: DataFrame, key: str) -> tuple[DataFrame, str]:
+def _bucketed(df: DataFrame, key: str, buckets: int, folder: str, name: str) -> DataFrame:
     """The rows with one row per key, as a table of the shared folder bucketed by key: what joins on it stays where it is."""
-    name = f"ngram_join_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", shared_folder(spark, "ngram-join-sets")).saveAsTable(name)
-    return spark.table(name), name
+    df.repartition(buckets, key).dropDuplicates([key]).write.bucketBy(buckets, key).option("path", folder).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def _screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -419,11 +434,10 @@ def _verified(requests: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return moved.repartition("a", "copy").sortWithinPartitions("a", "copy", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def _kept(df: DataFrame, folder: str) -> DataFrame:
     """The rows, written to the shared folder and read back."""
-    folder = f"{shared_folder(spark, 'ngram-join')}/{name}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,20 +445,46 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct runs of `width` words, or the
     whole sequence of fewer words. Sets link at 100 * intersection >= percent * union; a component's id is the least id
-    in it. Documents without words (or with a null text) have no n-grams and are their own component. Equal sets are one
-    class at any count, repeated rows included. A null id is never a component's id unless its component has no other,
-    and then the component is null. Other columns are not read; an empty table gives no rows.
+    in it. Documents without words (or with a null text) have no n-grams and are their own component. Equal sets (by 128
+    bits of fingerprint) are one class at any count, repeated rows included. A null id is never a component's id unless
+    its component has no other, and then the component is null. Other columns are not read; an empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
+    folder, work = shared_folder(spark, "ngram-join"), shared_folder(spark, "ngram-join-work")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    described = _kept(spark, _describe(rows, width), "documents")
-    ranks = spark.sparkContext.broadcast(_frequent(described.where("token is not null").select("token", "times")))
+    described = _kept(_describe(rows, width), f"{folder}/documents")
     sized = described.where("token is null").select("id", "n", "node", "check")
+    alike = _alike(sized)
+    if alike:
+        sized = sized.withColumn("node", F.udf(lambda a, b: named((a, b), alike), "long")("node", "check"))
+    name = f"ngram_join_{uuid.uuid4().hex}"
+    try:
+        roots = _roots(rows, described, width, percent, alike, folder, work, name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(work)
 
-    shared = _kept(spark, _shared(_prefixes(rows, width, percent, ranks), percent), "shared")
-    sets, sets_name = _bucketed(spark, _sets_of(rows, shared.select("node").distinct(), width), "node")
+    classes = sized.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    if roots is not None:
+        classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        tops = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
+        classes = classes.join(tops, "root").select("node", "component")
+    else:
+        classes = classes.select("node", F.col("least").alias("component"))
+    out = sized.join(classes.withColumnRenamed("node", "class"), (F.col("node") == F.col("class")) & (F.col("n") > 0), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _roots(rows: DataFrame, described: DataFrame, width: int, percent: int, alike: frozenset[int], folder: str, work: str, name: str) -> DataFrame | None:
+    """Rows (node, root) of all classes that have a link, in `folder`; None if there are none. `work` holds what is met on the way."""
+    spark = rows.sparkSession
+    ranks = spark.sparkContext.broadcast(_frequent(described.where("token is not null").select("token", "times")))
+    shared = _kept(_shared(_prefixes(rows, width, percent, ranks, alike), percent), f"{work}/shared")
+    bytes_ = 8 * (described.agg(F.sum("n")).first()[0] or 0)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // BUCKET_BYTES))
+    sets = _bucketed(_sets_of(rows, shared.select("node").distinct(), width, alike), "node", buckets, f"{work}/sets", name)
 
-    links = tried = roots = None
+    tried = roots = None
     for turn in range(PIVOT_ROUNDS + 1):
         now = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if roots is not None:
@@ -463,24 +503,15 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
             pairs = _pivot_pairs(few, ["token", "cell"], turn, percent).union(_pivot_pairs(many, ["token", "cell"], turn, percent))
         if tried is not None:
             pairs = pairs.join(tried, (F.least(pairs.a, pairs.b) == tried.low) & (F.greatest(pairs.a, pairs.b) == tried.high), "left_anti")
-        pairs = _kept(spark, pairs.dropDuplicates(["a", "b"]), f"pairs-{turn}")
+        pairs = _kept(pairs.dropDuplicates(["a", "b"]), f"{work}/pairs-{turn}")
         if pairs.isEmpty():
             continue
-        near = _kept(spark, _screened(pairs, sets, percent), f"near-{turn}")
-        requests = _kept(spark, _requests(near), f"requests-{turn}")
-        new = _kept(spark, _verified(requests, sets, percent), f"links-{turn}")
-        links = new if links is None else links.unionByName(new)
+        near = _kept(_screened(pairs, sets, percent), f"{work}/near-{turn}")
+        requests = _kept(_requests(near), f"{work}/requests-{turn}")
+        links = _kept(_verified(requests, sets, percent), f"{work}/links-{turn}")
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tried = done if tried is None else tried.unionByName(done)
-        roots = _kept(spark, connected_components(links), f"roots-{turn}")
-
-    spark.sql(f"DROP TABLE {sets_name}")
-    classes = sized.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    if roots is not None:
-        classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        tops = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-        classes = classes.join(tops, "root").select("node", "component")
-    else:
-        classes = classes.select("node", F.col("least").alias("component"))
-    out = sized.join(classes.withColumnRenamed("node", "class"), (F.col("node") == F.col("class")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+        if not links.isEmpty():  # a node and its root are as good as all links before
+            links = links if roots is None else links.unionByName(roots.toDF("a", "b"))
+            roots = _kept(connected_components(links), f"{folder}/roots-{turn}")
+    return roots

@@ -99,3 +99,36 @@ def test_suffix_filter_is_a_lower_bound():
         assert N._apart(x, y, 10**6, 3) <= real
         n = len(np.intersect1d(x, y))
         assert N.linked(x, y, 80) == (100 * n >= 80 * (len(x) + len(y) - n))
+
+
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """5,000 near copies are one component, and the links that the stars get follow members."""
+    from skytriage.llm import components as C
+
+    rnd = random.Random(8)
+    docs = near_copies(rnd, 5000, words=120, edits=2)
+    sizes = []
+    whole = C.connected_components
+    monkeypatch.setattr(N, "connected_components", lambda links, **k: (sizes.append(C._thinned(links.coalesce(1)).count()), whole(links, **k))[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in N.ngram_join(df).collect()} == {0}
+    assert sizes and all(n <= len(docs) for n in sizes)
+
+
+_REAL = N.fingerprint
+
+
+def _half(x):
+    a, b = _REAL(x)
+    return a % 7, b
+
+
+def test_sets_that_share_half_of_their_fingerprint(spark, monkeypatch):
+    """Different sets stay apart, and links hold, where the first half of the fingerprint does not tell sets apart."""
+    found, alike = [], N._alike
+    monkeypatch.setattr(N, "fingerprint", _half)
+    monkeypatch.setattr(N, "_alike", lambda sized: found.append(alike(sized)) or found[-1])
+    rnd = random.Random(4)
+    docs = near_copies(rnd, 20, start=0) + near_copies(rnd, 20, words=90, start=100) + [(300 + i, f"lonely{i} words here") for i in range(20)] + [(400, "lonely3 words here")]
+    assert run(spark, docs) == brute(docs)
+    assert len(found[0]) == 7
