@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, mix, ready, segment_hashes, texts_of, windows
+from .common import Words, by_bytes, mix, ready, segment_hashes, shared_folder, texts_of, windows
 
 SLICE_BYTES = 1 << 20
 #: Base rules: least words, most words in repeated windows (per cent).
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Least calibrated probability of quality of a document that is kept.
 KEEP = 0.35
-#: Labelled rows that are fitted to at most (chosen by a hash of their id), and the share of them held out for the scale.
-FIT_ROWS, HELD_OUT = 4000, 4
+#: Labelled ids that are fitted to at most (chosen by a hash of the id; one text each), bytes of their texts in all and of
+#: one text (longer ones are scored, not fitted to), and the share of rows held out for the scale.
+FIT_ROWS, FIT_BYTES, FIT_TEXT_BYTES, HELD_OUT = 4000, 24 << 20, 1 << 20, 4
 SLOTS, KINDS = 1 << 14, 5
 STEPS, RATE, DECAY = 160, 0.08, 1e-6
 #: A kind's shares are raised to comparable sizes.
@@ -72,18 +73,20 @@ def base_counts(column: pa.Array) -> tuple[Words, dict[str, np.ndarray]]:
 
 
 def _slots(w: Words, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind: the slot of every occurrence, and each text's first occurrence (and one entry more)."""
+    """For each kind: the slot of every occurrence, and each text's first occurrence (and one entry more). Runs lie within texts."""
     top = np.uint64(64 - SLOTS.bit_length() + 1)
     pairs, pair_bounds = windows(w.hashes, w.first, 2)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(length) - length
     out = [((w.hashes >> top).astype(np.int32), w.first), ((pairs >> top).astype(np.int32), pair_bounds)]
     h = np.zeros(len(points), np.uint64)
     for k in range(3):
         n = max(0, len(points) - k)
         h = h[:n] * np.uint64(0x9E3779B97F4A7C15) + (points[k:] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        # runs over a text's end belong to the text that they begin in; at most two a text
-        out.append(((h * np.uint64(0xFF51AFD7ED558CCD) >> top).astype(np.int32), np.minimum(first, n)))
+        slots, count = (h * np.uint64(0xFF51AFD7ED558CCD) >> top).astype(np.int32), np.maximum(length - k, 0)
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        out.append((slots[np.repeat(first - bounds[:-1], count) + np.arange(bounds[-1])], bounds))
     return out
 
 
@@ -98,7 +101,9 @@ class Model:
         out = np.full(len(texts), self.bias)
         for k, (slots, bounds) in enumerate(_slots(w, texts)):
             n = np.diff(bounds)
-            out += GAIN[k] * _per_text(self.weights[k][slots].astype(np.float64), bounds) / np.maximum(n, 1)
+            # summed one after the other, text by text: other texts of the batch do not touch the last bits
+            total = np.bincount(np.repeat(np.arange(len(n)), n), self.weights[k][slots[bounds[0] : bounds[-1]]], minlength=len(n))
+            out += GAIN[k] * total / np.maximum(n, 1)
         return out
 
     def probabilities(self, margins: np.ndarray) -> np.ndarray:
@@ -111,31 +116,41 @@ def fit(texts: list[str], good: np.ndarray) -> Model:
     good = np.asarray(good, np.float64)
     if not len(texts) or good.min() == good.max():
         return Model(np.zeros((KINDS, SLOTS), np.float32), 0.0, (0.0, 8.0 if not len(texts) or good[0] else -8.0), (1.0, 0.0))
-    rows, columns, values = [], [], []  # intp, which sums by index take as they are
+    rows, columns, values = [], [], []
     for at in range(0, len(texts), 256):
         part = texts[at : at + 256]
         for k, (slots, bounds) in enumerate(_slots(Words(pa.array(part, pa.string())), part)):
             n = np.diff(bounds)
             doc = np.repeat(np.arange(len(part)), n)
             keys, times = np.unique(doc * SLOTS + slots[bounds[0] : bounds[-1]], return_counts=True)
-            rows.append(keys // SLOTS + at)
-            columns.append(keys % SLOTS + k * SLOTS)
+            rows.append((keys // SLOTS + at).astype(np.int32))
+            columns.append((keys % SLOTS + k * SLOTS).astype(np.int32))
             values.append((GAIN[k] * times / n[keys // SLOTS]).astype(np.float32))
     row, column, value = (np.concatenate(x) for x in (rows, columns, values))
+    del rows, columns, values
     held = np.arange(len(texts)) % HELD_OUT == HELD_OUT - 1
     if len({*good[~held]}) < 2 or len({*good[held]}) < 2:
         held[:] = False
-    r, c, v = row, column, value  # held-out rows have no gap
+    own = ~held[row]
+    order = np.argsort(row[own], kind="stable")
+    by_row = [x[own][order] for x in (row, column, value)]
+    order = np.argsort(by_row[1], kind="stable")
+    by_column = [x[order] for x in (by_row[0], by_row[2])]
+    # sums over runs of a sorted array: each row's and each column's first entry
+    docs, doc_at = np.unique(by_row[0], return_index=True)
+    used, used_at = np.unique(by_row[1][order], return_index=True)
     size = KINDS * SLOTS
     theta, m, s = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     count = (~held).sum()
     theta[-1] = np.log(good[~held].mean() / (1 - good[~held].mean()))
+    z, g = np.zeros(len(texts)), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(r, theta[c] * v, minlength=len(texts)) + theta[-1]
-        gap = np.where(held, 0, 1 / (1 + np.exp(-z)) - good) / count
-        g = np.append(np.bincount(c, gap[r] * v, minlength=size), gap.sum())
-        g[:-1] += DECAY * theta[:-1]
-        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+        z[docs] = np.add.reduceat(theta[by_row[1]] * by_row[2], doc_at)
+        gap = np.where(held, 0, 1 / (1 + np.exp(-z - theta[-1])) - good) / count
+        g[used] = np.add.reduceat(gap[by_column[0]] * by_column[1], used_at)
+        g[-1] = gap.sum()
+        slope = g + DECAY * np.append(theta[:-1], 0)
+        m, s = 0.9 * m + 0.1 * slope, 0.999 * s + 0.001 * slope * slope
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     z = np.bincount(row, theta[column] * value, minlength=len(texts)) + theta[-1]
     own = held if held.any() else ~held
@@ -166,19 +181,31 @@ def _platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Rows (k, t, y) of at most about FIT_ROWS labelled texts, the same at any partitioning. The broadcast holds those
-    rows' ids alone."""
+    """Rows (k, t, y) of at most about FIT_ROWS labelled ids, a text each, of FIT_BYTES in all: the same at any partitioning.
+
+    The broadcast holds those ids alone. Rows that repeat an id are reduced to one where they lie, the text of least hash.
+    """
     rows = labels.select(labels[id_col].alias("k"), labels[label_col].alias("y")).where("k is not null and y is not null")
     rows = rows.groupBy("k").agg(F.max("y").alias("y"))
     n = rows.count()
     if n > FIT_ROWS:
         rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < (FIT_ROWS << 20) // n)
-    texts = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t")).where("t is not null")
-    return texts.join(F.broadcast(rows), "k").select("k", "t", F.col("y").cast("double").alias("y"))
+    texts = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t")).where(F.octet_length("t") <= FIT_TEXT_BYTES)
+    found = texts.join(F.broadcast(rows), "k").groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x"), F.max("y").cast("double").alias("y"))
+    folder = shared_folder(docs.sparkSession, "quality-sample")
+    found.select("k", F.col("x.t").alias("t"), "y", F.xxhash64("k", F.lit(1)).alias("place")).write.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder)
+    total, last = 0, None
+    for place, size in found.select("place", F.octet_length("t")).orderBy("place").collect():  # a row per id, FIT_ROWS or so
+        total += size
+        if total > FIT_BYTES:
+            break
+        last = place
+    return found.where(F.col("place") <= last if last is not None else F.lit(False)).select("k", "t", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """The model of the bounded sample, fitted in one task, in the order of ids and texts."""
+    """The model of the bounded sample, fitted in one task, in the order of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, good = [], []
@@ -189,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_pylist([{"weights": m.weights.tobytes(), "bias": m.bias, "a": m.scale[0], "b": m.scale[1], "accuracy": m.held_out[0], "loss": m.held_out[1]}])
 
     rows = labelled(docs, labels, id_col, text_col, label_col)
-    found = rows.repartition(1).sortWithinPartitions("k", "t").mapInArrow(run, "weights binary, bias double, a double, b double, accuracy double, loss double").first()
+    found = rows.repartition(1).sortWithinPartitions("k").mapInArrow(run, "weights binary, bias double, a double, b double, accuracy double, loss double").first()
     if found is None:
         return fit([], np.zeros(0))
     return Model(np.frombuffer(found.weights, np.float32).reshape(KINDS, SLOTS), found.bias, (found.a, found.b), (found.accuracy, found.loss))
@@ -223,7 +250,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Rows (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept), one per document.
 
-    A null text has no words and so fails the base. Each row is judged by itself: repeated rows and null ids give a row
+    A null text has no words and so fails the base. Each row is judged by its own text alone, to the last bit of
+    `quality`, whatever lies beside it: repeated rows and null ids give a row
     each; other columns are not read; an empty table gives no rows. Labels without rows, or of one class, give a
     constant verdict. Whole texts are counted and scored.
     """
