@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-The table is dealt into shards. A shard has TREES sorted arrays of BITS-bit strings, each the signs of a vector's
-products with seeded random directions. A query descends to its longest common prefix in every array, then all arrays
-ascend together, one bit at a time, until the rows whose prefixes agree in any of them are as many as asked for; only
-these are scored. The share to ask for is fitted to a bounded sample, so that it meets a target recall there.
+A row's hash strings are the signs of its vector's products with seeded random directions: TREES strings of BITS bits,
+and one more that routes. The table is dealt into shards by ranges of the routing string; a query goes to the shards
+whose ranges meet its longest routing prefix that still holds enough neighbours. A shard has TREES sorted arrays of
+strings. A query descends to its longest common prefix in every array, then all arrays ascend together, one bit at a
+time, until the rows whose prefixes agree in any of them are as many as asked for; only these are scored. The routing
+prefix and the share to ask for are fitted to a bounded sample, so that they meet a target recall there.
 """
 
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,25 +22,27 @@ from pyspark.sql import functions as F
 from .common import attempt_name, filesystem, publish, ready, shared_folder
 
 TREES, BITS, SEED = 48, 32, 11
-SHARD_ROWS, QUERY_BLOCK = 32768, 128
-#: Rows of a shard that a query meets at least.
-LEAST_ROWS = 1024
-#: Rows and queries of the sample that the share is fitted to, recall to reach there, shares that are tried.
-FIT_ROWS, FIT_QUERIES, TARGET = 4096, 192, 0.93
-SHARES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.85, 1.0)
-
-
-def strings(vectors: np.ndarray) -> np.ndarray:
-    """TREES x n hash strings, as unsigned integers whose upper bit is the first."""
-    directions = np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((TREES * BITS, vectors.shape[1])).astype(np.float32)
-    out = np.zeros((TREES, len(vectors)), np.uint64)
+SHARD_ROWS, QUERY_BLOCK = 16384, 128
+#: Rows and queries of the sample that is fitted to, recall to reach there by the routing prefix and by the forest.
+FIT_ROWS, FIT_QUERIES, ROUTED, TARGET = 4096, 256, 0.98, 0.95
+
+
+def strings(vectors: np.ndarray, trees: int = TREES, seed: int = SEED) -> np.ndarray:
+    """trees x n hash strings, as unsigned integers whose upper bit is the first."""
+    directions = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((trees * BITS, vectors.shape[1]))
+    out = np.zeros((trees, len(vectors)), np.uint64)
     weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
     for at in range(0, len(vectors), 4096):
-        signs = (vectors[at : at + 4096].astype(np.float32) @ directions.T) > 0
-        out[:, at : at + 4096] = (signs.reshape(-1, TREES, BITS) * weights).sum(axis=2, dtype=np.uint64).T
+        signs = (unit(vectors[at : at + 4096]) @ directions.T) > 0
+        out[:, at : at + 4096] = (signs.reshape(-1, trees, BITS) * weights).sum(axis=2, dtype=np.uint64).T
     return out
 
 
+def routes(vectors: np.ndarray) -> np.ndarray:
+    """The strings that deal rows into shards."""
+    return strings(vectors, 1, SEED + 1)[0]
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Double-precision vectors scaled by their largest component, which keeps squares in range; cosines are unchanged."""
     v = vectors.astype(np.float64)
@@ -77,20 +82,22 @@ class Forest:
             level -= 1
 
 
+def cosine(x: np.ndarray, y: np.ndarray) -> float:
+    """The cosine of two vectors, its sums rounded once: the same wherever and beside whatever it is computed."""
+    return math.fsum((x * y).tolist()) / math.sqrt(math.fsum((x * x).tolist()) * math.fsum((y * y).tolist()))
+
+
 def best(q: np.ndarray, rows: np.ndarray, vectors: np.ndarray, unit32: np.ndarray, ids: list[list[int]], own: int | None, k: int) -> list[tuple[float, int]]:
     """The k nearest (cosine in double precision, id) among rows; ids lists each vector's rows, smallest first."""
     if not len(rows):
         return []
     qu = unit(q[None])[0]
-    qn = qu / np.sqrt(qu @ qu)
-    rough = unit32[rows] @ qn.astype(np.float32)
+    rough = unit32[rows] @ (qu / np.sqrt(qu @ qu)).astype(np.float32)
     want = k + 1
     while True:
         floor = np.partition(rough, len(rough) - want)[len(rough) - want] - 1e-4 if want < len(rough) else -np.inf
         near = rows[rough >= floor]
-        v = unit(vectors[near])
-        score = (v @ qu) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt(qu @ qu))
-        found = sorted(((-s, i) for s, r in zip(score.tolist(), near.tolist(), strict=True) for i in ids[r] if i != own))
+        found = sorted((-cosine(v, qu), i) for v, r in zip(unit(vectors[near]), near.tolist(), strict=True) for i in ids[r] if i != own)
         out, met = [], set()
         for s, i in found:
             if i not in met:
@@ -106,23 +113,32 @@ def _scaled(vectors: np.ndarray) -> np.ndarray:
     return (u / np.sqrt((u * u).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def fit_share(vectors: np.ndarray, k: int) -> float:
-    """The least share of rows whose candidates hold TARGET of the true neighbours of the sample's first rows."""
-    if len(vectors) < 64:
-        return 1.0
+def fit(vectors: np.ndarray, k: int) -> tuple[int, float]:
+    """Bits of the routing prefix, and share of rows to ask a forest for, from the sample's first rows and their true
+    neighbours: the longest prefix that ROUTED of the neighbours share, the least share whose candidates hold TARGET."""
+    k = min(k, len(vectors) - 1)
+    if k < 1:
+        return 0, 1.0
     forest, u = Forest(vectors), _scaled(vectors)
     queries = range(min(FIT_QUERIES, len(vectors)))
-    own = strings(vectors[: len(queries)])
+    own, route = strings(vectors[: len(queries)]), routes(vectors)
     true = []
     for q in queries:
         s = u @ u[q]
         s[q] = -np.inf
-        true.append(np.argpartition(-s, k)[:k])
-    for share in SHARES:
-        hit = sum(np.isin(t, forest.candidates(own[:, q], int(share * len(vectors)) + 1)).sum() for q, t in zip(queries, true, strict=True))
-        if hit >= TARGET * k * len(queries):
-            return share
-    return 1.0
+        true.append(np.argpartition(-s, k - 1)[:k])
+    apart = np.concatenate([route[t] ^ route[q] for q, t in zip(queries, true, strict=True)])
+    common = BITS - np.array([int(x).bit_length() for x in apart])
+    bits = max(b for b in range(BITS + 1) if (common >= b).mean() >= ROUTED)
+
+    def recall(least: int) -> float:
+        return sum(np.isin(t, forest.candidates(own[:, q], least)).sum() for q, t in zip(queries, true, strict=True)) / (k * len(queries))
+
+    low, high = 1, len(vectors)  # the least number of rows that does, by halving
+    while high - low > max(1, len(vectors) // 100):
+        mid = (low + high) // 2
+        low, high = (low, mid) if recall(mid) >= TARGET else (mid, high)
+    return bits, high / len(vectors)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -130,14 +146,36 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", share: float | None = None) -> DataFrame:
+def _sample(rows: DataFrame, n: int) -> np.ndarray | None:
+    """Different vectors of the commonest length from about FIT_ROWS rows, in an order that says nothing of them."""
+    part = rows if n <= FIT_ROWS else rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 24)) < (FIT_ROWS << 24) // n)
+    sizes = sorted(part.groupBy(F.size("v").alias("d")).count().collect(), key=lambda r: -r[1])[:1]
+    if not sizes:
+        return None
+    found = part.where(F.size("v") == sizes[0][0]).orderBy(F.xxhash64("id"), "id").limit(2 * FIT_ROWS).toArrow().column("v").combine_chunks()
+    own = np.unique(_vectors(found), axis=0)
+    return own[np.random.default_rng(SEED).permutation(len(own))]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of equal keys inside the batches."""
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
+        for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            if b > a:
+                yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", fitted: tuple[int, float] | None = None) -> DataFrame:
     """Rows (query_id, rank, <id>, score): the k nearest found of all rows of `vectors` but the query's own id.
 
-    Score is the cosine in double precision on the original vectors; ties go to the smaller id. Rows whose id or vector
-    is null, and vectors that are empty, zero or hold null or non-finite components take no part, as rows or as queries.
-    Vectors are compared with those of their own length. Rows that repeat an id count as that id once, with their best
-    score; of equal vectors in a shard the k + 1 smallest different ids stand for all, which loses no result. Fewer candidates
-    give fewer rows; an empty table gives none. Other columns are not read.
+    Score is the cosine in double precision on the original vectors; ties go to the smaller id, at any partitioning.
+    Rows whose id or vector is null, and vectors that are empty, zero or hold null or non-finite components take no
+    part, as rows or as queries. Vectors are compared with those of their own length. Rows that repeat an id count as
+    that id once, with their best score; of equal vectors in a shard the k + 1 smallest different ids stand for all,
+    which loses no result. Fewer candidates give fewer rows; an empty table gives none. Other columns are not read.
+    `fitted` (routing bits, share of a shard's rows) takes the place of the fit; (0, 1.0) is exact.
     """
     spark = ready(vectors.sparkSession)
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
@@ -148,19 +186,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
         return df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast(f"array<{kind}>").alias("v")).where("id is not null and v is not null").where(good)
 
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (size,), batch in _parts(batches, ["size"]):
+            yield batch.append_column("route", pa.array(routes(_vectors(batch.column("v"))).astype(np.int64)))
+
+    def routed(df: DataFrame) -> DataFrame:
+        return df.select("id", "v", F.size("v").alias("size")).mapInArrow(route, f"id long, v array<{kind}>, size int, route long")
+
     rows = sound(vectors)
     n = rows.count()
-    if share is None:
-        part = rows if n <= FIT_ROWS else rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 24)) < (FIT_ROWS << 24) // n)
-        sizes = sorted(part.groupBy(F.size("v").alias("d")).count().collect(), key=lambda r: -r[1])[:1]  # the commonest length
-        sample = part.where(F.size("v") == sizes[0][0]).orderBy(F.xxhash64("id"), "id").limit(2 * FIT_ROWS).toArrow().column("v").combine_chunks() if sizes else None
-        share = 1.0 if sample is None else fit_share(np.unique(_vectors(sample), axis=0)[np.random.default_rng(SEED).permutation(len(np.unique(_vectors(sample), axis=0)))], k)
+    if fitted is None:
+        sample = _sample(rows, n)
+        fitted = (0, 1.0) if sample is None else fit(sample, k)
+    bits, share = fitted
     shards = max(1, -(-n // SHARD_ROWS))
     folder = shared_folder(spark, "hash-forest")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key: tuple[int, int], ids: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
-            all_ids, all_v = np.concatenate(ids), np.concatenate(parts)
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId()
+
+        def close(size: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            all_ids, all_v, route = (np.concatenate([f(b.column(c)) for b in held]) for c, f in (("id", pa.Array.to_numpy), ("v", _vectors), ("route", pa.Array.to_numpy)))
             order = np.argsort(all_ids, kind="stable")
             all_ids, all_v = all_ids[order], all_v[order]
             own, which = np.unique(all_v, axis=0, return_inverse=True)
@@ -175,58 +223,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             forest = Forest(own)
             data = io.BytesIO()
             np.savez(data, vectors=own, sorted=forest.sorted, perm=forest.perm, ids=all_ids[keep], sizes=np.minimum(sizes, k + 1))
-            publish(f"{folder}/shard-{key[0]}-{key[1]}.npz", lambda out: out.write(data.getbuffer()), attempt_name())
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32())], ["size", "shard"])
-
-        held, ids, parts = None, [], []
-        for batch in batches:
-            size, shard = batch.column("size").to_numpy(), batch.column("shard").to_numpy()
-            cut = np.flatnonzero((size[1:] != size[:-1]) | (shard[1:] != shard[:-1])) + 1
-            for a, b in zip([0, *cut], [*cut, len(size)], strict=True):
-                if a == b:
-                    continue
-                key = (int(size[a]), int(shard[a]))
-                if held not in (None, key):
-                    yield close(held, ids, parts)
-                    ids, parts = [], []
-                held = key
-                ids.append(batch.column("id").slice(a, b - a).to_numpy())
-                parts.append(_vectors(batch.column("v").slice(a, b - a)))
-        if held is not None:
-            yield close(held, ids, parts)
-
-    dealt = rows.select("id", "v", F.size("v").alias("size"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
-    built = spark.createDataFrame(dealt.repartition(shards, "size", "shard").sortWithinPartitions("size", "shard").mapInArrow(build, "size int, shard int").collect(), "size int, shard int")  # a row per shard
+            publish(f"{folder}/shard-{size}-{shard}.npz", lambda out: out.write(data.getbuffer()), attempt_name())
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([shard], pa.int32()), pa.array([route.min()]), pa.array([route.max()])], ["size", "shard", "least", "most"])
+
+        size, held = None, []
+        for (now,), batch in _parts(batches, ["size"]):
+            if size not in (None, now):
+                yield close(size, held)
+                held = []
+            size = now
+            held.append(batch)
+        if held:
+            yield close(size, held)
+
+    # equal strings, whatever their number, are cut at a hash of the id
+    dealt = routed(rows).withColumn("salt", F.xxhash64("id", F.monotonically_increasing_id())).repartitionByRange(shards, "size", "route", "salt")
+    built = dealt.sortWithinPartitions("size").mapInArrow(build, "size int, shard int, least long, most long").collect()  # a row per shard
+    built = spark.createDataFrame(built, "size int, shard int, least long, most long")
 
     asked = sound(queries).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.select("id", "v", F.size("v").alias("size"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    work = asked.join(F.broadcast(built), "size")  # each block of queries goes to each shard; a shard is a row of two numbers
+    wide = 1 << (BITS - bits)
+    low = F.col("route") - F.pmod("route", F.lit(wide))
+    asked = routed(asked).select("id", "v", "size", low.alias("low"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    met = (F.col("least") < F.col("low") + wide) & (F.col("most") >= F.col("low"))
+    work = asked.join(F.broadcast(built), "size").where(met).drop("low", "least", "most")  # a query goes to the ranges of its prefix
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            size, shard = batch.column("size").to_numpy(), batch.column("shard").to_numpy()
-            cut = np.flatnonzero((size[1:] != size[:-1]) | (shard[1:] != shard[:-1])) + 1
-            for a, b in zip([0, *cut], [*cut, len(size)], strict=True):
-                if a == b:
-                    continue
-                if held != (size[a], shard[a]):
-                    held = (size[a], shard[a])
-                    fs, path = filesystem(f"{folder}/shard-{size[a]}-{shard[a]}.npz")
-                    with fs.open_input_file(path) as source:
-                        data = np.load(io.BytesIO(source.read()))
-                    forest = Forest(data["vectors"], data["sorted"], data["perm"])
-                    u = _scaled(forest.vectors)
-                    ids = [x.tolist() for x in np.split(data["ids"], np.cumsum(data["sizes"])[:-1])]
-                least = max(LEAST_ROWS, 4 * k + 1, int(np.ceil(share * len(u))))
-                q = _vectors(batch.column("v").slice(a, b - a))
-                q_ids = batch.column("id").slice(a, b - a).to_pylist()
-                own = strings(q)
-                found = [(i, r, s) for j, i in enumerate(q_ids) for s, r in best(q[j], forest.candidates(own[:, j], least), forest.vectors, u, ids, i, k)]
-                if found:
-                    a1, a2, a3 = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a1, pa.int64()), pa.array(a2, pa.int64()), pa.array(a3, pa.float64())], ["query_id", "id", "score"])
+        for key, batch in _parts(batches, ["size", "shard"]):
+            if held != key:
+                held = key
+                fs, path = filesystem(f"{folder}/shard-{key[0]}-{key[1]}.npz")
+                with fs.open_input_file(path) as source:
+                    data = np.load(io.BytesIO(source.read()))
+                forest = Forest(data["vectors"], data["sorted"], data["perm"])
+                u = _scaled(forest.vectors)
+                ids = [x.tolist() for x in np.split(data["ids"], np.cumsum(data["sizes"])[:-1])]
+                least = max(k + 1, int(np.ceil(share * len(u))))
+            q = _vectors(batch.column("v"))
+            own = strings(q)
+            found = [(i, r, s) for j, i in enumerate(batch.column("id").to_pylist()) for s, r in best(q[j], forest.candidates(own[:, j], least), forest.vectors, u, ids, i, k)]
+            if found:
+                a1, a2, a3 = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a1, pa.int64()), pa.array(a2, pa.int64()), pa.array(a3, pa.float64())], ["query_id", "id", "score"])
 
     tasks = max(1, min(blocks * shards, 1 << 14))
     hits = work.repartition(tasks, "size", "shard", "block").sortWithinPartitions("size", "shard", "block").mapInArrow(search, "query_id long, id long, score double")

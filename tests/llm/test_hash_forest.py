@@ -36,7 +36,7 @@ def test_exact_cases(spark):
     rows += [(7, rows[7][1]), (50, rows[50][1]), (50, rows[50][1])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int").repartition(3)
     queries = {i for i, _ in rows if i is not None and i % 50 == 0}
-    got = collect(H.nearest(df, df.where("vec_id % 50 = 0"), share=1.0))
+    got = collect(H.nearest(df, df.where("vec_id % 50 = 0"), fitted=(0, 1.0)))
     assert got == brute(rows, queries, 5)
     assert H.nearest(df.limit(0), df).count() == 0
     assert H.nearest(df, df.limit(0)).count() == 0
@@ -47,12 +47,30 @@ def test_exact_cases(spark):
 def test_repeated_rows_leave_room_for_equal_vectors(spark):
     rows = [(1, [1.0, 2.0])] * 20 + [(i, [1.0, 2.0]) for i in (2, 3, 4)] * 4 + [(9, [1.0, -1.0]), (10, [2.0, 3.0])] * 3
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = collect(H.nearest(df, df.where("vec_id in (1, 9, 10)"), share=1.0))
+    got = collect(H.nearest(df, df.where("vec_id in (1, 9, 10)"), fitted=(0, 1.0)))
     assert got == brute(rows, {1, 9, 10}, 5)
     assert [i for _, i in got[10]] == [1, 2, 3, 4, 9]
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def _true(v, queries, k=5):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        s = u @ u[q]
+        s[q] = -2
+        out[q] = set(np.argpartition(-s, k)[:k].tolist())
+    return out
+
+
+def recall(spark, v, parts=4):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(parts)
+    queries = range(0, len(v), 50)
+    true, got = _true(v.astype(np.float64), queries), collect(H.nearest(df, df.where("vec_id % 50 = 0")))
+    assert set(got) == set(queries)
+    return sum(len(true[q] & {i for _, i in got[q]}) for q in queries) / sum(map(len, true.values()))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_recall(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
@@ -61,8 +79,50 @@ def test_recall(spark, sf):
     got = collect(H.nearest(df, df.where("vec_id % 50 = 0")))
     hit = sum(len({i for _, i in true[q]} & {i for _, i in got[q]}) for q in queries)
     assert hit >= 0.9 * sum(map(len, true.values()))
-    for q in queries:
-        assert all(x in [(-round(s, 12), i) for s, i in [(-a, b) for a, b in got[q]]] for x in got[q])
+    for q in queries:  # what is found has its own score and place
+        rank = {i: s for s, i in brute(rows, {q}, len(rows))[q]}
+        assert all(abs(rank[i] - s) < 1e-11 for s, i in got[q])
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_of_larger_tables(spark, clustered):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((10_000 if not clustered else 30_000, 64)).astype(np.float32)
+    if clustered:
+        v = v[rng.integers(0, 300, len(v))] + 0.25 * rng.standard_normal(v.shape).astype(np.float32)
+    bits, share = H.fit(v[rng.permutation(len(v))[: H.FIT_ROWS]], 5)
+    assert share < (0.75 if not clustered else 0.3)
+    assert recall(spark, v) >= 0.9
+
+
+def test_queries_go_to_the_ranges_of_their_prefix(spark, monkeypatch):
+    """Tight clusters are told apart by the routing string, and a query leaves most shards alone."""
+    monkeypatch.setattr(H, "SHARD_ROWS", 500)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((40, 32))[rng.integers(0, 40, 8000)] + 1e-3 * rng.standard_normal((8000, 32))
+    bits, share = H.fit(v[:4096], 5)
+    assert bits >= 2
+    assert recall(spark, v.astype(np.float32)) >= 0.9
+
+
+def test_ties_hold_at_any_partitioning(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal((6, 64)).astype(np.float32)
+    rows = [(i, base[i % 6].tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = []
+    for most, parts in ((10_000, 1), (40, 5), (7, 3)):
+        monkeypatch.setattr(H, "SHARD_ROWS", most)
+        out.append(sorted(map(tuple, H.nearest(df.repartition(parts), df.where("vec_id % 50 = 0"), fitted=(0, 1.0)).collect())))
+    assert out[0] == out[1] == out[2]
+    assert all(r[2] % 6 == r[0] % 6 for r in out[0])
+
+
+def test_small_tables_go_through_the_forest():
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((40, 3)) * 0.05 + np.repeat(np.eye(4, 3)[:, :] + 1, 10, axis=0)
+    bits, share = H.fit(v, 5)
+    assert share < 1.0 and H.fit(v[:1], 5) == (0, 1.0) and H.fit(v[:3], 5)[1] <= 1.0
 
 
 def test_forest_meets_more_when_asked():
