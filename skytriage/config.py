@@ -11,6 +11,7 @@ STUDY_CLASSES = {"kilonova": 64, "sn_ia": 90, "slsn_i": 95}
 CLASS_IDS = (64, 90, 95)
 HELD_OUT_CLASS = 15
 TARGET_CLASS = 64
+#: Days after the alert, passbands, adjacent pairs of them.
 EPOCHS = (0.0, 2.0, 7.0)
 PASSBANDS = (0, 1, 2, 3, 4, 5)
 COLOR_PAIRS = ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5))
@@ -18,6 +19,9 @@ COLOR_PAIRS = ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5))
 FORBIDDEN = ("peak_mjd", "peak_flux", "total_obs_count", "max_snr", "final_flux", "true_target", "target", "hostgal_specz", "true_z", "true_distmod")
 
 
+# The settings' defaults below are fixed values of the study.
+
+
 class ConfigError(ValueError):
     """A setting is out of its bounds."""
 
@@ -124,11 +128,14 @@ class BoostingConfig:
 
 
 def load_yaml(path: str, kind: type):
-    """Settings of class `kind` from a YAML mapping; unknown names are errors."""
+    """Settings of class `kind` from a YAML mapping, at a path or URI; unknown names are errors."""
     import yaml
 
-    with open(path) as source:
-        found = yaml.safe_load(source) or {}
+    from .sources.shared import filesystem
+
+    fs, place = filesystem(path)
+    with fs.open_input_stream(place) as source:
+        found = yaml.safe_load(source.read()) or {}
     unknown = set(found) - {f.name for f in fields(kind)}
     _need(not unknown, f"unknown settings: {sorted(unknown)}")
     return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})

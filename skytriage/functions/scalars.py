@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DecisionConfig, FeatureConfig, SelectionConfig
@@ -29,9 +29,18 @@ def is_detected(flux: Column, flux_err: Column, flag: Column, config: FeatureCon
     return F.coalesce(snr(flux, flux_err) >= config.snr_threshold, F.lit(False)) | F.coalesce(flag == 1, F.lit(False))
 
 
+def logistic(z: Column, floor: float, bright: float, middle: float, width: float) -> Column:
+    """Falls from bright to floor around middle; a large exponent overflows to infinity and so to the floor."""
+    return floor + (bright - floor) / (1.0 + F.exp((z - middle) / width))
+
+
 def selection_probability(z: Column, c: SelectionConfig = SelectionConfig()) -> Column:  # noqa: B008
-    """A large exponent overflows to infinity and so to p_floor."""
-    return c.p_floor + (c.p_bright - c.p_floor) / (1.0 + F.exp((z - c.z_50) / c.w_z))
+    return logistic(z, c.p_floor, c.p_bright, c.z_50, c.w_z)
+
+
+def inverse_weight(p: Column) -> Column:
+    """The weight 1 / p of a selected object; null where nothing is selected."""
+    return F.try_divide(F.lit(1.0), p)
 
 
 def hash_uniform(seed: int | str, *keys: Column) -> Column:
@@ -40,14 +49,48 @@ def hash_uniform(seed: int | str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def poisson_one(u: Column, most: int = 8) -> Column:
-    """Poisson(1) by its inverse distribution; u beyond the table gives `most`, whose tail is below 1e-6."""
-    out, term, total = None, math.exp(-1), 0.0
+#: Fixed values of the 32-bit mixing of draws: two multipliers, the step from one replicate to the next, all bits.
+MIX_ONE, MIX_TWO, MIX_STEP, MIX_ALL = 0x21F0AAAD, 0x735A2D97, 0x9E3779B1, 0xFFFFFFFF
+
+
+def mix32(x: int) -> int:
+    """One number of 32 bits, mixed; the same as mixed()."""
+    x = (x ^ x >> 16) * MIX_ONE & MIX_ALL
+    x = (x ^ x >> 15) * MIX_TWO & MIX_ALL
+    return x ^ x >> 15
+
+
+def draw_keys(seed: int) -> tuple[int, int]:
+    """Two numbers that carry a seed into both halves of a draw's state."""
+    first = mix32(seed & MIX_ALL ^ 0x5BD1E995)
+    return first, mix32(first ^ seed >> 32 & MIX_ALL ^ 0x1B873593)
+
+
+def mixed(df: DataFrame, name: str) -> DataFrame:
+    """df with 32 bits of a long column mixed in place; a column for each step, so that none is computed twice."""
+    h = F.col(name)
+    df = df.withColumn(name, (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(MIX_ONE)).bitwiseAND(F.lit(MIX_ALL)))
+    df = df.withColumn(name, (h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(MIX_TWO)).bitwiseAND(F.lit(MIX_ALL)))
+    return df.withColumn(name, h.bitwiseXOR(F.shiftright(h, 15)))
+
+
+def poisson_steps(rate: float = 1.0, most: int = 12) -> list[float]:
+    """Distribution function of Poisson(rate) at 0, 1, ..., most - 1; the tail beyond is below 1e-9 for rates up to 1."""
+    out, term, total = [], math.exp(-rate), 0.0
     for k in range(most):
         total += term
-        out = F.when(u < total, k) if out is None else out.when(u < total, k)
-        term /= k + 1
-    return out.otherwise(most)
+        out.append(total)
+        term *= rate / (k + 1)
+    return out
+
+
+def poisson(u: Column, rate: float = 1.0) -> Column:
+    """Poisson(rate) by its inverse distribution."""
+    steps = poisson_steps(rate)
+    out = F.when(u < steps[0], 0)
+    for k, c in enumerate(steps[1:], 1):
+        out = out.when(u < c, k)
+    return out.otherwise(len(steps))
 
 
 def color(f1: Column, f2: Column) -> Column:
@@ -63,9 +106,9 @@ def clipped_log(p: Column, eps: float = 1e-7) -> Column:
 
 
 def normalized(*p: Column) -> list[Column]:
-    """Shares of the sum; equal shares where the sum is 0."""
+    """Shares of the sum; 0 each where the sum is 0."""
     total = sum(p[1:], p[0])
-    return [F.when(total > 0, x / total).otherwise(F.lit(1.0 / len(p))) for x in p]
+    return [F.when(total > 0, x / total).otherwise(F.lit(0.0)) for x in p]
 
 
 def fused_score(p: Column, novelty: Column, scale: Column | float, weight: float) -> Column:

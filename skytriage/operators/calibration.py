@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..config import CLASS_IDS
 from ..functions.scalars import tenth_bin
+from .shift import percentiles
 
 
-def long_probabilities(df: DataFrame, keep: list[str] | None = None, classes: tuple[int, ...] = CLASS_IDS) -> DataFrame:
-    """Rows (keep..., class_id, p, hit), hit 1 where the class is the true one."""
+def long_probabilities(df: DataFrame, keep: list[str] | None = None, classes: tuple[int, ...] = CLASS_IDS, binned: bool = False) -> DataFrame:
+    """Rows (keep..., class_id, p, hit), hit 1 where the class is the true one; with its bin, if asked for, and then only
+    those that are in one."""
     cells = F.array(*(F.struct(F.lit(c).alias("class_id"), F.col(f"p_{c}").alias("p"), (F.col("y") == c).cast("double").alias("hit")) for c in classes))
-    return df.select(*(keep or []), F.explode(cells).alias("x")).select(*(keep or []), "x.class_id", "x.p", "x.hit")
+    rows = df.select(*(keep or []), F.explode(cells).alias("x")).select(*(keep or []), "x.class_id", "x.p", "x.hit")
+    return rows.withColumn("bin", tenth_bin(F.col("p"))).where("bin is not null") if binned else rows
 
 
 def brier(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -21,20 +24,15 @@ def brier(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(gap).alias("brier"))
 
 
-def bins(df: DataFrame, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
-    """Rows (by..., class_id, bin, n, mean_pred, mean_obs): ten equal bins of each class's probability.
+def bins(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (by..., class_id, bin, n, mean_pred, mean_obs): ten equal bins of each class's probability."""
+    s = long_probabilities(df, list(by), binned=True).groupBy(*by, "class_id", "bin")
+    return s.agg(F.count("*").cast("double").alias("n"), F.avg("p").alias("mean_pred"), F.avg("hit").alias("mean_obs"))
 
-    `weight` counts each object so many times (a bootstrap's draw)."""
-    w = weight if weight is not None else F.lit(1.0)
-    rows = long_probabilities(df.withColumn("_w", w), [*by, "_w"]).withColumn("bin", tenth_bin(F.col("p"))).where("bin is not null")
-    s = rows.groupBy(*by, "class_id", "bin").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("p")).alias("sp"), F.sum(F.col("_w") * F.col("hit")).alias("sy"))
-    return s.where("n > 0").select(*by, "class_id", "bin", "n", (F.col("sp") / F.col("n")).alias("mean_pred"), (F.col("sy") / F.col("n")).alias("mean_obs"))
 
-
-def murphy(df: DataFrame, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
-    """Reliability, resolution, uncertainty and the binned score, summed over classes."""
-    b = bins(df, by, weight)
-    own = Window.partitionBy(*by, "class_id")
+def decomposed(b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reliability, resolution, uncertainty and the binned score of bins, summed over classes."""
+    own = Window.partitionBy(*by, "class_id")  # ten rows
     total, hit = F.sum("n").over(own), F.sum(F.col("n") * F.col("mean_obs")).over(own)
     b = b.withColumns({"total": total, "base": hit / total})
     gap, lift = F.col("mean_pred") - F.col("mean_obs"), F.col("mean_obs") - F.col("base")
@@ -44,6 +42,10 @@ def murphy(df: DataFrame, by: tuple[str, ...] = (), weight: Column | None = None
     return out.withColumn("binned_brier", F.col("reliability") - F.col("resolution") + F.col("uncertainty"))
 
 
+def murphy(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return decomposed(bins(df, by), by)
+
+
 def classwise_ece(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     b = bins(df, by)
     total = F.sum("n").over(Window.partitionBy(*by, "class_id"))
@@ -68,16 +70,18 @@ def adaptive_bins(df: DataFrame, least: int = 50) -> DataFrame:
     n = df.count()
     target = 1 if n < least else max(1, min(10, n // least))
     rows = long_probabilities(df)
-    marks = F.array(*(F.lit(i / target) for i in range(target + 1)))
-    edges = rows.groupBy("class_id").agg(F.array_distinct(F.percentile("p", marks)).alias("edges"))
+    found = percentiles(rows, "p", [i / target for i in range(target + 1)], ("class_id",))
+    edges = df.sparkSession.createDataFrame([(k, sorted(set(v))) for (k,), v in found.items()], "class_id int, edges array<double>")
     rows = rows.join(F.broadcast(edges), "class_id").withColumn("bin", edge_bin(F.col("p"), F.col("edges"))).where("bin is not null")  # a row for each class
     return rows.groupBy("class_id", "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_pred"), F.avg("hit").alias("mean_obs"))
 
 
 def strata(df: DataFrame, x: str, parts: int, name: str) -> DataFrame:
     """df with column `name`: its place between exact percentiles of x that cut it into `parts`."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*(F.lit(i / parts) for i in range(parts + 1))))).alias("_edges"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, edge_bin(F.col(x), F.col("_edges"))).drop("_edges")  # one row
+    edges = sorted(set(percentiles(df, x, [i / parts for i in range(parts + 1)]).get((), [])))
+    if len(edges) < 2:
+        return df.withColumn(name, F.lit(None).cast("int"))
+    return df.withColumn(name, edge_bin(F.col(x), F.array(*map(F.lit, edges))))
 
 
 def stratified(df: DataFrame, stratum: str, few: int = 30) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TARGET_CLASS, DecisionConfig
@@ -22,29 +22,37 @@ def top_k(df: DataFrame, k: int, threshold: float) -> DataFrame:
 def sequential(df: DataFrame, k: int, threshold: float, deadline: float) -> DataFrame:
     """Rows (object_id, trigger_epoch, score) over the epochs up to the deadline; what was triggered before is not eligible.
 
-    Each epoch's choice is k rows at most, so what was triggered is a literal list of bounded size."""
+    Any epoch's k best of those not triggered before are among its (number of epochs) * k best of all, so one pass takes
+    these from every epoch, a bounded number, and the rest is a walk over them."""
     spark = df.sparkSession
+    rows = df.where((F.col("epoch") <= deadline) & (F.col("score") >= threshold))
     epochs = sorted(r[0] for r in df.where(F.col("epoch") <= deadline).select("epoch").distinct().collect())  # a handful
-    out, gone = [], []
+    most = max(k, 0) * len(epochs)
+    best: dict = {e: [] for e in epochs}
+    if most:
+        w = Window.partitionBy("epoch").orderBy(F.desc("score"), "object_id")
+        for r in rows.select("epoch", "object_id", "score").withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).orderBy("epoch", "_place").collect():
+            best[r.epoch].append((r.object_id, r.score))
+    out, gone = [], set()
     for e in epochs:
-        left = df.where(F.col("epoch") == e)
-        if gone:
-            left = left.join(F.broadcast(spark.createDataFrame([(g,) for g in gone], "object_id long")), "object_id", "left_anti")
-        got = top_k(left, k, threshold).select("object_id", "score").collect()
-        out += [(r.object_id, float(e), r.score) for r in got]
-        gone += [r.object_id for r in got]
+        got, met = [], set()
+        for i, s in best[e]:
+            if i not in gone and len(got) < k:
+                got.append((i, float(e), s))
+                met.add(i)
+        out += got
+        gone |= met
     return spark.createDataFrame(out, "object_id long, trigger_epoch double, score double")
 
 
 def quota_threshold(train: DataFrame, k: int, n_eval: int) -> float:
     """The train score whose rank is k's share of the evaluated objects, half to even, the largest over epochs."""
-    best = None
-    for e in sorted(r[0] for r in train.select("epoch").distinct().collect()):
-        rows = train.where(F.col("epoch") == e)
-        q = max(1, round(rows.count() * k / n_eval))
-        top = rows.orderBy(F.desc("score"), "object_id").limit(q).agg(F.min("score")).first()[0]
-        best = top if best is None else max(best, top)
-    return best
+    quota = {r.epoch: max(1, round(r.n * k / n_eval)) for r in train.groupBy("epoch").agg(F.count("*").alias("n")).collect()}  # a handful
+    rank = F.lit(0)
+    for e, q in quota.items():
+        rank = F.when(F.col("epoch") == e, q).otherwise(rank)
+    w = Window.partitionBy("epoch").orderBy(F.desc("score"), "object_id")
+    return train.select("epoch", "object_id", "score").withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= max(quota.values())).where(F.col("_place") == rank).agg(F.max("score")).first()[0]
 
 
 def outcomes(objects: DataFrame, triggered: DataFrame, target: int = TARGET_CLASS, config: DecisionConfig = DecisionConfig()) -> DataFrame:  # noqa: B008
@@ -60,16 +68,18 @@ def oracle_utility(n_targets: Column, k: int, config: DecisionConfig) -> Column:
     return hit * F.lit(config.u_tp) + (n_targets - hit) * F.lit(config.u_fn)
 
 
-def regret(rows: DataFrame, k: int, config: DecisionConfig = DecisionConfig(), by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:  # noqa: B008
-    """Utility, the oracle's, that of no trigger, regret and its share of the oracle's, and rates, in one pass.
-
-    `weight` counts objects so many times (a bootstrap with actions held fixed)."""
-    w = (weight if weight is not None else F.lit(1)).cast("double")
+def regret(rows: DataFrame, k: int, config: DecisionConfig = DecisionConfig()) -> DataFrame:  # noqa: B008
+    """Utility, the oracle's, that of no trigger, regret and its share of the oracle's, and rates, in one pass."""
     t, g = F.col("triggered").cast("double"), F.col("is_target").cast("double")
-    s = rows.groupBy(*by).agg(
-        F.sum(w * F.col("utility")).alias("u_policy"), F.sum(w * g).alias("n_targets"), F.sum(w * (1 - g)).alias("n_others"), F.sum(w * t * g).alias("hits"), F.sum(w * t * (1 - g)).alias("false_triggers"),
-        F.sum(w * g * F.lit(config.u_fn) + w * (1 - g) * F.lit(config.u_tn)).alias("u_no_trigger"),
+    s = rows.agg(
+        F.sum("utility").alias("u_policy"), F.sum(g).alias("n_targets"), F.sum(1 - g).alias("n_others"), F.sum(t * g).alias("hits"), F.sum(t * (1 - g)).alias("false_triggers"),
+        F.sum(g * F.lit(config.u_fn) + (1 - g) * F.lit(config.u_tn)).alias("u_no_trigger"),
     )
+    return regret_of_sums(s, k, config)
+
+
+def regret_of_sums(s: DataFrame, k: int, config: DecisionConfig = DecisionConfig()) -> DataFrame:  # noqa: B008
+    """The same from sums (u_policy, n_targets, n_others, hits, false_triggers, u_no_trigger)."""
     s = s.withColumn("u_oracle", oracle_utility(F.col("n_targets"), k, config))
     s = s.withColumn("regret", F.col("u_oracle") - F.col("u_policy"))
     s = s.withColumn("normalized_regret", F.col("regret") / F.greatest(F.lit(1.0), "u_oracle"))

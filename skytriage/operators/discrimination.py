@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shift import cumulative
 
 
-def auc(df: DataFrame, score: str, hit: str = "hit", by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+def auc(df: DataFrame, score: str, hit: str = "hit", by: tuple[str, ...] = ()) -> DataFrame:
     """ROC-AUC and average precision, tie-averaged and step-wise; both null where a class is missing.
 
-    Counts of distinct scores are summed from the top; `weight` counts rows so many times."""
-    w = weight if weight is not None else F.lit(1)
-    rows = cumulative(df, score, {"tp": w * F.col(hit), "fp": w * (1 - F.col(hit))}, by, descending=True)
+    Counts of distinct scores are summed from the top."""
+    rows = cumulative(df, score, {"tp": F.col(hit), "fp": 1 - F.col(hit)}, by, descending=True)
     each = rows.groupBy(*by).agg(
         F.max("cum_tp").alias("n_pos"), F.max("cum_fp").alias("n_neg"),
         F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") / 2.0)).alias("wins"), F.sum(F.col("tp") * F.try_divide("cum_tp", F.col("cum_tp") + F.col("cum_fp"))).alias("ap"),

@@ -66,14 +66,22 @@ def rise_diagnostics(prefixes: DataFrame) -> DataFrame:
 def colors(prefixes: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:  # noqa: B008
     """Colour of each adjacent passband pair from its nearest two detections, at most max_color_dt_days apart.
 
-    Ties go to the earlier first and then the earlier second detection. Detections of a pair meet by an equi-join on
-    (object, epoch, pair), whose rows are bounded by an epoch's detections."""
+    Ties go to the earlier first and then the earlier second detection. The nearest two are neighbours in time, so each
+    first detection meets the last second one before it and the next one after it: two windows over one exchange, linear
+    in an object's detections."""
     pairs = F.array(*(F.struct(F.lit(a).alias("b1"), F.lit(b).alias("b2")) for a, b in COLOR_PAIRS))
     det = prefixes.where("det").select(*KEYS, "passband", "mjd", "flux", "flux_err")
     both = det.withColumn("pair", F.explode(pairs)).where((F.col("passband") == F.col("pair.b1")) | (F.col("passband") == F.col("pair.b2")))
-    one = both.where(F.col("passband") == F.col("pair.b1")).select(*KEYS, "pair", F.struct("mjd", "flux", "flux_err").alias("a"))
-    two = both.where(F.col("passband") == F.col("pair.b2")).select(*KEYS, "pair", F.struct("mjd", "flux", "flux_err").alias("b"))
-    near = one.join(two, [*KEYS, "pair"]).withColumn("dt", F.abs(F.col("a.mjd") - F.col("b.mjd"))).groupBy(*KEYS, "pair").agg(F.min(F.struct("dt", "a", "b")).alias("m"))
+    own = Window.partitionBy(*KEYS, "pair")
+    second = F.col("passband") == F.col("pair.b2")
+    so_far = lambda order: own.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # noqa: E731  rows of one time included
+    last = F.max(F.when(second, F.struct("mjd", (-F.col("flux")).alias("f"), (-F.col("flux_err")).alias("e")))).over(so_far(F.asc("mjd")))
+    after = F.min(F.when(second, F.struct("mjd", "flux", "flux_err"))).over(so_far(F.desc("mjd")))
+    met = both.withColumns({"last": last, "after": after}).where(F.col("passband") == F.col("pair.b1"))
+    before = F.when(F.col("last").isNotNull(), F.struct(F.col("last.mjd").alias("mjd"), (-F.col("last.f")).alias("flux"), (-F.col("last.e")).alias("flux_err")))
+    one = F.struct("mjd", "flux", "flux_err")
+    to = lambda x: F.when(x.isNotNull(), F.struct(F.abs(F.col("mjd") - x["mjd"]).alias("dt"), one.alias("a"), x.alias("b")))
+    near = met.groupBy(*KEYS, "pair").agg(F.min(F.least(to(before), to(F.col("after")))).alias("m")).where("m is not null")
     f1, e1, f2, e2 = (F.col(f"m.{x}") for x in ("a.flux", "a.flux_err", "b.flux", "b.flux_err"))
     status = F.when(F.col("m.dt") > config.max_color_dt_days, NO_PAIR).when((f1 <= 0) | (f2 <= 0), NON_POSITIVE).otherwise(WELL)
     good = F.col("status") == WELL

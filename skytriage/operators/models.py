@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..config import CLASS_IDS, BaselineConfig
 from ..functions.scalars import clipped_log, hash_uniform, normalized
+from ..sources.shared import kept
 from .discrimination import auc_or_half
-from .population import varying_columns
+from .population import hash_rank, varying_columns
 from .validate import check_boundary, check_classes
 
 MISSING = -1e6
@@ -92,22 +93,22 @@ class SelectionAwareRecalibrator:
             raise RuntimeError("probabilities are recalibrated before the fit")
         rows = self.model.setFeaturesCol("_features").setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_pred").transform(self._features(df)).withColumn("_p", vector_to_array("_p"))
         new = {c: (F.col("_p")[self.classes.index(c)] if c in self.classes else F.lit(0.0)) for c in CLASS_IDS}
-        inside = F.col("hostgal_photoz") <= self.cutoff
-        return rows.withColumns({f"q_{c}": F.when(inside, x).otherwise(F.col(f"p_{c}")) for c, x in new.items()}).drop("_features", "_p", "_raw", "_pred")
+        z = F.col("hostgal_photoz")
+        beyond = (z > self.cutoff) & ~F.isnan(z)  # a redshift that is missing is not beyond
+        return rows.withColumns({f"q_{c}": F.when(beyond, F.col(f"p_{c}")).otherwise(x) for c, x in new.items()}).drop("_features", "_p", "_raw", "_pred")
 
 
 def folds(df: DataFrame, n: int, seed: int, label: str = "y", by: tuple = ()) -> DataFrame:
     """Fold numbers by hash order inside each class (or each group by `by`), so that every fold has each class's share to one object."""
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy(*by or (label,)).orderBy(hash_uniform(seed, F.col("object_id")), "object_id"))
-    return df.withColumn("fold", F.pmod(order - 1, F.lit(n)))
+    groups = {f"_by_{k}": c if isinstance(c, Column) else F.col(c) for k, c in enumerate(by or (label,))}
+    ranked = hash_rank(df.withColumns(groups), hash_uniform(seed, F.col("object_id")), tuple(groups), "fold")
+    return ranked.withColumn("fold", F.pmod(F.col("fold") - 1, F.lit(n)).cast("int")).drop(*groups)
 
 
 def nested_cv(df: DataFrame, features: list[str], target: int, grid: list[BaselineConfig], outer: int = 3, inner: int = 2, seed: int = 42) -> list[tuple[int, BaselineConfig, float]]:
     """(outer fold, best settings inside, AUC of the target outside)."""
     df = folds(df, outer, seed).withColumnRenamed("fold", "outer")
-    df = folds(df, inner, seed + 1).withColumnRenamed("fold", "inner").cache()
+    df = kept(folds(df, inner, seed + 1).withColumnRenamed("fold", "inner"), "folds")
 
     def score(train: DataFrame, test: DataFrame, config: BaselineConfig) -> float:
         model = BaselineClassifier(config).fit_epoch(train, 0.0, features)
@@ -119,5 +120,4 @@ def nested_cv(df: DataFrame, features: list[str], target: int, grid: list[Baseli
         ranked = [(sum(score(train.where(F.col("inner") != i), train.where(F.col("inner") == i), c) for i in range(inner)), -g) for g, c in enumerate(grid)] if len(grid) > 1 else [(0.0, 0)]
         best = grid[-max(ranked)[1]]
         out.append((k, best, score(train, test, best)))
-    df.unpersist()
     return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Features that are identifiable at each epoch; other epochs have the first entry.
+from .shift import percentiles
+
+#: The features that are identifiable at each epoch; other epochs have the first entry.
 SUBSPACES = {
     0.0: ("hostgal_photoz",),
     2.0: ("hostgal_photoz", "alert_snr_0", "snr_growth_rate", "color_pb2_pb3", "color_pb3_pb4"),
@@ -46,5 +48,6 @@ def scale(df: DataFrame, name: str = "novelty") -> float:
 
 def exceedance(inside: DataFrame, outside: DataFrame, name: str = "novelty", level: float = 0.95) -> DataFrame:
     """Share of outside scores above the inside scores' percentile."""
-    edge = inside.agg(F.percentile(name, level).alias("threshold"))
-    return outside.crossJoin(F.broadcast(edge)).groupBy("threshold").agg(F.count("*").alias("n"), (100.0 * F.avg((F.col(name) > F.col("threshold")).cast("double"))).alias("pct_above"))  # one row
+    edge = percentiles(inside, name, [level]).get((), [None])[0]
+    above = F.col(name) > F.lit(edge).cast("double")
+    return outside.agg(F.lit(edge).cast("double").alias("threshold"), F.count("*").alias("n"), (100.0 * F.avg(above.cast("double"))).alias("pct_above"))

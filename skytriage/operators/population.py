@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CLASS_IDS, SelectionConfig
-from ..functions.scalars import hash_uniform, selection_probability
+from ..functions.scalars import hash_uniform, logistic, selection_probability
 
 
 def true_population(meta: DataFrame, classes: tuple[int, ...] = CLASS_IDS) -> DataFrame:
@@ -65,18 +65,27 @@ def selection_curve(df: DataFrame, bins: int = 30, top: float = 1.5) -> DataFram
     return spine.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.try_divide("kept", "n"), F.lit(0.0)).alias("retained"))  # counts: at most `bins` rows
 
 
-#: Scenarios of the retention sweep: the default, and each parameter moved by itself.
+#: Scenarios of the retention sweep (p_floor, p_bright, z_50, w_z), the default and each parameter moved by itself.
 SCENARIOS = (
-    ("default", 0.10, 0.80, 0.5, 0.15), ("floor_low", 0.05, 0.80, 0.5, 0.15), ("floor_high", 0.20, 0.80, 0.5, 0.15), ("bright_low", 0.10, 0.60, 0.5, 0.15), ("bright_high", 0.10, 0.95, 0.5, 0.15),
-    ("z_low", 0.10, 0.80, 0.3, 0.15), ("z_mid_low", 0.10, 0.80, 0.4, 0.15), ("z_mid_high", 0.10, 0.80, 0.6, 0.15), ("z_high", 0.10, 0.80, 0.7, 0.15), ("w_narrow", 0.10, 0.80, 0.5, 0.05), ("w_mid_narrow", 0.10, 0.80, 0.5, 0.10), ("w_mid_wide", 0.10, 0.80, 0.5, 0.20), ("w_wide", 0.10, 0.80, 0.5, 0.30),
+    ("Baseline", 0.10, 0.80, 0.50, 0.15),
+    ("p_floor=0.00", 0.00, 0.80, 0.50, 0.15), ("p_floor=0.05", 0.05, 0.80, 0.50, 0.15), ("p_floor=0.20", 0.20, 0.80, 0.50, 0.15),
+    ("p_bright=0.60", 0.10, 0.60, 0.50, 0.15), ("p_bright=0.95", 0.10, 0.95, 0.50, 0.15),
+    ("z_50=0.30", 0.10, 0.80, 0.30, 0.15), ("z_50=0.40", 0.10, 0.80, 0.40, 0.15), ("z_50=0.60", 0.10, 0.80, 0.60, 0.15), ("z_50=0.80", 0.10, 0.80, 0.80, 0.15),
+    ("w_z=0.05", 0.10, 0.80, 0.50, 0.05), ("w_z=0.10", 0.10, 0.80, 0.50, 0.10), ("w_z=0.25", 0.10, 0.80, 0.50, 0.25),
 )
 
 
 def retention_sweep(pop: DataFrame, scenarios: tuple = SCENARIOS) -> DataFrame:
-    """Expected retention of each scenario, all in one scan."""
+    """Expected retention of each scenario over all, by class, and of the rare classes against the common one, all in one scan.
+
+    A floor of 0 is allowed here, though no selection may have it."""
     z = F.col("hostgal_photoz")
-    means = pop.agg(*(F.avg(selection_probability(z, SelectionConfig(p_floor=a, p_bright=b, z_50=c, w_z=d))).alias(name) for name, a, b, c, d in scenarios))
-    return means.select(F.explode(F.array(*(F.struct(F.lit(s[0]).alias("scenario"), F.col(s[0]).alias("retention")) for s in scenarios))).alias("x")).select("x.*")
+    chance = {k: logistic(z, *x) for k, (_, *x) in enumerate(scenarios)}
+    part = lambda k, c: F.avg(F.when(F.col("true_target") == c, chance[k])).alias(f"r{c}_{k}")
+    s = pop.agg(*(F.avg(x).alias(f"all_{k}") for k, x in chance.items()), *(part(k, c) for k in chance for c in CLASS_IDS))
+    cells = F.array(*(F.struct(F.lit(name).alias("scenario"), F.col(f"all_{k}").alias("retention"), *(F.col(f"r{c}_{k}").alias(f"retention_{c}") for c in CLASS_IDS)) for k, (name, *_) in enumerate(scenarios)))
+    rows = s.select(F.explode(cells).alias("x")).select("x.*")
+    return rows.select("*", *(F.try_divide(f"retention_{c}", "retention_90").alias(f"ratio_{c}_90") for c in (64, 95)))
 
 
 def top_cadences(df: DataFrame, n: int = 10) -> DataFrame:
@@ -97,5 +106,14 @@ def varying_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if found[f"hi_{c}"] is not None and found[f"hi_{c}"] != found[f"lo_{c}"]]
 
 
-def rank_by_hash(df: DataFrame, seed: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("true_target").orderBy(hash_uniform(seed, F.col("object_id")), "object_id")))
+def hash_rank(df: DataFrame, u: Column, by: tuple[str, ...], name: str = "rank", rows: int = 200_000) -> DataFrame:
+    """Rank from 1 by a hash uniform and object_id inside each group: counts of slices of the uniform first, then a window
+    inside each slice of about `rows` rows, so that no group is one task."""
+    slices = max(1, -(-df.count() // rows))
+    df = df.withColumn("_u", u).withColumn("_slice", F.least(F.floor(F.col("_u") * slices), F.lit(slices - 1)))
+    w = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(*by, "_slice").agg(F.count("*").alias("_n")).select(*by, "_slice", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))  # a row for each slice and group
+    same = [df[c].eqNullSafe(F.col(f"_r_{c}")) for c in (*by, "_slice")]
+    joined = df.join(F.broadcast(base.withColumnsRenamed({c: f"_r_{c}" for c in (*by, "_slice")})), same)
+    order = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_u", "object_id"))
+    return joined.withColumn(name, F.col("_base") + order).drop("_u", "_slice", "_base", *(f"_r_{c}" for c in (*by, "_slice")))

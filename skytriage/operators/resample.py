@@ -1,70 +1,240 @@
-"""Bootstraps by hashed Poisson(1) weights: each replicate counts each object so many times.
+"""Bootstraps by hashed Poisson weights: each replicate counts each object so many times.
 
-Replicates are exploded beside the objects and summed by replicate, one shuffle of partial sums; the weights depend on
-(seed, replicate, object) alone. The total weight varies between replicates, so means are taken over weights."""
+A weight depends on (seed, replicate, object) alone. Sums by replicate are folded where the rows lie: a task draws the
+weights of a batch as a matrix, objects by replicates, and keeps the weighted sums of each cell, so that rows are not
+copied and a task sends a row for each replicate and cell. What needs whole samples (medians, distances) takes a bounded
+subsample of each replicate instead. The total weight varies between replicates, so means are taken over weights."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DecisionConfig
-from ..functions.scalars import hash_uniform, poisson_one
-from .calibration import murphy
-from .decision import regret
-from .discrimination import auc
+from ..functions.scalars import MIX_ALL, MIX_ONE, MIX_STEP, MIX_TWO, draw_keys, mixed, poisson, poisson_steps
+from ..sources.shared import kept
+from .calibration import decomposed, long_probabilities
+from .decision import regret_of_sums
+from .shift import quantile_cuts, range_of
+
+#: Draws that a task makes at a time.
+DRAWS = 1 << 21
+#: Objects in a subsample of the shift's bootstrap, and its replicates that distances are taken of.
+SUBSAMPLE, DISTANCES = 5000, 100
 
 
-def replicates(df: DataFrame, n: int, seed: int = 42, key: str = "object_id") -> DataFrame:
+def replicates(df: DataFrame, n: int, seed: int = 42, key: str = "object_id", rate: float = 1.0) -> DataFrame:
     """df once for each replicate, with its weight; rows of weight 0 are left out."""
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.withColumn("weight", poisson_one(hash_uniform(seed, F.col("replicate"), F.col(key)))).where("weight > 0")
+    one, two = draw_keys(seed)
+    k = F.col(key).cast("long")
+    df = mixed(df.withColumn("_a", k.bitwiseAND(F.lit(MIX_ALL)).bitwiseXOR(F.lit(one))), "_a")
+    df = mixed(df.withColumn("_b", F.shiftright(k, 32).bitwiseAND(F.lit(MIX_ALL)).bitwiseXOR(F.col("_a")).bitwiseXOR(F.lit(two))), "_b")
+    df = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    df = mixed(df.withColumn("_h", (F.col("_a") + F.col("replicate") * F.lit(MIX_STEP)).bitwiseAND(F.lit(MIX_ALL))), "_h")
+    df = mixed(df.withColumn("_h", F.col("_h").bitwiseXOR(F.col("_b"))), "_h")
+    return df.withColumn("weight", poisson(F.col("_h") / F.lit(4294967296.0), rate)).drop("_a", "_b", "_h").where("weight > 0")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint32(16)) * np.uint32(MIX_ONE)
+    x = (x ^ x >> np.uint32(15)) * np.uint32(MIX_TWO)
+    return x ^ x >> np.uint32(15)
+
+
+def weights(keys: np.ndarray, n: int, seed: int, rate: float = 1.0) -> np.ndarray:
+    """The weights of replicates(), as a matrix of objects by replicates."""
+    one, two = draw_keys(seed)
+    k = keys.astype(np.int64).view(np.uint64)
+    a = _mix((k & np.uint64(MIX_ALL)).astype(np.uint32) ^ np.uint32(one))
+    b = _mix((k >> np.uint64(32)).astype(np.uint32) ^ a ^ np.uint32(two))
+    step = np.arange(n, dtype=np.uint32) * np.uint32(MIX_STEP)
+    h = _mix(_mix(a[:, None] + step) ^ b[:, None])
+    out = np.zeros(h.shape, np.uint8)
+    for c in poisson_steps(rate):
+        least = math.ceil(c * 2**32)
+        if least <= MIX_ALL:
+            out += h >= np.uint32(least)
+    return out
+
+
+def folded(df: DataFrame, n: int, cells: list[str], values: list[str], seed: int = 42, key: str = "object_id", rate: float = 1.0) -> DataFrame:
+    """Rows (replicate, cells..., weight, values...): sums of weights, and of weighted values, nulls being 0.
+
+    Cells are few (classes, bins); a task holds `n` numbers for each cell and value."""
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            matrix = np.stack([np.ones(batch.num_rows), *(pc.fill_null(batch.column(1 + len(cells) + i), 0.0).to_numpy(zero_copy_only=False) for i in range(len(values)))], 1)
+            names = list(zip(*(batch.column(1 + i).to_pylist() for i in range(len(cells))), strict=True)) if cells else [()] * batch.num_rows
+            number: dict[tuple, int] = {}
+            which = np.array([number.setdefault(x, len(number)) for x in names])
+            order = np.argsort(which, kind="stable")
+            for at in range(0, len(order), max(1, DRAWS // n)):
+                own = order[at : at + max(1, DRAWS // n)]
+                w, cell = weights(keys[own], n, seed, rate).astype(np.float64), which[own]
+                first = np.flatnonzero(np.diff(cell, prepend=-1))
+                for x, y in zip(first, [*first[1:], len(cell)], strict=True):
+                    part = matrix[own[x:y]].T @ w[x:y]
+                    name = names[own[x]]
+                    held[name] = held[name] + part if name in held else part
+        for name, sums in held.items():
+            columns = [pa.array([v] * n, t) for v, t in zip(name, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), *columns, *map(pa.array, sums)], ["replicate", *cells, "weight", *values])
+
+    picked = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), *cells, *(F.col(v).cast("double").alias(v) for v in values))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = [to_arrow_schema(picked.schema).field(c).type for c in cells]
+    schema = ", ".join(["replicate int", *(f"{c} {kinds[c]}" for c in cells), "weight double", *(f"{v} double" for v in values)])
+    return picked.mapInArrow(run, schema).groupBy("replicate", *cells).agg(*(F.sum(c).alias(c) for c in ("weight", *values)))
 
 
 def interval(df: DataFrame, value: str, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a statistic over replicates."""
+    """Percentile interval of a statistic over replicates, which are few."""
     a = (1 - level) / 2
     return df.where(F.col(value).isNotNull()).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(a), F.lit(1 - a))).alias("_q")).select("n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
 def mean(df: DataFrame, value: str, n: int, seed: int = 42) -> DataFrame:
-    w = F.col("weight")
-    return replicates(df, n, seed).groupBy("replicate").agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value))
+    return folded(df, n, [], [value], seed).select("replicate", (F.col(value) / F.col("weight")).alias(value))
 
 
-def calibration(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Decomposition of each replicate."""
-    return murphy(replicates(df, n, seed), ("replicate",), F.col("weight"))
+def calibration(df: DataFrame, n: int, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """Decomposition of each replicate (and group)."""
+    long = long_probabilities(df, ["object_id", *by], binned=True)
+    s = folded(long, n, [*by, "class_id", "bin"], ["p", "hit"], seed).where("weight > 0")
+    b = s.select("replicate", *by, "class_id", "bin", F.col("weight").alias("n"), (F.col("p") / F.col("weight")).alias("mean_pred"), (F.col("hit") / F.col("weight")).alias("mean_obs"))
+    return decomposed(b, ("replicate", *by))
 
 
-def paired(df: DataFrame, first: str, second: str, n: int, seed: int = 42) -> DataFrame:
-    """Difference of two per-object values under the same weights."""
-    w = F.col("weight")
-    return replicates(df, n, seed).groupBy("replicate").agg((F.sum(w * (F.col(first) - F.col(second))) / F.sum(w)).alias("delta"))
+def paired(df: DataFrame, arm: str, raw, new, gap: str, n: int, seed: int = 42) -> DataFrame:
+    """What the new arm's rows gain on the raw one's in Brier score (the mean of `gap`), reliability and ECE, under the
+    same weights."""
+    both = df.where(F.col(arm).isin(raw, new))
+    score = folded(both, n, [arm], [gap], seed).select("replicate", arm, (F.col(gap) / F.col("weight")).alias("brier"))
+    rows = score.join(calibration(both, n, seed, (arm,)), ["replicate", arm])
+    of = lambda c, v: F.max(F.when(F.col(arm) == v, F.col(c)))
+    return rows.groupBy("replicate").agg(*((of(c, raw) - of(c, new)).alias(f"{k}_gain") for k, c in (("brier", "brier"), ("reliability", "reliability"), ("ece", "mean_ece"))))
 
 
 def shift(df: DataFrame, x: str, flag: str, n: int, seed: int = 42) -> DataFrame:
-    """Difference of means of the flagged rows and all, and of its standardized form, by replicate."""
-    w, v = F.col("weight"), F.col(x)
-    own = F.when(F.col(flag) == 1, w).otherwise(0)
-    s = replicates(df, n, seed).groupBy("replicate").agg(F.sum(w).alias("n1"), F.sum(own).alias("n2"), F.sum(w * v).alias("a1"), F.sum(own * v).alias("a2"), F.sum(w * v * v).alias("b1"), F.sum(own * v * v).alias("b2"))
-    m1, m2 = F.col("a1") / F.col("n1"), F.col("a2") / F.col("n2")
-    s1, s2 = F.col("b1") - F.col("n1") * m1 * m1, F.col("b2") - F.col("n2") * m2 * m2
-    pooled = F.sqrt((s1 + s2) / (F.col("n1") + F.col("n2") - 2))
-    return s.select("replicate", (m2 - m1).alias("mean_shift"), F.try_divide(m2 - m1, pooled).alias("cohens_d"))
-
-
-def ranking(df: DataFrame, score: str, n: int, seed: int = 42) -> DataFrame:
-    """AUC and average precision by replicate; replicates of one class have none."""
-    rows = auc(replicates(df, n, seed), score, by=("replicate",), weight=F.col("weight"))
-    return rows.select("replicate", "roc_auc", "avg_precision")
+    """Of each replicate: difference of means and medians of the flagged rows and all, and Cohen's d; of the first
+    DISTANCES also Wasserstein distance, divergence in 100 bins and Kolmogorov-Smirnov statistic.
+
+    All rows and the flagged ones are drawn apart from each other, SUBSAMPLE objects of each at most (in the mean)."""
+    df = df.where(F.col(x).isNotNull()).select("object_id", F.col(x).cast("double").alias("x"), F.col(flag).cast("int").alias("flag"))
+    n1, n2 = df.agg(F.count("*"), F.count_if(F.col("flag") == 1)).first()
+    part = lambda rows, seed, size, t: replicates(rows, n, seed, rate=min(1.0, SUBSAMPLE / max(size, 1))).select("replicate", "x", *(F.col("weight") if k == t else F.lit(0) for k in (0, 1))).toDF("replicate", "x", "t", "b")
+    rows = part(df, seed, n1, 0).unionByName(part(df.where("flag = 1"), seed + 1, n2, 1))
+    rows = kept(rows.groupBy("replicate", "x").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "shift-draws")  # bounded by the subsample
+    t, b, v = F.col("t"), F.col("b"), F.col("x")
+    s = rows.groupBy("replicate").agg(F.sum(t).alias("n1"), F.sum(b).alias("n2"), F.sum(t * v).alias("a1"), F.sum(b * v).alias("a2"), F.sum(t * v * v).alias("b1"), F.sum(b * v * v).alias("b2"), F.percentile("x", 0.5, t).alias("q1"), F.percentile("x", 0.5, b).alias("q2"))
+    m1, m2 = F.try_divide("a1", "n1"), F.try_divide("a2", "n2")
+    pooled = F.sqrt((F.col("b1") - F.col("n1") * m1 * m1 + F.col("b2") - F.col("n2") * m2 * m2) / (F.col("n1") + F.col("n2") - 2))
+    moments = s.select("replicate", (m2 - m1).alias("mean_shift"), (F.col("q2") - F.col("q1")).alias("median_shift"), F.when(pooled > 0, (m2 - m1) / pooled).otherwise(0.0).alias("cohens_d"))
+
+    own = Window.partitionBy("replicate")
+    up = own.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.where(F.col("replicate") < DISTANCES)
+    near = near.withColumns({"gap": F.abs(F.sum("t").over(up) / F.sum("t").over(own) - F.sum("b").over(up) / F.sum("b").over(own)), "step": F.lead("x").over(own.orderBy("x")) - v, "lo": F.min("x").over(own), "hi": F.max("x").over(own)})
+    apart = near.groupBy("replicate").agg(F.sum(F.col("gap") * F.coalesce("step", F.lit(0.0))).alias("wasserstein"), F.max("gap").alias("ks"))
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100), F.lit(99))).otherwise(0)
+    cells = near.groupBy("replicate", bin_.alias("bin")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    cells = cells.select("replicate", (t / F.sum("t").over(own)).alias("p"), (b / F.sum("b").over(own)).alias("q"))
+    p, q = F.col("p"), F.col("q")
+    term = lambda a: F.when(a > 0, a * F.log2(a / ((p + q) / 2))).otherwise(0.0)
+    js = cells.groupBy("replicate").agg((F.sum(term(p) + term(q)) / 2.0).alias("js"))
+    return moments.join(apart, "replicate", "left").join(js, "replicate", "left").select("replicate", "mean_shift", "median_shift", "cohens_d", "wasserstein", "js", "ks")
+
+
+def ranking(df: DataFrame, score: str, n: int, seed: int = 42, hit: str = "hit") -> DataFrame:
+    """AUC and average precision by replicate, tie-averaged and step-wise; replicates of one class have none.
+
+    Rows go to ranges of the score. Folded totals of the ranges above come first, then each range's rows from the top:
+    only the rows themselves are shuffled, once, whatever the number of replicates."""
+    rows = df.select(F.col("object_id").cast("long").alias("object_id"), F.col(score).cast("double").alias("x"), F.col(hit).cast("double").alias("hit"))
+    rows = kept(rows.where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("object_id").isNotNull()), "ranking")
+    rows = rows.withColumn("_range", range_of(F.col("x"), quantile_cuts(rows, "x", rows.count())))
+    totals = kept(folded(rows, n, ["_range"], ["hit"], seed), "ranking-totals")  # a row for each range and replicate
+    above = Window.partitionBy("replicate").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0.0))
+    base = totals.select(F.col("replicate").cast("long").alias("object_id"), before("hit").alias("x"), (before("weight") - before("hit")).alias("hit"), "_range", F.lit(0).alias("kind"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wins, ap = np.zeros(n), np.zeros(n)
+        tp, fp = np.zeros(n), np.zeros(n)
+        held: list = [None, np.zeros(n), np.zeros(n)]  # the last score met, which may go on
+        now = None
+
+        def close() -> None:
+            nonlocal tp, fp, wins, ap
+            if held[0] is not None:
+                tp, fp = tp + held[1], fp + held[2]
+                wins = wins + held[2] * (tp - held[1] / 2)
+                ap = ap + held[1] * np.divide(tp, tp + fp, out=np.zeros(n), where=tp + fp > 0)
+            held[0] = None
+
+        for batch in batches:
+            ranges, kind, key, x, hits = (batch.column(c).to_numpy() for c in ("_range", "kind", "object_id", "x", "hit"))
+            for at in np.flatnonzero((np.diff(ranges, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)) if batch.num_rows else ():
+                to = at + int(np.argmax(np.append((ranges[at:] != ranges[at]) | (kind[at:] != kind[at]), True)))
+                if ranges[at] != now:
+                    close()
+                    now, tp, fp = ranges[at], np.zeros(n), np.zeros(n)
+                if not kind[at]:
+                    tp[key[at:to]], fp[key[at:to]] = x[at:to], hits[at:to]
+                    continue
+                for a in range(at, to, max(1, DRAWS // n)):
+                    b = min(to, a + max(1, DRAWS // n))
+                    w = weights(key[a:b], n, seed).astype(np.float64)
+                    first = np.flatnonzero(np.diff(x[a:b], prepend=np.nan) != 0)
+                    up = np.add.reduceat(w * hits[a:b, None], first, axis=0)
+                    down = np.add.reduceat(w * (1 - hits[a:b, None]), first, axis=0)
+                    if held[0] == x[a]:
+                        up[0] += held[1]
+                        down[0] += held[2]
+                        held[0] = None
+                    close()
+                    if len(first) > 1:
+                        t, f = tp + np.cumsum(up[:-1], axis=0), fp + np.cumsum(down[:-1], axis=0)
+                        wins = wins + (down[:-1] * (t - up[:-1] / 2)).sum(axis=0)
+                        ap = ap + (up[:-1] * np.divide(t, t + f, out=np.zeros_like(t), where=t + f > 0)).sum(axis=0)
+                        tp, fp = t[-1], f[-1]
+                    held[:] = [x[b - 1], up[-1], down[-1]]
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(wins), pa.array(ap)], ["replicate", "wins", "ap"])
+
+    lined = rows.select("object_id", "x", "hit", "_range", F.lit(1).alias("kind")).unionByName(base).repartition("_range").sortWithinPartitions("_range", "kind", F.desc("x"))
+    sums = lined.mapInArrow(run, "replicate int, wins double, ap double").groupBy("replicate").agg(F.sum("wins").alias("wins"), F.sum("ap").alias("ap"))
+    whole = totals.groupBy("replicate").agg(F.sum("hit").alias("n_pos"), F.sum(F.col("weight") - F.col("hit")).alias("n_neg"))
+    some = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return sums.join(whole, "replicate").select("replicate", F.when(some, F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"), F.when(some, F.col("ap") / F.col("n_pos")).alias("avg_precision"))
 
 
 def decisions(rows: DataFrame, k: int, n: int, seed: int = 42, config: DecisionConfig = DecisionConfig()) -> DataFrame:  # noqa: B008
     """Regret by replicate with actions held fixed."""
-    return regret(replicates(rows, n, seed), k, config, ("replicate",), F.col("weight"))
+    s = folded(rows, n, ["triggered", "is_target"], ["utility"], seed)
+    w, t, g = F.col("weight"), F.col("triggered"), F.col("is_target")
+    of = lambda cond: F.sum(F.when(cond, w).otherwise(0.0))
+    sums = s.groupBy("replicate").agg(
+        F.sum("utility").alias("u_policy"), of(g).alias("n_targets"), of(~g).alias("n_others"), of(t & g).alias("hits"), of(t & ~g).alias("false_triggers"), (of(g) * F.lit(config.u_fn) + of(~g) * F.lit(config.u_tn)).alias("u_no_trigger"),
+    )
+    return regret_of_sums(sums, k, config)
 
 
 def retention(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    w = F.col("weight")
-    return replicates(df, n, seed).groupBy("replicate", "true_target").agg((F.sum(w * F.col("S")) / F.sum(w)).alias("retention"))
+    """Retention of each class and the shift of its share, by replicate."""
+    s = folded(df, n, ["true_target"], ["S"], seed).where("weight > 0")
+    own = Window.partitionBy("replicate")  # a row for each class
+    return s.select("replicate", "true_target", (F.col("S") / F.col("weight")).alias("retention"), (F.try_divide("S", F.sum("S").over(own)) - F.col("weight") / F.sum("weight").over(own)).alias("share_shift"))

@@ -1,57 +1,92 @@
 """Distances between two samples, exact and without a window over a single partition.
 
-Values are counted first, so that ties are one row. Cumulative counts come from two levels: counts of a few hundred
-ranges between sampled cuts, summed on the driver, and a window inside each range."""
+Values are counted first, so that ties are one row, and written once. Cumulative counts come from two levels: totals of
+ranges between approximate quantiles, and a window inside each range. There are as many ranges as the values need."""
 
 from __future__ import annotations
 
-from itertools import accumulate
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..sources.shared import kept
 
+#: Distinct values in a range at about, fewest and most ranges.
+RANGE_VALUES, FEWEST, MOST = 100_000, 8, 1024
 
-def _range_of(x: Column, cuts: list[float], low: int = 0) -> Column:
+
+def range_of(x: Column, cuts: list[float], low: int = 0) -> Column:
+    """Number of cuts at or below x, as a balanced tree of comparisons."""
     if not cuts:
         return F.lit(low)
     mid = len(cuts) // 2
-    return F.when(x >= F.lit(cuts[mid]), _range_of(x, cuts[mid + 1 :], low + mid + 1)).otherwise(_range_of(x, cuts[:mid], low))
+    return F.when(x >= F.lit(cuts[mid]), range_of(x, cuts[mid + 1 :], low + mid + 1)).otherwise(range_of(x, cuts[:mid], low))
+
 
+def quantile_cuts(df: DataFrame, x: str, n: int) -> list[float]:
+    """Cuts of x into ranges for n rows, near the quantiles; the exact counts come later, so they need not be exact."""
+    ranges = max(FEWEST, min(MOST, -(-n // RANGE_VALUES)))
+    marks = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    return sorted({float(v) for v in df.agg(F.percentile_approx(F.col(x).cast("double"), marks, max(1000, 10 * ranges))).first()[0] or ()})
 
-def cumulative(df: DataFrame, x: str, sums: dict[str, Column], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
-    """A row per distinct value of x (and of `by`) with the sums of its rows and, as cum_<name>, of all rows up to it.
 
-    Nulls and NaN are left out."""
+def _grouped(df: DataFrame, x: str, sums: dict[str, Column], by: tuple[str, ...]) -> DataFrame:
+    """A row per distinct value of x (and of `by`) with the sums of its rows and its range. Nulls and NaN are left out."""
     df = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
-    each = df.groupBy(*by, x).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
-    cuts = sorted({float(v) for v in each.agg(F.percentile_approx(F.col(x).cast("double"), F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 10000)).first()[0] or ()})
-    each = each.withColumn("_range", _range_of(F.col(x).cast("double"), cuts))
-    totals = each.groupBy(*by, "_range").agg(*(F.sum(k).alias(k) for k in sums)).collect()  # at most RANGES rows for each group
-    groups: dict[tuple, dict[int, list]] = {}
-    for r in totals:
-        groups.setdefault(tuple(r[b] for b in by), {})[r["_range"]] = [r[k] for k in sums]
-    rows = []
+    each = kept(df.groupBy(*by, x).agg(*(F.sum(c).alias(k) for k, c in sums.items())), "grouped-values")
+    return each.withColumn("_range", range_of(F.col(x).cast("double"), quantile_cuts(each, x, each.count())))
+
+
+def cumulative(df: DataFrame, x: str, sums: dict[str, Column], by: tuple[str, ...] = (), descending: bool = False, totals: bool = False) -> DataFrame:
+    """A row per distinct value of x (and of `by`) with the sums of its rows, of all rows up to it as cum_<name> and, if
+    asked for, of all rows as all_<name>. Nulls and NaN are left out."""
+    each = _grouped(df, x, sums, by)
+    part = each.groupBy(*by, "_range").agg(*(F.sum(k).alias(f"_t_{k}") for k in sums))  # a row for each range and group
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    base = part.select(*by, "_range", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in sums), *(F.sum(f"_t_{k}").over(whole).alias(f"all_{k}") for k in sums))
+    w = Window.partitionBy(*by, "_range").orderBy(F.desc(x) if descending else F.asc(x)).rowsBetween(Window.unboundedPreceding, 0)
+    out = each.join(F.broadcast(base), [*by, "_range"])  # at most MOST rows for each group
+    cum = [(F.col(f"_base_{k}") + F.sum(k).over(w)).alias(f"cum_{k}") for k in sums]
+    return out.select(*by, x, "_range", *sums, *cum, *(f"all_{k}" for k in sums if totals))
+
+
+def percentiles(df: DataFrame, x: str, shares: list[float], by: tuple[str, ...] = ()) -> dict[tuple, list[float]]:
+    """Exact percentiles with linear interpolation by group; a group without values has no entry.
+
+    Totals by range tell where a rank lies, and only those ranges are ordered: two numbers for each share reach the driver."""
+    each = _grouped(df, x, {"_n": F.lit(1)}, by)
+    groups: dict[tuple, dict[int, int]] = {}
+    for r in each.groupBy(*by, "_range").agg(F.sum("_n").alias("n")).collect():  # a row for each range and group
+        groups.setdefault(tuple(r[b] for b in by), {})[r["_range"]] = r["n"]
+    kinds, wanted, places = dict(each.dtypes), [], {}
     for key, held in groups.items():
-        order = sorted(held, reverse=descending)
-        before = list(accumulate([[0] * len(sums), *(held[k] for k in order)], lambda a, b: [x + y for x, y in zip(a, b, strict=True)]))
-        rows += [(*key, k, *before[i]) for i, k in enumerate(order)]
-    kinds = dict(each.dtypes)
-    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "_range int", *(f"_base_{k} {kinds[k]}" for k in sums)])
-    base = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # RANGES rows for each group
-    order = F.desc(x) if descending else F.asc(x)
-    w = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = each.join(base, [*by, "_range"])
-    return out.select(*by, x, *sums, *((F.col(f"_base_{k}") + F.sum(k).over(w)).alias(f"cum_{k}") for k in sums))
+        total = sum(held.values())
+        places[key] = [q * (total - 1) for q in shares]
+        for rank in sorted({f(p) for p in places[key] for f in (math.floor, math.ceil)}):
+            below = 0
+            for k in sorted(held):
+                if rank < below + held[k]:
+                    wanted.append((*key, k, rank - below, rank))
+                    break
+                below += held[k]
+    if not wanted:
+        return {}
+    asked = df.sparkSession.createDataFrame(wanted, ", ".join([*(f"{b} {kinds[b]}" for b in by), "_range int, _place long, _rank long"]))
+    own = [*by, "_range"]
+    w = Window.partitionBy(*own).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    lined = each.join(F.broadcast(asked.select(*own).distinct()), own, "left_semi").withColumn("_cum", F.sum("_n").over(w))
+    found = lined.join(F.broadcast(asked), own).where("_place < _cum and _place >= _cum - _n").select(*by, "_rank", F.col(x).cast("double").alias("_x")).collect()
+    at = {(tuple(r[b] for b in by), r["_rank"]): r["_x"] for r in found}
+    of = lambda key, p: at[key, math.floor(p)] + (at[key, math.ceil(p)] - at[key, math.floor(p)]) * (p - math.floor(p))
+    return {key: [of(key, p) for p in ps] for key, ps in places.items()}
 
 
 def _both(df: DataFrame, x: str, flag: str, by: tuple[str, ...]) -> DataFrame:
     """Distribution functions of the whole sample (t) and of its flagged part (b) at each value."""
     one = F.when(F.col(flag) == 1, 1).otherwise(0)
-    rows = cumulative(df, x, {"t": F.lit(1), "b": one}, by)
-    total = rows.groupBy(*by).agg(F.max("cum_t").alias("n_t"), F.max("cum_b").alias("n_b"))
-    rows = rows.join(F.broadcast(total), list(by)) if by else rows.crossJoin(F.broadcast(total))  # a row for each group
+    rows = cumulative(df, x, {"t": F.lit(1), "b": one}, by, totals=True).withColumnsRenamed({"all_t": "n_t", "all_b": "n_b"})
     return rows.withColumns({"f_t": F.col("cum_t") / F.col("n_t"), "f_b": F.try_divide("cum_b", "n_b")})
 
 
@@ -60,26 +95,21 @@ def ks(df: DataFrame, x: str, flag: str = "S", by: tuple[str, ...] = ()) -> Data
     return _both(df, x, flag, by).groupBy(*by).agg(F.max("n_t").alias("n_true"), F.max("n_b").alias("n_biased"), F.max(F.abs(F.col("f_t") - F.col("f_b"))).alias("ks"))
 
 
-def ks_p_value(d: float, n: int, m: int) -> float:
-    """Asymptotic two-sided p-value."""
-    import math
-
-    en = math.sqrt(n * m / (n + m))
+def ks_p_value(d: Column, n: Column, m: Column, terms: int = 40) -> Column:
+    """Asymptotic two-sided p-value of a statistic d of samples of n and m: the alternating series of exponentials."""
+    en = F.sqrt(n * m / (n + m))
     t = (en + 0.12 + 0.11 / en) * d
-    if t < 0.2:
-        return 1.0
-    return max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))))
+    tail = sum(F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * t * t) for k in range(1, terms + 1))
+    return F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
 def wasserstein(df: DataFrame, x: str, flag: str = "S") -> DataFrame:
     """Area between the two distribution functions. The step to the next value is a window inside a range, whose last
-    value takes the next range's first from a table of RANGES rows."""
+    value takes the next range's first from a table of a row for each range."""
     rows = _both(df, x, flag, ())
-    cuts = sorted({float(v) for v in rows.agg(F.percentile_approx(x, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 10000)).first()[0] or ()})
-    rows = rows.withColumn("_range", _range_of(F.col(x), cuts))
-    firsts = sorted((r["_range"], r["x0"]) for r in rows.groupBy("_range").agg(F.min(x).alias("x0")).collect())
-    ahead = [(k, firsts[i + 1][1] if i + 1 < len(firsts) else None) for i, (k, _) in enumerate(firsts)]
-    rows = rows.join(F.broadcast(df.sparkSession.createDataFrame(ahead, "_range int, _ahead double")), "_range")
+    ahead = rows.groupBy("_range").agg(F.min(x).alias("_first"))
+    ahead = ahead.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_ahead"))
+    rows = rows.join(F.broadcast(ahead), "_range")
     after = F.coalesce(F.lead(x).over(Window.partitionBy("_range").orderBy(x)), F.col("_ahead"))
     return rows.withColumn("step", after - F.col(x)).agg(F.sum(F.abs(F.col("f_t") - F.col("f_b")) * F.coalesce("step", F.lit(0.0))).alias("wasserstein"))
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import SelectionConfig
 from ..functions.scalars import selection_probability
+from .shift import percentiles
 
 
 def weight_diagnostics(df: DataFrame, w: str = "w") -> DataFrame:
     c = F.col(w)
-    s = df.agg(F.count(w).alias("n"), F.min(w).alias("w_min"), F.median(w).alias("w_median"), F.percentile(w, 0.95).alias("w_p95"), F.max(w).alias("w_max"), F.avg(w).alias("w_mean"), F.stddev_pop(w).alias("w_std"), F.sum(w).alias("s1"), F.sum(c * c).alias("s2"))
+    middle, high = percentiles(df, w, [0.5, 0.95]).get((), [None, None])
+    s = df.agg(F.count(w).alias("n"), F.min(w).alias("w_min"), F.lit(middle).cast("double").alias("w_median"), F.lit(high).cast("double").alias("w_p95"), F.max(w).alias("w_max"), F.avg(w).alias("w_mean"), F.stddev_pop(w).alias("w_std"), F.sum(w).alias("s1"), F.sum(c * c).alias("s2"))
     out = s.withColumn("cv", F.try_divide("w_std", "w_mean")).withColumn("ess", F.try_divide(F.col("s1") * F.col("s1"), "s2"))
     return out.withColumn("ess_fraction", F.try_divide("ess", F.col("n"))).drop("s1", "s2")
 

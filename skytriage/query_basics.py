@@ -73,19 +73,12 @@ def strip(spark, sf_dir):
 @query("p5_global_cutoff", f"WITH {OBS_SQL}, c AS (SELECT quantile_cont(mjd, 0.25) AS cut FROM obs) SELECT passband, count(*) AS n FROM obs, c WHERE mjd <= cut GROUP BY ALL")
 def global_cutoff(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    cut = obs.agg(F.percentile("mjd", 0.25)).first()[0]
+    cut = shift.percentiles(obs, "mjd", [0.25])[()][0]
     return asof.truncate_at_mjd(obs, cut).groupBy("passband").agg(F.count("*").alias("n"))
 
 
-@query("p6_object_cutoffs", f"WITH {T0_SQL} SELECT object_id, count(*) AS n FROM obs JOIN t0s USING (object_id) WHERE object_id % 2 = 0 AND mjd <= t0 + 3.5::DOUBLE GROUP BY 1")
+@query("p6_object_cutoffs", f"WITH {T0_SQL} SELECT object_id, count(*) AS n FROM obs JOIN t0s USING (object_id) WHERE t0 IS NOT NULL AND mjd <= t0 + 3.5::DOUBLE GROUP BY 1")
 def object_cutoffs(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    cut = asof.first_detection(obs).where("object_id % 2 = 0 and t0 is not null").select("object_id", (F.col("t0") + 3.5).alias("cutoff"))
-    return asof.truncate_at_mjd(obs, cut).groupBy("object_id").agg(F.count("*").alias("n"))
-
-
-@query("p6_all_object_cutoffs", f"WITH {T0_SQL} SELECT object_id, count(*) AS n FROM obs JOIN t0s USING (object_id) WHERE t0 IS NOT NULL AND mjd <= t0 + 3.5::DOUBLE GROUP BY 1")
-def all_object_cutoffs(spark, sf_dir):
     """Every object with a detection has a cutoff; those without one drop out."""
     obs = observations(spark, sf_dir)
     cut = asof.first_detection(obs).where("t0 is not null").select("object_id", (F.col("t0") + 3.5).alias("cutoff"))
@@ -129,7 +122,7 @@ def colors(spark, sf_dir):
     return rounded(rows.select("object_id", color(f1, f2).alias("color"), color_error(f1, e1, f2, e2).alias("color_err")))
 
 
-@query("f5_normalized_probabilities", f"WITH {SEL_SQL} SELECT object_id, round(CASE WHEN t > 0 THEN a / t ELSE 1.0::DOUBLE / 3 END, 6) AS p_64, round(CASE WHEN t > 0 THEN b / t ELSE 1.0::DOUBLE / 3 END, 6) AS p_90, round(CASE WHEN t > 0 THEN c / t ELSE 1.0::DOUBLE / 3 END, 6) AS p_95 FROM (SELECT *, a + b + c AS t FROM (SELECT object_id, CASE WHEN mwebv < 0.02 THEN 0.0::DOUBLE ELSE p_spec END AS a, CASE WHEN mwebv < 0.02 THEN 0.0::DOUBLE ELSE mwebv END AS b, CASE WHEN mwebv < 0.02 THEN 0.0::DOUBLE ELSE hostgal_photoz END AS c FROM sel))")
+@query("f5_normalized_probabilities", f"WITH {SEL_SQL} SELECT object_id, round(CASE WHEN t > 0 THEN a / t ELSE 0.0::DOUBLE END, 6) AS p_64, round(CASE WHEN t > 0 THEN b / t ELSE 0.0::DOUBLE END, 6) AS p_90, round(CASE WHEN t > 0 THEN c / t ELSE 0.0::DOUBLE END, 6) AS p_95 FROM (SELECT *, a + b + c AS t FROM (SELECT object_id, CASE WHEN mwebv < 0.02 THEN 0.0::DOUBLE ELSE p_spec END AS a, CASE WHEN mwebv < 0.02 THEN 0.0::DOUBLE ELSE mwebv END AS b, CASE WHEN mwebv < 0.02 THEN 0.0::DOUBLE ELSE hostgal_photoz END AS c FROM sel))")
 def shares(spark, sf_dir):
     some = F.col("mwebv") >= 0.02
     parts = [F.when(some, F.col(c)).otherwise(0.0) for c in ("p_spec", "mwebv", "hostgal_photoz")]
@@ -176,25 +169,72 @@ def order(spark, sf_dir):
     return rounded(observations(spark, sf_dir).select("object_id", "mjd", F.row_number().over(Window.partitionBy("object_id").orderBy("mjd")).alias("place")))
 
 
-@query("b10_auc_or_half", "SELECT 'one_class' AS rows, 0.5::DOUBLE AS auc")
+_HITS = {"one_class": "y = 64", "none": "y = 64 AND epoch < 0", "all": "epoch = 2"}
+_B10 = " UNION ALL ".join(f"SELECT '{k}' AS rows, coalesce(round(sum(fp * (ctp - tp / 2.0::DOUBLE)) / CASE WHEN sum(tp) > 0 AND sum(fp) > 0 THEN sum(tp)::DOUBLE * sum(fp) END, 6), 0.5::DOUBLE) AS auc FROM (SELECT *, sum(tp) OVER (ORDER BY p_64 DESC) AS ctp FROM (SELECT p_64, count(*) FILTER (y = 64) AS tp, count(*) FILTER (y <> 64) AS fp FROM scored WHERE {c} GROUP BY 1))" for k, c in _HITS.items())
+
+
+@query("b10_auc_or_half", f"WITH {SCORED_SQL} {_B10}")
 def auc_or_half(spark, sf_dir):
-    one = scored(spark, sf_dir).where("y = 64").withColumn("hit", F.lit(1).cast("long"))
-    return spark.createDataFrame([("one_class", D.auc_or_half(one, "p_64"))], "rows string, auc double")
+    rows = scored(spark, sf_dir).withColumn("hit", (F.col("y") == 64).cast("long"))
+    return rounded(spark.createDataFrame([(k, D.auc_or_half(rows.where(c), "p_64")) for k, c in _HITS.items()], "rows string, auc double"))
+
 
+def _choose_sql(u: str, values: list, shares: list[float]) -> str:
+    total, out = 0.0, "CASE"
+    for v, p in zip(values[:-1], shares, strict=False):
+        total += p
+        out += f" WHEN {u} < {total!r}::DOUBLE THEN {v}"
+    return f"{out} ELSE {values[-1]} END"
 
-_U = uniform_sql("'42:' || id")
-_DET = "CASE WHEN u < 0.4::DOUBLE THEN 1 WHEN u < 0.6000000000000001::DOUBLE THEN 2 WHEN u < 0.7500000000000001::DOUBLE THEN 2 WHEN u < 0.8500000000000001::DOUBLE THEN 3 WHEN u < 0.9500000000000001::DOUBLE THEN 4 ELSE 6 END"
 
+def _sampled_sql(n: int, epoch: float, cls: int) -> str:
+    """Rows (object_id, n_det, n_passbands, det_span_days), the reference's cases by epoch and class."""
+    u, v, w = (uniform_sql(f"'42{x}:' || object_id") for x in "cbs")
+    ids = f"(SELECT unnest(range({n})) AS object_id)"
+    if epoch == 0:
+        return f"SELECT object_id, 1 AS n_det, 1 AS n_passbands, 0.0::DOUBLE AS det_span_days FROM {ids}"
+    if cls == 64:
+        shares = [0.500, 0.144, 0.289, 0.019, 0.039, 0.009]
+        drawn = f"SELECT object_id, {_choose_sql('u', [1, 2, 2, 3, 4, 5], shares)} AS n_det, {_choose_sql('u', [1, 1, 2, 2, 3, 3], shares)} AS n_passbands, least(-0.35::DOUBLE * ln(1 - w), 1.8::DOUBLE) AS span FROM x"
+    else:
+        drawn = f"SELECT object_id, {_choose_sql('u', [1, 2, 3, 5], [0.27, 0.25, 0.38, 0.10])} AS n_det, least({_choose_sql('u', [1, 2, 3, 5], [0.27, 0.25, 0.38, 0.10])}, 1 + floor(3 * v))::INT AS n_passbands, 0.01::DOUBLE + (1.9::DOUBLE - 0.01::DOUBLE) * w AS span FROM x"
+    return f"SELECT object_id, n_det, n_passbands, CASE WHEN n_det > 1 THEN span ELSE 0.0::DOUBLE END AS det_span_days FROM (WITH x AS (SELECT object_id, {u} AS u, {v} AS v, {w} AS w FROM {ids}) {drawn})"
 
-@query("g1_sparsity_sampler", f"SELECT n_det, count(*) AS n FROM (SELECT {_DET} AS n_det FROM (SELECT {_U} AS u FROM (SELECT unnest(range(5000)) AS id))) GROUP BY 1")
+
+_CELLS = [(e, c) for e in (0.0, 2.0) for c in (64, 90, 95)]
+_G1 = " UNION ALL ".join(f"SELECT {e}::DOUBLE AS epoch, {c} AS true_target, n_det, n_passbands, count(*) AS n, round(avg(det_span_days), 6) AS mean_span, round(max(det_span_days), 6) AS max_span FROM ({_sampled_sql(5000, e, c)}) GROUP BY n_det, n_passbands" for e, c in _CELLS)
+
+
+@query("g1_sparsity_sampler", _G1)
 def sampler(spark, sf_dir):
-    return synthetic.sparsity(spark, 5000).groupBy("n_det").agg(F.count("*").alias("n"))
+    out = None
+    for e, c in _CELLS:
+        rows = synthetic.sparsity(spark.range(5000).withColumnRenamed("id", "object_id"), e, c).groupBy("n_det", "n_passbands").agg(F.count("*").alias("n"), F.avg("det_span_days").alias("mean_span"), F.max("det_span_days").alias("max_span"))
+        rows = rows.select(F.lit(e).alias("epoch"), F.lit(c).alias("true_target"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out)
+
+
+_RATES, _FLUXES = {1: 20.0, 2: 35.0, 3: 50.0}, {1: 60.0, 2: 80.0, 3: 100.0}
+
+
+def _curves_sql(n: int) -> str:
+    bands = ", ".join("{'u': " + uniform_sql(f"'42p{b}:' || object_id") + f", 'b': {b}}}" for b in _RATES)
+    of = lambda values: "CASE passband " + " ".join(f"WHEN {b} THEN {v}::DOUBLE" for b, v in values.items()) + " END"
+    noise = f"sqrt(-2.0::DOUBLE * ln(greatest({uniform_sql(chr(39) + '42a:' + chr(39) + ' || object_id || ' + chr(39) + ':' + chr(39) + ' || k')}, 1.0::DOUBLE / 8589934592.0::DOUBLE))) * cos(2 * pi() * {uniform_sql(chr(39) + '42b:' + chr(39) + ' || object_id || ' + chr(39) + ':' + chr(39) + ' || k')})"
+    return f"""WITH o AS ({_sampled_sql(n, 2.0, 64)}),
+t AS (SELECT *, list_sort([{bands}]) AS bands, list_concat([0.0::DOUBLE], list_sort(list_transform(range(1, n_det), lambda k: {uniform_sql(chr(39) + '42t:' + chr(39) + ' || object_id || ' + chr(39) + ':' + chr(39) + ' || k')} * det_span_days))) AS times FROM o),
+e AS (SELECT *, unnest(range(n_det)) AS k FROM t),
+p AS (SELECT object_id, k, times[k + 1] AS dt, bands[1 + CASE WHEN k < n_passbands THEN k ELSE floor({uniform_sql(chr(39) + '42q:' + chr(39) + ' || object_id || ' + chr(39) + ':' + chr(39) + ' || k')} * n_passbands)::INT END].b AS passband FROM e),
+c AS (SELECT *, {of(_FLUXES)} + {of(_RATES)} * dt + 5.0::DOUBLE * ({noise}) AS flux FROM p)
+SELECT object_id, round(58000.0::DOUBLE + dt, 6) AS mjd, passband, round(flux, 6) + 0.0 AS flux, 5.0::DOUBLE AS flux_err, (flux / 5.0::DOUBLE >= 5)::INT AS detected_bool, round(flux / 5.0::DOUBLE, 6) + 0.0 AS snr FROM c"""
 
 
-@query("g2_synthetic_light_curves")
+@query("g2_synthetic_light_curves", _curves_sql(2000))
 def curves(spark, sf_dir):
-    """Curves of sampled sparsity; tests hold their slopes against the rate."""
-    return synthetic.light_curves(synthetic.sparsity(spark, 2000)).withColumn("snr", snr(F.col("flux"), F.col("flux_err")))
+    """Curves of sampled sparsity, the target class at two days."""
+    objects = synthetic.sparsity(spark.range(2000).withColumnRenamed("id", "object_id"), 2.0)
+    return rounded(synthetic.light_curves(objects, _RATES, _FLUXES).withColumn("snr", snr(F.col("flux"), F.col("flux_err"))))
 
 
 @query("m2_aligned_probabilities")

@@ -75,15 +75,8 @@ def truncate_at_mjd(spark, sf_dir):
     return rounded(asof.truncate_at_mjd(obs, cut + 10.0).select("object_id", "mjd", "flux", "passband"))
 
 
-@query("o1_truncate_by_object", f"WITH {OBS_SQL} SELECT object_id, {r6('mjd', 'flux')}, passband FROM obs JOIN (SELECT object_id, max(mjd) - 5.0::DOUBLE AS cutoff FROM obs WHERE object_id % 3 <> 0 GROUP BY 1) USING (object_id) WHERE mjd <= cutoff")
+@query("o1_truncate_by_object", f"WITH {OBS_SQL} SELECT object_id, {r6('mjd', 'flux')}, passband FROM obs JOIN (SELECT object_id, max(mjd) - 5.0::DOUBLE AS cutoff FROM obs GROUP BY 1) USING (object_id) WHERE mjd <= cutoff")
 def truncate_by_object(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    cutoffs = obs.where("object_id % 3 <> 0").groupBy("object_id").agg((F.max("mjd") - 5.0).alias("cutoff"))
-    return rounded(asof.truncate_at_mjd(obs, cutoffs).select("object_id", "mjd", "flux", "passband"))
-
-
-@query("o1_truncate_all_objects", f"WITH {OBS_SQL} SELECT object_id, {r6('mjd', 'flux')}, passband FROM obs JOIN (SELECT object_id, max(mjd) - 5.0::DOUBLE AS cutoff FROM obs GROUP BY 1) USING (object_id) WHERE mjd <= cutoff")
-def truncate_all_objects(spark, sf_dir):
     obs = observations(spark, sf_dir)
     cutoffs = obs.groupBy("object_id").agg((F.max("mjd") - 5.0).alias("cutoff"))
     return rounded(asof.truncate_at_mjd(obs, cutoffs).select("object_id", "mjd", "flux", "passband"))

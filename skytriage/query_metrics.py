@@ -11,9 +11,10 @@ from .operators import novelty as N
 from .operators import population as P
 from .operators import shift as S
 from .operators import weights as W
-from .plans.views import SCORED_SQL, SEL_SQL, scored, selected, table
+from .plans.views import SCORED_SQL, SEL_SQL, metadata, scored, selected, table
 from .query_features import WIDE_SQL, wide
 from .registry import Registry, rounded
+from .sources.shared import kept
 
 query = Registry()
 
@@ -24,9 +25,20 @@ def _dist(x: str, source: str = "sel") -> str:
   FROM (SELECT {x} AS x, count(*)::DOUBLE AS t, sum(S)::DOUBLE AS b FROM {source} GROUP BY 1))"""
 
 
-@query("a18_ks_photoz", f"WITH {SEL_SQL}, {_dist('hostgal_photoz')} SELECT max(nt)::BIGINT AS n_true, max(nb)::BIGINT AS n_biased, round(max(abs(ft - fb)), 6) AS ks FROM dist")
+_TAIL = "list_sum(list_transform(range(1, 41), lambda k: 2.0::DOUBLE * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * k * k * t * t)))"
+
+
+@query("a18_ks_photoz", f"WITH {SEL_SQL}, {_dist('hostgal_photoz')}, k AS (SELECT max(nt) AS n, max(nb) AS m, max(abs(ft - fb)) AS d FROM dist), e AS (SELECT *, sqrt(n * m / (n + m)) AS en FROM k), s AS (SELECT *, (en + 0.12::DOUBLE + 0.11::DOUBLE / en) * d AS t FROM e) SELECT n::BIGINT AS n_true, m::BIGINT AS n_biased, round(d, 6) AS ks, round(CASE WHEN t < 0.2 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_TAIL})) END, 6) + 0.0 AS p_value FROM s")
 def ks_photoz(spark, sf_dir):
-    return rounded(S.ks(selected(spark, sf_dir), "hostgal_photoz"))
+    rows = S.ks(selected(spark, sf_dir), "hostgal_photoz")
+    return rounded(rows.withColumn("p_value", S.ks_p_value(F.col("ks"), F.col("n_true"), F.col("n_biased"))))
+
+
+@query("a18_ks_halves", f"WITH {SEL_SQL}, h AS (SELECT mwebv, CASE WHEN hostgal_photoz < 0.5 THEN 1 ELSE 0 END AS S FROM sel), {_dist('mwebv', 'h')}, k AS (SELECT max(nt) AS n, max(nb) AS m, max(abs(ft - fb)) AS d FROM dist), e AS (SELECT *, sqrt(n * m / (n + m)) AS en FROM k), s AS (SELECT *, (en + 0.12::DOUBLE + 0.11::DOUBLE / en) * d AS t FROM e) SELECT round(d, 6) AS ks, round(CASE WHEN t < 0.2 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_TAIL})) END, 6) + 0.0 AS p_value FROM s")
+def ks_halves(spark, sf_dir):
+    """Two samples that hardly differ, so that the p-value is neither 0 nor 1 by its bounds."""
+    rows = selected(spark, sf_dir).withColumn("S", (F.col("hostgal_photoz") < 0.5).cast("int"))
+    return rounded(S.ks(rows, "mwebv").select("ks", S.ks_p_value(F.col("ks"), F.col("n_true"), F.col("n_biased")).alias("p_value")))
 
 
 @query("a18_ks_ties", f"WITH {SEL_SQL}, {_dist('mwebv')} SELECT max(nt)::BIGINT AS n_true, max(nb)::BIGINT AS n_biased, round(max(abs(ft - fb)), 6) AS ks FROM dist")
@@ -76,8 +88,8 @@ def ranked_ks(spark, sf_dir):
 
 @query("w10_percentiles", f"WITH {SEL_SQL} SELECT round(quantile_cont(hostgal_photoz, 0.025), 6) AS p2_5, round(quantile_cont(hostgal_photoz, 0.5), 6) AS p50, round(quantile_cont(hostgal_photoz, 0.975), 6) AS p97_5 FROM sel")
 def percentiles(spark, sf_dir):
-    q = F.percentile("hostgal_photoz", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return rounded(selected(spark, sf_dir).agg(q.alias("q")).select(F.col("q")[0].alias("p2_5"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p97_5")))
+    found = S.percentiles(selected(spark, sf_dir), "hostgal_photoz", [0.025, 0.5, 0.975])[()]
+    return rounded(spark.createDataFrame([tuple(found)], "p2_5 double, p50 double, p97_5 double"))
 
 
 @query("u4_distinct_values", f"WITH {SEL_SQL} SELECT DISTINCT round(mwebv, 6) AS mwebv FROM sel")
@@ -208,6 +220,11 @@ def positivity(spark, sf_dir):
     return rounded(W.positivity(selected(spark, sf_dir)))
 
 
+def _study(rows, spark, sf_dir):
+    """Rows of the study's classes: what novelty is fitted to."""
+    return rows.join(metadata(spark, sf_dir).where("true_target <> 15").select("object_id"), "object_id", "left_semi")
+
+
 def _fit_sql(features: tuple[str, ...], where: str) -> str:
     cells = ", ".join(f"coalesce(avg({f}), 0) AS m_{f}, CASE WHEN count({f}) = 0 THEN 1.0::DOUBLE ELSE greatest(coalesce(stddev_samp({f}), 0.000001::DOUBLE), 0.000001::DOUBLE) END AS s_{f}" for f in features)
     return f"fit AS (SELECT {cells} FROM train WHERE {where})"
@@ -219,20 +236,20 @@ def _score_sql(features: tuple[str, ...]) -> str:
     return f"CASE WHEN ({have}) = 0 THEN 0.0::DOUBLE ELSE sqrt(({total}) / ({have})) END"
 
 
-@query("a7_novelty_fit", f"WITH {WIDE_SQL}, train AS (SELECT * FROM wide WHERE object_id % 2 = 0), {_fit_sql(N.SUBSPACES[2.0], 'epoch = 2')} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(m_{f}, 6) AS mean, round(s_{f}, 6) AS std FROM fit" for f in N.SUBSPACES[2.0]))
+@query("a7_novelty_fit", f"WITH {WIDE_SQL}, train AS (SELECT w.* FROM wide w JOIN meta USING (object_id) WHERE true_target <> 15), {_fit_sql(N.SUBSPACES[2.0], 'epoch = 2')} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(m_{f}, 6) AS mean, round(s_{f}, 6) AS std FROM fit" for f in N.SUBSPACES[2.0]))
 def novelty_fit(spark, sf_dir):
-    fitted = N.fit(wide(spark, sf_dir).where("object_id % 2 = 0 and epoch = 2"), list(N.SUBSPACES[2.0]))
+    fitted = N.fit(_study(wide(spark, sf_dir), spark, sf_dir).where("epoch = 2"), list(N.SUBSPACES[2.0]))
     return rounded(spark.createDataFrame([(f, float(m), float(s)) for f, (m, s) in fitted.items()], "feature string, mean double, std double"))
 
 
 def _epoch_novelty_sql(epoch: float) -> str:
     f = N.SUBSPACES[epoch]
-    return f"WITH {WIDE_SQL}, train AS (SELECT * FROM wide WHERE object_id % 2 = 0), {_fit_sql(f, f'epoch = {epoch}')} SELECT object_id, round({_score_sql(f)}, 6) AS novelty FROM wide, fit WHERE epoch = {epoch} AND object_id % 2 = 1"
+    return f"WITH {WIDE_SQL}, train AS (SELECT w.* FROM wide w JOIN meta USING (object_id) WHERE true_target <> 15), {_fit_sql(f, f'epoch = {epoch}')} SELECT object_id, round({_score_sql(f)}, 6) AS novelty FROM wide, fit WHERE epoch = {epoch}"
 
 
 def _epoch_novelty(spark, sf_dir, epoch: float):
-    rows = wide(spark, sf_dir)
-    return rounded(N.epoch_scores(rows.where("object_id % 2 = 0"), rows.where("object_id % 2 = 1"), epoch).select("object_id", "novelty"))
+    rows = kept(wide(spark, sf_dir).where(F.col("epoch") == epoch), "representations")  # fitted to and scored
+    return rounded(N.epoch_scores(_study(rows, spark, sf_dir), rows, epoch).select("object_id", "novelty"))
 
 
 @query("a8_novelty_score", _epoch_novelty_sql(2.0))
@@ -247,8 +264,6 @@ def epoch_novelty(spark, sf_dir):
 
 @query("m6_held_out_novelty", f"WITH {WIDE_SQL}, train AS (SELECT w.* FROM wide w JOIN meta USING (object_id) WHERE true_target <> 15), {_fit_sql(N.SUBSPACES[0.0], 'epoch = 0')} SELECT object_id, round({_score_sql(N.SUBSPACES[0.0]).replace('hostgal_photoz', 'w.hostgal_photoz').replace('m_w.', 'm_').replace('s_w.', 's_')}, 6) AS novelty FROM wide w JOIN meta USING (object_id), fit WHERE epoch = 0 AND true_target = 15")
 def held_out_novelty(spark, sf_dir):
-    from .plans.views import metadata
-
     rows = wide(spark, sf_dir).join(metadata(spark, sf_dir).select("object_id", "true_target"), "object_id")
     return rounded(N.epoch_scores(rows.where("true_target <> 15"), P.held_out(rows, 15), 0.0).select("object_id", "novelty"))
 
@@ -303,8 +318,6 @@ _SUBSET_SQL = " UNION ALL ".join(f"SELECT ''{k}'' AS grp, w.hostgal_photoz AS x,
 
 @query("p14_completeness_auc", f"WITH {WIDE_SQL}, {_auc_sql(_SUBSET_SQL)} SELECT grp AS subset, {_AUC_OUT} FROM a")
 def completeness_auc(spark, sf_dir):
-    from .plans.views import metadata
-
     rows = wide(spark, sf_dir).where("epoch = 2").join(metadata(spark, sf_dir).select("object_id", "true_target"), "object_id")
     return rounded(D.auc(D.completeness(rows.withColumn("hit", (F.col("true_target") == 90).cast("long"))), "hostgal_photoz", by=("subset",)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .config import SelectionConfig
-from .functions.scalars import MAGNITUDES, absolute_magnitude_r, clipped_log, expected_snr, hash_uniform
+from .functions.scalars import MAGNITUDES, absolute_magnitude_r, clipped_log, expected_snr, hash_uniform, inverse_weight
 from .operators import population as P
 from .operators import validate as V
 from .plans.views import META_SQL, OBS_SQL, POP_SQL, SEL_SQL, metadata, observations, population, selected, sel_sql, uniform_sql
@@ -60,12 +60,23 @@ def class_domain(spark, sf_dir):
     return population(spark, sf_dir).select("true_target").distinct().withColumn("allowed", F.col("true_target").isin(64, 90, 95))
 
 
-@query("v10_disjointness", f"WITH {SEL_SQL} SELECT count(*) FILTER (S = 1) AS n_a, count(*) FILTER (S = 0) AS n_b, 0::BIGINT AS n_both FROM sel")
+def _overlap_sql(a: str, b: str) -> str:
+    return f"SELECT (SELECT count(*) FROM {a}) AS n_a, (SELECT count(*) FROM {b}) AS n_b, (SELECT count(*) FROM (SELECT object_id FROM {a} INTERSECT SELECT object_id FROM {b})) AS n_both"
+
+
+@query("v10_disjointness", f"WITH {SEL_SQL}, a AS (SELECT object_id FROM sel WHERE S = 1), b AS (SELECT object_id FROM sel WHERE S = 0) {_overlap_sql('a', 'b')}")
 def disjointness(spark, sf_dir):
     sel = selected(spark, sf_dir)
     return V.overlap(sel.where("S = 1"), sel.where("S = 0"))
 
 
+@query("v10_overlap", f"WITH {SEL_SQL}, a AS (SELECT object_id FROM sel WHERE S = 1), b AS (SELECT object_id FROM sel WHERE true_target = 64) {_overlap_sql('a', 'b')}")
+def overlap(spark, sf_dir):
+    """Two sets that do meet."""
+    sel = selected(spark, sf_dir)
+    return V.overlap(sel.where("S = 1"), sel.where("true_target = 64"))
+
+
 @query("p1_class_filter", f"WITH {POP_SQL} SELECT object_id, true_target, {r6('hostgal_photoz')} FROM pop WHERE true_target IN (64, 90, 95)")
 def class_filter(spark, sf_dir):
     return rounded(P.true_population(population(spark, sf_dir)).select("object_id", "true_target", "hostgal_photoz"))
@@ -144,6 +155,12 @@ def probability(spark, sf_dir):
     return rounded(selected(spark, sf_dir).select("object_id", "p_spec", (1.0 / F.col("p_spec")).alias("weight")))
 
 
+@query("f2_inverse_weight", f"WITH {POP_SQL} SELECT object_id, round(CASE WHEN mwebv > 0 THEN 1.0::DOUBLE / mwebv END, 6) AS weight FROM pop")
+def inverse_weights(spark, sf_dir):
+    """A probability of 0 has no weight."""
+    return rounded(population(spark, sf_dir).select("object_id", inverse_weight(F.col("mwebv")).alias("weight")))
+
+
 @query("f4_clipped_log", f"WITH {SEL_SQL} SELECT object_id, round(ln(greatest(least(CASE WHEN mwebv < 0.01 THEN 0.0::DOUBLE WHEN mwebv > 0.09 THEN 1.0::DOUBLE ELSE p_spec END, 1.0::DOUBLE - 0.0000001::DOUBLE), 0.0000001::DOUBLE)), 6) AS log_p FROM sel")
 def logs(spark, sf_dir):
     p = F.when(F.col("mwebv") < 0.01, 0.0).when(F.col("mwebv") > 0.09, 1.0).otherwise(F.col("p_spec"))
@@ -181,10 +198,17 @@ def top_cadences(spark, sf_dir):
     return rounded(P.top_cadences(selected(spark, sf_dir)))
 
 
-_SWEEP = " UNION ALL ".join(f"SELECT '{n}' AS scenario, round(avg({a}::DOUBLE + ({b}::DOUBLE - {a}::DOUBLE) / (1 + exp((hostgal_photoz - {c}::DOUBLE) / {d}::DOUBLE))), 6) AS retention FROM sel" for n, a, b, c, d in P.SCENARIOS)
+def _sweep_sql() -> str:
+    def one(name: str, floor: float, bright: float, middle: float, width: float) -> str:
+        p = f"{floor}::DOUBLE + ({bright}::DOUBLE - {floor}::DOUBLE) / (1 + exp((hostgal_photoz - {middle}::DOUBLE) / {width}::DOUBLE))"
+        own = {c: f"avg({p}) FILTER (true_target = {c})" for c in (64, 90, 95)}
+        each = ", ".join(f"round({x}, 6) AS retention_{c}" for c, x in own.items())
+        return f"SELECT '{name}' AS scenario, round(avg({p}), 6) AS retention, {each}, round({own[64]} / {own[90]}, 6) AS ratio_64_90, round({own[95]} / {own[90]}, 6) AS ratio_95_90 FROM sel"
+
+    return " UNION ALL ".join(one(*x) for x in P.SCENARIOS)
 
 
-@query("a35_retention_sweep", f"WITH {SEL_SQL} {_SWEEP}")
+@query("a35_retention_sweep", f"WITH {SEL_SQL} {_sweep_sql()}")
 def retention_sweep(spark, sf_dir):
     return rounded(P.retention_sweep(selected(spark, sf_dir)))
 
@@ -196,9 +220,9 @@ def union(spark, sf_dir):
     return rows.groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("u2_id_sets", f"WITH {META_SQL}, {OBS_SQL}, o AS (SELECT DISTINCT object_id FROM obs), m AS (SELECT object_id FROM meta WHERE object_id % 2 = 0) SELECT 'both' AS kind, count(*) AS n FROM (SELECT * FROM o INTERSECT SELECT * FROM m) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM o UNION SELECT * FROM m) UNION ALL SELECT 'first_only', count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM m)")
+@query("u2_id_sets", f"WITH {META_SQL}, {OBS_SQL}, o AS (SELECT DISTINCT object_id FROM obs), m AS (SELECT object_id FROM meta WHERE true_target = 64) SELECT 'both' AS kind, count(*) AS n FROM (SELECT * FROM o INTERSECT SELECT * FROM m) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM o UNION SELECT * FROM m) UNION ALL SELECT 'first_only', count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM m)")
 def id_sets(spark, sf_dir):
-    o, m = observations(spark, sf_dir).select("object_id"), metadata(spark, sf_dir).where("object_id % 2 = 0").select("object_id")
+    o, m = observations(spark, sf_dir).select("object_id"), metadata(spark, sf_dir).where("true_target = 64").select("object_id")
     parts = {"both": o.intersect(m), "either": o.union(m).distinct(), "first_only": o.subtract(m)}
     out = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, d in parts.items()]
     return out[0].union(out[1]).union(out[2])

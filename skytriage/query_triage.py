@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-import math
-
 from pyspark.sql import functions as F
 
 from .config import BoostingConfig, DecisionConfig
 from .functions.binomial import clopper_pearson
-from .functions.scalars import hash_uniform, poisson_one
+from .functions.scalars import MIX_ALL, MIX_ONE, MIX_STEP, MIX_TWO, draw_keys, hash_uniform, poisson, poisson_steps
 from .operators import asof, boosting
 from .operators import calibration as C
 from .operators import decision as D
@@ -17,8 +14,9 @@ from .operators import models as M
 from .operators import novelty as N
 from .operators import resample as R
 from .plans.views import SCORED_SQL, SEL_SQL, metadata, observations, scored, selected, uniform_sql
-from .query_features import wide
+from .query_features import PREFIX_SQL, wide
 from .registry import Registry, rounded
+from .sources.shared import kept
 
 query = Registry()
 CONFIG = DecisionConfig()
@@ -30,7 +28,7 @@ def _scale(rows) -> float:
 
 def _cohort(spark, sf_dir):
     """Evaluated rows (S = 0), training rows (S = 1) and the novelty scale."""
-    rows = scored(spark, sf_dir)
+    rows = kept(scored(spark, sf_dir), "scored")  # read by every epoch, arm and threshold
     return rows.where("S = 0"), rows.where("S = 1"), _scale(rows)
 
 
@@ -183,7 +181,7 @@ def _grid_sql() -> str:
 def grid(spark, sf_dir):
     """Triggers depend on capacity and weight only, so nine policies serve 27 cells."""
     ev, _, scale = _cohort(spark, sf_dir)
-    ev = ev.where("epoch <= 2").cache()
+    ev = ev.where("epoch <= 2")
     objects = ev.groupBy("object_id").agg(F.first("y").alias("y"))
     out = None
     for k, w in sorted({(k, w) for _, k, w in _GRID}):
@@ -212,43 +210,55 @@ def changed(spark, sf_dir):
     return D.changed_triggers(a, b)
 
 
-def _poisson_sql(u: str, most: int = 8) -> str:
-    term, total, out = math.exp(-1), 0.0, "CASE"
-    for k in range(most):
-        total += term
-        out += f" WHEN {u} < {total!r}::DOUBLE THEN {k}"
-        term /= k + 1
-    return f"{out} ELSE {most} END"
+def _poisson_sql(u: str) -> str:
+    steps = poisson_steps()
+    return "CASE" + "".join(f" WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(steps)) + f" ELSE {len(steps)} END"
+
+
+def _mix_sql(rows: str, h: str) -> str:
+    """rows with 32 bits of a column mixed in place."""
+    one = f"SELECT * REPLACE (((xor({h}, {h} >> 16)) * {MIX_ONE}) & {MIX_ALL} AS {h}) FROM ({rows})"
+    two = f"SELECT * REPLACE (((xor({h}, {h} >> 15)) * {MIX_TWO}) & {MIX_ALL} AS {h}) FROM ({one})"
+    return f"SELECT * REPLACE (xor({h}, {h} >> 15) AS {h}) FROM ({two})"
 
 
-def boot_sql(source: str, n: int, seed: int = 42) -> str:
-    """CTE `bt`: source once for each replicate with its weight."""
-    u = uniform_sql(f"'{seed}:' || replicate || ':' || object_id")
-    return f"bt AS (SELECT * FROM (SELECT s.*, replicate, {_poisson_sql(u)} AS weight FROM {source} s, (SELECT unnest(range({n})) AS replicate)) WHERE weight > 0)"
+def boot_sql(source: str, n: int, seed: int = 42, name: str = "bt", weight: str | None = None, more: str = "") -> str:
+    """CTE `bt`: source once for each replicate with its weight. `more` joins what another law's weight needs."""
+    one, two = draw_keys(seed)
+    a = _mix_sql(f"SELECT s.*, xor(object_id::BIGINT & {MIX_ALL}, {one}) AS _a, (object_id::BIGINT >> 32) & {MIX_ALL} AS _b FROM {source} s", "_a")
+    b = _mix_sql(f"SELECT * REPLACE (xor(xor(_b, _a), {two}) AS _b) FROM ({a})", "_b")
+    h = _mix_sql(f"SELECT *, (_a + replicate * {MIX_STEP}) & {MIX_ALL} AS _h FROM ({b}), (SELECT unnest(range({n})) AS replicate)", "_h")
+    h = _mix_sql(f"SELECT * REPLACE (xor(_h, _b) AS _h) FROM ({h})", "_h")
+    return f"{name} AS (SELECT * FROM (SELECT * EXCLUDE (_a, _b, _h), {weight or _poisson_sql('(_h / 4294967296.0::DOUBLE)')} AS weight FROM ({h}){more}) WHERE weight > 0)"
 
 
+#: Replicates, as the study has them.
+REPLICATES = 1000
 _ONE = "(SELECT * FROM scored WHERE epoch = 2)"
 
 
-@query("b1_bootstrap_weights", f"WITH {SCORED_SQL}, {boot_sql(_ONE, 5)} SELECT replicate::INT AS replicate, weight, count(*) AS n FROM bt GROUP BY ALL")
-def bootstrap_weights(spark, sf_dir, n=5):
-    rows = R.replicates(scored(spark, sf_dir).where("epoch = 2"), n)
+@query("b1_bootstrap_weights", f"WITH {SCORED_SQL}, {boot_sql(_ONE, REPLICATES)} SELECT replicate::INT AS replicate, weight, count(*) AS n FROM bt GROUP BY ALL")
+def bootstrap_weights(spark, sf_dir):
+    rows = R.replicates(scored(spark, sf_dir).where("epoch = 2"), REPLICATES)
     return rows.groupBy("replicate", "weight").agg(F.count("*").alias("n"))
 
 
-_LP = " UNION ALL ".join(f"SELECT replicate, weight, {c} AS class_id, p_{c} AS p, (y = {c})::INT::DOUBLE AS hit FROM bt" for c in (64, 90, 95))
 _BINX = "CASE WHEN p < 0 OR p > 1 THEN NULL " + " ".join(f"WHEN p >= {k}::DOUBLE * 0.1::DOUBLE THEN {k}" for k in range(9, 0, -1)) + " ELSE 0 END"
 
 
-@query(
-    "b1_calibration_bootstrap",
-    f"""WITH {SCORED_SQL}, {boot_sql(_ONE, 20)}, lp AS ({_LP}), b AS (SELECT replicate, class_id, {_BINX} AS bin, sum(weight)::DOUBLE AS n, sum(weight * p) / sum(weight) AS mp, sum(weight * hit) / sum(weight) AS mo FROM lp GROUP BY ALL),
-m0 AS (SELECT *, n / sum(n) OVER (PARTITION BY replicate, class_id) AS w, sum(n * mo) OVER (PARTITION BY replicate, class_id) / sum(n) OVER (PARTITION BY replicate, class_id) AS base FROM b),
-m1 AS (SELECT replicate, class_id, sum(w * (mp - mo) * (mp - mo)) AS rel, sum(w * (mo - base) * (mo - base)) AS res, max(base * (1 - base)) AS unc, sum(w * abs(mp - mo)) AS ece FROM m0 GROUP BY ALL)
-SELECT replicate::INT AS replicate, round(sum(rel), 6) AS reliability, round(sum(res), 6) AS resolution, round(sum(unc), 6) AS uncertainty, round(avg(ece), 6) AS mean_ece, round(sum(rel) - sum(res) + sum(unc), 6) AS binned_brier FROM m1 GROUP BY 1""",
-)
-def calibration_bootstrap(spark, sf_dir, n=20):
-    return rounded(R.calibration(scored(spark, sf_dir).where("epoch = 2"), n))
+def _murphy_boot_sql(by: str) -> str:
+    """CTE `mu` over `bt`: the decomposition of each replicate (and of `by`)."""
+    lp = " UNION ALL ".join(f"SELECT {by}, weight, {c} AS class_id, p_{c} AS p, (y = {c})::INT::DOUBLE AS hit FROM bt" for c in (64, 90, 95))
+    own = f"PARTITION BY {by}, class_id"
+    return f"""lp AS ({lp}), b AS (SELECT {by}, class_id, {_BINX} AS bin, sum(weight)::DOUBLE AS n, sum(weight * p) / sum(weight) AS mp, sum(weight * hit) / sum(weight) AS mo FROM lp GROUP BY ALL),
+m0 AS (SELECT *, n / sum(n) OVER ({own}) AS w, sum(n * mo) OVER ({own}) / sum(n) OVER ({own}) AS base FROM b WHERE bin IS NOT NULL),
+m1 AS (SELECT {by}, class_id, sum(w * (mp - mo) * (mp - mo)) AS rel, sum(w * (mo - base) * (mo - base)) AS res, max(base * (1 - base)) AS unc, sum(w * abs(mp - mo)) AS ece FROM m0 GROUP BY ALL),
+mu AS (SELECT {by}, sum(rel) AS reliability, sum(res) AS resolution, sum(unc) AS uncertainty, avg(ece) AS mean_ece FROM m1 GROUP BY ALL)"""
+
+
+@query("b1_calibration_bootstrap", f"WITH {SCORED_SQL}, {boot_sql(_ONE, REPLICATES)}, {_murphy_boot_sql('replicate')} SELECT replicate::INT AS replicate, round(reliability, 6) AS reliability, round(resolution, 6) AS resolution, round(uncertainty, 6) AS uncertainty, round(mean_ece, 6) AS mean_ece, round(reliability - resolution + uncertainty, 6) AS binned_brier FROM mu")
+def calibration_bootstrap(spark, sf_dir):
+    return rounded(R.calibration(scored(spark, sf_dir).where("epoch = 2"), REPLICATES))
 
 
 _GAP = "+".join(f"(p_{c} - (y = {c})::INT) * (p_{c} - (y = {c})::INT)" for c in (64, 90, 95))
@@ -258,75 +268,110 @@ def _gap(t: str):
     return sum((F.col(f"{t}_{c}") - (F.col("y") == c).cast("double")) * (F.col(f"{t}_{c}") - (F.col("y") == c).cast("double")) for c in (64, 90, 95))
 
 
-@query("b2_paired_bootstrap", f"WITH {SCORED_SQL}, pr AS (SELECT object_id, max(g) FILTER (epoch = 0) AS a, max(g) FILTER (epoch = 7) AS b FROM (SELECT object_id, epoch, {_GAP} AS g FROM scored) GROUP BY 1), {boot_sql('pr', 20)} SELECT replicate::INT AS replicate, round(sum(weight * (a - b)) / sum(weight), 6) AS delta FROM bt GROUP BY 1")
-def paired(spark, sf_dir, n=20):
-    rows = scored(spark, sf_dir).withColumn("g", _gap("p"))
-    both = rows.groupBy("object_id").agg(F.max(F.when(F.col("epoch") == 0, F.col("g"))).alias("a"), F.max(F.when(F.col("epoch") == 7, F.col("g"))).alias("b"))
-    return rounded(R.paired(both, "a", "b", n))
+_PAIR = "(SELECT * FROM scored WHERE epoch IN (0, 7))"
+
+
+@query(
+    "b2_paired_bootstrap",
+    f"""WITH {SCORED_SQL}, {boot_sql(_PAIR, REPLICATES)}, {_murphy_boot_sql('replicate, epoch')}, br AS (SELECT replicate, epoch, sum(weight * ({_GAP})) / sum(weight) AS brier FROM bt GROUP BY ALL),
+j AS (SELECT * FROM br JOIN mu USING (replicate, epoch))
+SELECT r.replicate::INT AS replicate, round(r.brier - n.brier, 6) + 0.0 AS brier_gain, round(r.reliability - n.reliability, 6) + 0.0 AS reliability_gain, round(r.mean_ece - n.mean_ece, 6) + 0.0 AS ece_gain FROM j r JOIN j n USING (replicate) WHERE r.epoch = 0 AND n.epoch = 7""",
+)
+def paired(spark, sf_dir):
+    return rounded(R.paired(scored(spark, sf_dir).withColumn("gap", _gap("p")), "epoch", 0, 7, "gap", REPLICATES))
+
+
+def _rate_sql(name: str, where: str) -> str:
+    """CTE of a rate of R.SUBSAMPLE objects at most, and its Poisson steps c0, c1, ..."""
+    n = len(poisson_steps())
+    terms = ", ".join(f"t{k - 1} * (lam / {k}) AS t{k}" for k in range(1, n))
+    steps = ", ".join(f"c{k - 1} + t{k} AS c{k}" for k in range(1, n))
+    return f"{name} AS (SELECT exp(-lam) AS t0, {terms}, t0 AS c0, {steps} FROM (SELECT least(1.0::DOUBLE, {R.SUBSAMPLE}.0::DOUBLE / greatest(count(*), 1)) AS lam FROM sel WHERE {where}))"
+
+
+_RATED = "CASE" + "".join(f" WHEN _h / 4294967296.0::DOUBLE < c{k} THEN {k}" for k in range(len(poisson_steps()))) + f" ELSE {len(poisson_steps())} END"
+_X = "(SELECT object_id, hostgal_photoz AS x FROM sel WHERE {})"
+_TERM = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p + q) / 2)) ELSE 0.0::DOUBLE END"
 
 
 @query(
     "b3_shift_bootstrap",
-    f"""WITH {SEL_SQL}, {boot_sql('sel', 20)}, s AS (SELECT replicate, sum(weight) AS n1, sum(weight * S) AS n2, sum(weight * hostgal_photoz) AS a1, sum(weight * S * hostgal_photoz) AS a2, sum(weight * hostgal_photoz * hostgal_photoz) AS b1, sum(weight * S * hostgal_photoz * hostgal_photoz) AS b2 FROM bt GROUP BY 1)
-SELECT replicate::INT AS replicate, round(a2 / n2 - a1 / n1, 6) AS mean_shift, round((a2 / n2 - a1 / n1) / sqrt((b1 - a1 * a1 / n1 + b2 - a2 * a2 / n2) / (n1 + n2 - 2)), 6) AS cohens_d FROM s""",
+    f"""WITH {SEL_SQL}, {_rate_sql('la', 'true')}, {_rate_sql('lb', 'S = 1')}, {boot_sql(_X.format('true'), REPLICATES, 42, 'd1', _RATED, ', la')}, {boot_sql(_X.format('S = 1'), REPLICATES, 43, 'd2', _RATED, ', lb')},
+dr AS (SELECT replicate, x, sum(t) AS t, sum(b) AS b FROM (SELECT replicate, x, weight AS t, 0 AS b FROM d1 UNION ALL SELECT replicate, x, 0, weight FROM d2) GROUP BY ALL),
+s AS (SELECT replicate, sum(t) AS n1, sum(b) AS n2, sum(t * x) AS a1, sum(b * x) AS a2, sum(t * x * x) AS b1, sum(b * x * x) AS b2 FROM dr GROUP BY 1),
+q1 AS (SELECT replicate, quantile_cont(x, 0.5) AS q1 FROM (SELECT replicate, x, unnest(range(t::BIGINT)) FROM dr) GROUP BY 1), q2 AS (SELECT replicate, quantile_cont(x, 0.5) AS q2 FROM (SELECT replicate, x, unnest(range(b::BIGINT)) FROM dr) GROUP BY 1),
+g AS (SELECT *, abs(sum(t) OVER u / sum(t) OVER o - sum(b) OVER u / sum(b) OVER o) AS gap, lead(x) OVER u - x AS step, min(x) OVER o AS lo, max(x) OVER o AS hi FROM dr WHERE replicate < {R.DISTANCES} WINDOW u AS (PARTITION BY replicate ORDER BY x), o AS (PARTITION BY replicate)),
+di AS (SELECT replicate, sum(gap * coalesce(step, 0)) AS wasserstein, max(gap) AS ks FROM g GROUP BY 1),
+ce AS (SELECT replicate, CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 100), 99) ELSE 0 END AS bin, sum(t) AS t, sum(b) AS b FROM g GROUP BY ALL),
+pq AS (SELECT replicate, t / sum(t) OVER (PARTITION BY replicate) AS p, b / sum(b) OVER (PARTITION BY replicate) AS q FROM ce),
+js AS (SELECT replicate, sum({_TERM.format('p')} + {_TERM.format('q')}) / 2 AS js FROM pq GROUP BY 1)
+SELECT replicate::INT AS replicate, round(a2 / n2 - a1 / n1, 6) + 0.0 AS mean_shift, round(q2 - q1, 6) + 0.0 AS median_shift, round((a2 / n2 - a1 / n1) / sqrt((b1 - a1 * a1 / n1 + b2 - a2 * a2 / n2) / (n1 + n2 - 2)), 6) + 0.0 AS cohens_d, round(wasserstein, 6) AS wasserstein, round(js, 6) AS js, round(ks, 6) AS ks
+FROM s JOIN q1 USING (replicate) JOIN q2 USING (replicate) LEFT JOIN di USING (replicate) LEFT JOIN js USING (replicate)""",
 )
-def shift_bootstrap(spark, sf_dir, n=20):
-    return rounded(R.shift(selected(spark, sf_dir), "hostgal_photoz", "S", n))
+def shift_bootstrap(spark, sf_dir):
+    return rounded(R.shift(selected(spark, sf_dir), "hostgal_photoz", "S", REPLICATES))
 
 
 @query(
     "b4_auc_bootstrap",
-    f"""WITH {SCORED_SQL}, {boot_sql(_ONE, 10)}, g AS (SELECT replicate, p_64 AS x, sum(weight * (y = 64)::INT) AS tp, sum(weight * (y <> 64)::INT) AS fp FROM bt GROUP BY ALL),
+    f"""WITH {SCORED_SQL}, {boot_sql(_ONE, REPLICATES)}, g AS (SELECT replicate, p_64 AS x, sum(weight * (y = 64)::INT) AS tp, sum(weight * (y <> 64)::INT) AS fp FROM bt GROUP BY ALL),
 c AS (SELECT *, sum(tp) OVER (PARTITION BY replicate ORDER BY x DESC) AS ctp, sum(fp) OVER (PARTITION BY replicate ORDER BY x DESC) AS cfp FROM g)
 SELECT replicate::INT AS replicate, round(sum(fp * (ctp - tp / 2.0::DOUBLE)) / (sum(tp)::DOUBLE * sum(fp)), 6) AS roc_auc, round(sum(tp * (ctp / (ctp + cfp))) / sum(tp), 6) AS avg_precision FROM c GROUP BY 1""",
 )
-def auc_bootstrap(spark, sf_dir, n=10):
+def auc_bootstrap(spark, sf_dir):
     rows = scored(spark, sf_dir).where("epoch = 2").withColumn("hit", (F.col("y") == 64).cast("long"))
-    return rounded(R.ranking(rows, "p_64", n))
+    return rounded(R.ranking(rows, "p_64", REPLICATES))
 
 
-@query("b5_regret_bootstrap", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)}, {outcome_sql().replace('oc AS', 'o1 AS')}, {boot_sql('o1', 20)}, oc AS (SELECT * FROM bt), {regret_sql(22, 'replicate', 'weight')} SELECT replicate::INT AS replicate, {_REGRET} FROM rg")
-def regret_bootstrap(spark, sf_dir, n=20):
-    return rounded(R.decisions(_outcomes(spark, sf_dir), 22, n))
+@query("b5_regret_bootstrap", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)}, {outcome_sql().replace('oc AS', 'o1 AS')}, {boot_sql('o1', REPLICATES)}, oc AS (SELECT * FROM bt), {regret_sql(22, 'replicate', 'weight')} SELECT replicate::INT AS replicate, {_REGRET} FROM rg")
+def regret_bootstrap(spark, sf_dir):
+    return rounded(R.decisions(_outcomes(spark, sf_dir), 22, REPLICATES))
 
 
-@query("b6_retention_bootstrap", f"WITH {SEL_SQL}, {boot_sql('sel', 20)} SELECT replicate::INT AS replicate, true_target, round(sum(weight * S) / sum(weight), 6) AS retention FROM bt GROUP BY replicate, true_target")
-def retention_bootstrap(spark, sf_dir, n=20):
-    return rounded(R.retention(selected(spark, sf_dir), n))
+@query("b6_retention_bootstrap", f"WITH {SEL_SQL}, {boot_sql('sel', REPLICATES)}, c AS (SELECT replicate, true_target, sum(weight) AS w, sum(weight * S) AS k FROM bt GROUP BY ALL) SELECT replicate::INT AS replicate, true_target, round(k / w, 6) AS retention, round(k / sum(k) OVER (PARTITION BY replicate) - w / sum(w) OVER (PARTITION BY replicate), 6) + 0.0 AS share_shift FROM c")
+def retention_bootstrap(spark, sf_dir):
+    return rounded(R.retention(selected(spark, sf_dir), REPLICATES))
 
 
-@query("b6_retention_interval", f"WITH {SEL_SQL}, {boot_sql('sel', 20)}, r AS (SELECT replicate, sum(weight * S) / sum(weight) AS v FROM bt WHERE true_target = 90 GROUP BY 1) SELECT count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM r")
-def retention_interval(spark, sf_dir, n=20):
-    rows = R.retention(selected(spark, sf_dir).where("true_target = 90"), n)
+@query("b6_retention_interval", f"WITH {SEL_SQL}, {boot_sql('sel', REPLICATES)}, r AS (SELECT replicate, sum(weight * S) / sum(weight) AS v FROM bt WHERE true_target = 90 GROUP BY 1) SELECT count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM r")
+def retention_interval(spark, sf_dir):
+    rows = R.retention(selected(spark, sf_dir).where("true_target = 90"), REPLICATES)
     return rounded(R.interval(rows, "retention"))
 
 
-#: The reference's replicates. The queries above have few, as their SQL does; these are the whole bootstraps.
-REPLICATES = 1000
-for _name, _run in {
-    "b1_bootstrap_weights": bootstrap_weights,
-    "b1_calibration_bootstrap": calibration_bootstrap,
-    "b2_paired_bootstrap": paired,
-    "b3_shift_bootstrap": shift_bootstrap,
-    "b4_auc_bootstrap": auc_bootstrap,
-    "b5_regret_bootstrap": regret_bootstrap,
-    "b6_retention_bootstrap": retention_bootstrap,
-    "b6_retention_interval": retention_interval,
-}.items():
-    query(f"{_name}_full")(functools.partial(_run, n=REPLICATES))
-
-
-@query("f_hash_uniform", f"WITH {SEL_SQL} SELECT object_id, round({uniform_sql(chr(39) + 'x:' + chr(39) + ' || object_id')}, 9) AS u, {_poisson_sql(uniform_sql(chr(39) + 'x:' + chr(39) + ' || object_id'))} AS k FROM sel")
+_U = uniform_sql("'x:' || object_id")
+
+
+@query("f_hash_uniform", f"WITH {SEL_SQL} SELECT object_id, round({_U}, 9) AS u, {_poisson_sql(_U)} AS k FROM sel")
 def uniforms(spark, sf_dir):
     u = hash_uniform("x", F.col("object_id"))
-    return rounded(selected(spark, sf_dir).select("object_id", u.alias("u"), poisson_one(u).alias("k")), 9)
+    return rounded(selected(spark, sf_dir).select("object_id", u.alias("u"), poisson(u).alias("k")), 9)
+
 
+def _tail_sql(low: str, high: str, p: str) -> str:
+    """Chance of low to high successes in n trials."""
+    return f"list_sum(list_transform(range({low}, {high} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))"
 
-@query("f8_exact_intervals")
+
+_F8 = f"""WITH RECURSIVE {SEL_SQL}, c AS (SELECT true_target, sum(S)::BIGINT AS k, count(*) AS n FROM sel GROUP BY 1),
+i AS (SELECT *, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d, 0 AS step FROM c
+  UNION ALL SELECT true_target, k, n, CASE WHEN {_tail_sql('k', 'n', '((a + b) / 2)')} < 0.025 THEN (a + b) / 2 ELSE a END, CASE WHEN {_tail_sql('k', 'n', '((a + b) / 2)')} < 0.025 THEN b ELSE (a + b) / 2 END,
+    CASE WHEN {_tail_sql('0', 'k', '((c + d) / 2)')} > 0.025 THEN (c + d) / 2 ELSE c END, CASE WHEN {_tail_sql('0', 'k', '((c + d) / 2)')} > 0.025 THEN d ELSE (c + d) / 2 END, step + 1 FROM i WHERE step < 34)
+SELECT true_target, k, n, round(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE a END, 6) AS low, round(CASE WHEN k = n THEN 1.0::DOUBLE ELSE d END, 6) AS high FROM i WHERE step = 34"""
+
+
+@query("f8_exact_intervals", _F8)
 def exact_intervals(spark, sf_dir):
-    """Clopper-Pearson intervals of each class's retention; DuckDB has no beta quantile, tests hold known values."""
+    """Clopper-Pearson intervals of each class's retention; the SQL halves towards them by sums of the binomial's tails."""
     rows = selected(spark, sf_dir).groupBy("true_target").agg(F.sum("S").alias("k"), F.count("*").alias("n")).collect()  # a row for each class
-    return spark.createDataFrame([(r.true_target, r.k, r.n, *clopper_pearson(r.k, r.n)) for r in rows], "true_target int, k long, n long, low double, high double")
+    return rounded(spark.createDataFrame([(r.true_target, r.k, r.n, *clopper_pearson(r.k, r.n)) for r in rows], "true_target int, k long, n long, low double, high double"))
+
+
+@query("a30_trigger_intervals")
+def trigger_intervals(spark, sf_dir):
+    """Exact intervals of the target and the false trigger rate; f8 holds the intervals against SQL."""
+    r = D.regret(_outcomes(spark, sf_dir), 22).first()
+    return rounded(spark.createDataFrame(D.trigger_intervals(int(r.hits), int(r.n_targets), int(r.false_triggers), int(r.n_others)), "rate string, k long, n long, low double, high double"))
 
 
 def _training(spark, sf_dir):
@@ -375,13 +420,15 @@ def nested_cv(spark, sf_dir):
     return found.join(F.broadcast(settings), "setting").drop("setting")
 
 
-@query("o5_all_epochs_one_pass")
+@query("o5_all_epochs_one_pass", f"WITH {PREFIX_SQL} SELECT object_id, " + ", ".join(f"count(*) FILTER (epoch = {e}) AS n_{e}, count(*) FILTER (epoch = {e} AND det) AS n_det_{e}, round(max(mjd - t0) FILTER (epoch = {e}), 6) AS last_{e}" for e in (0, 2, 7)) + " FROM prefix GROUP BY 1")
 def all_epochs(spark, sf_dir):
-    """Every object's prefixes at every epoch from one scan, with the leakage check."""
-    obs = observations(spark, sf_dir)
-    t0 = asof.first_detection(obs)
-    asof.assert_leakage_safety(asof.truncate_at_epoch(obs, 2.0), t0, 2.0)
-    return asof.epoch_sequences(obs).groupBy("epoch").agg(F.count("*").alias("n"))
+    """Every object's prefixes at every epoch, side by side, from one scan and one grouping; none reaches beyond its epoch."""
+    rows = asof.epoch_sequences(observations(spark, sf_dir))
+    cells = []
+    for e in (0, 2, 7):
+        at = F.col("epoch") == e
+        cells += [F.count_if(at).alias(f"n_{e}"), F.count_if(at & F.col("det")).alias(f"n_det_{e}"), F.max(F.when(at, F.col("mjd") - F.col("t0"))).alias(f"last_{e}")]
+    return rounded(rows.groupBy("object_id").agg(*cells))
 
 
 QUERIES, ORACLE = query.queries, query.oracle

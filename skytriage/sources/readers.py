@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from .shared import filesystem
+
 METADATA_SCHEMA = StructType([StructField("object_id", LongType()), StructField("hostgal_photoz", DoubleType()), StructField("hostgal_photoz_err", DoubleType()), StructField("true_target", IntegerType())])
 OBSERVATION_SCHEMA = StructType([StructField("object_id", LongType()), StructField("mjd", DoubleType()), StructField("passband", IntegerType()), StructField("flux", DoubleType()), StructField("flux_err", DoubleType()), StructField("detected_bool", IntegerType())])
 #: Other names of a column, as headers have them.
@@ -51,3 +54,16 @@ def convert(spark: SparkSession, paths: str | list[str], schema: StructType, tar
     """CSV written once as Parquet, which later scans prune and push filters into."""
     read_csv(spark, paths, schema, columns).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
+
+
+def cached_columns(df: DataFrame, folder: str, columns: list[str]) -> DataFrame:
+    """Columns of df from their Parquet copy, which is written if it is not there or lacks one of them; a scan of it reads
+    the columns that are asked for and no others."""
+    spark = df.sparkSession
+    fs, path = filesystem(folder)
+    if fs.get_file_info(f"{path}/_SUCCESS").type != FileType.NotFound:
+        there = spark.read.parquet(folder)
+        if set(columns) <= set(there.columns):
+            return there.select(*columns)
+    df.select(*columns).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)

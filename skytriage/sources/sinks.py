@@ -6,11 +6,15 @@ import hashlib
 import json
 import math
 import os
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyarrow.fs import FileSelector
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.population import class_balance, selection_summary
+from .shared import filesystem
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None) -> None:
@@ -20,17 +24,36 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] |
     out.parquet(path) if kind == "parquet" else out.option("header", True).option("compression", "gzip").csv(path)
 
 
-def sha256_of(path: str) -> str:
-    """Digest of a file, or of a folder's files in the order of their names."""
+def sha256_of(uri: str) -> str:
+    """Digest of one file, streamed in blocks of 1 MiB."""
+    fs, path = filesystem(uri)
     digest = hashlib.sha256()
-    names = [path] if os.path.isfile(path) else sorted(os.path.join(d, n) for d, _, files in os.walk(path) for n in files if not n.startswith((".", "_")))
-    for name in names:
-        with open(name, "rb") as source:
-            while block := source.read(1 << 20):
-                digest.update(block)
+    with fs.open_input_stream(path) as source:
+        while block := source.read(1 << 20):
+            digest.update(block)
     return digest.hexdigest()
 
 
+def table_digest(spark: SparkSession, uri: str) -> str:
+    """Digest of a folder: of its files' digests, in the order of their names. Tasks read the files; hidden ones are left out."""
+    fs, path = filesystem(uri)
+    found = fs.get_file_info(FileSelector(path, recursive=True))
+    names = sorted(f.path for f in found if f.is_file and not any(p.startswith((".", "_")) for p in f.path[len(path) :].strip("/").split("/")))
+    scheme = uri.split("://")[0] + "://" if "://" in uri else "file://"
+    host = uri.split("://")[1].split("/")[0] if "://" in uri and not uri.split("://")[1].startswith("/") and path.startswith("/") else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [sha256_of(f"{scheme}{host}{n}") for n in batch.column("name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out)], ["name", "digest"])
+
+    if not names:
+        return hashlib.sha256().hexdigest()
+    spread = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 1 << 12)))
+    digests = dict(map(tuple, spread.mapInArrow(run, "name string, digest string").collect()))  # a row for each file
+    return hashlib.sha256("".join(f"{digests[n]}\n" for n in names).encode()).hexdigest()
+
+
 def plain(value):
     """Numbers as JSON has them; NaN and infinities become null."""
     if isinstance(value, dict):
@@ -44,13 +67,24 @@ def plain(value):
     return value
 
 
-def write_json(path: str, payload: dict) -> None:
-    """Sorted keys, two spaces, a line feed at the end; whole or not at all."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    part = f"{path}.part"
-    with open(part, "w") as out:
-        out.write(json.dumps(plain(payload), sort_keys=True, indent=2) + "\n")
-    os.replace(part, path)
+def write_text(uri: str, text: str) -> None:
+    """Whole or not at all: the text goes to a name of its own, which is then moved."""
+    fs, path = filesystem(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(f"{path}.part") as out:
+        out.write(text.encode())
+    fs.move(f"{path}.part", path)
+
+
+def read_text(uri: str) -> str:
+    fs, path = filesystem(uri)
+    with fs.open_input_stream(path) as source:
+        return source.read().decode()
+
+
+def write_json(uri: str, payload: dict) -> None:
+    """Sorted keys, two spaces, a line feed at the end."""
+    write_text(uri, json.dumps(plain(payload), sort_keys=True, indent=2) + "\n")
 
 
 def metrics(df: DataFrame, *keys: str) -> dict:
@@ -69,13 +103,13 @@ def metrics(df: DataFrame, *keys: str) -> dict:
 
 def manifest(name: str, path: str, df: DataFrame, parent: str | None = None, config: dict | None = None) -> dict:
     """What a stage wrote: counts by class, digests of the table and of its parent."""
-    payload = {"name": name, "created": datetime.now(UTC).isoformat(timespec="seconds"), "rows": df.count(), "sha256": sha256_of(path), "config": config or {}}
+    payload = {"name": name, "created": datetime.now(UTC).isoformat(timespec="seconds"), "rows": df.count(), "sha256": table_digest(df.sparkSession, path), "config": config or {}}
     if "true_target" in df.columns:
         payload["classes"] = {str(r.true_target): r.n for r in class_balance(df).collect()}
     if "S" in df.columns:
         payload["selection"] = {str(r.true_target) if r.true_target is not None else "overall": {"n_true": r.n_true, "n_biased": r.n_biased, "retention": r.retention} for r in selection_summary(df).collect()}
     if parent is not None:
-        payload["parent_sha256"] = sha256_of(parent)
+        payload["parent_sha256"] = table_digest(df.sparkSession, parent)
     return payload
 
 

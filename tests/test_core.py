@@ -16,32 +16,34 @@ from skytriage.plans import pipeline
 from skytriage.sources import readers, sinks
 
 OBS = "object_id long, mjd double, passband int, flux double, flux_err double, detected_bool int"
-KN = list(zip([59995.0, 59998.0, 60000.0, 60000.5, 60001.2, 60002.0, 60003.5, 60005.0, 60006.8, 60010.0, 60020.0], [0, 1, 2, 3, 2, 3, 4, 4, 5, 5, 5], [1.2, -0.5, 50.0, 120.0, 300.0, 280.0, 180.0, 90.0, 40.0, 5.0, 0.2], [5.0, 5.0, 5.0, 6.0, 8.0, 8.0, 7.0, 6.0, 5.0, 5.0, 5.0], [0, 0, 1, 1, 1, 1, 1, 1, 1, 0, 0], strict=True))
-IA = list(zip([60100.0, 60101.5, 60103.0, 60107.0, 60114.0, 60120.0], [1, 2, 2, 3, 3, 4], [40.0, 150.0, 450.0, 800.0, 600.0, 200.0], [5.0, 10.0, 15.0, 20.0, 18.0, 10.0], [1] * 6, strict=True))
-DARK = [(60000.0 + i, 1, 3.0 * 0.2 * i, 5.0, 0) for i in range(3)]
+#: A quick riser, first detected at 58013 (32 / 4 = 8 sigma): three rows up to then, six in two days, eight in seven.
+QUICK = [(58010.0, 1, 2.0, 4.0, 0), (58012.25, 2, 6.0, 4.0, 0), (58013.0, 2, 32.0, 4.0, 1), (58013.75, 3, 66.0, 6.0, 1), (58014.5, 2, 90.0, 5.0, 1), (58015.0, 4, 84.0, 7.0, 1), (58016.25, 3, 40.0, 5.0, 1), (58019.5, 5, 30.0, 5.0, 1), (58020.5, 5, 9.0, 5.0, 0), (58026.0, 4, 1.0, 5.0, 0)]
+#: A slow one, detected from its first row at 58100 on: one, two and three rows.
+SLOW = [(58100.0, 0, 27.0, 3.0, 1), (58101.0, 0, 60.0, 4.0, 1), (58105.0, 1, 200.0, 10.0, 1), (58108.0, 1, 250.0, 10.0, 1), (58112.0, 2, 100.0, 10.0, 1)]
+DARK = [(58000.0 + i, 1, 0.6 * i, 5.0, 0) for i in range(3)]
 
 
 @pytest.fixture(scope="module")
 def curves(spark):
-    rows = [(64001, *r) for r in KN] + [(90001, *r) for r in IA] + [(99901, *r) for r in DARK]
+    rows = [(7001, *r) for r in QUICK] + [(7002, *r) for r in SLOW] + [(7003, *r) for r in DARK]
     return spark.createDataFrame(rows, OBS)
 
 
 def test_objects_without_cutoff_drop_out(curves):
     cut = asof.first_detection(curves).where("t0 is not null").selectExpr("object_id", "t0 + 3.5 as cutoff")
     n = {r.object_id: r["count"] for r in asof.truncate_at_mjd(curves, cut).groupBy("object_id").count().collect()}
-    assert n == {64001: 7, 90001: 3}
+    assert n == {7001: 7, 7002: 2}
 
 
 def test_golden_prefixes(curves):
     n = {(r.object_id, r.epoch): r["count"] for r in asof.epoch_sequences(curves).groupBy("object_id", "epoch").count().collect()}
-    assert [n[64001, e] for e in (0.0, 2.0, 7.0)] == [3, 6, 9]
-    assert n[90001, 2.0] == 2 and not any(k[0] == 99901 for k in n)
+    assert [n[7001, e] for e in (0.0, 2.0, 7.0)] == [3, 6, 8] and [n[7002, e] for e in (0.0, 2.0, 7.0)] == [1, 2, 3]
+    assert not any(k[0] == 7003 for k in n)
     t0 = {r.object_id: r.t0 for r in asof.first_detection(curves).collect()}
-    assert t0 == {64001: 60000.0, 90001: 60100.0, 99901: None}
+    assert t0 == {7001: 58013.0, 7002: 58100.0, 7003: None}
     for e in (0.0, 2.0, 7.0):
         one = asof.truncate_at_epoch(curves, e)
-        assert one.where("object_id = 64001").count() == n[64001, e]
+        assert one.where("object_id = 7001").count() == n[7001, e]
         asof.assert_leakage_safety(one, asof.first_detection(curves), e)
     with pytest.raises(asof.LeakageError, match="LEAKAGE VIOLATION"):
         asof.assert_leakage_safety(curves, asof.first_detection(curves), 2.0)
@@ -101,15 +103,33 @@ def test_color_cases(spark):
     assert one([(0.0, 1, 100.0, 5.0, 1)]) == []
 
 
+def test_nearest_pairs_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(o, 60000.0 + rnd.randrange(12) / 8, rnd.randrange(4), float(rnd.randrange(5, 9)), 1.0, 1) for o in range(12) for _ in range(rnd.randrange(1, 14))]
+    got = {(r.object_id, r.b1): (r.min_dt_days, r.color) for r in features.colors(asof.epoch_sequences(spark.createDataFrame(rows, OBS), (20.0,))).collect()}
+    want = {}
+    for o in range(12):
+        for b in range(5):
+            pairs = [(abs(x[1] - y[1]), x[1], x[3], y[1], y[3]) for x in rows for y in rows if x[0] == y[0] == o and x[2] == b and y[2] == b + 1]
+            if pairs:
+                dt, _, f, _, g = min(pairs)
+                want[o, b] = (dt, -2.5 * math.log10(f / g) if dt <= 0.5 else None)
+    assert got.keys() == want.keys()
+    for k, (dt, hue) in want.items():
+        assert got[k][0] == dt and (got[k][1] is None) == (hue is None) and (hue is None or abs(got[k][1] - hue) < 1e-12)
+
+
 def test_representation_of_unobserved(spark, curves):
-    meta = spark.createDataFrame([(64001, 0.3, 0.1), (5, float("nan"), None), (6, 0.5, float("nan"))], "object_id long, hostgal_photoz double, hostgal_photoz_err double")
+    meta = spark.createDataFrame([(7001, 0.3, 0.1), (5, float("nan"), None), (6, 0.5, float("nan"))], "object_id long, hostgal_photoz double, hostgal_photoz_err double")
     rows = {(r.object_id, r.epoch): r for r in features.representation(meta, asof.epoch_sequences(curves), (0.0, 2.0)).collect()}
     assert len(rows) == 6
     none = rows[5, 2.0]
     assert none.alert_snr_0_status == scalars.NO_DETECTION and none.hostgal_photoz_status == scalars.FEW_POINTS and none.well_constrained_features == 0 and none.n_obs_total == 0
     assert rows[6, 0.0].hostgal_photoz_err == 0.0 and rows[6, 0.0].well_constrained_features == 1
-    assert rows[64001, 0.0].alert_snr_0 == 10.0 and rows[64001, 0.0].n_obs_total == 3
-    assert rows[64001, 2.0].rise_rate_pb2_status == 0
+    assert rows[7001, 0.0].alert_snr_0 == 8.0 and rows[7001, 0.0].n_obs_total == 3
+    assert rows[7001, 2.0].rise_rate_pb2_status == 0 and abs(rows[7001, 2.0].rise_rate_pb2 - 58 / 1.5) < 1e-9
 
 
 def meta_rows(spark, rows):
@@ -178,7 +198,44 @@ def test_shift_by_hand(spark):
     assert abs(shift.wasserstein(df, "x").first()[0] - (0.25 * 1 + 0.25 * 2)) < 1e-12
     assert shift.js_divergence(spark.createDataFrame([(1.0, 1), (1.0, 0)], "x double, S int"), "x").first()[0] == 0.0
     assert shift.cohens_d(spark.createDataFrame([(1.0, 1), (1.0, 1)], "x double, S int"), "x").first().cohens_d == 0.0
-    assert shift.ks_p_value(0.0, 10, 10) == 1.0 and shift.ks_p_value(0.9, 100, 100) < 1e-6
+    p = [r[0] for r in spark.createDataFrame([(0.0, 10, 10), (0.9, 100, 100), (0.3, 30, 40)], "d double, n long, m long").select(shift.ks_p_value(F.col("d"), F.col("n"), F.col("m"))).collect()]
+    en = math.sqrt(30 * 40 / 70)
+    t = (en + 0.12 + 0.11 / en) * 0.3
+    assert p[0] == 1.0 and p[1] < 1e-6 and abs(p[2] - 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 50))) < 1e-12
+
+
+@pytest.mark.parametrize("fewest", [1, 8, 40])
+def test_exact_percentiles(spark, monkeypatch, fewest):
+    import numpy as np
+
+    monkeypatch.setattr(shift, "FEWEST", fewest)
+    rng = np.random.default_rng(4)
+    rows = [(int(g), None if i % 50 == 0 else float("nan") if i % 51 == 0 else float(np.round(rng.normal(), 1 if g else 6))) for i, g in enumerate(rng.integers(0, 3, 900))] + [(7, 2.5), (8, None)] + [(9, 1.0)] * 400
+    shares = [0.0, 0.025, 0.5, 0.9, 1.0]
+    got = shift.percentiles(spark.createDataFrame(rows, "g int, x double"), "x", shares, ("g",))
+    own = {g: [x for k, x in rows if k == g and x is not None and not math.isnan(x)] for g in {k for k, _ in rows}}
+    assert set(got) == {(g,) for g, v in own.items() if v}
+    assert all(np.allclose(got[g,], np.quantile(v, shares), atol=1e-12) for g, v in own.items() if v)
+    assert shift.percentiles(spark.createDataFrame([], "x double"), "x", shares) == {}
+
+
+def test_hash_rank_is_a_window_s(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(700).select(F.col("id").alias("object_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("c"))
+    u = scalars.hash_uniform(5, F.col("object_id"))
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy(u, "object_id")).cast("long"))
+    got = population.hash_rank(df, u, ("c",), rows=50)
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == 700
+
+
+def test_zero_sum_and_missing_redshift(spark):
+    got = spark.createDataFrame([(0.0, 0.0, 0.0), (1.0, 3.0, 0.0)], "a double, b double, c double").select(*scalars.normalized(F.col("a"), F.col("b"), F.col("c"))).collect()
+    assert tuple(got[0]) == (0.0, 0.0, 0.0) and tuple(got[1]) == (0.25, 0.75, 0.0)
+    rows = [(i, (64, 90, 95)[i % 3], 0.2 + 0.3 * (i % 3 == 0), 0.3, 0.5 - 0.3 * (i % 3 == 0), 1.0, 1, None if i % 2 else float("nan")) for i in range(90)] + [(100, 64, 0.5, 0.3, 0.2, 1.0, 1, 1.6)]
+    df = spark.createDataFrame(rows, "object_id long, y int, p_64 double, p_90 double, p_95 double, w double, S int, hostgal_photoz double")
+    new = models.SelectionAwareRecalibrator().fit(df).predict(df)
+    assert new.where("object_id < 90 and q_64 = p_64").count() == 0 and new.where("object_id = 100 and q_64 <> p_64").count() == 0
 
 
 def test_ranking_by_hand(spark):
@@ -251,6 +308,14 @@ def test_decisions(spark):
     assert j.n_left_out == 2 and (j.regret_min, j.regret_max) == (2.0, 2.0)
     none = decision.regret(decision.outcomes(objects.where("y = 90"), trig), 5).first()
     assert none.mhver == 0.0 and none.target_rate == 0.0
+    for cut in (0.0, 0.3, 0.95):
+        for k in (1, 3):
+            gone, walk = [], []
+            for e in (0.0, 2.0):
+                best = sorted((-s, i) for i, at, _, s in rows if at == e and s >= cut and i not in gone)[:k]
+                walk += [(i, e) for _, i in best]
+                gone += [i for _, i in best]
+            assert [(r.object_id, r.trigger_epoch) for r in decision.sequential(arm(spark, rows), k, cut, 2.0).collect()] == walk
     with pytest.raises(ValueError):
         scalars.fused_score(F.lit(0.1), F.lit(0.1), 1.0, -0.1)
     assert decision.quota_threshold(arm(spark, rows), 2, 5) == 0.9
@@ -338,12 +403,43 @@ def test_sources_and_pipeline(spark, tmp_path):
 
 
 def test_generators(spark):
-    s = synthetic.sparsity(spark, 5000)
-    share = {r.n_det: r["count"] / 5000 for r in s.groupBy("n_det").count().collect()}
-    assert abs(share[1] - 0.40) < 0.05 and abs(share[2] - 0.35) < 0.05
-    curves = synthetic.light_curves(spark.range(200).select(F.col("id").alias("object_id"), F.lit(6).alias("n_det"), F.lit(1).alias("n_passbands"), F.lit(5.0).alias("span_days")))
-    r = features.rise_rates(asof.epoch_sequences(curves, (20.0,))).agg(F.avg((F.abs(F.col("slope") - 20) < 3 * F.col("slope_err")).cast("double"))).first()[0]
-    assert r > 0.97
+    """Shares within three points of the study's, at the alert and at two days, and slopes that are recovered."""
+    objects = spark.range(6000).withColumnRenamed("id", "object_id")
+    assert synthetic.sparsity(objects, 0.0, 64).where("n_det <> 1 or n_passbands <> 1 or det_span_days <> 0").count() == 0
+    own = synthetic.sparsity(objects, 2.0, 64)
+    share = {(r.n_det, r.n_passbands): r["count"] / 60 for r in own.groupBy("n_det", "n_passbands").count().collect()}
+    assert share.keys() == {(1, 1), (2, 1), (2, 2), (3, 2), (4, 3), (5, 3)}
+    assert abs(share[1, 1] - 50.0) < 3 and abs(share[2, 1] + share[2, 2] - 43.3) < 3 and abs(share[3, 2] + share[4, 3] - 5.8) < 2
+    assert own.where("n_det = 1 and det_span_days <> 0 or det_span_days > 1.8 or n_det > 1 and det_span_days = 0").count() == 0
+    other = synthetic.sparsity(objects, 2.0, 90)
+    share = {r.n_det: r["count"] / 60 for r in other.groupBy("n_det").count().collect()}
+    assert all(abs(share[k] - v) < 3 for k, v in {1: 27, 2: 25, 3: 38, 5: 10}.items())
+    assert other.where("n_passbands > n_det or n_passbands not between 1 and 3 or n_det > 1 and det_span_days not between 0.01 and 1.9").count() == 0
+    rates = {1: 20.0, 2: 35.0, 3: 50.0}
+    curves = synthetic.light_curves(own, rates, {1: 60.0, 2: 80.0, 3: 100.0})
+    each = curves.groupBy("object_id").agg(F.count("*").alias("n"), F.count_distinct("passband").alias("b"), F.min("mjd").alias("t"))
+    assert each.join(own, "object_id").where("n <> n_det or b <> n_passbands or t <> 58000.0").count() == 0
+    many = objects.limit(400).select("object_id", F.lit(6).alias("n_det"), F.lit(1).alias("n_passbands"), F.lit(5.0).alias("det_span_days"))
+    found = features.rise_rates(asof.epoch_sequences(synthetic.light_curves(many, rates, {1: 60.0, 2: 80.0, 3: 100.0}), (20.0,))).where("status = 0")
+    true = F.element_at(F.create_map(*(F.lit(x) for b, v in rates.items() for x in (b, v))), F.col("passband"))
+    assert found.agg(F.avg((F.abs(F.col("slope") - true) < 3 * F.col("slope_err")).cast("double"))).first()[0] > 0.97
+    assert synthetic.curve_metadata(own).first().true_target == 64
+
+
+def test_cached_columns_and_digests(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "b")], "object_id long, mjd double, x string")
+    at = str(tmp_path / "columns")
+    assert readers.cached_columns(df, at, ["object_id", "mjd"]).count() == 2
+    assert readers.cached_columns(df.limit(0), at, ["mjd"]).count() == 2
+    assert readers.cached_columns(df.limit(1), at, ["mjd", "x"]).count() == 1  # written again, a column was not there
+    import hashlib
+
+    (tmp_path / "t").mkdir()
+    for n, text in (("b", "two"), ("a", "one"), ("_hidden", "x")):
+        (tmp_path / "t" / n).write_text(text)
+    each = [hashlib.sha256(t.encode()).hexdigest() for t in ("one", "two")]
+    assert sinks.table_digest(spark, str(tmp_path / "t")) == sinks.table_digest(spark, f"file://{tmp_path}/t") == hashlib.sha256("".join(f"{x}\n" for x in each).encode()).hexdigest()
+    assert sinks.sha256_of(str(tmp_path / "t" / "a")) == each[0]
 
 
 def test_stream_equals_batch(spark, tmp_path):
