@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLASS_IDS
 from ..functions.scalars import tenth_bin
-from .shift import percentiles
+from .shift import percentiles, range_of
 
 
 def long_probabilities(df: DataFrame, keep: list[str] | None = None, classes: tuple[int, ...] = CLASS_IDS, binned: bool = False) -> DataFrame:
@@ -81,22 +81,29 @@ def strata(df: DataFrame, x: str, parts: int, name: str) -> DataFrame:
     edges = sorted(set(percentiles(df, x, [i / parts for i in range(parts + 1)]).get((), [])))
     if len(edges) < 2:
         return df.withColumn(name, F.lit(None).cast("int"))
-    return df.withColumn(name, edge_bin(F.col(x), F.array(*map(F.lit, edges))))
+    return df.withColumn(name, F.when(F.col(x).between(edges[0], edges[-1]), range_of(F.col(x), edges[1:-1])))
+
+
+def summary(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Brier score beside the decomposition and ECE, from one pass: the squared gaps are summed with the bins."""
+    long = long_probabilities(df, list(by)).withColumn("bin", tenth_bin(F.col("p")))
+    gap = F.col("p") - F.col("hit")
+    s = long.groupBy(*by, "class_id", "bin").agg(F.count("*").cast("double").alias("n"), F.avg("p").alias("mean_pred"), F.avg("hit").alias("mean_obs"), F.sum(gap * gap).alias("gap"))
+    n = F.sum(F.when(F.col("class_id") == CLASS_IDS[0], F.col("n")))
+    score = s.groupBy(*by).agg(n.cast("long").alias("n"), (F.sum("gap") / n).alias("brier"))
+    parts = decomposed(s.where("bin is not null").drop("gap"), by)
+    return score.join(parts, list(by), "left") if by else score.crossJoin(parts)  # few rows; one row
 
 
 def stratified(df: DataFrame, stratum: str, few: int = 30) -> DataFrame:
     """Brier, decomposition and ECE of each stratum; strata of fewer than `few` objects are marked exploratory."""
-    by = (stratum,)
-    rows = df.where(F.col(stratum).isNotNull())
-    out = brier(rows, by).join(murphy(rows, by), stratum)
-    return out.withColumn("exploratory", F.col("n") < few)
+    return summary(df.where(F.col(stratum).isNotNull()), (stratum,)).withColumn("exploratory", F.col("n") < few)
 
 
 def deltas(raw: DataFrame, new: DataFrame) -> DataFrame:
     """Absolute and per cent improvement of the score and its reliability from raw to new probabilities."""
-    a = brier(raw).crossJoin(murphy(raw)).select(F.col("brier").alias("brier_raw"), F.col("reliability").alias("rel_raw"), F.col("mean_ece").alias("ece_raw"))
-    b = brier(new).crossJoin(murphy(new)).select(F.col("brier").alias("brier_new"), F.col("reliability").alias("rel_new"), F.col("mean_ece").alias("ece_new"))
-    out = a.crossJoin(b)  # one row each
+    of = lambda df, x: summary(df).select(F.col("brier").alias(f"brier_{x}"), F.col("reliability").alias(f"rel_{x}"), F.col("mean_ece").alias(f"ece_{x}"))
+    out = of(raw, "raw").crossJoin(of(new, "new"))  # one row each
     for k in ("brier", "rel", "ece"):
         out = out.withColumn(f"{k}_gain", F.col(f"{k}_raw") - F.col(f"{k}_new")).withColumn(f"{k}_gain_pct", 100.0 * F.try_divide(F.col(f"{k}_raw") - F.col(f"{k}_new"), F.col(f"{k}_raw")))
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import DecisionConfig
 from ..functions.scalars import MIX_ALL, MIX_ONE, MIX_STEP, MIX_TWO, draw_keys, mixed, poisson, poisson_steps
-from ..sources.shared import kept
+from ..sources.shared import kept, spread
 from .calibration import decomposed, long_probabilities
 from .decision import regret_of_sums
 from .shift import quantile_cuts, range_of
@@ -48,13 +48,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def weights(keys: np.ndarray, n: int, seed: int, rate: float = 1.0) -> np.ndarray:
-    """The weights of replicates(), as a matrix of objects by replicates."""
+    """The weights of replicates(), as a matrix of replicates by objects."""
     one, two = draw_keys(seed)
     k = keys.astype(np.int64).view(np.uint64)
     a = _mix((k & np.uint64(MIX_ALL)).astype(np.uint32) ^ np.uint32(one))
     b = _mix((k >> np.uint64(32)).astype(np.uint32) ^ a ^ np.uint32(two))
     step = np.arange(n, dtype=np.uint32) * np.uint32(MIX_STEP)
-    h = _mix(_mix(a[:, None] + step) ^ b[:, None])
+    h = _mix(_mix(a + step[:, None]) ^ b)
     out = np.zeros(h.shape, np.uint8)
     for c in poisson_steps(rate):
         least = math.ceil(c * 2**32)
@@ -63,6 +63,21 @@ def weights(keys: np.ndarray, n: int, seed: int, rate: float = 1.0) -> np.ndarra
     return out
 
 
+def drawn(df: DataFrame, n: int, x: str, seed: int = 42, key: str = "object_id", rate: float = 1.0) -> DataFrame:
+    """Rows (replicate, x, weight) of the draws that are not 0: what replicates() gives, a column of it, for low rates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, len(keys), max(1, DRAWS // n)):
+                w = weights(keys[at : at + max(1, DRAWS // n)], n, seed, rate)
+                replicate, row = np.nonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array(replicate.astype(np.int32)), pa.array(values[at + row]), pa.array(w[replicate, row].astype(np.int64))], ["replicate", x, "weight"])
+
+    rows = df.where(F.col(key).isNotNull() & F.col(x).isNotNull()).select(F.col(key).cast("long"), F.col(x).cast("double"))
+    return spread(rows).mapInArrow(run, f"replicate int, {x} double, weight long")
+
+
 def folded(df: DataFrame, n: int, cells: list[str], values: list[str], seed: int = 42, key: str = "object_id", rate: float = 1.0) -> DataFrame:
     """Rows (replicate, cells..., weight, values...): sums of weights, and of weighted values, nulls being 0.
 
@@ -85,7 +100,7 @@ def folded(df: DataFrame, n: int, cells: list[str], values: list[str], seed: int
                 w, cell = weights(keys[own], n, seed, rate).astype(np.float64), which[own]
                 first = np.flatnonzero(np.diff(cell, prepend=-1))
                 for x, y in zip(first, [*first[1:], len(cell)], strict=True):
-                    part = matrix[own[x:y]].T @ w[x:y]
+                    part = (w[:, x:y] @ matrix[own[x:y]]).T
                     name = names[own[x]]
                     held[name] = held[name] + part if name in held else part
         for name, sums in held.items():
@@ -97,7 +112,7 @@ def folded(df: DataFrame, n: int, cells: list[str], values: list[str], seed: int
 
     types = [to_arrow_schema(picked.schema).field(c).type for c in cells]
     schema = ", ".join(["replicate int", *(f"{c} {kinds[c]}" for c in cells), "weight double", *(f"{v} double" for v in values)])
-    return picked.mapInArrow(run, schema).groupBy("replicate", *cells).agg(*(F.sum(c).alias(c) for c in ("weight", *values)))
+    return spread(picked).mapInArrow(run, schema).groupBy("replicate", *cells).agg(*(F.sum(c).alias(c) for c in ("weight", *values)))
 
 
 def interval(df: DataFrame, value: str, level: float = 0.95) -> DataFrame:
@@ -135,27 +150,38 @@ def shift(df: DataFrame, x: str, flag: str, n: int, seed: int = 42) -> DataFrame
     All rows and the flagged ones are drawn apart from each other, SUBSAMPLE objects of each at most (in the mean)."""
     df = df.where(F.col(x).isNotNull()).select("object_id", F.col(x).cast("double").alias("x"), F.col(flag).cast("int").alias("flag"))
     n1, n2 = df.agg(F.count("*"), F.count_if(F.col("flag") == 1)).first()
-    part = lambda rows, seed, size, t: replicates(rows, n, seed, rate=min(1.0, SUBSAMPLE / max(size, 1))).select("replicate", "x", *(F.col("weight") if k == t else F.lit(0) for k in (0, 1))).toDF("replicate", "x", "t", "b")
+    part = lambda rows, seed, size, k: drawn(rows, n, "x", seed, rate=min(1.0, SUBSAMPLE / max(size, 1))).withColumn("part", F.lit(k))
     rows = part(df, seed, n1, 0).unionByName(part(df.where("flag = 1"), seed + 1, n2, 1))
-    rows = kept(rows.groupBy("replicate", "x").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "shift-draws")  # bounded by the subsample
-    t, b, v = F.col("t"), F.col("b"), F.col("x")
-    s = rows.groupBy("replicate").agg(F.sum(t).alias("n1"), F.sum(b).alias("n2"), F.sum(t * v).alias("a1"), F.sum(b * v).alias("a2"), F.sum(t * v * v).alias("b1"), F.sum(b * v * v).alias("b2"), F.percentile("x", 0.5, t).alias("q1"), F.percentile("x", 0.5, b).alias("q2"))
-    m1, m2 = F.try_divide("a1", "n1"), F.try_divide("a2", "n2")
-    pooled = F.sqrt((F.col("b1") - F.col("n1") * m1 * m1 + F.col("b2") - F.col("n2") * m2 * m2) / (F.col("n1") + F.col("n2") - 2))
-    moments = s.select("replicate", (m2 - m1).alias("mean_shift"), (F.col("q2") - F.col("q1")).alias("median_shift"), F.when(pooled > 0, (m2 - m1) / pooled).otherwise(0.0).alias("cohens_d"))
-
-    own = Window.partitionBy("replicate")
-    up = own.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.where(F.col("replicate") < DISTANCES)
-    near = near.withColumns({"gap": F.abs(F.sum("t").over(up) / F.sum("t").over(own) - F.sum("b").over(up) / F.sum("b").over(own)), "step": F.lead("x").over(own.orderBy("x")) - v, "lo": F.min("x").over(own), "hi": F.max("x").over(own)})
-    apart = near.groupBy("replicate").agg(F.sum(F.col("gap") * F.coalesce("step", F.lit(0.0))).alias("wasserstein"), F.max("gap").alias("ks"))
-    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100), F.lit(99))).otherwise(0)
-    cells = near.groupBy("replicate", bin_.alias("bin")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    cells = cells.select("replicate", (t / F.sum("t").over(own)).alias("p"), (b / F.sum("b").over(own)).alias("q"))
-    p, q = F.col("p"), F.col("q")
-    term = lambda a: F.when(a > 0, a * F.log2(a / ((p + q) / 2))).otherwise(0.0)
-    js = cells.groupBy("replicate").agg((F.sum(term(p) + term(q)) / 2.0).alias("js"))
-    return moments.join(apart, "replicate", "left").join(js, "replicate", "left").select("replicate", "mean_shift", "median_shift", "cohens_d", "wasserstein", "js", "ks")
+    names = ("mean_shift", "median_shift", "cohens_d", "wasserstein", "js", "ks")
+
+    def run(table: pa.Table) -> pa.Table:
+        replicate, flag = table.column("replicate")[0].as_py(), table.column("part").to_numpy()
+        values = np.repeat(table.column("x").to_numpy(), table.column("weight").to_numpy())
+        flag = np.repeat(flag, table.column("weight").to_numpy())
+        found = _distances(np.sort(values[flag == 0]), np.sort(values[flag == 1]), replicate < DISTANCES)
+        return pa.table({"replicate": pa.array([replicate], pa.int32()), **{k: pa.array([v], pa.float64()) for k, v in zip(names, found, strict=True)}})
+
+    # a replicate's draws are some 2 * SUBSAMPLE values, whatever the table
+    return rows.groupBy("replicate").applyInArrow(run, "replicate int, " + ", ".join(f"{c} double" for c in names))
+
+
+def _distances(a: np.ndarray, b: np.ndarray, whole: bool) -> list:
+    """Shift of mean and median and Cohen's d from sorted a to sorted b and, if asked for, distance, divergence and KS."""
+    if not len(a) or not len(b):
+        return [None] * 6
+    n, m = len(a), len(b)
+    shift = float(b.mean() - a.mean())
+    pooled = math.sqrt((((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum()) / (n + m - 2)) if n + m > 2 else 0.0
+    out = [shift, float(np.median(b) - np.median(a)), shift / pooled if pooled > 0 else 0.0]
+    if not whole:
+        return [*out, None, None, None]
+    x = np.unique(np.concatenate([a, b]))
+    gap = np.abs(np.searchsorted(a, x, side="right") / n - np.searchsorted(b, x, side="right") / m)
+    low, wide = x[0], x[-1] - x[0]
+    bins = [np.bincount(np.minimum(np.floor((v - low) / wide * 100), 99).astype(int) if wide else np.zeros(len(v), int), minlength=100) / len(v) for v in (a, b)]
+    middle = (bins[0] + bins[1]) / 2
+    js = sum(float((p[p > 0] * np.log2(p[p > 0] / middle[p > 0])).sum()) for p in bins) / 2
+    return [*out, float((gap[:-1] * np.diff(x)).sum()), js, float(gap.max())]
 
 
 def ranking(df: DataFrame, score: str, n: int, seed: int = 42, hit: str = "hit") -> DataFrame:
@@ -165,7 +191,8 @@ def ranking(df: DataFrame, score: str, n: int, seed: int = 42, hit: str = "hit")
     only the rows themselves are shuffled, once, whatever the number of replicates."""
     rows = df.select(F.col("object_id").cast("long").alias("object_id"), F.col(score).cast("double").alias("x"), F.col(hit).cast("double").alias("hit"))
     rows = kept(rows.where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("object_id").isNotNull()), "ranking")
-    rows = rows.withColumn("_range", range_of(F.col("x"), quantile_cuts(rows, "x", rows.count())))
+    cuts = quantile_cuts(rows, "x", rows.count())
+    rows = rows.withColumn("_range", range_of(F.col("x"), cuts))
     totals = kept(folded(rows, n, ["_range"], ["hit"], seed), "ranking-totals")  # a row for each range and replicate
     above = Window.partitionBy("replicate").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0.0))
@@ -199,23 +226,28 @@ def ranking(df: DataFrame, score: str, n: int, seed: int = 42, hit: str = "hit")
                     b = min(to, a + max(1, DRAWS // n))
                     w = weights(key[a:b], n, seed).astype(np.float64)
                     first = np.flatnonzero(np.diff(x[a:b], prepend=np.nan) != 0)
-                    up = np.add.reduceat(w * hits[a:b, None], first, axis=0)
-                    down = np.add.reduceat(w * (1 - hits[a:b, None]), first, axis=0)
+                    up = w * hits[a:b]
+                    down = w - up
+                    if len(first) < b - a:  # equal scores count as one
+                        up, down = (np.add.reduceat(v, first, axis=1) for v in (up, down))
                     if held[0] == x[a]:
-                        up[0] += held[1]
-                        down[0] += held[2]
+                        up[:, 0] += held[1]
+                        down[:, 0] += held[2]
                         held[0] = None
                     close()
                     if len(first) > 1:
-                        t, f = tp + np.cumsum(up[:-1], axis=0), fp + np.cumsum(down[:-1], axis=0)
-                        wins = wins + (down[:-1] * (t - up[:-1] / 2)).sum(axis=0)
-                        ap = ap + (up[:-1] * np.divide(t, t + f, out=np.zeros_like(t), where=t + f > 0)).sum(axis=0)
-                        tp, fp = t[-1], f[-1]
-                    held[:] = [x[b - 1], up[-1], down[-1]]
+                        t, f = (np.cumsum(v[:, :-1], axis=1) + c[:, None] for v, c in ((up, tp), (down, fp)))
+                        wins = wins + np.einsum("ij,ij->i", down[:, :-1], t) - np.einsum("ij,ij->i", down[:, :-1], up[:, :-1]) / 2
+                        some = np.flatnonzero(up[:, :-1].any(axis=0))
+                        t1, all_ = t[:, some], t[:, some] + f[:, some]
+                        ap = ap + np.einsum("ij,ij->i", up[:, some], np.divide(t1, all_, out=np.zeros_like(t1), where=all_ > 0))
+                        tp, fp = t[:, -1].copy(), f[:, -1].copy()
+                    held[:] = [x[b - 1], up[:, -1].copy(), down[:, -1].copy()]
         close()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(wins), pa.array(ap)], ["replicate", "wins", "ap"])
 
-    lined = rows.select("object_id", "x", "hit", "_range", F.lit(1).alias("kind")).unionByName(base).repartition("_range").sortWithinPartitions("_range", "kind", F.desc("x"))
+    lined = rows.select("object_id", "x", "hit", "_range", F.lit(1).alias("kind")).unionByName(base)
+    lined = lined.repartitionById(len(cuts) + 1, F.col("_range")).sortWithinPartitions("_range", "kind", F.desc("x"))  # a task for each range
     sums = lined.mapInArrow(run, "replicate int, wins double, ap double").groupBy("replicate").agg(F.sum("wins").alias("wins"), F.sum("ap").alias("ap"))
     whole = totals.groupBy("replicate").agg(F.sum("hit").alias("n_pos"), F.sum(F.col("weight") - F.col("hit")).alias("n_neg"))
     some = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)

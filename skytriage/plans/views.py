@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_uniform, normalized, selection_probability
+from ..sources.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,7 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selected(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
     """The study classes of the population with their chance of selection and the seeded draw S."""
-    pop = population(spark, sf_dir).where(F.col("true_target").isin(64, 90, 95))
+    pop = spread(population(spark, sf_dir).where(F.col("true_target").isin(64, 90, 95)))  # a digest for each draw
     pop = pop.withColumn("p_spec", selection_probability(F.col("hostgal_photoz")))
     return pop.withColumn("S", (hash_uniform(seed, F.col("object_id")) < F.col("p_spec")).cast("int"))
 

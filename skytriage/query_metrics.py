@@ -145,7 +145,7 @@ def _edge_bin(x: str) -> str:
 SELECT class_id, bin, count(*) AS n, round(avg(p), 6) AS mean_pred, round(avg(hit), 6) AS mean_obs FROM (SELECT l.*, {_edge_bin('p')} AS bin FROM l JOIN e USING (class_id)) WHERE bin IS NOT NULL GROUP BY ALL""",
 )
 def adaptive_bins(spark, sf_dir):
-    return rounded(C.adaptive_bins(scored(spark, sf_dir).where("epoch = 2")))
+    return rounded(C.adaptive_bins(kept(scored(spark, sf_dir).where("epoch = 2"), "scored")))
 
 
 def _stratified_sql(x: str, parts: int) -> str:
@@ -162,6 +162,7 @@ SELECT stratum, n, round(brier, 6) AS brier, round(reliability, 6) AS reliabilit
 
 def _stratified(spark, sf_dir, x: str, parts: int):
     rows = scored(spark, sf_dir).where("epoch = 2").withColumn("m_r", F.lit(-19.3) + F.col("distmod") + 3.1 * F.col("mwebv"))
+    rows = kept(rows, "scored")  # cut at its percentiles, then scored
     return rounded(C.stratified(C.strata(rows, x, parts, "stratum"), "stratum"))
 
 

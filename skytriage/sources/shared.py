@@ -51,3 +51,10 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, what)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: for narrow rows that cost far more time than their bytes say.
+    A table of more splits than that stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -15,29 +15,29 @@ SF = "/root/testdata/sf0.001"
 def drawn(spark):
     """Selected objects and each one's weights in all replicates."""
     rows = selected(spark, SF).select("object_id", "true_target", "S", "hostgal_photoz").orderBy("object_id").collect()
-    return rows, R.weights(np.array([r.object_id for r in rows]), 1000, 42).astype(float)
+    return rows, R.weights(np.array([r.object_id for r in rows]), 1000, 42).T.astype(float)
 
 
 def test_weights_are_those_of_the_columns(spark):
     ids = [0, 1, 2, 77, 10**9, 2**32, 2**32 + 1, 2**62 + 5, -3]
     df = spark.createDataFrame([(i,) for i in ids], "object_id long")
     for rate in (1.0, 0.4):
-        w = R.weights(np.array(ids), 40, 42, rate)
+        w = R.weights(np.array(ids), 40, 42, rate).T
         got = {(r.object_id, r.replicate): r.weight for r in R.replicates(df, 40, 42, rate=rate).collect()}
         assert got == {(i, b): int(w[k, b]) for k, i in enumerate(ids) for b in range(40) if w[k, b]}
 
 
 def test_weights_have_their_law():
     """Mean and variance of Poisson(1); neighbours in object and in replicate are not alike."""
-    w = R.weights(np.arange(4000), 1000, 42).astype(float)
+    w = R.weights(np.arange(4000), 1000, 42).T.astype(float)
     assert abs(w.mean() - 1) < 0.003 and abs(w.var() - 1) < 0.005
     assert abs(w.mean(axis=0) - 1).max() < 5 / np.sqrt(4000) and abs(w.mean(axis=1) - 1).max() < 5 / np.sqrt(1000)
     shares = np.bincount(w.astype(int).ravel(), minlength=6)[:5] / w.size
     assert np.allclose(shares, np.exp(-1) / np.array([1, 1, 2, 6, 24]), atol=0.001)
     x = w - 1
     assert abs((x[1:] * x[:-1]).mean()) < 0.003 and abs((x[:, 1:] * x[:, :-1]).mean()) < 0.003
-    far = R.weights(np.arange(4000) + (7 << 40), 1000, 42).astype(float) - 1
-    assert abs((x * far).mean()) < 0.003 and abs((x * (R.weights(np.arange(4000), 1000, 43) - 1.0)).mean()) < 0.003
+    far = R.weights(np.arange(4000) + (7 << 40), 1000, 42).T.astype(float) - 1
+    assert abs((x * far).mean()) < 0.003 and abs((x * (R.weights(np.arange(4000), 1000, 43).T - 1.0)).mean()) < 0.003
 
 
 def test_retention(spark, drawn):
@@ -57,7 +57,7 @@ def test_retention(spark, drawn):
 def test_shift(spark, drawn):
     rows, w = drawn
     z, s = np.array([r.hostgal_photoz for r in rows], float), np.array([r.S for r in rows])
-    own = R.weights(np.array([r.object_id for r in rows])[s == 1], 1000, 43).astype(int)
+    own = R.weights(np.array([r.object_id for r in rows])[s == 1], 1000, 43).T.astype(int)
     got = {r.replicate: r for r in Q.QUERIES["b3_shift_bootstrap"](spark, SF).collect()}
     assert sorted(got) == list(range(1000)) and sum(r.ks is not None for r in got.values()) == 100
     for b in (0, 1, 57, 99, 100, 999):
@@ -84,7 +84,7 @@ def test_ranking(spark, monkeypatch, places):
     monkeypatch.setattr(R, "DRAWS", 20_000)
     df = scored(spark, SF).where("epoch = 2").select("object_id", F.round("p_64", places).alias("x"), (F.col("y") == 64).cast("long").alias("hit"))
     rows = df.collect()
-    w = R.weights(np.array([r.object_id for r in rows]), 1000, 42).astype(float)
+    w = R.weights(np.array([r.object_id for r in rows]), 1000, 42).T.astype(float)
     x, hit = np.array([r.x for r in rows]), np.array([r.hit for r in rows], float)
     got = {r.replicate: r for r in R.ranking(df, "x", 1000).collect()}
     assert sorted(got) == list(range(1000))
