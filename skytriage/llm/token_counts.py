@@ -17,12 +17,18 @@ BATCH_BYTES, LONG_TEXT = 1 << 20, 1 << 15
 #: A single space between two of these characters: no piece of a vocabulary goes on past it, and no normalizer touches it.
 _PLAIN = r"A-Za-z0-9.,;:!?"
 _CUT = re.compile(rf"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
+#: What a normalizer would change, if there is one.
+_CHANGED = "ﬁ ① Å ½ ｶ"
+#: Characters that are looked at for a place between two letters before a space is waited for.
+_REACH = 1 << 12
 
 
 class _Pieces:
     """sentencepiece. A piece never holds a space mark behind another character, or nothing is split.
 
-    A part begins behind the space, whose mark the library then writes itself."""
+    A part begins behind the space, whose mark the library then writes itself. Merges join neighbours only, so a place
+    between two characters that stand side by side in no piece is one too, where no normalizer changes them: the next part
+    then has a mark of its own in front, which is a piece by itself if no piece goes on from it to that character."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -31,6 +37,12 @@ class _Pieces:
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces) and self.library.encode("a", out_type=str)[:1] != ["a"]
         self.behind = 1
+        self.side_by_side = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.as_is = self.library.normalize(_CHANGED).replace("▁", " ").strip() == _CHANGED and self.library.encode("漢", out_type=str)[:1] == ["▁"]
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether the text can be cut between a and b, b's part then having a mark of its own in front."""
+        return self.as_is and not (a.isspace() or b.isspace() or "▁" in a + b) and a + b not in self.side_by_side and "▁" + b not in self.side_by_side
 
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.library.encode(texts, num_threads=1)]
@@ -50,33 +62,42 @@ class _Merges:
         cut = [x for x, _ in before.pre_tokenize_str("ab cd")] if before is not None else []
         self.splits, self.behind = len(cut) == 2, 0
 
+    def apart(self, a: str, b: str) -> bool:
+        return False
+
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def split_long(text: str, most: int, behind: int) -> list[str]:
-    """Parts of about `most` characters that begin at safe places; the next one is taken, so a text without any stays whole."""
-    parts, at = [], 0
-    while len(text) - at > most and (m := _CUT.search(text, at + most)):
-        parts.append(text[at : m.start()])
-        at = m.start() + behind
-    return [*parts, text[at:]]
+def split_long(text: str, most: int, library: _Pieces | _Merges) -> list[tuple[str, int]]:
+    """Parts of about `most` characters that begin at safe places, and the marks that are one too many in each; the next
+    place is taken, so a text without any stays whole."""
+    parts, at, over = [], 0, 0
+    while len(text) - at > most:
+        m = _CUT.search(text, at + most)
+        end = min(m.start() if m else len(text), at + most + _REACH)
+        k = next((i for i in range(at + most, end) if library.apart(text[i - 1], text[i])), None)
+        if k is None and m is None:
+            break
+        parts.append((text[at : k if k is not None else m.start()], over))
+        at, over = (k, 1) if k is not None else (m.start() + library.behind, 0)
+    return [*parts, (text[at:], over)]
 
 
 def counts(texts: list[str], library: _Pieces | _Merges) -> np.ndarray:
     parts: list[str] = []
     of = []
+    out = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        new = split_long(text, LONG_TEXT, library.behind) if library.splits and len(text) > LONG_TEXT else [text]
-        parts += new
+        new = split_long(text, LONG_TEXT, library) if library.splits and len(text) > LONG_TEXT else [(text, 0)]
+        parts += [x for x, _ in new]
         of += [k] * len(new)
-    out = np.zeros(len(texts), np.int64)
+        out[k] = -sum(over for _, over in new)
+    sizes = np.fromiter((len(x.encode()) for x in parts), np.int64, len(parts))
+    ends = np.cumsum(sizes)
     at = 0
     while at < len(parts):  # one long text's parts may go into several batches
-        to, size = at, 0
-        while to < len(parts) and (to == at or size + len(parts[to]) <= BATCH_BYTES):
-            size += len(parts[to])
-            to += 1
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + BATCH_BYTES, side="right")))
         np.add.at(out, of[at:to], library.lengths(parts[at:to]))
         at = to
     return out

@@ -68,6 +68,54 @@ def test_counts(spark, name):
     assert token_counts.count_tokens(rows(spark, []).limit(0), tokenizer_path(name)).count() == 0
 
 
+def test_long_texts_without_spaces(monkeypatch):
+    """Cuts between characters that no piece joins: counts are the library's, and parts stay short."""
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    library = token_counts._Pieces(PIECE)
+    rnd = random.Random(1)
+    chars = "漢字仮名交文章京東西南北上下左右日月火水木金土ขฃคฅฆงจกあいうえおかきアイウエオ한국어를🙂é。、"
+    texts = ["".join(rnd.choice(chars) for _ in range(n)) for n in (50, 3000, 9000)] + ["".join(rnd.choice(chars + "abc ▁ \n") for _ in range(6000)) for _ in range(3)]
+    texts += ["漢" * 5000, "the" * 3000, "ab" * 3000 + "漢字" * 800, "word and " * 500 + "漢字" * 900]
+    monkeypatch.setattr(token_counts, "LONG_TEXT", 200)
+    got = token_counts.counts(texts, library)
+    assert got.tolist() == [len(sp.encode(t)) for t in texts]
+    cut = token_counts.split_long(texts[2], 200, library)
+    assert len(cut) > 20 and max(len(x) for x, _ in cut) < 600
+
+
+def plain_greedy(lengths, capacity):
+    """Longest piece first to the cheapest sequence with room, cut to the roomiest where none has."""
+    n = -(-sum(lengths) // capacity)
+    pieces = [(capacity, k, i * capacity) for k, x in enumerate(lengths) for i in range(x // capacity)]
+    pieces += sorted(((x % capacity, k, x // capacity * capacity) for k, x in enumerate(lengths) if x % capacity), key=lambda p: (-p[0], p[1]))
+    seqs = [[] for _ in range(n)]
+    used = lambda s: sum(x for x, *_ in seqs[s])
+    cost = lambda s: sum(packing.LINEAR * x + packing.QUADRATIC * x * x for x, *_ in seqs[s])
+    out = []
+    for size, k, start in pieces:
+        while size:
+            room = [s for s in range(n) if capacity - used(s) >= size]
+            at = min(room, key=lambda s: (cost(s), s)) if room else max(range(n), key=lambda s: (capacity - used(s), -s))
+            take = min(size, capacity - used(at))
+            out.append((k, start, take, at, used(at)))
+            seqs[at].append((take,))
+            size, start = size - take, start + take
+    return out
+
+
+def test_assign_is_the_plain_greedy():
+    rng = np.random.default_rng(6)
+    for capacity, top, n in ((16, 40, 30), (64, 64, 50), (100, 7, 60), (32, 200, 12), (8, 8, 1)):
+        for _ in range(6):
+            lengths = rng.integers(1, top + 1, n)
+            got = [tuple(map(int, x)) for x in packing.assign(lengths, capacity)]
+            assert got == plain_greedy(lengths.tolist(), capacity)
+
+
 def test_store_round_trip(spark, library, tmp_path):
     df = rows(spark, ODD)
     got = token_store.token_store(df, BYTE, 2, folder=f"file://{tmp_path}/s").collect()
@@ -89,6 +137,23 @@ def test_store_round_trip(spark, library, tmp_path):
     assert token_store.token_store(df.limit(0), BYTE, 2, folder=f"file://{tmp_path}/e").count() == 0
 
 
+def test_store_splits_a_hot_id_and_long_texts(spark, library, monkeypatch, tmp_path):
+    """An id of a third of all rows, one row repeated for another, and texts of very different length: even files."""
+    monkeypatch.setattr(token_store, "FILE_BYTES", 4000)
+    data = [(i, "word " * (1 + (i > 600) * 60)) for i in range(800)] + [(5, f"hot {i} " * 5) for i in range(500)] + [(7, "same")] * 500 + [(None, "x")] * 20
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    files = token_store.write_store(df, BYTE, f"file://{tmp_path}/h", 2)
+    n = [r.n_ids for r in files.collect()]
+    total = sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in data)
+    assert sum(n) == total and len(n) > 8 and max(n) < 2.5 * total / len(n)
+    got = token_store.read_store(spark, f"file://{tmp_path}/h", files, "bigint").orderBy("start").collect()
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert [r.doc_id for r in got] == sorted((i for i, _ in data), key=lambda i: (i is not None, i or 0))
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4"))
+    known = {t: crc(t) for t in {t for _, t in data}}
+    assert sorted((r.doc_id or -1, r.ids_crc32) for r in got) == sorted((i or -1, known[t]) for i, t in data)
+
+
 def test_pack(spark, library):
     df = rows(spark, [*ODD, *(f"number {i} " * (i % 70) for i in range(400))]).repartition(2)
     got = packing.pack(df, BYTE).collect()
