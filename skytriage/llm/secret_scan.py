@@ -24,6 +24,9 @@ from .common import ready
 BLOCK_ROWS = 4096
 #: Strings that a run of a regular expression may stand for before it is closed.
 _MOST = 64
+#: Matches that are folded together, characters of a text's block.
+CHUNK, BLOCK_CHARS = 128, 1024
+_SPANS = "array<struct<start:int,k:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -143,17 +146,51 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     return pairs.groupBy(F.col("doc.id").alias("_id")).agg(F.collect_set("rule").alias("_rules"))
 
 
-def _spans(text: Column, rule: Rule, k: int) -> Column:
-    """array<struct<start, k, end>> of the rule's matches, in code points, by the lengths of what lies between them."""
-    pattern = F.lit(rule.pattern)
-    pieces = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("g"), F.split(text, rule.pattern, -1).alias("gap"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
-        F.when(F.char_length(x["g"]) >= rule.least, F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), F.lit(k).alias("k"), (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["m"])).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    none = F.array().cast("array<struct<start:int,k:int,end:int>>")
-    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.coalesce(F.when(F.rlike(text, pattern), folded), none)
+def _chunks(values: Column) -> Column:
+    """Slices of CHUNK entries, so that a fold that grows an array copies CHUNK entries at most for each one."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda i: F.slice(values, i * CHUNK + 1, CHUNK))
+
+
+def _folded(pieces: str, k: int, least: int) -> Column:
+    """Of each chunk of pieces: its length, and its spans from its own begin on."""
+    none = F.array().cast(_SPANS)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(k).alias("k"), (start + x["m"]).alias("end"))
+        return F.struct((start + F.coalesce(x["m"], F.lit(0))).alias("at"), F.when(x["g"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    fold = F.transform(_chunks(F.col(pieces)), lambda c: F.aggregate(c, F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+    return F.when(F.col(pieces).isNotNull(), fold)
+
+
+def _moved(folded: str, bases: str) -> Column:
+    """The chunks' spans from the text's begin on."""
+    none = F.array().cast(_SPANS)
+    move = lambda b: lambda x: F.struct((x["start"] + b).alias("start"), x["k"].alias("k"), (x["end"] + b).alias("end"))
+    moved = F.zip_with(folded, bases, lambda c, b: F.when(c.isNotNull(), F.transform(c["spans"], move(b))).otherwise(none))
+    return F.coalesce(F.flatten(moved), none)
+
+
+def _with_spans(df: DataFrame, text: Column, wanted: dict[int, Column], rules: tuple[Rule, ...]) -> DataFrame:
+    """df with columns `_s<k>`: array<struct<start, k, end>> of rule k's matches where `wanted` says so, in code points, by
+    the lengths of what lies between them. Lengths add up chunk by chunk, then from chunk to chunk."""
+    pieces, folded, bases, out = {}, {}, {}, {}
+    for k, when in wanted.items():
+        pattern = F.lit(rules[k].pattern)
+        found = F.arrays_zip(
+            F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length).alias("m"),
+            F.transform(F.regexp_extract_all(text, pattern, F.lit(rules[k].group)), F.char_length).alias("g"),
+            F.transform(F.split(text, rules[k].pattern, -1), F.char_length).alias("gap"),
+        )
+        pieces[f"_p{k}"] = F.when(when & F.rlike(text, pattern), found)
+        folded[f"_f{k}"] = _folded(f"_p{k}", k, rules[k].least)
+        bases[f"_b{k}"] = F.when(F.size(f"_f{k}") > 0, F.aggregate(f"_f{k}", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"]))))
+        out[f"_s{k}"] = _moved(f"_f{k}", f"_b{k}")
+    # a column for each step, so that none is computed again inside another's loop
+    for columns in (pieces, folded, bases, out):
+        df = df.withColumns(columns)
+    return df.drop(*pieces, *folded, *bases)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,10 +199,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     found = candidates(docs, rules, id_col, text_col)
     free = {r.kind for r in rules if trigram_query(r.pattern) == _ALL}
     docs = docs.join(found, docs[id_col].eqNullSafe(F.col("_id")), "left") if found is not None else docs.withColumns({"_id": F.lit(None), "_rules": F.lit(None).cast("array<string>")})
-    text = F.col(text_col)
-    none = F.array().cast("array<struct<start:int,k:int,end:int>>")
-    spans = [_spans(text, r, k) if r.kind in free else F.coalesce(F.when(F.array_contains("_rules", F.lit(r.kind)), _spans(text, r, k)), none) for k, r in enumerate(rules)]
-    return docs.withColumn("_spans", F.array(*spans)).drop("_id", "_rules")
+    wanted = {k: F.lit(True) if r.kind in free else F.coalesce(F.array_contains("_rules", F.lit(r.kind)), F.lit(False)) for k, r in enumerate(rules)}
+    docs = _with_spans(docs, F.col(text_col), wanted, rules)
+    each = [f"_s{k}" for k in range(len(rules))]
+    return docs.withColumn("_spans", F.array(*each)).drop("_id", "_rules", *each)
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -190,18 +227,36 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span, or run of overlapping spans, in text_col put as [kind] of its first; other columns as they are.
 
-    Null texts stay null, texts without spans unchanged."""
+    Null texts stay null, texts without spans unchanged. Spans are walked chunk by chunk, each from the furthest end before
+    it, and what stays of a text is taken from blocks of BLOCK_CHARS characters."""
     names = F.array(*(F.lit(r.kind) for r in RULES))
     columns = docs.columns  # renamed by place, so that none can clash with the scan's own
     id_at, text_at = (f"_in{columns.index(c)}" for c in (id_col, text_col))
     whole = scan(docs.toDF(*(f"_in{k}" for k in range(len(columns)))), RULES, id_at, text_at).withColumn("_spans", F.array_sort(F.flatten("_spans")))
-    text = F.col(text_at)
+    text, some = F.col(text_at), F.size("_spans") > 0
+    whole = whole.withColumn("_spans", F.when(some, F.col("_spans")))
+    whole = whole.withColumns({"_chunks": _chunks(F.col("_spans")), "_blocks": F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0)))})
+    furthest = F.transform("_chunks", lambda c: F.array_max(F.transform(c, lambda x: x["end"])))
+    whole = whole.withColumn("_ends", F.aggregate(furthest, F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e)))))
+    none = F.array().cast("array<struct<low:int,high:int,k:int>>")
     step = lambda acc, x: F.struct(
         F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.element_at(names, x["k"] + 1), F.lit("]"))).alias("out"),
+        F.when(x["start"] < acc["at"], acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(F.struct(acc["at"].alias("low"), x["start"].alias("high"), x["k"].alias("k"))))).alias("cuts"),
     )
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return whole.withColumn(text_at, F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_spans").toDF(*columns)
+    cuts = F.zip_with("_chunks", "_ends", lambda c, at: F.when(c.isNotNull(), F.aggregate(c, F.struct(at.alias("at"), none.alias("cuts")), step, lambda acc: acc["cuts"])).otherwise(none))
+    # `at` of a chunk may lie inside a span of one before, which a cut's `low` then is the end of: what is kept starts there
+    whole = whole.withColumn("_cuts", F.flatten(cuts))
+
+    def part(low: Column, high: Column) -> Column:
+        a, b = F.floor(low / BLOCK_CHARS).cast("int"), F.floor((high - 1) / BLOCK_CHARS).cast("int")
+        block = lambda i: F.get("_blocks", i)
+        inside = F.substring(block(a), low - a * BLOCK_CHARS + 1, high - low)
+        across = F.concat(F.substring(block(a), low - a * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS)), F.array_join(F.slice("_blocks", a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(block(b), F.lit(1), high - b * BLOCK_CHARS))
+        return F.when(high <= low, F.lit("")).when(a == b, inside).otherwise(across)
+
+    pieces = F.transform("_cuts", lambda c: F.concat(part(c["low"], c["high"]), F.lit("["), F.element_at(names, c["k"] + 1), F.lit("]")))
+    clean = F.concat(F.array_join(pieces, ""), part(F.element_at("_ends", -1), F.char_length(text)))
+    return whole.withColumn(text_at, F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).drop("_spans", "_chunks", "_blocks", "_ends", "_cuts").toDF(*columns)
 
 
 def matches(text: str, rule: Rule) -> list[tuple[int, int]]:
