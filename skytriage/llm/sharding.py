@@ -1,9 +1,10 @@
 """Shards of near-equal bytes by sampled splitters, with DataFrame operations only.
 
 Rows are sampled with a chance in proportion to their size; the sample's weighted quantiles are splitters that cut the
-key into CELLS ranges; ranges found overfull are cut again at sampled keys, and those that a single key fills are dealt
-out by row. Each cell is ordered by itself, and the cells' exact totals place every row on one line of bytes, which the
-shards cut at equal distances. No cell grows with the table's skew, and only totals reach the driver.
+key into ranges; ranges found overfull are cut again at sampled keys, and those that a single key fills are dealt out by
+row. A range is worked on in cells of CELL_ROWS rows or so, dealt by row. Each cell is ordered by itself, and the cells'
+exact totals place every row on one line of bytes, which the shards cut at equal distances. No cell grows with the
+table or its skew, and only totals by range and by shard reach the driver.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import ready, shared_folder
 
-#: Ranges, expected samples, times the mean beyond which a range is overfull, rounds of cutting at sampled keys.
-CELLS, SAMPLES, OVERFULL, ROUNDS = 192, 12288, 1.5, 2
+#: Rows of a cell at about; fewest and most ranges, expected samples of a range, times the mean beyond which a range is
+#: overfull, rounds of cutting at sampled keys.
+CELL_ROWS, FEWEST, MOST, SAMPLES, OVERFULL, ROUNDS = 200_000, 192, 1024, 64, 1.5, 2
 _GRAIN = 1 << 30
 
 
@@ -54,16 +56,20 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     folder = shared_folder(spark, "sharding")
     sizes.write.parquet(folder)  # texts are read once; row numbers hold from here on
     sizes = spark.read.parquet(folder)
-    total = sizes.agg(F.sum("size")).first()[0] or 1
-
-    chance = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(_GRAIN)) < F.col("size") * F.lit(SAMPLES * _GRAIN / total)
-    drawn = sizes.where(chance & F.col("id").isNotNull()).select("id", F.greatest(F.lit(1.0), F.col("size") * F.lit(SAMPLES / total))).collect()  # about SAMPLES rows
+    total, n = sizes.agg(F.sum("size"), F.count("*")).first()
+    total, wanted = total or 1, -(-n // CELL_ROWS)
+    ranges = max(FEWEST, min(MOST, wanted))
+    deal = -(-wanted // ranges) or 1  # cells of a range that is not overfull
+
+    samples = SAMPLES * ranges
+    chance = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(_GRAIN)) < F.col("size") * F.lit(samples * _GRAIN / total)
+    drawn = sizes.where(chance & F.col("id").isNotNull()).select("id", F.greatest(F.lit(1.0), F.col("size") * F.lit(samples / total))).collect()  # about SAMPLES rows for each range
     sample = sorted((k, w) for k, w in drawn)
-    cuts = _cuts(sample, CELLS)
-    most = OVERFULL * total / CELLS
+    cuts = _cuts(sample, ranges)
+    most = OVERFULL * total / ranges
     for left in range(ROUNDS, -1, -1):
-        held = dict(sizes.groupBy(_range_of(F.col("id"), cuts).alias("range")).agg(F.sum("size")).collect())
-        over = {r: int(n // most) + 1 for r, n in held.items() if n > most}
+        held = {r: (b, m) for r, b, m in sizes.groupBy(_range_of(F.col("id"), cuts).alias("range")).agg(F.sum("size"), F.count("*")).collect()}
+        over = {r: int(b // most) + 1 for r, (b, _) in held.items() if b > most}
         edges = [None, *cuts, None]
         inside = {r: [x for x in sample if (edges[r] is None or x[0] >= edges[r]) and (edges[r + 1] is None or x[0] < edges[r + 1])] for r in over} if left else {}
         new = sorted({*cuts, *(c for r, x in inside.items() for c in _cuts(x, over[r]))})
@@ -71,19 +77,19 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
             break
         cuts = new
 
-    parts = [over.get(r, 1) for r in range(len(cuts) + 1)]
+    parts = [max(over.get(r, 1), deal, -(-held.get(r, (0, 0))[1] // (2 * CELL_ROWS))) for r in range(len(cuts) + 1)]
     first = [0, *accumulate(parts)]
     placed = sizes.withColumn("range", _range_of(F.col("id"), cuts))
     cell = (_pick(first[:-1], F.col("range")) + F.pmod(F.xxhash64("row"), _pick(parts, F.col("range")))).cast("int")
     placed = placed.withColumn("cell", cell).drop("range")
-    sums = {c: (b, n) for c, b, n in placed.groupBy("cell").agg(F.sum("size"), F.count("*")).collect()}
-    base_bytes = [0, *accumulate(sums.get(c, (0, 0))[0] for c in range(first[-1]))][:-1]
-    base_rows = [0, *accumulate(sums.get(c, (0, 0))[1] for c in range(first[-1]))][:-1]
+    up = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    base = placed.groupBy("cell").agg(F.sum("size").alias("b"), F.count("*").alias("m"))
+    base = base.select("cell", F.coalesce(F.sum("b").over(up), F.lit(0)).alias("base_bytes"), F.coalesce(F.sum("m").over(up), F.lit(0)).alias("base_rows"))
 
     w = Window.partitionBy("cell").orderBy("id", "row")
-    before = _pick(base_bytes, F.col("cell")) + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    rank = _pick(base_rows, F.col("cell")) + F.row_number().over(w) - 1
-    lined = placed.select("id", "size", "crc", before.cast("long").alias("before"), rank.cast("long").alias("rank"))
+    before = F.col("base_bytes") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    rank = F.col("base_rows") + F.row_number().over(w) - 1
+    lined = placed.join(F.broadcast(base), "cell").select("id", "size", "crc", before.cast("long").alias("before"), rank.cast("long").alias("rank"))
     middle = (2 * F.col("before") + F.col("size")) * F.lit(shards)
     lined = lined.select("*", F.least(F.lit(shards - 1), F.floor(middle / F.lit(2 * total))).cast("int").alias("shard"))
     counts = dict(lined.groupBy("shard").count().collect())
@@ -92,9 +98,3 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("rank") - _pick(start, F.col("shard"))).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def write_shards(docs: DataFrame, folder: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the documents as Parquet, a folder for each shard. Ids have to be distinct and not null."""
-    placed = assign_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"))
-    docs.join(placed, docs[id_col] == F.col("_id")).drop("_id").write.partitionBy("_shard").parquet(folder)
