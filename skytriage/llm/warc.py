@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import attempt_name, by_bytes, filesystem, publish, ready, shared_folder
 
-#: Runs that one merge reads, captures in a range and in a run's batch, keys sampled from a run and from all of them.
-FAN_IN, RANGE_ROWS, BATCH_ROWS, RUN_SAMPLES, SAMPLES = 64, 200_000, 1024, 32, 4096
+#: Runs that one merge reads, captures in a range at about, most ranges, captures in a run's batch, keys sampled from a run
+#: and for a range.
+FAN_IN, RANGE_ROWS, RANGES, BATCH_ROWS, RUN_SAMPLES, SAMPLES = 64, 200_000, 1 << 16, 1024, 32, 32
 SLICE_BYTES = 1 << 20
 #: Captures without a time of their own are a second apart, from here, by their page's id.
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
@@ -198,16 +199,18 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
 def merge_runs(spark: SparkSession, folder: str, runs: DataFrame) -> DataFrame:
     """Rows (range, place, url_key, time, page, file, offset, length): all captures, ordered by (range, place).
 
-    Only run numbers and SAMPLES keys reach the driver. A range holds about RANGE_ROWS captures whatever URL they are
-    of, since splitters are whole keys (URL, time, page).
+    Only run numbers and SAMPLES keys for each range reach the driver. A range holds about RANGE_ROWS captures whatever URL
+    they are of, since splitters are whole keys (URL, time, page); beyond RANGES ranges it holds more. Its merge streams,
+    so it takes FAN_IN batches of memory at any size.
     """
     total = runs.agg(F.sum("captures")).first()[0] or 0
+    ranges = max(1, min(-(-total // RANGE_ROWS), RANGES))
     drawn = runs.select(F.explode("sample").alias("s")).select("s.*")
     many = drawn.count()
-    if many > SAMPLES:
-        drawn = drawn.where(F.pmod(F.xxhash64("url_key", "time", "page"), F.lit(1 << 20)) < (SAMPLES << 20) // many)
+    if many > SAMPLES * ranges:
+        drawn = drawn.where(F.pmod(F.xxhash64("url_key", "time", "page"), F.lit(1 << 20)) < ((SAMPLES * ranges) << 20) // many)
     keys = sorted(map(tuple, drawn.collect()))
-    ranges = max(1, min(-(-total // RANGE_ROWS), len(keys))) if total else 1
+    ranges = max(1, min(ranges, len(keys)))
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
     names = [f"run-0-{k:08d}.arrow" for (k,) in sorted(runs.select("run").collect())]
     level = 0
