@@ -98,3 +98,54 @@ def test_every_occurrence_draws_for_itself():
 def test_copies_of_a_long_segment_differ():
     texts = ["transportation" * 20] * 40
     assert len({tuple(x) for x in encode(M.Dropout(PIECE, 0.1, 5), texts)}) > 35
+
+
+_LITERAL = "\0a literal mark"  # is in no piece
+
+
+def plain_agenda(model, library, text, key):
+    """The whole law in plain Python: pieces by name, candidates by score and place, one keyed hash for each candidate."""
+    score = {library.id_to_piece(i): library.get_score(i) for i in range(library.get_piece_size()) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))}
+    out = []
+    body = " " + text if text else ""
+    for number, segment in enumerate(M._SEGMENT.findall(body)):
+        draw = M._mixed((M._mixed(key ^ model.seed) + number) & M._M64)
+        parts = [[i, "▁" if c == " " else _LITERAL if c == "▁" else c] for i, c in enumerate(segment)]  # a literal mark is no piece
+        skipped = set()
+        while True:
+            found = [(-score[a[1] + b[1]], a[0], a[1] + b[1], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a[1] + b[1] in score and (a[0], a[1], b[1]) not in skipped]
+            if not found:
+                break
+            _, place, piece, k = min(found)
+            if model.chance and M._mixed((draw + M._mixed(place << 32 | library.piece_to_id(piece))) & M._M64) < model.chance:
+                skipped.add((place, parts[k][1], parts[k + 1][1]))
+                continue
+            parts[k : k + 2] = [[place, piece]]
+        for _, p in parts:
+            if p in score:
+                out.append(library.piece_to_id(p))
+            else:
+                out += [library.piece_to_id(f"<0x{b:02X}>") for b in ("▁" if p == _LITERAL else p).encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_plain_agenda_agrees(spark, library, rate):
+    real = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(25).collect()]
+    texts = [t[:1500] for t in ODD if len(t) < 700] + MARKS + [t[:700] for t in real]
+    model = M.Dropout(PIECE, rate, 11)
+    keys = M.mix(np.arange(len(texts), dtype=np.uint64))
+    for text, key, ids in zip(texts, keys.tolist(), encode(model, texts, keys), strict=True):
+        assert ids == plain_agenda(model, library, text, key), repr(text[:40])
+
+
+def test_segmentations_follow_the_law(library):
+    """A word over 5,000 documents at rate 0.5: as many different segmentations as independent draws give."""
+    word = "transportation"
+    model = M.Dropout(PIECE, 0.5, 5)
+    cuts = [tuple(x) for x in encode(model, [word] * 5000)]
+    rng = np.random.default_rng(1)
+    symbols = model.symbol[np.array([ord(c) for c in " " + word])]
+    free = model._in_step(np.tile(symbols, (5000, 1)), rng.integers(0, 2**63, 5000).astype(np.uint64))
+    want = len({tuple(x[x >= 0].tolist()) for x in free})
+    assert abs(len(set(cuts)) - want) < 0.1 * want and len(set(cuts)) > 60
