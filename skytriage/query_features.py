@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .config import COLOR_PAIRS, EPOCHS, PASSBANDS
+from .functions.scalars import snr
 from .operators import asof, features
 from .plans.views import META_SQL, OBS_SQL, metadata, observations
 from .registry import Registry, rounded
@@ -63,6 +64,30 @@ def detections(spark, sf_dir):
     return asof.with_detection(observations(spark, sf_dir)).groupBy("object_id", "passband").agg(F.count("*").alias("n_obs"), F.count_if("det").alias("n_det"))
 
 
+#: Observations whose flag and signal-to-noise do not agree, some without a sound error.
+_ODD = """odd AS (SELECT object_id, mjd, passband, flux, CASE WHEN flux < 12 THEN 0.0::DOUBLE ELSE flux_err END AS flux_err, CASE WHEN flux >= 8 AND flux < 14 THEN 1 ELSE 0 END AS detected_bool FROM obs)"""
+
+
+def _odd(spark, sf_dir):
+    flux = F.col("flux")
+    return observations(spark, sf_dir).withColumns({"detected_bool": ((flux >= 8) & (flux < 14)).cast("int"), "flux_err": F.when(flux < 12, 0.0).otherwise(F.col("flux_err"))})
+
+
+@query("p4_flag_or_noise", f"WITH {OBS_SQL}, {_ODD} SELECT passband, count(*) AS n_obs, count(*) FILTER (detected_bool = 1) AS n_flag, count(*) FILTER (flux_err > 0 AND flux / CASE WHEN flux_err > 0 THEN flux_err END >= 5) AS n_snr, count(*) FILTER (detected_bool = 1 OR (flux_err > 0 AND flux / CASE WHEN flux_err > 0 THEN flux_err END >= 5)) AS n_det FROM odd GROUP BY ALL")
+def flag_or_noise(spark, sf_dir):
+    """Either the flag or five sigma makes a detection; an error of 0 has no sigma."""
+    rows = asof.with_detection(_odd(spark, sf_dir))
+    strong = snr(F.col("flux"), F.col("flux_err")) >= 5
+    return rows.groupBy("passband").agg(F.count("*").alias("n_obs"), F.count_if(F.col("detected_bool") == 1).alias("n_flag"), F.count_if(strong).alias("n_snr"), F.count_if("det").alias("n_det"))
+
+
+@query("a5_unsound_errors", f"WITH {OBS_SQL}, {_ODD}, dt AS (SELECT *, detected_bool = 1 OR (flux_err > 0 AND flux / CASE WHEN flux_err > 0 THEN flux_err END >= 5) AS det FROM odd), t AS (SELECT object_id, min(mjd) FILTER (det) AS t0 FROM dt GROUP BY 1), g AS (SELECT object_id, passband, count(*) FILTER (det) AS n, count(*) FILTER (det AND flux_err <= 0) AS bad, max(mjd) FILTER (det) - min(mjd) FILTER (det) AS dt FROM dt JOIN t USING (object_id) WHERE mjd <= t0 + 7 GROUP BY ALL) SELECT status, count(*) AS n FROM (SELECT CASE WHEN n < 2 OR (n > 2 AND bad > 0) THEN 1 WHEN dt <= 0 THEN 2 ELSE 0 END AS status FROM g) GROUP BY 1")
+def unsound_errors(spark, sf_dir):
+    """Fits of three detections and more that have an unsound error are unconstrained."""
+    rows = features.rise_rates(asof.epoch_sequences(_odd(spark, sf_dir), (7.0,)))
+    return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("a1_first_detection", f"WITH {T0_SQL} SELECT object_id, {r6('t0')} FROM t0s")
 def first_detection(spark, sf_dir):
     return rounded(asof.first_detection(observations(spark, sf_dir)))

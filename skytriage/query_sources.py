@@ -13,7 +13,7 @@ from .operators import population as P
 from .plans.views import META_SQL, OBS_SQL, POP_SQL, SCORED_SQL, SEL_SQL, metadata, observations, population, scored, selected
 from .query_features import r6
 from .registry import Registry, rounded
-from .sources import readers, sinks
+from .sources import download, readers, sinks
 from .sources.shared import shared_folder
 
 query = Registry()
@@ -28,6 +28,18 @@ def gzip_csv(spark, sf_dir):
     return rounded(readers.read_csv(spark, folder, readers.METADATA_SCHEMA))
 
 
+@query("s12_parallel_download", f"WITH {OBS_SQL} SELECT passband, count(*) AS n, round(sum(flux), 4) AS total_flux, count(DISTINCT object_id) AS n_objects FROM obs GROUP BY ALL")
+def downloaded(spark, sf_dir):
+    """Partitions fetched by URL in parallel tasks (files of the shared folder stand for a server), then read as one table."""
+    folder = shared_folder(spark, "raw")
+    columns = [f.name for f in readers.OBSERVATION_SCHEMA.fields]
+    sinks.write_table(observations(spark, sf_dir).select(columns).repartition(6, "object_id"), f"{folder}/served", "csv")
+    fetched = download.fetch_all(spark, sorted(download.urls_of(f"{folder}/served")), f"{folder}/raw")
+    paths = [r.target for r in fetched.collect()]
+    rows = readers.read_csv(spark, paths, readers.OBSERVATION_SCHEMA)
+    return rounded(rows.groupBy("passband").agg(F.count("*").alias("n"), F.sum("flux").alias("total_flux"), F.count_distinct("object_id").alias("n_objects")), 4)
+
+
 @query("s7_cached_columns", f"WITH {OBS_SQL} SELECT object_id, {r6('mjd', 'flux')} FROM obs")
 def cached(spark, sf_dir):
     """Columns written at the first call and read at the second."""

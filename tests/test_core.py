@@ -442,6 +442,48 @@ def test_cached_columns_and_digests(spark, tmp_path):
     assert sinks.sha256_of(str(tmp_path / "t" / "a")) == each[0]
 
 
+def test_downloads(spark, tmp_path):
+    """Against a server of this process: whole files only, targets left alone, several at once."""
+    import functools
+    import http.server
+    import threading
+
+    from skytriage.sources import download
+
+    (tmp_path / "www").mkdir()
+    for k in range(5):
+        (tmp_path / "www" / f"part-{k}.csv").write_text("x" * (1000 * k) + "\n")
+
+    class Short(http.server.SimpleHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            if self.path != "/short":
+                return super().do_GET()
+            self.send_response(200)
+            self.send_header("Content-Length", "100")
+            self.end_headers()
+            self.wfile.write(b"less")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Short, directory=str(tmp_path / "www")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        assert download.fetch(f"{at}/part-1.csv", str(tmp_path / "in" / "one.csv")) == 1001
+        (tmp_path / "in" / "one.csv").write_text("mine")
+        assert download.fetch(f"{at}/part-1.csv", str(tmp_path / "in" / "one.csv")) == 4
+        assert download.fetch(f"{at}/part-1.csv", str(tmp_path / "in" / "one.csv"), again=True) == 1001
+        with pytest.raises(OSError):
+            download.fetch(f"{at}/short", str(tmp_path / "in" / "short.csv"))
+        assert sorted(p.name for p in (tmp_path / "in").iterdir()) == ["one.csv"]
+        got = download.fetch_all(spark, [f"{at}/part-{k}.csv" for k in range(5)], f"file://{tmp_path}/all", at_once=3).collect()
+        assert sorted(r.bytes for r in got) == [1000 * k + 1 for k in range(5)]
+        assert (tmp_path / "all" / "part-3.csv").stat().st_size == 3001
+    finally:
+        server.shutdown()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from skytriage.streaming import alerts
 
