@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import discard as discard
+from ..sources.shared import filesystem, shared_base
+from ..sources.shared import shared_folder as shared_folder
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Used only where the session names no shared folder and runs in one process, as in tests.
-_OWN_SHARED = "file:///tmp/checkpoints"
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,44 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared_base(spark: SparkSession) -> tuple[str, bool]:
-    """The folder that all executors share, and whether it is the session's setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return base or _OWN_SHARED, base is not None
-
-
 def ready(spark: SparkSession) -> SparkSession:
     """Python workers find this package, and the session has a checkpoint folder that all executors share."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_shared_base(spark)[0])
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
     return spark
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """URI of a new folder under spark.checkpoint.dir."""
-    base, named = _shared_base(spark)
-    uri = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    if not named:
-        atexit.register(shutil.rmtree, uri.removeprefix("file://"), ignore_errors=True)
-    return uri
-
-
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
-def discard(uri: str) -> None:
-    """Removes a folder of intermediate files that nothing reads any more."""
-    fs, path = filesystem(uri)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_dir(path)
-
-
 def publish(uri: str, write, attempt: str) -> None:
     """write(stream) goes to a name of this attempt and is then moved, so that a repeated or killed task leaves whole files only."""
     fs, path = filesystem(uri)

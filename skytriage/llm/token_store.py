@@ -24,8 +24,8 @@ from .common import attempt_name, by_bytes, discard, filesystem, publish, ready,
 
 LENGTH, BATCH = 2048, 256
 SLICE_BYTES = 4 << 20
-#: Bytes of ids in a file's range of documents, most files, keys sampled for a range.
-FILE_BYTES, FILES, SAMPLES = 32 << 20, 1 << 15, 24
+#: Bytes of text in a file's range of documents, most files, keys sampled for a range.
+FILE_BYTES, FILES, SAMPLES = 64 << 20, 1 << 15, 24
 _GRAIN = 1 << 40
 
 
@@ -67,59 +67,55 @@ class Reader:
             yield self.batch(k).ravel()
 
 
-def _encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, h, row, n, ids): each whole text's ids and end_id, as bytes of the narrowest width, where the text lies."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(vocabulary)
-        for batch in by_bytes(batches, "text", SLICE_BYTES):
-            flat, n = bpe.encode(batch.column("text"))
-            flat = np.insert(flat, np.cumsum(n), np.asarray(end_id, flat.dtype))
-            ends = np.concatenate([[0], np.cumsum(n + 1)]) * flat.itemsize
-            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), batch.column("row"), pa.array(n + 1), ids.cast(pa.binary())], ["id", "h", "row", "n", "ids"])
-
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("h"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, f"id {id_type}, h long, row long, n long, ids binary")
-
-
 def _key(i, h: int, row: int) -> tuple:
     return (i is not None, i, h, row)
 
 
-def _cuts(encoded: DataFrame, parts: int, total: int) -> list[tuple]:
-    """parts - 1 keys between ranges of even ids: weighted quantiles of a sample drawn in proportion to ids."""
-    size = SAMPLES * parts
-    chance = F.pmod(F.xxhash64("row", F.lit(19)), F.lit(_GRAIN)) < F.col("n") * F.lit(size * _GRAIN / total)
-    drawn = encoded.where(chance).select("id", "h", "row", F.greatest(F.lit(1.0), F.col("n") * F.lit(size / total))).collect()  # about SAMPLES rows for each range
+def _cuts(sizes: DataFrame, parts: int, total: int) -> list[tuple]:
+    """parts - 1 keys between ranges of even bytes: weighted quantiles of a sample drawn in proportion to size."""
+    most = SAMPLES * parts
+    chance = F.pmod(F.xxhash64("row", F.lit(19)), F.lit(_GRAIN)) < F.col("size") * F.lit(most * _GRAIN / total)
+    drawn = sizes.where(chance).select("id", "h", "row", F.greatest(F.lit(1.0), F.col("size") * F.lit(most / total))).collect()  # about SAMPLES rows for each range
     sample = sorted((_key(*x), w) for *x, w in map(tuple, drawn))
     ends = list(accumulate(w for _, w in sample))
     marks = [bisect_right(ends, ends[-1] * i / parts) for i in range(1, parts)] if sample else []
     return sorted({sample[min(m, len(sample) - 1)][0] for m in marks})
 
 
+def _encoded(rows: DataFrame, vocabulary: str, end_id: int, cuts) -> DataFrame:
+    """Rows (part, id, h, row, n, ids): each whole text's ids and end_id, as bytes of the narrowest width, where the text
+    lies, and the range that they go to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, edges = worker_bpe(vocabulary), cuts.value
+        for batch in by_bytes(batches, "text", SLICE_BYTES):
+            flat, n = bpe.encode(batch.column("text"))
+            flat = np.insert(flat, np.cumsum(n), np.asarray(end_id, flat.dtype))
+            ends = np.concatenate([[0], np.cumsum(n + 1)]) * flat.itemsize
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
+            keys = zip(*(batch.column(c).to_pylist() for c in ("id", "h", "row")), strict=True)
+            part = pa.array([bisect_right(edges, _key(*k)) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([part, batch.column("id"), batch.column("h"), batch.column("row"), pa.array(n + 1), ids.cast(pa.binary())], ["part", "id", "h", "row", "n", "ids"])
+
+    return rows.mapInArrow(run, f"part int, id {rows.schema['id'].dataType.simpleString()}, h long, row long, n long, ids binary")
+
+
 def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, appends end_id, and writes the store; returns one row per file (file, base, n_ids, n_docs).
 
     A null text is the empty one; null ids come first; rows of one id follow each other by a hash of their texts, then as
     they lie. An empty table gives no files. Texts are encoded where they lie and do not move; ids go to ranges of even
-    ids between sampled keys (id, hash, row), so that neither an id of very many rows nor long texts fill a file.
+    bytes of text between sampled keys (id, hash, row), so that neither an id of very many rows nor long texts fill a file.
     """
     spark = ready(docs.sparkSession)
-    work = shared_folder(spark, "token-store-work")
-    _encoded(docs, vocabulary, end_id, id_col, text_col).write.parquet(work)
-    encoded = spark.read.parquet(work)
-    total, size = encoded.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
-    parts = min(FILES, max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
-    cuts = _cuts(encoded, parts, max(total, 1))
-    shared_cuts = spark.sparkContext.broadcast(cuts)  # FILES keys at most
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = shared_cuts.value
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("id", "h", "row")), strict=True)
-            yield batch.append_column("part", pa.array([bisect_right(edges, _key(*k)) for k in keys], pa.int32()))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("h"), F.monotonically_increasing_id().alias("row"))
+    work = shared_folder(spark, "token-store-sizes")
+    rows.select("id", "h", "row", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")).write.parquet(work)
+    sizes = spark.read.parquet(work)
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = min(FILES, max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES)))
+    cuts = _cuts(sizes, parts, max(total, 1))  # FILES keys at most
+    encoded = _encoded(rows, vocabulary, end_id, spark.sparkContext.broadcast(cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,8 +161,7 @@ def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int, leng
         publish(f"{folder}/docs-{k:08d}.arrow", write_index, attempt)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([int(n.sum())]), pa.array([len(n)], pa.int64())], ["file", "n_ids", "n_docs"])
 
-    placed = encoded.mapInArrow(place, ", ".join(f"{c} {k}" for c, k in encoded.dtypes) + ", part int")
-    dealt = placed.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("id", "h", "row")
+    dealt = encoded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("id", "h", "row")
     files = dealt.mapInArrow(run, "file long, n_ids long, n_docs long").collect()  # a row per file
     base, out = 0, []
     for file, n_ids, n_docs in sorted(map(tuple, files)):
