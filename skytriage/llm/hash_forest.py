@@ -5,7 +5,7 @@ and one more that routes. The table is dealt into shards by ranges of the routin
 whose ranges meet its longest routing prefix that still holds enough neighbours. A shard has TREES sorted arrays of
 strings. A query descends to its longest common prefix in every array, then all arrays ascend together, one bit at a
 time, until the rows whose prefixes agree in any of them are as many as asked for; only these are scored. The routing
-prefix and the share to ask for are fitted to a bounded sample, so that they meet a target recall there.
+prefix and the share to ask for are fitted to the true neighbours, among all rows, of a bounded sample of queries.
 """
 
 from __future__ import annotations
@@ -23,8 +23,11 @@ from .common import attempt_name, filesystem, publish, ready, shared_folder
 
 TREES, BITS, SEED = 48, 32, 11
 SHARD_ROWS, QUERY_BLOCK = 16384, 128
-#: Rows and queries of the sample that is fitted to, recall to reach there by the routing prefix and by the forest.
-FIT_ROWS, FIT_QUERIES, ROUTED, TARGET = 4096, 256, 0.98, 0.95
+#: Rows and queries of the sample that is fitted to, recall to reach there by the routing prefix and by the forest, and
+#: fewest sample rows that stand for a shard.
+FIT_ROWS, FIT_QUERIES, ROUTED, TARGET, WINDOW = 4096, 256, 0.98, 0.95, 64
+#: Cosine above which two vectors count as one in the fit; such rows meet in every tree.
+SAME = 1 - 1e-6
 
 
 def strings(vectors: np.ndarray, trees: int = TREES, seed: int = SEED) -> np.ndarray:
@@ -113,32 +116,54 @@ def _scaled(vectors: np.ndarray) -> np.ndarray:
     return (u / np.sqrt((u * u).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def fit(vectors: np.ndarray, k: int) -> tuple[int, float]:
-    """Bits of the routing prefix, and share of rows to ask a forest for, from the sample's first rows and their true
-    neighbours: the longest prefix that ROUTED of the neighbours share, the least share whose candidates hold TARGET."""
-    k = min(k, len(vectors) - 1)
-    if k < 1:
-        return 0, 1.0
-    forest, u = Forest(vectors), _scaled(vectors)
-    queries = range(min(FIT_QUERIES, len(vectors)))
-    own, route = strings(vectors[: len(queries)]), routes(vectors)
-    true = []
-    for q in queries:
-        s = u @ u[q]
-        s[q] = -np.inf
-        true.append(np.argpartition(-s, k - 1)[:k])
-    apart = np.concatenate([route[t] ^ route[q] for q, t in zip(queries, true, strict=True)])
-    common = BITS - np.array([int(x).bit_length() for x in apart])
-    bits = max(b for b in range(BITS + 1) if (common >= b).mean() >= ROUTED)
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits of the longest common prefix of strings."""
+    return BITS - np.frexp((x ^ y).astype(np.float64))[1]
 
-    def recall(least: int) -> float:
-        return sum(np.isin(t, forest.candidates(own[:, q], least)).sum() for q, t in zip(queries, true, strict=True)) / (k * len(queries))
 
-    low, high = 1, len(vectors)  # the least number of rows that does, by halving
-    while high - low > max(1, len(vectors) // 100):
-        mid = (low + high) // 2
-        low, high = (low, mid) if recall(mid) >= TARGET else (mid, high)
-    return bits, high / len(vectors)
+def fit(sample: np.ndarray, queries: np.ndarray, true: list[np.ndarray], shards: int = 1) -> tuple[int, float]:
+    """Bits of the routing prefix, and share of a shard's rows to ask for, from queries and their true neighbours.
+
+    The prefix is the longest that ROUTED of the neighbours share. A neighbour is met when its shard has been ascended to
+    the longest prefix that any tree has in common with it; the sample rows of near routes stand for the shard, and those
+    met by then are the share it takes. The share is the least that meets TARGET of the neighbours."""
+    pairs = [(q, x) for q, own in enumerate(true) for x in own]
+    if not pairs or not len(sample):
+        return 0, 1.0
+    at, near = np.array([q for q, _ in pairs]), np.stack([x for _, x in pairs])
+    common = _common(routes(queries)[at], routes(near))
+    bits = max(b for b in range(BITS + 1) if (common >= b).mean() >= ROUTED)
+    route = routes(sample)
+    order = np.argsort(route, kind="stable")
+    own, found, rows, place = strings(queries), strings(near), strings(sample[order]), np.searchsorted(route[order], routes(near))
+    wide = min(len(sample), max(WINDOW, len(sample) // max(1, shards)))
+    needed = np.zeros(len(pairs))
+    for q in range(len(queries)):
+        if not (mine := np.flatnonzero(at == q)).size:
+            continue
+        level = _common(own[:, q, None], rows).max(axis=0)
+        least = _common(own[:, q, None], found[:, mine]).max(axis=0)
+        for k, low in zip(mine, least, strict=True):
+            first = min(max(0, place[k] - wide // 2), len(sample) - wide)
+            needed[k] = ((level[first : first + wide] >= low).sum() + 1) / (wide + 1)
+    return bits, float(np.sort(needed)[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))))])
+
+
+def true_neighbours(vectors: np.ndarray, queries: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines (queries x k) and rows (queries x k x length) of the nearest of vectors, and of `best` before; those that are
+    the query itself are left out. Where there are fewer, the cosine is -inf."""
+    score, rows = best or (np.full((len(queries), k), -np.inf), np.zeros((len(queries), k, queries.shape[1])))
+    q = _scaled(queries)
+    for at in range(0, len(vectors), 8192):
+        part = vectors[at : at + 8192]
+        s = (q @ _scaled(part).T).astype(np.float64)
+        s[s > SAME] = -np.inf
+        all_ = np.concatenate([score, s], axis=1)
+        top = np.argpartition(-all_, k - 1, axis=1)[:, :k] if all_.shape[1] > k else np.tile(np.arange(k), (len(q), 1))
+        score = np.take_along_axis(all_, top, axis=1)
+        old = top < k
+        rows = np.where(old[:, :, None], np.take_along_axis(rows, np.where(old, top, 0)[:, :, None], axis=1), part[np.where(old, 0, top - k)])
+    return score, rows
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -157,6 +182,31 @@ def _sample(rows: DataFrame, n: int) -> np.ndarray | None:
     return own[np.random.default_rng(SEED).permutation(len(own))]
 
 
+def _fitted(rows: DataFrame, n: int, k: int, shards: int) -> tuple[int, float]:
+    """fit() to a bounded sample; its first rows are queries, which meet all rows once."""
+    sample = _sample(rows, n)
+    if sample is None:
+        return 0, 1.0
+    queries = sample[:FIT_QUERIES].astype(np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast(queries)  # FIT_QUERIES rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if batch.num_rows:
+                best = true_neighbours(_vectors(batch.column("v")).astype(np.float64), shared.value, k, best)
+        if best is not None:
+            q, place = np.nonzero(best[0] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[0][q, place]), pa.array(list(best[1][q, place]), pa.list_(pa.float64()))], ["q", "s", "v"])
+
+    each = rows.where(F.size("v") == queries.shape[1]).mapInArrow(run, "q int, s double, v array<double>")  # k rows for each query and task
+    top = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r") <= k)
+    true: list[list] = [[] for _ in queries]
+    for r in top.select("q", "v").collect():  # FIT_QUERIES * k rows
+        true[r.q].append(r.v)
+    return fit(sample, queries, [np.array(x) for x in true], shards)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Runs of equal keys inside the batches."""
     for batch in batches:
@@ -195,11 +245,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     rows = sound(vectors)
     n = rows.count()
-    if fitted is None:
-        sample = _sample(rows, n)
-        fitted = (0, 1.0) if sample is None else fit(sample, k)
-    bits, share = fitted
     shards = max(1, -(-n // SHARD_ROWS))
+    bits, share = fitted or _fitted(rows, n, k, shards)
     folder = shared_folder(spark, "hash-forest")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,13 @@ def _true(v, queries, k=5):
     return out
 
 
+def fit(v, k=5, shards=1):
+    """The fit to a table that is its own sample."""
+    v = v.astype(np.float64)
+    score, near = H.true_neighbours(v, v[: H.FIT_QUERIES], k)
+    return H.fit(v[: H.FIT_ROWS], v[: H.FIT_QUERIES], [x[s > -np.inf] for s, x in zip(score, near, strict=True)], shards)
+
+
 def recall(spark, v, parts=4):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(parts)
     queries = range(0, len(v), 50)
@@ -90,7 +97,7 @@ def test_recall_of_larger_tables(spark, clustered):
     v = rng.standard_normal((10_000 if not clustered else 30_000, 64)).astype(np.float32)
     if clustered:
         v = v[rng.integers(0, 300, len(v))] + 0.25 * rng.standard_normal(v.shape).astype(np.float32)
-    bits, share = H.fit(v[rng.permutation(len(v))[: H.FIT_ROWS]], 5)
+    bits, share = fit(v[rng.permutation(len(v))])
     assert share < (0.75 if not clustered else 0.3)
     assert recall(spark, v) >= 0.9
 
@@ -100,7 +107,7 @@ def test_queries_go_to_the_ranges_of_their_prefix(spark, monkeypatch):
     monkeypatch.setattr(H, "SHARD_ROWS", 500)
     rng = np.random.default_rng(9)
     v = rng.standard_normal((40, 32))[rng.integers(0, 40, 8000)] + 1e-3 * rng.standard_normal((8000, 32))
-    bits, share = H.fit(v[:4096], 5)
+    bits, share = fit(v, shards=16)
     assert bits >= 2
     assert recall(spark, v.astype(np.float32)) >= 0.9
 
@@ -121,8 +128,23 @@ def test_ties_hold_at_any_partitioning(spark, monkeypatch):
 def test_small_tables_go_through_the_forest():
     rng = np.random.default_rng(3)
     v = rng.standard_normal((40, 3)) * 0.05 + np.repeat(np.eye(4, 3)[:, :] + 1, 10, axis=0)
-    bits, share = H.fit(v, 5)
-    assert share < 1.0 and H.fit(v[:1], 5) == (0, 1.0) and H.fit(v[:3], 5)[1] <= 1.0
+    bits, share = fit(v)
+    assert share < 1.0 and fit(v[:1]) == (0, 1.0) and fit(v[:3])[1] <= 1.0
+
+
+def test_true_neighbours_by_brute_force():
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((300, 8))
+    best = None
+    for at in range(0, 300, 70):
+        best = H.true_neighbours(v[at : at + 70], v[:9], 4, best)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(9):
+        s = u @ u[q]
+        s[q] = -2
+        want = np.argsort(-s)[:4]
+        order = np.argsort(-best[0][q])
+        assert np.allclose(best[0][q][order], s[want], atol=1e-6) and np.allclose(best[1][q][order], v[want])
 
 
 def test_forest_meets_more_when_asked():
