@@ -60,3 +60,14 @@ def test_loser_tree():
 def test_url_key():
     assert W.url_key("https://www.Blog.example.com:80/A/b?Q=1#x") == "com,example,blog)/a/b?q=1"
     assert W.url_key(None) == ")/" and W.url_key("http://[bad") == "http://[bad"
+
+
+def test_ranges_stay_even_as_captures_grow(spark, tmp_path, monkeypatch):
+    """Samples grow with the ranges: 4,000 captures, a third of one URL, in some 80 ranges of about 50."""
+    monkeypatch.setattr(W, "RANGE_ROWS", 50)
+    df = spark.createDataFrame([(i, "http://hot.example/" if i % 3 == 0 else f"http://h{i % 97}.example/{i}", "x") for i in range(4000)], "page long, url string, html string").repartition(20)
+    folder = f"file://{tmp_path}/r"
+    W.write_archives(df, folder).write.parquet(f"{folder}/runs")
+    index = W.merge_runs(spark, folder, spark.read.parquet(f"{folder}/runs"))
+    sizes = [r["count"] for r in index.groupBy("range").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 70 and max(sizes) < 250
