@@ -26,8 +26,8 @@ SHARD_ROWS, QUERY_BLOCK = 16384, 128
 #: Rows and queries of the sample that is fitted to, recall to reach there by the routing prefix and by the forest, and
 #: fewest sample rows that stand for a shard.
 FIT_ROWS, FIT_QUERIES, ROUTED, TARGET, WINDOW = 4096, 256, 0.98, 0.95, 64
-#: Cosine above which two vectors count as one in the fit; such rows meet in every tree.
-SAME = 1 - 1e-6
+#: Cosine above which two vectors may be equal; equal ones, which meet in every tree, are left out of the fit.
+SAME = 1 - 1e-5
 
 
 def strings(vectors: np.ndarray, trees: int = TREES, seed: int = SEED) -> np.ndarray:
@@ -150,14 +150,16 @@ def fit(sample: np.ndarray, queries: np.ndarray, true: list[np.ndarray], shards:
 
 
 def true_neighbours(vectors: np.ndarray, queries: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines (queries x k) and rows (queries x k x length) of the nearest of vectors, and of `best` before; those that are
-    the query itself are left out. Where there are fewer, the cosine is -inf."""
+    """Cosines (queries x k) and rows (queries x k x length) of the nearest of vectors, and of `best` before; vectors that
+    equal the query are left out. Where there are fewer, the cosine is -inf."""
     score, rows = best or (np.full((len(queries), k), -np.inf), np.zeros((len(queries), k, queries.shape[1])))
     q = _scaled(queries)
     for at in range(0, len(vectors), 8192):
         part = vectors[at : at + 8192]
         s = (q @ _scaled(part).T).astype(np.float64)
-        s[s > SAME] = -np.inf
+        like, row = np.nonzero(s > SAME)
+        equal = (queries[like] == part[row]).all(axis=1)
+        s[like[equal], row[equal]] = -np.inf
         all_ = np.concatenate([score, s], axis=1)
         top = np.argpartition(-all_, k - 1, axis=1)[:, :k] if all_.shape[1] > k else np.tile(np.arange(k), (len(q), 1))
         score = np.take_along_axis(all_, top, axis=1)
