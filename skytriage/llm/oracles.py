@@ -47,4 +47,20 @@ o AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS owner, lower(array_to_s
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to, url_key,
   row_number() OVER (ORDER BY url_key, page_id) - 1 AS position FROM o"""
 
-ORACLE = {"op3_ngram_join": NGRAM_JOIN, "op7_secret_scan": SECRET_SCAN, "op9_warc": WARC}
+_F = "({0} - {1}) * ({0} - {1}) // {1}"
+_P = "1 + (1000000000::HUGEINT * (coalesce({n}, 0) + 1)) // ({size})"
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS nr, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT lang, source, nr, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::BIGINT AS total FROM t GROUP BY ALL HAVING count(DISTINCT nr) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS n FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n)::BIGINT AS n FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, ({_P.format(n='c.n', size='coalesce(s.n, 0) + v.v')})::BIGINT AS p, ({_P.format(n='k.total', size='v.n + v.v')})::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum({_F.format('a.p', 'b.p')})::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ({_F.format('p', 'q')})::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM y QUALIFY part = 'pair' OR rank <= 200"""
+
+ORACLE = {"op3_ngram_join": NGRAM_JOIN, "op7_secret_scan": SECRET_SCAN, "op9_warc": WARC, "op11_source_divergence": DIVERGENCE}

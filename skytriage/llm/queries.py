@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
+from .divergence import audit
 from .hash_forest import nearest
 from .merge_dropout import encode_decode
 from .ngram_join import ngram_join
@@ -17,6 +18,7 @@ from .secret_scan import find_secrets
 from .sharding import assign_shards
 from .token_counts import count_tokens
 from .token_store import token_store
+from .toxicity import toxicity
 from .warc import archive
 
 
@@ -61,5 +63,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-_ALL = (op1_token_counts, op2_merge_dropout, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op8_hash_forest, op9_warc, op10_sharding)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_token_counts, op2_merge_dropout, op3_ngram_join, op4_quality_rules, op5_token_store, op6_packing, op7_secret_scan, op8_hash_forest, op9_warc, op10_sharding, op11_source_divergence, op12_toxicity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

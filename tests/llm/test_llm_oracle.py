@@ -38,6 +38,8 @@ CONTRACT = {
     "op8_hash_forest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op9_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op10_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op11_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
 }
 
 
