@@ -103,15 +103,15 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = 40) -> Column:
     return F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
-def wasserstein(df: DataFrame, x: str, flag: str = "S") -> DataFrame:
-    """Area between the two distribution functions. The step to the next value is a window inside a range, whose last
-    value takes the next range's first from a table of a row for each range."""
-    rows = _both(df, x, flag, ())
-    ahead = rows.groupBy("_range").agg(F.min(x).alias("_first"))
-    ahead = ahead.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_ahead"))
-    rows = rows.join(F.broadcast(ahead), "_range")
-    after = F.coalesce(F.lead(x).over(Window.partitionBy("_range").orderBy(x)), F.col("_ahead"))
-    return rows.withColumn("step", after - F.col(x)).agg(F.sum(F.abs(F.col("f_t") - F.col("f_b")) * F.coalesce("step", F.lit(0.0))).alias("wasserstein"))
+def wasserstein(df: DataFrame, x: str, flag: str = "S", by: tuple[str, ...] = ()) -> DataFrame:
+    """Area between the two distribution functions, by group. The step to the next value is a window inside a range, whose
+    last value takes the next range's first from a table of a row for each range (and group)."""
+    rows = _both(df, x, flag, by)
+    ahead = rows.groupBy(*by, "_range").agg(F.min(x).alias("_first"))
+    ahead = ahead.select(*by, "_range", F.lead("_first").over(Window.partitionBy(*by).orderBy("_range")).alias("_ahead"))
+    rows = rows.join(F.broadcast(ahead), [*by, "_range"])
+    after = F.coalesce(F.lead(x).over(Window.partitionBy(*by, "_range").orderBy(x)), F.col("_ahead"))
+    return rows.withColumn("step", after - F.col(x)).groupBy(*by).agg(F.sum(F.abs(F.col("f_t") - F.col("f_b")) * F.coalesce("step", F.lit(0.0))).alias("wasserstein"))
 
 
 def js_divergence(df: DataFrame, x: str, flag: str = "S", bins: int = 100) -> DataFrame:
@@ -127,12 +127,12 @@ def js_divergence(df: DataFrame, x: str, flag: str = "S", bins: int = 100) -> Da
     return c.crossJoin(F.broadcast(total)).agg((F.sum(part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2.0).alias("js"))
 
 
-def cohens_d(df: DataFrame, x: str, flag: str = "S") -> DataFrame:
-    """(mean of the flagged - mean of all) over the pooled standard deviation; 0 if that is 0."""
+def cohens_d(df: DataFrame, x: str, flag: str = "S", by: tuple[str, ...] = ()) -> DataFrame:
+    """(mean of the flagged - mean of all) over the pooled standard deviation, by group; 0 if that is 0."""
     own = F.when(F.col(flag) == 1, F.col(x))
-    s = df.agg(F.count(x).alias("n1"), F.count(own).alias("n2"), F.var_samp(x).alias("v1"), F.var_samp(own).alias("v2"), F.avg(x).alias("m1"), F.avg(own).alias("m2"))
+    s = df.groupBy(*by).agg(F.count(x).alias("n1"), F.count(own).alias("n2"), F.var_samp(x).alias("v1"), F.var_samp(own).alias("v2"), F.avg(x).alias("m1"), F.avg(own).alias("m2"))
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2))
-    return s.select("m1", "m2", F.when(pooled > 0, (F.col("m2") - F.col("m1")) / pooled).otherwise(0.0).alias("cohens_d")).withColumnsRenamed({"m1": "mean_true", "m2": "mean_biased"})
+    return s.select(*by, "m1", "m2", F.when(pooled > 0, (F.col("m2") - F.col("m1")) / pooled).otherwise(0.0).alias("cohens_d")).withColumnsRenamed({"m1": "mean_true", "m2": "mean_biased"})
 
 
 def long_features(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:

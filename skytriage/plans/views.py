@@ -14,8 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photometry(table(spark, sf_dir, "events"))
+
+
+def photometry(e: DataFrame) -> DataFrame:
     """events as photometry: a user is an object, an event type a passband."""
-    e = table(spark, sf_dir, "events")
     band = F.when(F.lit(False), -1)
     for k, name in enumerate(("click", "error", "purchase", "signup", "view")):
         band = band.when(F.col("event_type") == name, k)
@@ -29,8 +32,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects(table(spark, sf_dir, "customer"))
+
+
+def objects(c: DataFrame) -> DataFrame:
     """customers as objects."""
-    c = table(spark, sf_dir, "customer")
     cls = F.when(F.col("c_mktsegment") == "BUILDING", 64).when(F.col("c_mktsegment").isin("AUTOMOBILE", "MACHINERY"), 90).when(F.col("c_mktsegment") == "FURNITURE", 95).otherwise(15)
     return c.select(F.col("c_custkey").alias("object_id"), ((F.col("c_acctbal") + 1000) / 5500.0).alias("hostgal_photoz"), F.lit(0.05).alias("hostgal_photoz_err"), cls.alias("true_target"), F.col("c_nationkey").alias("libid_cadence"))
 
