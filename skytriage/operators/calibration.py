@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import CLASS_IDS
 from ..functions.scalars import tenth_bin
-from .shift import percentiles, range_of
+from .quantiles import percentiles
+from .shift import range_of
 
 
 def long_probabilities(df: DataFrame, keep: list[str] | None = None, classes: tuple[int, ...] = CLASS_IDS, binned: bool = False) -> DataFrame:
@@ -67,10 +68,13 @@ def edge_bin(x: Column, edges: Column) -> Column:
 
 def adaptive_bins(df: DataFrame, least: int = 50) -> DataFrame:
     """Reliability in at most ten bins of at least about `least` objects, between distinct exact percentiles."""
-    n = df.count()
-    target = 1 if n < least else max(1, min(10, n // least))
+
+    def marks(n: int) -> list[float]:
+        target = 1 if n < least else max(1, min(10, n // least))
+        return [i / target for i in range(target + 1)]
+
     rows = long_probabilities(df)
-    found = percentiles(rows, "p", [i / target for i in range(target + 1)], ("class_id",))
+    found = percentiles(rows, "p", marks, ("class_id",))
     edges = df.sparkSession.createDataFrame([(k, sorted(set(v))) for (k,), v in found.items()], "class_id int, edges array<double>")
     rows = rows.join(F.broadcast(edges), "class_id").withColumn("bin", edge_bin(F.col("p"), F.col("edges"))).where("bin is not null")  # a row for each class
     return rows.groupBy("class_id", "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_pred"), F.avg("hit").alias("mean_obs"))

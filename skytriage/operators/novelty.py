@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shift import percentiles
+from .quantiles import percentiles
 
 #: The features that are identifiable at each epoch; other epochs have the first entry.
 SUBSPACES = {

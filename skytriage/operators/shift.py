@@ -5,8 +5,6 @@ ranges between approximate quantiles, and a window inside each range. There are
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,37 +50,6 @@ def cumulative(df: DataFrame, x: str, sums: dict[str, Column], by: tuple[str, ..
     return out.select(*by, x, "_range", *sums, *cum, *(f"all_{k}" for k in sums if totals))
 
 
-def percentiles(df: DataFrame, x: str, shares: list[float], by: tuple[str, ...] = ()) -> dict[tuple, list[float]]:
-    """Exact percentiles with linear interpolation by group; a group without values has no entry.
-
-    Totals by range tell where a rank lies, and only those ranges are ordered: two numbers for each share reach the driver."""
-    each = _grouped(df, x, {"_n": F.lit(1)}, by)
-    groups: dict[tuple, dict[int, int]] = {}
-    for r in each.groupBy(*by, "_range").agg(F.sum("_n").alias("n")).collect():  # a row for each range and group
-        groups.setdefault(tuple(r[b] for b in by), {})[r["_range"]] = r["n"]
-    kinds, wanted, places = dict(each.dtypes), [], {}
-    for key, held in groups.items():
-        total = sum(held.values())
-        places[key] = [q * (total - 1) for q in shares]
-        for rank in sorted({f(p) for p in places[key] for f in (math.floor, math.ceil)}):
-            below = 0
-            for k in sorted(held):
-                if rank < below + held[k]:
-                    wanted.append((*key, k, rank - below, rank))
-                    break
-                below += held[k]
-    if not wanted:
-        return {}
-    asked = df.sparkSession.createDataFrame(wanted, ", ".join([*(f"{b} {kinds[b]}" for b in by), "_range int, _place long, _rank long"]))
-    own = [*by, "_range"]
-    w = Window.partitionBy(*own).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    lined = each.join(F.broadcast(asked.select(*own).distinct()), own, "left_semi").withColumn("_cum", F.sum("_n").over(w))
-    found = lined.join(F.broadcast(asked), own).where("_place < _cum and _place >= _cum - _n").select(*by, "_rank", F.col(x).cast("double").alias("_x")).collect()
-    at = {(tuple(r[b] for b in by), r["_rank"]): r["_x"] for r in found}
-    of = lambda key, p: at[key, math.floor(p)] + (at[key, math.ceil(p)] - at[key, math.floor(p)]) * (p - math.floor(p))
-    return {key: [of(key, p) for p in ps] for key, ps in places.items()}
-
-
 def _both(df: DataFrame, x: str, flag: str, by: tuple[str, ...]) -> DataFrame:
     """Distribution functions of the whole sample (t) and of its flagged part (b) at each value."""
     one = F.when(F.col(flag) == 1, 1).otherwise(0)

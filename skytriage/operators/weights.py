@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SelectionConfig
 from ..functions.scalars import selection_probability
-from .shift import percentiles
+from .quantiles import percentiles
 
 
 def weight_diagnostics(df: DataFrame, w: str = "w") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import FORBIDDEN
 from .functions.scalars import STATUS_NAMES, color, color_error, normalized, object_utility, snr, status_code
-from .operators import asof, shift, synthetic
+from .operators import asof, quantiles, shift, synthetic
 from .operators import discrimination as D
 from .operators import population as P
 from .plans.views import META_SQL, OBS_SQL, POP_SQL, SCORED_SQL, SEL_SQL, metadata, observations, population, scored, selected, table, uniform_sql
@@ -73,7 +73,7 @@ def strip(spark, sf_dir):
 @query("p5_global_cutoff", f"WITH {OBS_SQL}, c AS (SELECT quantile_cont(mjd, 0.25) AS cut FROM obs) SELECT passband, count(*) AS n FROM obs, c WHERE mjd <= cut GROUP BY ALL")
 def global_cutoff(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    cut = shift.percentiles(obs, "mjd", [0.25])[()][0]
+    cut = quantiles.percentiles(obs, "mjd", [0.25])[()][0]
     return asof.truncate_at_mjd(obs, cut).groupBy("passband").agg(F.count("*").alias("n"))
 
 

@@ -9,6 +9,7 @@ from .operators import calibration as C
 from .operators import discrimination as D
 from .operators import novelty as N
 from .operators import population as P
+from .operators import quantiles as Q
 from .operators import shift as S
 from .operators import weights as W
 from .plans.views import SCORED_SQL, SEL_SQL, metadata, scored, selected, table
@@ -88,7 +89,7 @@ def ranked_ks(spark, sf_dir):
 
 @query("w10_percentiles", f"WITH {SEL_SQL} SELECT round(quantile_cont(hostgal_photoz, 0.025), 6) AS p2_5, round(quantile_cont(hostgal_photoz, 0.5), 6) AS p50, round(quantile_cont(hostgal_photoz, 0.975), 6) AS p97_5 FROM sel")
 def percentiles(spark, sf_dir):
-    found = S.percentiles(selected(spark, sf_dir), "hostgal_photoz", [0.025, 0.5, 0.975])[()]
+    found = Q.percentiles(selected(spark, sf_dir), "hostgal_photoz", [0.025, 0.5, 0.975])[()]
     return rounded(spark.createDataFrame([tuple(found)], "p2_5 double, p50 double, p97_5 double"))
 
 

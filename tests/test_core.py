@@ -204,21 +204,6 @@ def test_shift_by_hand(spark):
     assert p[0] == 1.0 and p[1] < 1e-6 and abs(p[2] - 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 50))) < 1e-12
 
 
-@pytest.mark.parametrize("fewest", [1, 8, 40])
-def test_exact_percentiles(spark, monkeypatch, fewest):
-    import numpy as np
-
-    monkeypatch.setattr(shift, "FEWEST", fewest)
-    rng = np.random.default_rng(4)
-    rows = [(int(g), None if i % 50 == 0 else float("nan") if i % 51 == 0 else float(np.round(rng.normal(), 1 if g else 6))) for i, g in enumerate(rng.integers(0, 3, 900))] + [(7, 2.5), (8, None)] + [(9, 1.0)] * 400
-    shares = [0.0, 0.025, 0.5, 0.9, 1.0]
-    got = shift.percentiles(spark.createDataFrame(rows, "g int, x double"), "x", shares, ("g",))
-    own = {g: [x for k, x in rows if k == g and x is not None and not math.isnan(x)] for g in {k for k, _ in rows}}
-    assert set(got) == {(g,) for g, v in own.items() if v}
-    assert all(np.allclose(got[g,], np.quantile(v, shares), atol=1e-12) for g, v in own.items() if v)
-    assert shift.percentiles(spark.createDataFrame([], "x double"), "x", shares) == {}
-
-
 def test_hash_rank_is_a_window_s(spark):
     from pyspark.sql import Window
 
