@@ -6,16 +6,14 @@ normalized over the study's classes; a class without training rows has 0."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CLASS_IDS, BaselineConfig
-from ..functions.scalars import clipped_log, hash_uniform, normalized
-from ..sources.shared import kept
-from .discrimination import auc_or_half
+from ..functions.scalars import hash_uniform, normalized
 from .population import hash_rank, varying_columns
 from .validate import check_boundary, check_classes
 
@@ -65,59 +63,8 @@ class BaselineClassifier:
         return out.drop("_features", *(f"_r_{c}" for c in CLASS_IDS), *(f"_f_{c}" for c in names))
 
 
-class SelectionAwareRecalibrator:
-    """Weighted multinomial regression on log probabilities of selected objects; beyond the cutoff raw probabilities stay."""
-
-    def __init__(self, strength: float = 1.0, cutoff: float = 1.5):
-        self.strength, self.cutoff, self.model, self.classes = strength, cutoff, None, ()
-
-    def _features(self, df: DataFrame) -> DataFrame:
-        df = df.withColumns({f"_l{c}": clipped_log(F.col(f"p_{c}")) for c in CLASS_IDS})
-        return VectorAssembler(inputCols=[f"_l{c}" for c in CLASS_IDS], outputCol="_features").transform(df).drop(*(f"_l{c}" for c in CLASS_IDS))
-
-    def fit(self, df: DataFrame, label: str = "y", weight: str = "w") -> SelectionAwareRecalibrator:
-        check_boundary(df)
-        self.classes = sorted(r[0] for r in df.select(label).distinct().collect())
-        at = F.lit(0)
-        for k, c in enumerate(self.classes):
-            at = F.when(F.col(label) == c, k).otherwise(at)
-        rows = self._features(df).select("_features", at.cast("double").alias("_y"), F.col(weight).alias("_w"))
-        total = rows.agg(F.sum("_w")).first()[0]
-        lr = LogisticRegression(featuresCol="_features", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (self.strength * total), standardization=False, maxIter=200)
-        self.model = lr.fit(rows)
-        return self
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        """df with q_<class>, the recalibrated probabilities."""
-        if self.model is None:
-            raise RuntimeError("probabilities are recalibrated before the fit")
-        rows = self.model.setFeaturesCol("_features").setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_pred").transform(self._features(df)).withColumn("_p", vector_to_array("_p"))
-        new = {c: (F.col("_p")[self.classes.index(c)] if c in self.classes else F.lit(0.0)) for c in CLASS_IDS}
-        z = F.col("hostgal_photoz")
-        beyond = (z > self.cutoff) & ~F.isnan(z)  # a redshift that is missing is not beyond
-        return rows.withColumns({f"q_{c}": F.when(beyond, F.col(f"p_{c}")).otherwise(x) for c, x in new.items()}).drop("_features", "_p", "_raw", "_pred")
-
-
 def folds(df: DataFrame, n: int, seed: int, label: str = "y", by: tuple = ()) -> DataFrame:
     """Fold numbers by hash order inside each class (or each group by `by`), so that every fold has each class's share to one object."""
     groups = {f"_by_{k}": c if isinstance(c, Column) else F.col(c) for k, c in enumerate(by or (label,))}
     ranked = hash_rank(df.withColumns(groups), hash_uniform(seed, F.col("object_id")), tuple(groups), "fold")
     return ranked.withColumn("fold", F.pmod(F.col("fold") - 1, F.lit(n)).cast("int")).drop(*groups)
-
-
-def nested_cv(df: DataFrame, features: list[str], target: int, grid: list[BaselineConfig], outer: int = 3, inner: int = 2, seed: int = 42) -> list[tuple[int, BaselineConfig, float]]:
-    """(outer fold, best settings inside, AUC of the target outside)."""
-    df = folds(df, outer, seed).withColumnRenamed("fold", "outer")
-    df = kept(folds(df, inner, seed + 1).withColumnRenamed("fold", "inner"), "folds")
-
-    def score(train: DataFrame, test: DataFrame, config: BaselineConfig) -> float:
-        model = BaselineClassifier(config).fit_epoch(train, 0.0, features)
-        return auc_or_half(model.predict(test, 0.0).withColumn("hit", (F.col("y") == target).cast("long")), f"p_{target}")
-
-    out = []
-    for k in range(outer):
-        train, test = df.where(F.col("outer") != k), df.where(F.col("outer") == k)
-        ranked = [(sum(score(train.where(F.col("inner") != i), train.where(F.col("inner") == i), c) for i in range(inner)), -g) for g, c in enumerate(grid)] if len(grid) > 1 else [(0.0, 0)]
-        best = grid[-max(ranked)[1]]
-        out.append((k, best, score(train, test, best)))
-    return out

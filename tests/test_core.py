@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skytriage import config as cfg
 from skytriage.functions import scalars
 from skytriage.functions.binomial import clopper_pearson
-from skytriage.operators import asof, calibration, decision, discrimination, features, models, novelty, population, resample, shift, synthetic, validate, weights
+from skytriage.operators import asof, calibration, decision, discrimination, features, models, novelty, population, recalibration, resample, shift, synthetic, validate, weights
 from skytriage.plans import pipeline
 from skytriage.sources import readers, sinks
 
@@ -219,7 +219,7 @@ def test_zero_sum_and_missing_redshift(spark):
     assert tuple(got[0]) == (0.0, 0.0, 0.0) and tuple(got[1]) == (0.25, 0.75, 0.0)
     rows = [(i, (64, 90, 95)[i % 3], 0.2 + 0.3 * (i % 3 == 0), 0.3, 0.5 - 0.3 * (i % 3 == 0), 1.0, 1, None if i % 2 else float("nan")) for i in range(90)] + [(100, 64, 0.5, 0.3, 0.2, 1.0, 1, 1.6)]
     df = spark.createDataFrame(rows, "object_id long, y int, p_64 double, p_90 double, p_95 double, w double, S int, hostgal_photoz double")
-    new = models.SelectionAwareRecalibrator().fit(df).predict(df)
+    new = recalibration.SelectionAwareRecalibrator().fit(df).predict(df)
     assert new.where("object_id < 90 and q_64 = p_64").count() == 0 and new.where("object_id = 100 and q_64 <> p_64").count() == 0
 
 
@@ -353,8 +353,8 @@ def test_classifier_and_recalibration(spark):
     two = models.BaselineClassifier(config).fit_epoch(rows.where("y <> 95"), 2.0, ["f1"]).predict(rows, 2.0)
     assert two.where("p_95 <> 0").count() == 0
     with pytest.raises(RuntimeError):
-        models.SelectionAwareRecalibrator().predict(got)
-    new = models.SelectionAwareRecalibrator().fit(got).predict(got)
+        recalibration.SelectionAwareRecalibrator().predict(got)
+    new = recalibration.SelectionAwareRecalibrator().fit(got).predict(got)
     assert new.where("abs(q_64 + q_90 + q_95 - 1) > 1e-9").count() == 0
     assert new.where("hostgal_photoz > 1.5 and q_64 <> p_64").count() == 0 and new.where("hostgal_photoz <= 1.5 and q_64 <> p_64").count() > 0
 
