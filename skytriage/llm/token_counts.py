@@ -70,17 +70,21 @@ class _Merges:
 
 
 def split_long(text: str, most: int, library: _Pieces | _Merges) -> list[tuple[str, int]]:
-    """Parts of about `most` characters that begin at safe places, and the marks that are one too many in each; the next
-    place is taken, so a text without any stays whole."""
-    parts, at, over = [], 0, 0
-    while len(text) - at > most:
-        m = _CUT.search(text, at + most)
-        end = min(m.start() if m else len(text), at + most + _REACH)
-        k = next((i for i in range(at + most, end) if library.apart(text[i - 1], text[i])), None)
-        if k is None and m is None:
-            break
-        parts.append((text[at : k if k is not None else m.start()], over))
-        at, over = (k, 1) if k is not None else (m.start() + library.behind, 0)
+    """Parts of about `most` characters that begin at safe places, and the marks that are one too many in each; where the
+    next _REACH characters hold none, the search goes on behind them, so only a stretch without any stays one part."""
+    parts, at, over, seek = [], 0, 0, most
+    space = _CUT.search(text, seek)
+    while len(text) > seek:
+        if space is not None and space.start() < seek:
+            space = _CUT.search(text, seek)
+        end = min(space.start() if space else len(text), seek + _REACH)
+        k = next((i for i in range(seek, end) if library.apart(text[i - 1], text[i])), None)
+        if k is None and (space is None or space.start() > end):
+            seek = end
+            continue
+        parts.append((text[at : k if k is not None else space.start()], over))
+        at, over = (k, 1) if k is not None else (space.start() + library.behind, 0)
+        seek = at + most
     return [*parts, (text[at:], over)]
 
 
@@ -108,7 +112,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     model_path ends in .model (sentencepiece) or .json (tokenizers). A null text counts as the empty one (0 bytes,
     0 tokens). Each row is counted by itself: repeated rows and null ids give a row each, other columns are not read,
-    and an empty table gives no rows. A text without a safe place to split is encoded whole.
+    and an empty table gives no rows. A stretch of text without a safe place to split is encoded whole.
     """
     kind = _Pieces if model_path.endswith(".model") else _Merges
     id_type = docs.schema[id_col].dataType.simpleString()

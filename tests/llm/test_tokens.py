@@ -87,6 +87,20 @@ def test_long_texts_without_spaces(monkeypatch):
     assert len(cut) > 20 and max(len(x) for x, _ in cut) < 600
 
 
+def test_safe_places_behind_a_long_stretch_without_any(monkeypatch):
+    import sentencepiece
+
+    sp, library = sentencepiece.SentencePieceProcessor(model_file=PIECE), token_counts._Pieces(PIECE)
+    monkeypatch.setattr(token_counts, "LONG_TEXT", 200)
+    monkeypatch.setattr(token_counts, "_REACH", 64)
+    texts = ["z" * 2000 + "漢字仮名" * 500, "z" * 1500 + " plain words follow here" * 90, "漢字" * 300 + "the" * 700 + "京東" * 300, "the" * 900, "ab " + "the" * 100]
+    assert token_counts.counts(texts, library).tolist() == [len(sp.encode(t)) for t in texts]
+    for t, most in zip(texts[:3], (2300, 1800, 2500), strict=True):
+        cut = token_counts.split_long(t, 200, library)
+        assert max(len(x) for x, _ in cut) < most and len(cut) > 4
+    assert len(token_counts.split_long(texts[3], 200, library)) == 1
+
+
 def plain_greedy(lengths, capacity):
     """Longest piece first to the cheapest sequence with room, cut to the roomiest where none has."""
     n = -(-sum(lengths) // capacity)
