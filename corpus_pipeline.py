@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytriage.llm.common import ready, shared_folder, table, tokenizer_path
-from skytriage.llm.ngram_join import ngram_join
+from skytriage.llm.ngram_join import ngram_groups
 from skytriage.llm.packing import pack
 from skytriage.llm.quality import kept_documents
 from skytriage.llm.secret_scan import redact
@@ -25,14 +25,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at 0.8 the document of the smallest id stays; repeated rows of it are one.
 
-    Documents without words are groups of their own. Rows with a null id cannot be named by a group, and stay."""
-    groups = ngram_join(docs, width=5, percent=80)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    Rows are told apart by id and text, so an id may stand in several groups: each group keeps one row, the one of the
+    smallest id and then of the least hash of its text. Documents without words are groups of their own. Rows with a null id
+    cannot be named by a group, and stay."""
+    groups = ngram_groups(docs, width=5, percent=80).where("doc_id is not null")
+    first = groups.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("x.doc_id", "x.h")
+    first = first.unionByName(groups.where("group is null").select("doc_id", "h")).toDF("_first", "_hash").distinct()
     columns = docs.columns  # renamed by place, so that none can clash
     k, text = (f"_in{columns.index(c)}" for c in ("doc_id", "text"))
     rows = docs.toDF(*(f"_in{i}" for i in range(len(columns))))
-    kept = rows.where(F.col(k).isNotNull()).join(first, F.col(k) == F.col("_first"), "left_semi")
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    same = (F.col(k) == F.col("_first")) & (F.xxhash64(text) == F.col("_hash"))
+    kept = rows.where(F.col(k).isNotNull()).join(first, same, "left_semi")
+    if not groups.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([k, text])
     return kept.unionByName(rows.where(F.col(k).isNull())).toDF(*columns)
 

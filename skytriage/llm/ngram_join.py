@@ -86,11 +86,11 @@ def enough(common, n, m, percent: int):
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row (id, n, node, check) for each document, and rows (token, times) of n-grams that repeat within a chunk."""
+    """A row (id, n, node, check, h) for each document (id, text, h), and rows (token, times) of n-grams that repeat within a chunk."""
     id_type = docs.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "node", "check", "token", "times"]
+        names = ["id", "n", "node", "check", "h", "token", "times"]
         held, size, seen = [], 0, set()
         schema = None
 
@@ -100,14 +100,14 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
             held.clear()
             for at in range(0, len(token), 1 << 16):
                 part = slice(at, at + (1 << 16))
-                none = [pa.nulls(len(token[part]), schema.field(k).type) for k in range(4)]
+                none = [pa.nulls(len(token[part]), schema.field(k).type) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(token[part]), pa.array(times[part])], schema=schema)
 
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             sets = token_sets(batch.column("text"), width)
             prints = np.array([fingerprint(x) for x in sets], np.int64).reshape(-1, 2)
             n = len(sets)
-            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), batch.column("h"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
             schema = out.schema
             yield out
             for x, node in zip(sets, prints[:, 0].tolist(), strict=True):
@@ -121,7 +121,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
         if schema is not None:
             yield from close()
 
-    return docs.mapInArrow(run, f"id {id_type.simpleString()}, n long, node long, check long, token long, times long")
+    return docs.mapInArrow(run, f"id {id_type.simpleString()}, n long, node long, check long, h long, token long, times long")
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -440,20 +440,14 @@ def _kept(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_shingles, component_id), one per document.
-
-    Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct runs of `width` words, or the
-    whole sequence of fewer words. Sets link at 100 * intersection >= percent * union; a component's id is the least id
-    in it. Documents without words (or with a null text) have no n-grams and are their own component. Equal sets (by 128
-    bits of fingerprint) are one class at any count, repeated rows included. A null id is never a component's id unless
-    its component has no other, and then the component is null. Other columns are not read; an empty table gives no rows.
-    """
+def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, h, n_shingles, group, component_id), one per document: h is xxhash64 of the text, group a number that the rows
+    of a component share and no others do, null where there are no n-grams. See ngram_join."""
     spark = ready(docs.sparkSession)
     folder, work = shared_folder(spark, "ngram-join"), shared_folder(spark, "ngram-join-work")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    described = _kept(_describe(rows, width), f"{folder}/documents")
-    sized = described.where("token is null").select("id", "n", "node", "check")
+    described = _kept(_describe(rows.withColumn("h", F.xxhash64("text")), width), f"{folder}/documents")
+    sized = described.where("token is null").select("id", "n", "node", "check", "h")
     alike = _alike(sized)
     if alike:
         sized = sized.withColumn("node", F.udf(lambda a, b: named((a, b), alike), "long")("node", "check"))
@@ -468,11 +462,23 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     if roots is not None:
         classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         tops = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-        classes = classes.join(tops, "root").select("node", "component")
+        classes = classes.join(tops, "root").select("node", "root", "component")
     else:
-        classes = classes.select("node", F.col("least").alias("component"))
+        classes = classes.select("node", F.col("node").alias("root"), F.col("least").alias("component"))
     out = sized.join(classes.withColumnRenamed("node", "class"), (F.col("node") == F.col("class")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "h", F.col("n").alias("n_shingles"), F.col("root").alias("group"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_shingles, component_id), one per document.
+
+    Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct runs of `width` words, or the
+    whole sequence of fewer words. Sets link at 100 * intersection >= percent * union; a component's id is the least id
+    in it. Documents without words (or with a null text) have no n-grams and are their own component. Equal sets (by 128
+    bits of fingerprint) are one class at any count, repeated rows included. A null id is never a component's id unless
+    its component has no other, and then the component is null. Other columns are not read; an empty table gives no rows.
+    """
+    return ngram_groups(docs, width, percent, id_col, text_col).select(id_col, "n_shingles", "component_id")
 
 
 def _roots(rows: DataFrame, described: DataFrame, width: int, percent: int, alike: frozenset[int], folder: str, work: str, name: str) -> DataFrame | None:

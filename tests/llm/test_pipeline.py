@@ -51,6 +51,17 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in four} == {r.doc_id for r in three.collect()}
 
 
+def test_an_id_in_several_groups(spark):
+    """Each group keeps one row, whatever else its ids stand for; repeated rows are one."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "lorem ipsum dolor sit amet consectetur")
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c), (3, a), (4, ""), (4, ""), (4, None), (5, ""), (None, a), (6, a + " "), (0, None), (7, b + " eight nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", P.F.lit(1)).withColumn("group", P.F.lit("x"))
+    out = P.near_duplicate_stage(spark, docs.repartition(3), "")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (4, ""), (4, None), (5, ""), (None, a), (0, None), (7, b + " eight nine")])
+
+
 def test_run(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
