@@ -6,6 +6,7 @@ whose ranges meet its longest routing prefix that still holds enough neighbours.
 strings. A query descends to its longest common prefix in every array, then all arrays ascend together, one bit at a
 time, until the rows whose prefixes agree in any of them are as many as asked for; only these are scored. The routing
 prefix and the share to ask for are fitted to the true neighbours, among all rows, of a bounded sample of queries.
+Vectors of different length never meet: each length has its own fit and its own shards.
 """
 
 from __future__ import annotations
@@ -173,21 +174,18 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _sample(rows: DataFrame, n: int) -> np.ndarray | None:
-    """Different vectors of the commonest length from about FIT_ROWS rows, in an order that says nothing of them."""
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """Different vectors from about FIT_ROWS of n rows of one length, in an order that says nothing of them."""
     part = rows if n <= FIT_ROWS else rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 24)) < (FIT_ROWS << 24) // n)
-    sizes = sorted(part.groupBy(F.size("v").alias("d")).count().collect(), key=lambda r: -r[1])[:1]
-    if not sizes:
-        return None
-    found = part.where(F.size("v") == sizes[0][0]).orderBy(F.xxhash64("id"), "id").limit(2 * FIT_ROWS).toArrow().column("v").combine_chunks()
-    own = np.unique(_vectors(found), axis=0)
+    found = part.orderBy(F.xxhash64("id"), "id").limit(2 * FIT_ROWS).toArrow().column("v").combine_chunks()
+    own = np.unique(_vectors(found), axis=0) if len(found) else np.zeros((0, 1))
     return own[np.random.default_rng(SEED).permutation(len(own))]
 
 
 def _fitted(rows: DataFrame, n: int, k: int, shards: int) -> tuple[int, float]:
-    """fit() to a bounded sample; its first rows are queries, which meet all rows once."""
+    """fit() to a bounded sample of n rows of one length; its first rows are queries, which meet all rows once."""
     sample = _sample(rows, n)
-    if sample is None:
+    if not len(sample):
         return 0, 1.0
     queries = sample[:FIT_QUERIES].astype(np.float64)
     shared = rows.sparkSession.sparkContext.broadcast(queries)  # FIT_QUERIES rows
@@ -201,7 +199,7 @@ def _fitted(rows: DataFrame, n: int, k: int, shards: int) -> tuple[int, float]:
             q, place = np.nonzero(best[0] > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[0][q, place]), pa.array(list(best[1][q, place]), pa.list_(pa.float64()))], ["q", "s", "v"])
 
-    each = rows.where(F.size("v") == queries.shape[1]).mapInArrow(run, "q int, s double, v array<double>")  # k rows for each query and task
+    each = rows.mapInArrow(run, "q int, s double, v array<double>")  # k rows for each query and task
     top = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r") <= k)
     true: list[list] = [[] for _ in queries]
     for r in top.select("q", "v").collect():  # FIT_QUERIES * k rows
@@ -209,6 +207,14 @@ def _fitted(rows: DataFrame, n: int, k: int, shards: int) -> tuple[int, float]:
     return fit(sample, queries, [np.array(x) for x in true], shards)
 
 
+def _fits(rows: DataFrame, k: int) -> dict[int, tuple[int, float]]:
+    """Length -> its fit. Lengths of fewer than FIT_ROWS rows beside a longer list are not fitted: without an entry, all rows
+    of the length are scored. The one length of a small table is fitted, whatever its rows."""
+    counts = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d")
+    many = counts.where(F.col("count") >= FIT_ROWS).collect() or counts.limit(1).collect()  # a row for each FIT_ROWS rows at most
+    return {r.d: _fitted(rows.where(F.size("v") == r.d), r["count"], k, max(1, -(-r["count"] // SHARD_ROWS))) for r in many}
+
+
 def _parts(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Runs of equal keys inside the batches."""
     for batch in batches:
@@ -219,7 +225,7 @@ def _parts(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
                 yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", fitted: tuple[int, float] | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", fitted: tuple[int, float] | dict[int, tuple[int, float]] | None = None) -> DataFrame:
     """Rows (query_id, rank, <id>, score): the k nearest found of all rows of `vectors` but the query's own id.
 
     Score is the cosine in double precision on the original vectors; ties go to the smaller id, at any partitioning.
@@ -227,7 +233,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     part, as rows or as queries. Vectors are compared with those of their own length. Rows that repeat an id count as
     that id once, with their best score; of equal vectors in a shard the k + 1 smallest different ids stand for all,
     which loses no result. Fewer candidates give fewer rows; an empty table gives none. Other columns are not read.
-    `fitted` (routing bits, share of a shard's rows) takes the place of the fit; (0, 1.0) is exact.
+    A query id of several vectors asks with the least of them. `fitted` (routing bits, share of a shard's rows), for all
+    lengths or by length, takes the place of the fit; (0, 1.0) is exact, and so are lengths that a mapping lacks.
     """
     spark = ready(vectors.sparkSession)
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
@@ -248,7 +255,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     rows = sound(vectors)
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))
-    bits, share = fitted or _fitted(rows, n, k, shards)
+    fits = _fits(rows, k) if fitted is None else fitted
+    fit_of = lambda size: fits if isinstance(fits, tuple) else fits.get(size, (0, 1.0))
     folder = shared_folder(spark, "hash-forest")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,16 +295,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     # equal strings, whatever their number, are cut at a hash of the id
     dealt = routed(rows).withColumn("salt", F.xxhash64("id", F.monotonically_increasing_id())).repartitionByRange(shards, "size", "route", "salt")
-    built = dealt.sortWithinPartitions("size").mapInArrow(build, "size int, shard int, least long, most long").collect()  # a row per shard
-    built = spark.createDataFrame(built, "size int, shard int, least long, most long")
+    built = dealt.sortWithinPartitions("size").mapInArrow(build, "size int, shard int, least long, most long").collect()  # a row for each SHARD_ROWS rows
+    ranges: dict[int, tuple[np.ndarray, ...]] = {}
+    for size in {r.size for r in built}:
+        own = sorted((r.least, r.most, r.shard) for r in built if r.size == size)  # shards follow each other, so both ends grow
+        ranges[size] = tuple(np.array(x) for x in zip(*own, strict=True))
+    known = spark.sparkContext.broadcast(ranges)
 
     asked = sound(queries).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    wide = 1 << (BITS - bits)
-    low = F.col("route") - F.pmod("route", F.lit(wide))
-    asked = routed(asked).select("id", "v", "size", low.alias("low"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    met = (F.col("least") < F.col("low") + wide) & (F.col("most") >= F.col("low"))
-    work = asked.join(F.broadcast(built), "size").where(met).drop("low", "least", "most")  # a query goes to the ranges of its prefix
+    asked = asked.select("id", "v", F.size("v").alias("size"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for every shard whose range meets its prefix, found by two searches."""
+        for (size,), batch in _parts(batches, ["size"]):
+            if size not in known.value:
+                continue
+            least, most, shard = known.value[size]
+            wide = 1 << (BITS - fit_of(size)[0])
+            low = routes(_vectors(batch.column("v"))).astype(np.int64) // wide * wide
+            first, last = np.searchsorted(most, low, side="left"), np.searchsorted(least, low + wide, side="left")
+            n = np.maximum(last - first, 0)
+            for at in range(0, batch.num_rows, 64):  # a query goes to its shards, whose number the prefix bounds
+                some = slice(at, at + 64)
+                row = np.repeat(np.arange(at, min(at + 64, batch.num_rows)), n[some])
+                place = np.concatenate([np.arange(a, a + m) for a, m in zip(first[some], n[some], strict=True)])
+                if len(row):
+                    yield batch.take(pa.array(row)).append_column("shard", pa.array(shard[place.astype(np.int64)].astype(np.int32)))
+
+    work = asked.mapInArrow(meet, f"id long, v array<{kind}>, size int, block int, shard int")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -309,7 +336,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 forest = Forest(data["vectors"], data["sorted"], data["perm"])
                 u = _scaled(forest.vectors)
                 ids = [x.tolist() for x in np.split(data["ids"], np.cumsum(data["sizes"])[:-1])]
-                least = max(k + 1, int(np.ceil(share * len(u))))
+                least = max(k + 1, int(np.ceil(fit_of(key[0])[1] * len(u))))
             q = _vectors(batch.column("v"))
             own = strings(q)
             found = [(i, r, s) for j, i in enumerate(batch.column("id").to_pylist()) for s, r in best(q[j], forest.candidates(own[:, j], least), forest.vectors, u, ids, i, k)]

@@ -102,6 +102,47 @@ def test_recall_of_larger_tables(spark, clustered):
     assert recall(spark, v) >= 0.9
 
 
+def test_lengths_have_fits_of_their_own(spark, monkeypatch):
+    """Clusters of one length beside random vectors of another: each reaches the recall, and few rows of a third are exact."""
+    monkeypatch.setattr(H, "FIT_ROWS", 1000)
+    monkeypatch.setattr(H, "SHARD_ROWS", 1500)
+    rng = np.random.default_rng(12)
+    a = (rng.standard_normal((40, 32))[rng.integers(0, 40, 3000)] + 1e-3 * rng.standard_normal((3000, 32))).astype(np.float32)
+    b, c = rng.standard_normal((1500, 64)).astype(np.float32), rng.standard_normal((200, 8)).astype(np.float32)
+    rows = [(i, x) for i, x in enumerate([*a.tolist(), *b.tolist(), *c.tolist()])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    fits = H._fits(df.selectExpr("vec_id as id", "embedding as v"), 5)
+    assert set(fits) == {32, 64} and fits[32][1] < 0.3 < fits[64][1]
+    got = collect(H.nearest(df, df.where("vec_id % 50 = 0")))
+    start = 0
+    for part, least in ((a, 0.9), (b, 0.9), (c, 1.0)):
+        queries = [q for q in range(-(-start // 50) * 50 - start, len(part), 50)]
+        true = _true(part.astype(np.float64), queries)
+        hit = sum(len(true[q] & {i - start for _, i in got[q + start]}) for q in queries)
+        assert hit >= least * 5 * len(queries)
+        start += len(part)
+
+
+def test_no_query_meets_all_shards(spark, monkeypatch):
+    """Queries find their shards by search: the plan joins nothing, and rows of work are those of the prefix's ranges."""
+    monkeypatch.setattr(H, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(13)
+    v = rng.standard_normal((4000, 16))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    out = H.nearest(df, df.where("vec_id % 50 = 0"), fitted=(4, 1.0))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    route = H.routes(v)
+    near = {}
+    for r in out.collect():
+        near.setdefault(r.query_id, []).append(r.vec_id)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q, found in near.items():  # with the whole of each shard scored, all of the prefix's rows have been met
+        own = np.flatnonzero(route >> np.uint64(28) == route[q] >> np.uint64(28))
+        own = own[own != q]
+        best = own[np.argmax(u[own] @ u[q])]
+        assert u[found[0]] @ u[q] >= u[best] @ u[q] - 1e-12
+
+
 def test_queries_go_to_the_ranges_of_their_prefix(spark, monkeypatch):
     """Tight clusters are told apart by the routing string, and a query leaves most shards alone."""
     monkeypatch.setattr(H, "SHARD_ROWS", 500)
