@@ -142,8 +142,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     spark = ready(docs.sparkSession)
     text = lambda c, name: F.coalesce(docs[c].cast("string"), F.lit("")).alias(name)
     rows = docs.select(text(lang_col, "lang"), text(source_col, "source"), text(text_col, "text"))
-    counts = rows.mapInArrow(count_terms, _COUNTS).withColumn("cell", F.xxhash64("lang", "term"))
-    shards = counts.repartition("lang", "term").sortWithinPartitions("cell")
+    shards = rows.mapInArrow(count_terms, _COUNTS).repartition("lang", "term").withColumn("cell", F.xxhash64("lang", "term")).sortWithinPartitions("cell")
     terms = kept(shards.mapInArrow(_kept_terms(least), _TERMS), "divergence-terms")
 
     named = terms.where("term is not null")
