@@ -12,7 +12,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from .common import attempt_name, by_bytes, discard, filesystem, publish, ready,
 
 LENGTH, BATCH = 2048, 256
 SLICE_BYTES = 4 << 20
-#: Bytes of text in a file's range of documents, most files, keys sampled for a range.
-FILE_BYTES, FILES, SAMPLES = 32 << 20, 1 << 15, 24
+#: Bytes of text in a range of documents, most ranges, keys sampled for a range. Beyond these ranges a range holds more, and a
+#: file ends at as many bytes of ids; bytes of ids that are written at once, and file numbers set aside for a range.
+FILE_BYTES, RANGES, SAMPLES = 32 << 20, 1 << 15, 24
+WRITE_BYTES, ROLLS = 4 << 20, 1 << 24
 _GRAIN = 1 << 40
 
 
@@ -106,6 +108,8 @@ def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int, leng
     A null text is the empty one; null ids come first; rows of one id follow each other by a hash of their texts, then as
     they lie. An empty table gives no files. Texts are encoded where they lie and do not move; ids go to ranges of even
     bytes of text between sampled keys (id, hash, row), so that neither an id of very many rows nor long texts fill a file.
+    A range whose ids outgrow FILE_BYTES goes on in a further file, so files are even and a task's memory stays, however
+    large the table.
     """
     spark = ready(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("h"), F.monotonically_increasing_id().alias("row"))
@@ -113,53 +117,59 @@ def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int, leng
     rows.select("id", "h", "row", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")).write.parquet(work)
     sizes = spark.read.parquet(work)
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = min(FILES, max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES)))
-    cuts = _cuts(sizes, parts, max(total, 1))  # FILES keys at most
+    parts = min(RANGES, max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES)))
+    file_bytes, write_bytes = FILE_BYTES, WRITE_BYTES
+    cuts = _cuts(sizes, parts, max(total, 1))  # RANGES keys at most
     encoded = _encoded(rows, vocabulary, end_id, spark.sparkContext.broadcast(cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         k, attempt = TaskContext.get().partitionId(), attempt_name()
-        batches = (b for b in batches if b.num_rows)
-        first = next(batches, None)
-        if first is None:
-            return
-        width = np.dtype(f"<u{len(first.column('ids')[0].as_py()) // first.column('n')[0].as_py()}")
-        schema = _schema(width, length)
-        ids: list[pa.Array] = []
-        sizes: list[np.ndarray] = []
-
-        def write(out) -> None:
-            with pa.ipc.new_file(out, schema) as file:
-                held, count = [], 0
-                for batch in chain([first], batches):
-                    column = batch.column("ids")
-                    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-                    flat = np.frombuffer(column.buffers()[2], width, (at[-1] - at[0]) // width.itemsize, at[0])
-                    ids.append(batch.column("id"))
-                    sizes.append(batch.column("n").to_numpy())
-                    held.append(flat)
-                    count += len(flat)
-                    if count >= BATCH * length:
-                        flat = np.concatenate(held)
-                        full = len(flat) - len(flat) % (BATCH * length)
-                        for at in range(0, full, BATCH * length):
-                            file.write_batch(_batch(flat[at : at + BATCH * length], schema, length))
-                        held, count = [flat[full:]], len(flat) - full
-                if count:
-                    file.write_batch(_batch(np.concatenate(held), schema, length))
-
-        publish(f"{folder}/tokens-{k:08d}.arrow", write, attempt)
-        n = np.concatenate(sizes)
-        index = pa.table([pa.chunked_array(ids), pa.array(np.cumsum(n) - n), pa.array(n)], ["id", "start", "n_ids"])
-
-        def write_index(out) -> None:
-            with pa.ipc.new_file(out, index.schema) as file:
-                file.write_table(index)
-
-        publish(f"{folder}/docs-{k:08d}.arrow", write_index, attempt)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([int(n.sum())]), pa.array([len(n)], pa.int64())], ["file", "n_ids", "n_docs"])
+        batches = (part for b in batches if b.num_rows for part in by_bytes(iter([b]), "ids", write_bytes))
+        ahead = next(batches, None)
+        roll = 0
+        while ahead is not None:  # a range of very many documents gives several files
+            width = np.dtype(f"<u{len(ahead.column('ids')[0].as_py()) // ahead.column('n')[0].as_py()}")
+            schema = _schema(width, length)
+            ids: list[pa.Array] = []
+            sizes: list[np.ndarray] = []
+
+            def write(out) -> None:
+                nonlocal ahead
+                with pa.ipc.new_file(out, schema) as file:  # noqa: B023
+                    held, count, written = [], 0, 0
+                    while ahead is not None and written < file_bytes:
+                        column = ahead.column("ids")
+                        at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+                        flat = np.frombuffer(column.buffers()[2], width, (at[-1] - at[0]) // width.itemsize, at[0])  # noqa: B023
+                        ids.append(ahead.column("id"))  # noqa: B023
+                        sizes.append(ahead.column("n").to_numpy())  # noqa: B023
+                        held.append(flat)
+                        count += len(flat)
+                        written += flat.nbytes
+                        if count >= BATCH * length:
+                            flat = np.concatenate(held)
+                            full = len(flat) - len(flat) % (BATCH * length)
+                            for at in range(0, full, BATCH * length):
+                                file.write_batch(_batch(flat[at : at + BATCH * length], schema, length))  # noqa: B023
+                            held, count = [flat[full:]], len(flat) - full
+                        ahead = next(batches, None)
+                    if count:
+                        file.write_batch(_batch(np.concatenate(held), schema, length))  # noqa: B023
+
+            name = k * ROLLS + roll
+            publish(f"{folder}/tokens-{name:014d}.arrow", write, attempt)
+            n = np.concatenate(sizes)
+            index = pa.table([pa.chunked_array(ids), pa.array(np.cumsum(n) - n), pa.array(n)], ["id", "start", "n_ids"])
+
+            def write_index(out) -> None:
+                with pa.ipc.new_file(out, index.schema) as file:  # noqa: B023
+                    file.write_table(index)  # noqa: B023
+
+            publish(f"{folder}/docs-{name:014d}.arrow", write_index, attempt)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([int(n.sum())]), pa.array([len(n)], pa.int64())], ["file", "n_ids", "n_docs"])
+            roll += 1
 
     dealt = encoded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("id", "h", "row")
     files = dealt.mapInArrow(run, "file long, n_ids long, n_docs long").collect()  # a row per file
@@ -177,10 +187,10 @@ def read_store(spark: SparkSession, folder: str, files: DataFrame, id_type: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                fs, path = filesystem(f"{folder}/docs-{file:08d}.arrow")
+                fs, path = filesystem(f"{folder}/docs-{file:014d}.arrow")
                 with fs.open_input_file(path) as source:
                     index = pa.ipc.open_file(source).read_all()
-                pieces = Reader(f"{folder}/tokens-{file:08d}.arrow").pieces()
+                pieces = Reader(f"{folder}/tokens-{file:014d}.arrow").pieces()
                 have, crcs = np.zeros(0, np.uint16), []
                 for n in index.column("n_ids").to_numpy():
                     crc, left = 0, int(n)

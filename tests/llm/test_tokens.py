@@ -168,6 +168,28 @@ def test_store_splits_a_hot_id_and_long_texts(spark, library, monkeypatch, tmp_p
     assert sorted((r.doc_id or -1, r.ids_crc32) for r in got) == sorted((i or -1, known[t]) for i, t in data)
 
 
+@pytest.mark.parametrize("ranges,write", [(2, 300), (1, 600)])
+def test_ranges_go_on_in_further_files(spark, library, monkeypatch, tmp_path, ranges, write):
+    """Few ranges and small files: as the table grows there are more files, not larger ones."""
+    monkeypatch.setattr(token_store, "RANGES", ranges)
+    monkeypatch.setattr(token_store, "FILE_BYTES", 3000)
+    most = []
+    for n in (300, 1500):
+        df = spark.createDataFrame([(i % 700, f"some words of number {i} " * (1 + i % 5)) for i in range(n)], "doc_id long, text string").repartition(3)
+        df = df.repartition(2)
+        monkeypatch.setattr(token_store, "WRITE_BYTES", write)
+        monkeypatch.setattr(spark.sparkContext.__class__, "defaultParallelism", 1)
+        files = token_store.write_store(df, BYTE, f"file://{tmp_path}/{n}", 2)
+        sizes = [r.n_ids for r in files.collect()]
+        most.append((len(sizes), max(sizes)))
+        got = token_store.read_store(spark, f"file://{tmp_path}/{n}", files, "bigint").orderBy("start").collect()
+        assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+        assert [r.doc_id for r in got] == sorted(i % 700 for i in range(n))
+        want = sorted(zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")) for _, t in df.collect())
+        assert sorted(r.ids_crc32 for r in got) == want
+    assert most[1][0] > 3 * most[0][0] > 3 * ranges and most[1][1] <= 1500 + write
+
+
 def test_pack(spark, library):
     df = rows(spark, [*ODD, *(f"number {i} " * (i % 70) for i in range(400))]).repartition(2)
     got = packing.pack(df, BYTE).collect()
