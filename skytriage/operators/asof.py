@@ -43,16 +43,27 @@ def truncate_at_epoch(obs: DataFrame, epoch: float, config: FeatureConfig = Feat
     return truncate_at_mjd(obs, cutoffs)
 
 
-def epoch_sequences(obs: DataFrame, epochs: tuple[float, ...] = EPOCHS, config: FeatureConfig = FeatureConfig()) -> DataFrame:  # noqa: B008
+def epoch_sequences(obs: DataFrame, epochs: tuple[float, ...] = EPOCHS, config: FeatureConfig = FeatureConfig(), slice_rows: int | None = None) -> DataFrame:  # noqa: B008
     """Each object's prefixes at all epochs in one pass, with columns t0 and epoch.
 
     t0 is a window minimum, so the rows are shuffled once by object; every later grouping by (object_id, ...) within
-    that order needs no join back."""
+    that order needs no join back. With `slice_rows`, objects of more rows than that are not gathered: their count, span and
+    t0 come from sums by task and are joined in (at most a row for each slice_rows rows of the table), and a column `slice`
+    cuts their time into equal parts of about so many rows. Objects of fewer rows have slice 0."""
     from pyspark.sql import Window
 
     rows = with_detection(strip_forbidden(obs), config)
-    t0 = F.min(F.when(F.col("det"), F.col("mjd"))).over(Window.partitionBy("object_id"))
-    rows = rows.withColumn("t0", t0).where("t0 is not null")
+    seen = F.min(F.when(F.col("det"), F.col("mjd")))
+    few = rows
+    if slice_rows is not None:
+        hot = rows.groupBy("object_id").agg(F.count("mjd").alias("_n"), F.min("mjd").alias("_low"), F.max("mjd").alias("_high"), seen.alias("t0")).where(F.col("_n") > slice_rows)
+        few = rows.join(F.broadcast(hot.select("object_id")), "object_id", "left_anti")
+        many = rows.join(F.broadcast(hot), "object_id").where("t0 is not null")
+        parts = F.ceil(F.col("_n") / slice_rows)
+        place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("mjd") - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts)).otherwise(0)
+        many = many.withColumn("slice", F.least(place, parts - 1).cast("long")).drop("_n", "_low", "_high")
+    few = few.withColumn("t0", seen.over(Window.partitionBy("object_id"))).where("t0 is not null")
+    rows = few if slice_rows is None else few.withColumn("slice", F.lit(0).cast("long")).unionByName(many)
     return rows.withColumn("epoch", F.explode(F.array(*(F.lit(float(e)) for e in epochs)))).where(F.col("mjd") <= F.col("t0") + F.col("epoch"))
 
 

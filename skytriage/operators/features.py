@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import COLOR_PAIRS, PASSBANDS, FeatureConfig
 from ..functions.scalars import FEW_POINTS, NO_BASELINE, NO_DETECTION, NO_PAIR, NON_POSITIVE, WELL, color, color_error, snr
+from .moments import moments
 
 KEYS = ("object_id", "epoch")
 FEATURES = (*(f"rise_rate_pb{b}" for b in PASSBANDS), *(f"color_pb{a}_pb{b}" for a, b in COLOR_PAIRS), "alert_snr_0", "snr_growth_rate", "hostgal_photoz")
@@ -44,23 +45,17 @@ def rise_rates(prefixes: DataFrame, config: FeatureConfig = FeatureConfig()) ->
 
 
 def rise_diagnostics(prefixes: DataFrame) -> DataFrame:
-    """Reduced chi-square and condition number of fits with three detections or more.
-
-    Residuals need the fit, so the sums are window sums over the grouping's own partitioning: still one shuffle."""
-    own = Window.partitionBy(*KEYS, "passband")
-    rows = prefixes.where("det and flux_err > 0").withColumns({"x": F.col("mjd") - F.col("t0"), "w": 1.0 / (F.col("flux_err") * F.col("flux_err"))})
-    s = lambda c: F.sum(c).over(own)
-    w, x, f = F.col("w"), F.col("x"), F.col("flux")
-    rows = rows.withColumns({"n": F.count("*").over(own), "sw": s(w), "swx": s(w * x), "swf": s(w * f), "swxx": s(w * x * x), "swxf": s(w * x * f)})
-    rows = rows.withColumn("delta", F.col("sw") * F.col("swxx") - F.col("swx") * F.col("swx")).where("n > 2 and delta > 0")
-    slope = (F.col("sw") * F.col("swxf") - F.col("swx") * F.col("swf")) / F.col("delta")
-    start = (F.col("swxx") * F.col("swf") - F.col("swx") * F.col("swxf")) / F.col("delta")
-    gap = F.col("flux") - (start + slope * x)
-    out = rows.withColumn("gap2", w * gap * gap).groupBy(*KEYS, "passband").agg(F.count("*").alias("n"), F.sum("gap2").alias("chi2"), F.sum("x").alias("sx"), F.sum(x * x).alias("sxx"), F.sum("mjd").alias("st"), F.sum(F.col("mjd") * F.col("mjd")).alias("stt"))
-    n = F.col("n").cast("double")
-    top = (n + F.col("stt") + F.sqrt((n - F.col("stt")) * (n - F.col("stt")) + 4.0 * F.col("st") * F.col("st"))) / 2.0
-    det = n * F.col("sxx") - F.col("sx") * F.col("sx")  # a shift of time leaves it as it is
-    return out.select(*KEYS, "passband", "n", (F.col("chi2") / (n - 2)).alias("chi2_red"), F.log10(top / F.sqrt(det)).alias("log10_condition"))
+    """Reduced chi-square and condition number of fits with three detections or more, from one grouped pass.
+
+    Centred moments give both: what the fit leaves of the flux's square, and the singular values of (1, time). They merge, so
+    a passband of very many rows may lie in many tasks, and times need not be taken from t0."""
+    rows = prefixes.where("det and flux_err > 0").withColumn("_w", 1.0 / (F.col("flux_err") * F.col("flux_err")))
+    m = moments(rows, [*KEYS, "passband"], "mjd", "flux", "_w").where("n > 2 and cxx > 0")
+    n, square = F.col("n").cast("double"), F.col("txx") + F.col("n") * F.col("tx") * F.col("tx")
+    total = F.col("n") * F.col("tx")
+    top = (n + square + F.sqrt((n - square) * (n - square) + 4.0 * total * total)) / 2.0
+    chi2 = F.greatest(F.col("cyy") - F.col("cxy") * F.col("cxy") / F.col("cxx"), F.lit(0.0))
+    return m.select(*KEYS, "passband", "n", (chi2 / (n - 2)).alias("chi2_red"), F.log10(top / F.sqrt(n * F.col("txx"))).alias("log10_condition"))
 
 
 def colors(prefixes: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:  # noqa: B008
@@ -68,15 +63,23 @@ def colors(prefixes: DataFrame, config: FeatureConfig = FeatureConfig()) -> Data
 
     Ties go to the earlier first and then the earlier second detection. The nearest two are neighbours in time, so each
     first detection meets the last second one before it and the next one after it: two windows over one exchange, linear
-    in an object's detections."""
+    in an object's detections. Prefixes with a column `slice` (see asof.epoch_sequences) are worked on in slices of time,
+    each by itself, and what the slices before and after hold is joined in: a row for each slice."""
     pairs = F.array(*(F.struct(F.lit(a).alias("b1"), F.lit(b).alias("b2")) for a, b in COLOR_PAIRS))
-    det = prefixes.where("det").select(*KEYS, "passband", "mjd", "flux", "flux_err")
+    det = prefixes.where("det").select(*KEYS, "passband", "mjd", "flux", "flux_err", *(["slice"] if "slice" in prefixes.columns else []))
     both = det.withColumn("pair", F.explode(pairs)).where((F.col("passband") == F.col("pair.b1")) | (F.col("passband") == F.col("pair.b2")))
-    own = Window.partitionBy(*KEYS, "pair")
+    sliced = "slice" in both.columns
+    own = Window.partitionBy(*KEYS, "pair", *(["slice"] if sliced else []))
     second = F.col("passband") == F.col("pair.b2")
     so_far = lambda order: own.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # noqa: E731  rows of one time included
-    last = F.max(F.when(second, F.struct("mjd", (-F.col("flux")).alias("f"), (-F.col("flux_err")).alias("e")))).over(so_far(F.asc("mjd")))
-    after = F.min(F.when(second, F.struct("mjd", "flux", "flux_err"))).over(so_far(F.desc("mjd")))
+    backward, forward = F.when(second, F.struct("mjd", (-F.col("flux")).alias("f"), (-F.col("flux_err")).alias("e"))), F.when(second, F.struct("mjd", "flux", "flux_err"))
+    last, after = F.max(backward).over(so_far(F.asc("mjd"))), F.min(forward).over(so_far(F.desc("mjd")))
+    if sliced:
+        line = Window.partitionBy(*KEYS, "pair").orderBy("slice")  # a row for each slice
+        ends = both.groupBy(*KEYS, "pair", "slice").agg(F.max(backward).alias("_b"), F.min(forward).alias("_f"))
+        carried = ends.select(*KEYS, "pair", "slice", F.max("_b").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_f").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+        both = both.withColumns({"last": last, "after": after}).join(carried, [*KEYS, "pair", "slice"])
+        last, after = F.coalesce("last", "_before"), F.coalesce("after", "_behind")
     met = both.withColumns({"last": last, "after": after}).where(F.col("passband") == F.col("pair.b1"))
     before = F.when(F.col("last").isNotNull(), F.struct(F.col("last.mjd").alias("mjd"), (-F.col("last.f")).alias("flux"), (-F.col("last.e")).alias("flux_err")))
     one = F.struct("mjd", "flux", "flux_err")

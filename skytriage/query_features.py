@@ -9,6 +9,8 @@ from .functions.scalars import snr
 from .operators import asof, features
 from .plans.views import META_SQL, OBS_SQL, metadata, observations
 from .registry import Registry, rounded
+from .sources.colocated import Colocated, of_objects
+from .sources.shared import shared_folder
 
 query = Registry()
 
@@ -145,6 +147,36 @@ def colors(spark, sf_dir):
     return rounded(features.colors(_sequences(spark, sf_dir)))
 
 
+def _sliced(spark, sf_dir):
+    """Prefixes in slices of ten rows, so that most objects are cut."""
+    return asof.epoch_sequences(observations(spark, sf_dir), slice_rows=10)
+
+
+@query("j6_colors_in_slices", f"WITH {COLOR_SQL} SELECT object_id, epoch, b1, b2, status, {r6('min_dt_days', 'color', 'color_err')} FROM hue")
+def colors_in_slices(spark, sf_dir):
+    return rounded(features.colors(_sliced(spark, sf_dir)))
+
+
+@query("o3_sequences_in_slices", f"WITH {PREFIX_SQL} SELECT object_id, epoch, count(*) AS n_rows, count(*) FILTER (det) AS n_det, {r6('max_x')} FROM (SELECT *, max(mjd - t0) OVER (PARTITION BY object_id, epoch) AS max_x FROM prefix) GROUP BY object_id, epoch, max_x")
+def sequences_in_slices(spark, sf_dir):
+    return rounded(_sliced(spark, sf_dir).groupBy("object_id", "epoch").agg(F.count("*").alias("n_rows"), F.count_if("det").alias("n_det"), F.max(F.col("mjd") - F.col("t0")).alias("max_x")))
+
+
+def colocated_rise_rates(spark, sf_dir, buckets: int = 16):
+    """Rise rates of study objects from bucketed tables: after the tables are written nothing moves."""
+    folder = shared_folder(spark, "colocated")
+    tables = [Colocated.write(observations(spark, sf_dir), f"{folder}/observations", "object_id", ("mjd",), buckets), Colocated.write(metadata(spark, sf_dir).where("true_target <> 15"), f"{folder}/objects", "object_id", (), buckets)]
+    out = features.rise_rates(asof.epoch_sequences(of_objects(*tables)))
+    for t in tables:
+        t.close()
+    return out
+
+
+@query("s13_colocated_rise_rates", f"WITH {META_SQL}, {RISE_SQL} SELECT object_id, epoch, passband, n_obs, n_det, status, {r6('slope', 'slope_err', 'dt_days')} FROM rise WHERE object_id IN (SELECT object_id FROM meta WHERE true_target <> 15)")
+def colocated(spark, sf_dir):
+    return rounded(colocated_rise_rates(spark, sf_dir))
+
+
 @query("w1_alert_support", f"WITH {SUPPORT_SQL} SELECT object_id, epoch, n_obs_total, n_det_total, n_det_passbands, alert_snr_0_status, snr_growth_rate_status, {r6('det_time_span_days', 'alert_snr_0', 'alert_snr_0_err', 'snr_growth_rate', 'snr_growth_rate_err')} FROM support")
 def support(spark, sf_dir):
     return rounded(features.support(_sequences(spark, sf_dir)))
@@ -177,11 +209,19 @@ def wide(spark, sf_dir):
     return features.representation(metadata(spark, sf_dir), _sequences(spark, sf_dir), EPOCHS)
 
 
-@query("o4_representation", f"WITH {WIDE_SQL} SELECT object_id, epoch, {r6(*_DOUBLES, 'det_time_span_days')}, {', '.join(f'{f}_status' for f in features.FEATURES)}, n_obs_total, n_det_total, n_det_passbands, well_constrained_features, unconstrained_features FROM wide")
+REPRESENTATION_SQL = f"WITH {WIDE_SQL} SELECT object_id, epoch, {r6(*_DOUBLES, 'det_time_span_days')}, {', '.join(f'{f}_status' for f in features.FEATURES)}, n_obs_total, n_det_total, n_det_passbands, well_constrained_features, unconstrained_features FROM wide"
+
+
+@query("o4_representation", REPRESENTATION_SQL)
 def representation(spark, sf_dir):
     return rounded(wide(spark, sf_dir))
 
 
+@query("o4_representation_in_slices", REPRESENTATION_SQL)
+def representation_in_slices(spark, sf_dir):
+    return rounded(features.representation(metadata(spark, sf_dir), _sliced(spark, sf_dir), EPOCHS))
+
+
 @query("a6_constrained_counts", f"WITH {WIDE_SQL} SELECT epoch, well_constrained_features, count(*) AS n FROM wide GROUP BY ALL")
 def constrained_counts(spark, sf_dir):
     return wide(spark, sf_dir).groupBy("epoch", "well_constrained_features").agg(F.count("*").alias("n"))
