@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLASS_IDS
 from ..functions.scalars import tenth_bin
-from .quantiles import percentiles
+from .quantiles import percentiles, percentiles_of
 from .shift import range_of
 
 
@@ -66,18 +66,55 @@ def edge_bin(x: Column, edges: Column) -> Column:
     return F.when((F.size(edges) >= 2) & (x >= F.get(edges, F.lit(0))) & (x <= F.get(edges, F.size(edges) - 1)), F.least(below, F.size(edges) - 1) - 1)
 
 
-def adaptive_bins(df: DataFrame, least: int = 50) -> DataFrame:
-    """Reliability in at most ten bins of at least about `least` objects, between distinct exact percentiles."""
+def adaptive_bins(df: DataFrame, least: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reliability in at most ten bins of at least about `least` objects, between distinct exact percentiles, by group.
+
+    Percentiles of all groups and classes come from the same two or three scans."""
 
     def marks(n: int) -> list[float]:
         target = 1 if n < least else max(1, min(10, n // least))
         return [i / target for i in range(target + 1)]
 
-    rows = long_probabilities(df)
-    found = percentiles(rows, "p", marks, ("class_id",))
-    edges = df.sparkSession.createDataFrame([(k, sorted(set(v))) for (k,), v in found.items()], "class_id int, edges array<double>")
-    rows = rows.join(F.broadcast(edges), "class_id").withColumn("bin", edge_bin(F.col("p"), F.col("edges"))).where("bin is not null")  # a row for each class
-    return rows.groupBy("class_id", "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_pred"), F.avg("hit").alias("mean_obs"))
+    rows, keys = long_probabilities(df, list(by)), [*by, "class_id"]
+    kinds = dict(rows.dtypes)
+    found = percentiles(rows, "p", marks, tuple(keys))
+    edges = df.sparkSession.createDataFrame([(*k, sorted(set(v))) for k, v in found.items()], ", ".join([*(f"{k} {kinds[k]}" for k in keys), "edges array<double>"]))
+    rows = rows.join(F.broadcast(edges), keys).withColumn("bin", edge_bin(F.col("p"), F.col("edges"))).where("bin is not null")  # a row for each class and group
+    return rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_pred"), F.avg("hit").alias("mean_obs"))
+
+
+def populations(df: DataFrame, flag: str = "S") -> DataFrame:
+    """df with a column population: each row once as all's and once as that of the selected or the others."""
+    return df.withColumn("population", F.explode(F.array(F.lit("all"), F.when(F.col(flag) == 1, "selected").otherwise("others"))))
+
+
+def audit_cells(df: DataFrame, kinds: dict[str, tuple[str, int]], by: tuple[str, ...], few: int = 30) -> DataFrame:
+    """Rows (by..., kind, stratum, n, brier, reliability, resolution, uncertainty, mean_ece, binned_brier, exploratory) of each
+    group as a whole (kind "all", stratum 0) and of its strata: kinds maps a name to a column and the number of parts that its
+    exact percentiles in the group cut it into.
+
+    Percentiles of all columns and groups are found together; then one grouped pass with a grouping set for each kind."""
+    columns = list(dict.fromkeys(c for c, _ in kinds.values()))
+    spark, types = df.sparkSession, dict(df.dtypes)
+    shares = sorted({i / n for _, n in kinds.values() for i in range(n + 1)})
+    found = percentiles_of(df, columns, shares, by)
+    rows = []
+    for g in {tuple(k[1:]) for k in found}:
+        edges = {name: sorted({v for q, v in zip(shares, found.get((c, *g), []), strict=False) if q in {i / n for i in range(n + 1)}}) for name, (c, n) in kinds.items()}
+        rows.append((*g, *(edges[name] for name in kinds)))
+    table = spark.createDataFrame(rows, ", ".join([*(f"{b} {types[b]}" for b in by), *(f"_e{i} array<double>" for i in range(len(kinds)))]))
+    same = [df[b].eqNullSafe(F.col(f"_g_{b}")) for b in by]
+    df = df.join(F.broadcast(table.withColumnsRenamed({b: f"_g_{b}" for b in by})), same, "left")  # a row for each group
+    marks = [f"_k{i}" for i in range(len(kinds))]
+    df = df.withColumns({m: edge_bin(F.col(c), F.col(f"_e{i}")) for i, (m, (c, _)) in enumerate(zip(marks, kinds.values(), strict=True))})
+    long = long_probabilities(df, [*by, *marks]).withColumn("bin", tenth_bin(F.col("p")))
+    gap, own = F.col("p") - F.col("hit"), [*by, "class_id", "bin"]
+    s = long.groupingSets([own, *([*own, m] for m in marks)], *own, *marks).agg(F.count("*").cast("double").alias("n"), F.avg("p").alias("mean_pred"), F.avg("hit").alias("mean_obs"), F.sum(gap * gap).alias("gap"), *(F.grouping(m).alias(f"_out{m}") for m in marks))
+    kind, stratum = F.lit("all"), F.lit(0)
+    for name, m in zip(kinds, marks, strict=True):
+        kind, stratum = F.when(F.col(f"_out{m}") == 0, name).otherwise(kind), F.when(F.col(f"_out{m}") == 0, F.col(m)).otherwise(stratum)
+    s = s.select(*by, kind.alias("kind"), stratum.alias("stratum"), "class_id", "bin", "n", "mean_pred", "mean_obs", "gap").where("stratum is not null")
+    return _scores(s, (*by, "kind", "stratum")).withColumn("exploratory", F.col("n") < few)
 
 
 def strata(df: DataFrame, x: str, parts: int, name: str) -> DataFrame:
@@ -93,6 +130,11 @@ def summary(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     long = long_probabilities(df, list(by)).withColumn("bin", tenth_bin(F.col("p")))
     gap = F.col("p") - F.col("hit")
     s = long.groupBy(*by, "class_id", "bin").agg(F.count("*").cast("double").alias("n"), F.avg("p").alias("mean_pred"), F.avg("hit").alias("mean_obs"), F.sum(gap * gap).alias("gap"))
+    return _scores(s, by)
+
+
+def _scores(s: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The same from cells (by..., class_id, bin, n, mean_pred, mean_obs, gap)."""
     n = F.sum(F.when(F.col("class_id") == CLASS_IDS[0], F.col("n")))
     score = s.groupBy(*by).agg(n.cast("long").alias("n"), (F.sum("gap") / n).alias("brier"))
     parts = decomposed(s.where("bin is not null").drop("gap"), by)

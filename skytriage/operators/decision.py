@@ -104,6 +104,44 @@ def jackknife(rows: DataFrame, k: int, config: DecisionConfig = DecisionConfig()
     return each.agg(F.sum("times").alias("n_left_out"), *(f(c).alias(f"{c}_{n}") for c in ("r", "nr", "miss") for f, n in ((F.min, "min"), (F.max, "max")))).withColumnsRenamed({"r_min": "regret_min", "r_max": "regret_max", "nr_min": "normalized_min", "nr_max": "normalized_max", "miss_min": "mhver_min", "miss_max": "mhver_max"})
 
 
+def policy_grid(df: DataFrame, scale: float, capacities: tuple[int, ...], weights: tuple[float, ...], gains: tuple[float, ...], threshold: float, deadline: float, target: int = TARGET_CLASS, config: DecisionConfig = DecisionConfig()) -> DataFrame:  # noqa: B008
+    """Rows (u_tp, k, weight, u_policy, u_oracle, hits) of the sequential policy at every capacity, novelty weight and gain.
+
+    The best of a smaller capacity are among those of the largest, so one pass with a rank limit for each weight and epoch
+    (the largest capacity, once for each epoch) serves all of them; a walk over these rows gives each cell, and gains follow
+    from its counts. Two jobs: one for the totals and epochs, one for the ranks."""
+    rows = df.where(F.col("epoch") <= deadline)
+    objects = rows.groupBy("object_id").agg(F.first("y").alias("y"), F.collect_set("epoch").alias("e"))  # a few epochs each
+    total = objects.agg(F.count_if(F.col("y") == target).alias("t"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("e"))).alias("e")).first()
+    epochs, most = sorted(total.e), max(capacities) * len(total.e)
+    each = F.explode(F.array(*(F.lit(float(w)) for w in weights))).alias("weight")
+    p = rows.select("object_id", "epoch", (F.col("y") == target).alias("hit"), f"p_{target}", "novelty", each)
+    score = F.lit(None).cast("double")
+    for w in weights:
+        score = F.when(F.col("weight") == float(w), fused_score(F.col(f"p_{target}"), F.col("novelty"), scale, w)).otherwise(score)
+    p = p.withColumn("score", score).where(F.col("score") >= threshold)
+    line = Window.partitionBy("weight", "epoch").orderBy(F.desc("score"), "object_id")
+    best: dict = {}
+    for r in p.withColumn("_place", F.row_number().over(line)).where(F.col("_place") <= most).select("weight", "epoch", "_place", "object_id", "hit").collect():
+        best.setdefault((r.weight, r.epoch), []).append((r["_place"], r.object_id, r.hit))
+    out = []
+    for w in weights:
+        lists = [sorted(best.get((float(w), e), [])) for e in epochs]
+        for k in capacities:
+            gone: set = set()
+            hits = false = 0
+            for own in lists:
+                met = [(i, hit) for _, i, hit in own if i not in gone][: max(k, 0)]
+                gone.update(i for i, _ in met)
+                hits += sum(hit for _, hit in met)
+                false += sum(not hit for _, hit in met)
+            for u in gains:
+                policy = hits * u + false * config.u_fp + (total.t - hits) * config.u_fn + (total.n - total.t - false) * config.u_tn
+                oracle = min(total.t, k) * u + (total.t - min(total.t, k)) * config.u_fn
+                out.append((float(u), int(k), float(w), float(policy), float(oracle), float(hits)))
+    return df.sparkSession.createDataFrame(out, "u_tp double, k int, weight double, u_policy double, u_oracle double, hits double")
+
+
 @dataclass(frozen=True)
 class Arm:
     name: str

@@ -8,6 +8,7 @@ subsample of each replicate instead. The total weight varies between replicates,
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..config import DecisionConfig
 from ..functions.scalars import MIX_ALL, MIX_ONE, MIX_STEP, MIX_TWO, draw_keys, mixed, poisson, poisson_steps
 from ..sources.shared import kept, spread
+from . import shift as shift_
 from .calibration import decomposed, long_probabilities
 from .decision import regret_of_sums
 from .shift import quantile_cuts, range_of
@@ -188,10 +190,15 @@ def ranking(df: DataFrame, score: str, n: int, seed: int = 42, hit: str = "hit")
     """AUC and average precision by replicate, tie-averaged and step-wise; replicates of one class have none.
 
     Rows go to ranges of the score. Folded totals of the ranges above come first, then each range's rows from the top:
-    only the rows themselves are shuffled, once, whatever the number of replicates."""
+    only the rows themselves are shuffled, once, whatever the number of replicates. A score that as many rows share as a
+    range may hold is a range of its own, whose totals are all that is needed of it: its rows stay where they lie."""
     rows = df.select(F.col("object_id").cast("long").alias("object_id"), F.col(score).cast("double").alias("x"), F.col(hit).cast("double").alias("hit"))
     rows = kept(rows.where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("object_id").isNotNull()), "ranking")
-    cuts = quantile_cuts(rows, "x", rows.count())
+    total = rows.count()
+    most = max(shift_.RANGE_VALUES, total // shift_.MOST)
+    shared = [r.x for r in rows.groupBy("x").count().where(F.col("count") >= most).select("x").collect()]  # MOST scores at most
+    cuts = sorted({*quantile_cuts(rows, "x", total), *shared, *(math.nextafter(x, math.inf) for x in shared)})
+    alone = [bisect_right(cuts, x) for x in shared]
     rows = rows.withColumn("_range", range_of(F.col("x"), cuts))
     totals = kept(folded(rows, n, ["_range"], ["hit"], seed), "ranking-totals")  # a row for each range and replicate
     above = Window.partitionBy("replicate").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -246,9 +253,14 @@ def ranking(df: DataFrame, score: str, n: int, seed: int = 42, hit: str = "hit")
         close()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(wins), pa.array(ap)], ["replicate", "wins", "ap"])
 
-    lined = rows.select("object_id", "x", "hit", "_range", F.lit(1).alias("kind")).unionByName(base)
+    own = F.col("_range").isin(alone)
+    lined = rows.select("object_id", "x", "hit", "_range", F.lit(1).alias("kind")).unionByName(base).where(~own)
     lined = lined.repartitionById(len(cuts) + 1, F.col("_range")).sortWithinPartitions("_range", "kind", F.desc("x"))  # a task for each range
-    sums = lined.mapInArrow(run, "replicate int, wins double, ap double").groupBy("replicate").agg(F.sum("wins").alias("wins"), F.sum("ap").alias("ap"))
+    sums = lined.mapInArrow(run, "replicate int, wins double, ap double")
+    up, down = F.col("hit"), F.col("weight") - F.col("hit")
+    block = totals.withColumns({"tp": before("hit"), "fp": before("weight") - before("hit")}).where(own)
+    block = block.select("replicate", (down * (F.col("tp") + up / 2)).alias("wins"), F.coalesce(up * F.try_divide(F.col("tp") + up, F.col("tp") + up + F.col("fp") + down), F.lit(0.0)).alias("ap"))
+    sums = sums.unionByName(block).groupBy("replicate").agg(F.sum("wins").alias("wins"), F.sum("ap").alias("ap"))
     whole = totals.groupBy("replicate").agg(F.sum("hit").alias("n_pos"), F.sum(F.col("weight") - F.col("hit")).alias("n_neg"))
     some = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return sums.join(whole, "replicate").select("replicate", F.when(some, F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"), F.when(some, F.col("ap") / F.col("n_pos")).alias("avg_precision"))

@@ -13,6 +13,7 @@ from .operators import population as P
 from .plans.views import META_SQL, OBS_SQL, POP_SQL, SCORED_SQL, SEL_SQL, metadata, observations, population, scored, selected, table, uniform_sql
 from .query_features import PREFIX_SQL, SUPPORT_SQL, T0_SQL, WIDE_SQL, r6, wide
 from .registry import Registry, rounded
+from .sources import sinks
 
 query = Registry()
 
@@ -42,6 +43,22 @@ def fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.concat_ws(":", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), 256).alias("fingerprint"))
 
 
+def _digest_sql(table: str, columns: list[str]) -> str:
+    cells = " || ',' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in sorted(columns))
+    lanes = " || ".join(f"lpad(lower(to_hex((sum(('0x' || substr(h, {1 + 16 * k}, 16))::UBIGINT::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0')" for k in range(4))
+    return f"SELECT '{table}' AS name, count(*) AS n, {lanes} AS digest FROM (SELECT sha256({cells}) AS h FROM {table})"
+
+
+_DIGESTED = {"documents": ["doc_id", "text", "lang", "source", "n_chars"], "customer": ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]}
+
+
+@query("s9_content_digest", " UNION ALL ".join(_digest_sql(t, c) for t, c in _DIGESTED.items()))
+def content_digests(spark, sf_dir):
+    """What the tables hold, whatever their files."""
+    each = [sinks.content_digest(table(spark, sf_dir, t).select(c)).select(F.lit(t).alias("name"), "n", "digest") for t, c in _DIGESTED.items()]
+    return each[0].unionByName(each[1])
+
+
 @query("s13_union_of_partitions", f"WITH {OBS_SQL} SELECT object_id % 3 AS part, count(*) AS n, count(DISTINCT object_id) AS n_objects FROM obs WHERE object_id IN (SELECT object_id FROM obs WHERE passband = 0 AND flux > 40) GROUP BY 1")
 def union_of_partitions(spark, sf_dir):
     obs = observations(spark, sf_dir)

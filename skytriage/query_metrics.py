@@ -149,6 +149,44 @@ def adaptive_bins(spark, sf_dir):
     return rounded(C.adaptive_bins(kept(scored(spark, sf_dir).where("epoch = 2"), "scored")))
 
 
+_POPULATIONS = "pops AS (SELECT *, -19.3::DOUBLE + distmod + 3.1::DOUBLE * mwebv AS m_r, unnest(['all', CASE WHEN S = 1 THEN 'selected' ELSE 'others' END]) AS population FROM scored)"
+_CURVES = " UNION ALL ".join(f"SELECT population, epoch, {c} AS class_id, p_{c} AS p, (y = {c})::INT::DOUBLE AS hit FROM pops" for c in (64, 90, 95))
+
+
+@query(
+    "s15_reliability_curves",
+    f"""WITH {SCORED_SQL}, {_POPULATIONS}, l AS ({_CURVES}), e AS ({_edges('p', 10, 'l', 'population, epoch, class_id')})
+SELECT population, epoch, class_id, bin, count(*) AS n, round(avg(p), 6) AS mean_pred, round(avg(hit), 6) AS mean_obs FROM (SELECT l.*, {_edge_bin('p')} AS bin FROM l JOIN e USING (population, epoch, class_id)) WHERE bin IS NOT NULL GROUP BY ALL""",
+)
+def reliability_curves(spark, sf_dir):
+    """Curves of every population, epoch and class at once."""
+    return rounded(C.adaptive_bins(C.populations(scored(spark, sf_dir)), by=("population", "epoch")))
+
+
+_KINDS = {"probability decile": ("p_64", 10), "magnitude quintile": ("m_r", 5), "redshift quintile": ("hostgal_photoz", 5)}
+
+
+def _cells_sql() -> str:
+    edges = ", ".join(f"e{i} AS ({_edges(c, n, 'pops', 'population, epoch')})" for i, (c, n) in enumerate(_KINDS.values()))
+    strata = " UNION ALL ".join(f"SELECT * FROM (SELECT p.*, '{k}' AS kind, {_edge_bin(c)} AS stratum FROM pops p JOIN e{i} USING (population, epoch)) WHERE stratum IS NOT NULL" for i, (k, (c, _)) in enumerate(_KINDS.items()))
+    longp = " UNION ALL ".join(f"SELECT population, epoch, kind, stratum, {c} AS class_id, p_{c} AS p, (y = {c})::INT::DOUBLE AS hit FROM st" for c in (64, 90, 95))
+    g = "population, epoch, kind, stratum"
+    return f"""WITH {SCORED_SQL}, {_POPULATIONS}, {edges}, st AS (SELECT *, 'all' AS kind, 0 AS stratum FROM pops UNION ALL {strata}), lp AS ({longp}),
+b AS (SELECT {g}, class_id, {_BIN} AS bin, count(*)::DOUBLE AS n, avg(p) AS mp, avg(hit) AS mo FROM lp GROUP BY ALL),
+m0 AS (SELECT *, n / sum(n) OVER w AS part, sum(n * mo) OVER w / sum(n) OVER w AS base FROM b WINDOW w AS (PARTITION BY {g}, class_id)),
+m1 AS (SELECT {g}, class_id, sum(part * (mp - mo) * (mp - mo)) AS rel, sum(part * (mo - base) * (mo - base)) AS res, max(base * (1 - base)) AS unc, sum(part * abs(mp - mo)) AS ece FROM m0 GROUP BY ALL),
+m2 AS (SELECT {g}, sum(rel) AS reliability, sum(res) AS resolution, sum(unc) AS uncertainty, avg(ece) AS mean_ece FROM m1 GROUP BY ALL),
+bs AS (SELECT {g}, count(*) AS n, avg({_GAP}) AS brier FROM st GROUP BY ALL)
+SELECT {g}, n, round(brier, 9) AS brier, round(reliability, 9) AS reliability, round(resolution, 9) AS resolution, round(uncertainty, 9) AS uncertainty, round(mean_ece, 9) AS mean_ece, round(reliability - resolution + uncertainty, 9) AS binned_brier, n < 30 AS exploratory FROM bs JOIN m2 USING ({g})"""
+
+
+@query("s15_audit_cells", _cells_sql())
+def audit_cells(spark, sf_dir):
+    """The audit's figures in one table: each population and epoch, whole and in every kind of stratum."""
+    rows = C.populations(scored(spark, sf_dir)).withColumn("m_r", F.lit(-19.3) + F.col("distmod") + 3.1 * F.col("mwebv"))
+    return rounded(C.audit_cells(rows, _KINDS, ("population", "epoch")), 9)  # shares of 1,200 rows tie at six places
+
+
 def _stratified_sql(x: str, parts: int) -> str:
     longp = " UNION ALL ".join(f"SELECT stratum, {c} AS class_id, p_{c} AS p, (y = {c})::INT::DOUBLE AS hit FROM st" for c in (64, 90, 95))
     return f"""WITH {SCORED_SQL}, s2 AS (SELECT *, -19.3::DOUBLE + distmod + 3.1::DOUBLE * mwebv AS m_r FROM scored WHERE epoch = 2), e AS ({_edges(x, parts, 's2')}),

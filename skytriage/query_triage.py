@@ -181,18 +181,9 @@ def _grid_sql() -> str:
 
 @query("d4_sensitivity_grid", _grid_sql())
 def grid(spark, sf_dir):
-    """Triggers depend on capacity and weight only, so nine policies serve 27 cells."""
+    """All 27 cells from one rank-limited pass."""
     ev, _, scale = _cohort(spark, sf_dir)
-    ev = ev.where("epoch <= 2")
-    objects = ev.groupBy("object_id").agg(F.first("y").alias("y"))
-    out = None
-    for k, w in sorted({(k, w) for _, k, w in _GRID}):
-        trig = D.sequential(D.with_score(ev, w, scale), k, 0.001, 2.0)
-        for u in (1.0, 2.0, 5.0):
-            c = DecisionConfig(u_tp=u, capacity=k, novelty_weight=w)
-            row = D.regret(D.outcomes(objects, trig, config=c), k, c).select(F.lit(u).alias("u_tp"), F.lit(k).alias("k"), F.lit(w).alias("weight"), "u_policy", "u_oracle", "hits")
-            out = row if out is None else out.unionByName(row)
-    return out
+    return D.policy_grid(ev, scale, (1, 5, 10), (0.0, 0.05, 0.1), (1.0, 2.0, 5.0), 0.001, 2.0)
 
 
 @query("d5_target_audit", f"WITH {score_sql(0.05)}, {trig_sql('0.001', 22)} SELECT object_id, s.epoch, round(p_64, 6) AS p_64, round(novelty, 6) AS novelty, trigger_epoch FROM scored s LEFT JOIN trig USING (object_id) WHERE s.S = 0 AND y = 64")
@@ -460,20 +451,16 @@ def recalibrated_scores(spark, sf_dir):
     return rounded(C.deltas(rows, new))
 
 
-#: The reference's settings, in the order in which its search breaks ties.
-GRID = [BoostingConfig(n, d, s, leaf, l2) for l2 in (1.0, 10.0) for s in (0.05, 0.1) for d in (3, 5) for n in (50, 100) for leaf in (20, 50)]
+def _folds_sql(seed: int, n: int, by: str, source: str) -> str:
+    return f"SELECT *, ((row_number() OVER (PARTITION BY {by} ORDER BY {uniform_sql(f"'{seed}:' || object_id")}, object_id) - 1) % {n})::INT AS fold FROM {source}"
 
 
-@query("b9_nested_cv")
-def nested_cv(spark, sf_dir):
-    """Five outer and three inner folds over all settings, at each epoch, for the kilonova."""
-    rows, names = _training(spark, sf_dir)
-    rows = M.folds(rows.where("S = 1").drop("fold"), 5, 42, by=("epoch", "y")).withColumnRenamed("fold", "outer")
-    for k in range(5):
-        rows = M.folds(rows, 3, 43 + k, by=("epoch", "y", F.col("outer") != k)).withColumnRenamed("fold", f"inner_{k}")
-    found = boosting.nested(rows, names, 64, GRID)
-    settings = spark.createDataFrame([(g, c.rounds, c.depth, c.step, c.leaf, c.l2) for g, c in enumerate(GRID)], "setting int, rounds int, depth int, step double, leaf int, l2 double")  # a row for each setting
-    return found.join(F.broadcast(settings), "setting").drop("setting")
+@query("b9_stratified_folds", f"WITH {SEL_SQL}, o AS ({_folds_sql(42, 5, 'true_target', '(SELECT object_id, true_target FROM sel WHERE S = 1)')}), a AS (SELECT object_id, true_target, fold AS outer_fold FROM o), i AS ({_folds_sql(43, 3, 'true_target, outer_fold', 'a')}) SELECT object_id, true_target, outer_fold, fold AS inner_fold FROM i")
+def stratified_folds(spark, sf_dir):
+    """Five outer folds with each class's share to one object, and three inner ones in each of them."""
+    rows = selected(spark, sf_dir).where("S = 1").select("object_id", "true_target")
+    rows = kept(M.folds(rows, 5, 42, "true_target").withColumnRenamed("fold", "outer_fold"), "folds")
+    return M.folds(rows, 3, 43, by=("true_target", "outer_fold")).select("object_id", "true_target", "outer_fold", F.col("fold").alias("inner_fold"))
 
 
 @query("o5_all_epochs_one_pass", f"WITH {PREFIX_SQL} SELECT object_id, " + ", ".join(f"count(*) FILTER (epoch = {e}) AS n_{e}, count(*) FILTER (epoch = {e} AND det) AS n_det_{e}, round(max(mjd - t0) FILTER (epoch = {e}), 6) AS last_{e}" for e in (0, 2, 7)) + " FROM prefix GROUP BY 1")

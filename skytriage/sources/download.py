@@ -41,10 +41,11 @@ def fetch(url: str, target: str, again: bool = False) -> int:
 
 
 def urls_of(folder: str) -> list[str]:
-    """URLs of a local folder's files, hidden ones left out."""
+    """URLs of a folder's files under the folder's own scheme and host, hidden ones left out."""
     fs, path = filesystem(folder)
     found = fs.get_file_info(FileSelector(path))
-    return sorted(f"file://{f.path}" for f in found if f.is_file and not f.base_name.startswith((".", "_")))
+    base = folder.rstrip("/") if "://" in folder else f"file://{path.rstrip('/')}"
+    return sorted(f"{base}/{f.base_name}" for f in found if f.is_file and not f.base_name.startswith((".", "_")))
 
 
 def fetch_all(spark: SparkSession, urls: list[str], folder: str, at_once: int = 4) -> DataFrame:

@@ -12,6 +12,7 @@ from datetime import UTC, datetime
 import pyarrow as pa
 from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.population import class_balance, selection_summary
 from .shared import filesystem
@@ -54,6 +55,33 @@ def table_digest(spark: SparkSession, uri: str) -> str:
     return hashlib.sha256("".join(f"{digests[n]}\n" for n in names).encode()).hexdigest()
 
 
+#: Bits of each of the four sums of a content digest.
+_LANE = 1 << 64
+
+
+def content_digest(df: DataFrame, columns: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (by..., n, digest) of what a table holds, whatever its files, partitions and order of rows.
+
+    Each row's SHA-256 is cut into four numbers, which are summed over the rows modulo 2^64: equal multisets of rows give
+    equal digests, repeated rows count, and tasks add up their own rows first. Values enter as text with their length in
+    front, so that neither a null nor a boundary can be mistaken; columns enter in the order of their names."""
+    names = sorted(columns or [c for c in df.columns if c not in by])
+    text = lambda c: F.col(c).cast("string")
+    cell = lambda c: F.coalesce(F.concat(F.char_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("n"))
+    hashed = F.sha2(F.concat_ws(",", *(cell(c) for c in names)), 256)
+    rows = df.select(*by, hashed.alias("_h"))
+    lane = lambda k: F.sum(F.conv(F.substring("_h", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")).alias(f"_{k}")
+    s = rows.groupBy(*by).agg(F.count("*").alias("n"), *(lane(k) for k in range(4)))
+    part = lambda k: F.lpad(F.lower(F.conv(F.pmod(F.coalesce(f"_{k}", F.lit(0)), F.lit(str(_LANE)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 10, 16)), 16, "0")
+    return s.select(*by, "n", F.concat(*(part(k) for k in range(4))).alias("digest"))
+
+
+def added(*digests: str) -> str:
+    """The digest of tables put together, from their own."""
+    lanes = [[int(d[16 * k : 16 * k + 16], 16) for d in digests] for k in range(4)]
+    return "".join(f"{sum(x) % _LANE:016x}" for x in lanes)
+
+
 def plain(value):
     """Numbers as JSON has them; NaN and infinities become null."""
     if isinstance(value, dict):
@@ -103,7 +131,7 @@ def metrics(df: DataFrame, *keys: str) -> dict:
 
 def manifest(name: str, path: str, df: DataFrame, parent: str | None = None, config: dict | None = None) -> dict:
     """What a stage wrote: counts by class, digests of the table and of its parent."""
-    payload = {"name": name, "created": datetime.now(UTC).isoformat(timespec="seconds"), "rows": df.count(), "sha256": table_digest(df.sparkSession, path), "config": config or {}}
+    payload = {"name": name, "created": datetime.now(UTC).isoformat(timespec="seconds"), "rows": df.count(), "sha256": table_digest(df.sparkSession, path), "content": content_digest(df).first().digest, "config": config or {}}
     if "true_target" in df.columns:
         payload["classes"] = {str(r.true_target): r.n for r in class_balance(df).collect()}
     if "S" in df.columns:

@@ -75,9 +75,9 @@ def test_shift(spark, drawn):
             assert np.allclose([got[b].ks, got[b].wasserstein, got[b].js], [abs(f - g).max(), (abs(f - g)[:-1] * np.diff(x)).sum(), js], atol=2e-6)
 
 
-@pytest.mark.parametrize("places", [2, 9])
+@pytest.mark.parametrize("places", [-1, 0, 2, 9])
 def test_ranking(spark, monkeypatch, places):
-    """Scores with many ties and with none, ranges and blocks of a few rows."""
+    """One score for all, scores with many ties and with none, ranges and blocks of a few rows."""
     from skytriage.operators import shift
 
     monkeypatch.setattr(shift, "RANGE_VALUES", 100)

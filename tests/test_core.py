@@ -327,6 +327,38 @@ def test_exact_intervals():
     assert clopper_pearson(0, 10)[0] == 0.0 and abs(clopper_pearson(0, 10)[1] - (1 - 0.025**0.1)) < 1e-9
 
 
+def test_content_digests(spark):
+    """The same for other partitions and orders, another for a changed, a repeated or a shifted value; parts add up."""
+    rows = [(1, "a,b", None), (2, None, "x"), (2, None, "x"), (3, "", "1:a"), (None, None, None)]
+    df = spark.createDataFrame(rows, "i long, s string, t string")
+    of = lambda d, **k: sinks.content_digest(d, **k).first()
+    base = of(df)
+    assert base.n == 5 and len(base.digest) == 64
+    assert of(df.repartition(4)).digest == of(df.orderBy(F.desc("i")).select("t", "s", "i")).digest == base.digest
+    for other in ([*rows[:4], (None, None, "")], rows[:4], [*rows, rows[1]], [(1, "a", "b"), *rows[1:]], [(1, None, "a,b"), *rows[1:]]):
+        assert of(spark.createDataFrame(other, df.schema)).digest != base.digest
+    assert sinks.added(of(df.where("i = 2")).digest, of(df.where("i is null or i <> 2")).digest) == base.digest
+    assert {(r.i, r.n) for r in sinks.content_digest(df, by=("i",)).collect()} == {(1, 1), (2, 2), (3, 1), (None, 1)}
+    assert of(df.limit(0)).digest == "0" * 64 and of(df, columns=["i"]).digest != base.digest
+
+
+def test_policy_grid_is_the_sequential_policy(spark):
+    """Every capacity, 0 and one beyond all rows among them, with ties in scores, against one policy at a time."""
+    rows = [(i, e, (64, 90, 95)[i % 3], ((i * 7 + e) % 10) / 10, ((i * 3) % 5) / 5) for i in range(60) for e in (0, 2, 7) if (i + e) % 11]
+    df = spark.createDataFrame(rows, "object_id long, epoch int, y int, p_64 double, novelty double")
+    gains, config = (1.0, 2.5), cfg.DecisionConfig()
+    got = {(r.u_tp, r.k, r.weight): r for r in decision.policy_grid(df, 0.3, (0, 1, 4, 50), (0.0, 0.2), gains, 0.35, 2.0).collect()}
+    assert len(got) == 16
+    objects = df.where("epoch <= 2").select("object_id", "y").distinct()
+    for (u, k, w), r in got.items():
+        if u == 1.0:
+            c = cfg.DecisionConfig(u_tp=u, capacity=k, novelty_weight=w, u_fp=config.u_fp)
+            trig = decision.sequential(decision.with_score(df, w, 0.3), k, 0.35, 2.0)
+            want = decision.regret(decision.outcomes(objects, trig, config=c), k, c).first()
+            assert (r.u_policy, r.u_oracle, r.hits) == (want.u_policy, want.u_oracle, want.hits)
+    assert all(got[2.5, k, w].hits == got[1.0, k, w].hits for _, k, w in got)
+
+
 def test_resampling(spark):
     df = spark.range(4000).select(F.col("id").alias("object_id"), (F.col("id") % 10).cast("double").alias("v"))
     w = resample.replicates(df, 5)

@@ -44,7 +44,7 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE)))
 def test_runs(spark, name):
-    assert core.QUERIES[name](spark, SF).columns
+    assert core.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
