@@ -20,10 +20,10 @@ from argparse import Namespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from skytriage.operators import population as P
 from skytriage.operators import shift as S
-from skytriage.sources.shared import kept
 
 from .common import command_line, log, settings
 
@@ -62,7 +62,6 @@ def audit(rows: DataFrame, features: list[str], least_rows: int = 1) -> DataFram
     total = sources.groupBy("lang").agg(F.sum("n_true").alias("t"), F.sum("n_biased").alias("b"))
     share_t, share_b = F.col("n_true") / F.col("t"), F.try_divide("n_biased", "b")
     sources = sources.join(total, "lang").select("lang", "source", "n_true", "n_biased", (F.col("n_biased") / F.col("n_true")).alias("retention"), (share_b - share_t).alias("shift"), F.try_divide(share_t, share_b).alias("weight"))
-    sources = kept(sources, "audit-sources")
 
     enough = total.where(F.col("b") >= least_rows).select("lang")
     own = rows.join(enough, "lang", "left_semi").join(sources.select("lang", "source", "weight"), ["lang", "source"])
@@ -87,9 +86,12 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, config: dict
     """Audits the documents at one path by the labels at another into the table `out`, and returns it read back."""
     config = config or settings(NAME)
     docs, marks = spark.read.parquet(documents), spark.read.parquet(labels)
-    rows = kept(measured(docs, marks, config["features"]), "audit-rows")  # the texts are read once
-    log.info("read %d documents of %s, %d labelled by %s", rows.count(), documents, rows.where("S = 1").count(), labels)
-    audit(rows, config["features"], config["least_rows"]).repartition("lang").sortWithinPartitions("lang", "part", "item", "metric").write.mode("overwrite").partitionBy("lang").parquet(out)
+    rows = measured(docs, marks, config["features"]).persist(StorageLevel.DISK_ONLY)  # the texts are read once; narrow rows lie with the executors
+    try:
+        log.info("read %d documents of %s, %d labelled by %s", rows.count(), documents, rows.where("S = 1").count(), labels)
+        audit(rows, config["features"], config["least_rows"]).repartition("lang").sortWithinPartitions("lang", "part", "item", "metric").write.mode("overwrite").partitionBy("lang").parquet(out)
+    finally:
+        rows.unpersist()
     found = spark.read.schema(TABLE).parquet(out)
     log.info("wrote %d rows of %d languages to %s", found.count(), found.select("lang").distinct().count(), out)
     return found

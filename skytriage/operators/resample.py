@@ -117,6 +117,24 @@ def folded(df: DataFrame, n: int, cells: list[str], values: list[str], seed: int
     return spread(picked).mapInArrow(run, schema).groupBy("replicate", *cells).agg(*(F.sum(c).alias(c) for c in ("weight", *values)))
 
 
+def weight_counts(df: DataFrame, n: int, seed: int = 42, key: str = "object_id") -> DataFrame:
+    """Rows (replicate, weight, n): objects of each weight that is not 0. Counted where the rows lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, 256), np.int64)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for at in range(0, len(keys), max(1, DRAWS // n)):
+                w = weights(keys[at : at + max(1, DRAWS // n)], n, seed)
+                for v in range(1, int(w.max(initial=0)) + 1):
+                    total[:, v] += (w == v).sum(axis=1)
+        replicate, weight = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(replicate.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(total[replicate, weight])], ["replicate", "weight", "n"])
+
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long"))
+    return spread(rows).mapInArrow(run, "replicate int, weight int, n long").groupBy("replicate", "weight").agg(F.sum("n").alias("n"))
+
+
 def interval(df: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     """Percentile interval of a statistic over replicates, which are few."""
     a = (1 - level) / 2

@@ -232,8 +232,7 @@ _ONE = "(SELECT * FROM scored WHERE epoch = 2)"
 
 @query("b1_bootstrap_weights", f"WITH {SCORED_SQL}, {boot_sql(_ONE, REPLICATES)} SELECT replicate::INT AS replicate, weight, count(*) AS n FROM bt GROUP BY ALL")
 def bootstrap_weights(spark, sf_dir):
-    rows = R.replicates(scored(spark, sf_dir).where("epoch = 2"), REPLICATES)
-    return rows.groupBy("replicate", "weight").agg(F.count("*").alias("n"))
+    return R.weight_counts(scored(spark, sf_dir).where("epoch = 2"), REPLICATES)
 
 
 _BINX = "CASE WHEN p < 0 OR p > 1 THEN NULL " + " ".join(f"WHEN p >= {k}::DOUBLE * 0.1::DOUBLE THEN {k}" for k in range(9, 0, -1)) + " ELSE 0 END"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +23,38 @@ def shared_base(spark: SparkSession) -> str:
     return (base or _OWN_SHARED).rstrip("/")
 
 
+#: Folders of the scopes that are open, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Folders made inside go at its end. Frames that read them have to be read or written inside too."""
+    own: list[str] = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.remove(own)
+        for uri in own:
+            discard(uri)
+
+
+_later: list[str] = []
+
+
+def _forget_all() -> None:
+    for uri in _later:
+        _forget(uri)
+
+
+atexit.register(_forget_all)
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """URI of a new folder under the shared one; it goes when the driver ends."""
+    """URI of a new folder under the shared one; it goes when the scope ends that it is made in, or else when the driver ends."""
     uri = f"{shared_base(spark)}/{what}-{uuid.uuid4().hex}"
-    atexit.register(_forget, uri)
+    (_open[-1] if _open else _later).append(uri)
     return uri
 
 

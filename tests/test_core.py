@@ -327,6 +327,26 @@ def test_exact_intervals():
     assert clopper_pearson(0, 10)[0] == 0.0 and abs(clopper_pearson(0, 10)[1] - (1 - 0.025**0.1)) < 1e-9
 
 
+def test_files_go_with_their_scope(spark, tmp_path, monkeypatch):
+    """Queries that write on their way leave an empty shared folder when the scope ends, also after an error."""
+    from skytriage import queries
+    from skytriage.sources import shared
+
+    monkeypatch.setattr(shared, "shared_base", lambda _: f"file://{tmp_path}/shared")
+    left = lambda: sorted(p.name for p in (tmp_path / "shared").iterdir())
+    for name in ("a18_ks_photoz", "d4_sensitivity_grid", "m3_recalibration", "s7_cached_columns", "s13_colocated_rise_rates"):
+        with shared.scope():
+            assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert left() == []
+    with pytest.raises(ZeroDivisionError), shared.scope():
+        shared.kept(spark.range(3), "some")
+        with shared.scope():
+            shared.kept(spark.range(3), "inner")
+        assert len(left()) == 1
+        1 / 0
+    assert left() == []
+
+
 def test_content_digests(spark):
     """The same for other partitions and orders, another for a changed, a repeated or a shifted value; parts add up."""
     rows = [(1, "a,b", None), (2, None, "x"), (2, None, "x"), (3, "", "1:a"), (None, None, None)]
