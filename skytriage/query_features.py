@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from .config import COLOR_PAIRS, EPOCHS, PASSBANDS
 from .functions.scalars import snr
 from .operators import asof, features
-from .plans.views import META_SQL, OBS_SQL, metadata, observations
+from .plans.views import META_SQL, OBS_SQL, metadata, observations, photometry, table
 from .registry import Registry, rounded
 from .sources.colocated import Colocated, of_objects
 from .sources.shared import shared_folder
+from .streaming import alerts
 
 query = Registry()
 
@@ -147,6 +148,17 @@ def colors(spark, sf_dir):
     return rounded(features.colors(_sequences(spark, sf_dir)))
 
 
+@query("o3_streamed_prefixes", f"WITH {PREFIX_SQL} SELECT object_id, epoch, {r6('t0')}, count(*) AS n_obs, count(*) FILTER (det) AS n_det, round(max(mjd), 6) AS last_mjd FROM prefix WHERE t0 + 7 < (SELECT max(mjd) FROM obs) - 1 GROUP BY object_id, epoch, t0")
+def streamed_prefixes(spark, sf_dir):
+    """The events as a stream of files: objects whose last epoch the watermark, a day behind, has passed."""
+    folder = shared_folder(spark, "streamed-prefixes")
+    schema = table(spark, sf_dir, "events").schema
+    rows = asof.with_detection(photometry(spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")))
+    rows = rows.withColumn("ts", F.timestamp_millis(((F.col("mjd") - 40587.0) * 86400000).cast("long")))
+    alerts.prefix_counts(rows.select("object_id", "ts", "mjd", "det")).writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows", "parquet", "append").awaitTermination()
+    return rounded(spark.read.schema(alerts.OUTPUT).parquet(f"{folder}/rows"))
+
+
 def _sliced(spark, sf_dir):
     """Prefixes in slices of ten rows, so that most objects are cut."""
     return asof.epoch_sequences(observations(spark, sf_dir), slice_rows=10)

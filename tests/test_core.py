@@ -521,6 +521,25 @@ def test_downloads(spark, tmp_path):
         server.shutdown()
 
 
+def test_stream_state_is_bounded():
+    """Rows leave the state when the watermark passes them, in whatever order they came; ties and late first detections count."""
+    from skytriage.streaming import alerts
+
+    rng = __import__("random").Random(3)
+    rows = [(60000 + k * 0.25, k >= 5 and k % 3 == 0) for k in range(80)] + [(60002.0, True)]
+    state, most = (False, -1.0, [0] * 3, [0] * 3, [0.0] * 3, [], []), 0
+    for at in range(0, 81, 9):  # within a batch any order, the next is later
+        part = rows[at : at + 9] if at + 9 < 81 else rows[at:]
+        rng.shuffle(part)
+        state = alerts.release((*state[:5], state[5] + [m for m, _ in part], state[6] + [d for _, d in part]), 60000 + (at - 4) * 0.25, (0.0, 2.0, 7.0))
+        most = max(most, len(state[5]))
+    state = alerts.release(state, 1e6, (0.0, 2.0, 7.0))
+    t0 = min(m for m, d in rows[:80] if d)
+    assert most <= 15 and state[1] == t0 and state[5] == []
+    want = [[m for m, _ in rows if m <= t0 + e] for e in (0.0, 2.0, 7.0)]
+    assert state[2] == [len(w) for w in want] and state[3] == [sum(d for m, d in rows if m <= t0 + e) for e in (0.0, 2.0, 7.0)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from skytriage.streaming import alerts
 
