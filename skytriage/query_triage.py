@@ -345,23 +345,25 @@ def _tail_sql(low: str, high: str, p: str) -> str:
     return f"list_sum(list_transform(range({low}, {high} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))"
 
 
-_F8 = f"""WITH RECURSIVE {SEL_SQL}, c AS (SELECT true_target, sum(S)::BIGINT AS k, count(*) AS n FROM sel GROUP BY 1),
+def _interval_sql(counts: str, name: str) -> str:
+    """Exact intervals of rows (name, k, n) of the CTEs `counts` and `c`: halving towards the tails' chance of 0.025."""
+    return f"""WITH RECURSIVE {counts},
 i AS (SELECT *, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d, 0 AS step FROM c
-  UNION ALL SELECT true_target, k, n, CASE WHEN {_tail_sql('k', 'n', '((a + b) / 2)')} < 0.025 THEN (a + b) / 2 ELSE a END, CASE WHEN {_tail_sql('k', 'n', '((a + b) / 2)')} < 0.025 THEN b ELSE (a + b) / 2 END,
+  UNION ALL SELECT {name}, k, n, CASE WHEN {_tail_sql('k', 'n', '((a + b) / 2)')} < 0.025 THEN (a + b) / 2 ELSE a END, CASE WHEN {_tail_sql('k', 'n', '((a + b) / 2)')} < 0.025 THEN b ELSE (a + b) / 2 END,
     CASE WHEN {_tail_sql('0', 'k', '((c + d) / 2)')} > 0.025 THEN (c + d) / 2 ELSE c END, CASE WHEN {_tail_sql('0', 'k', '((c + d) / 2)')} > 0.025 THEN d ELSE (c + d) / 2 END, step + 1 FROM i WHERE step < 34)
-SELECT true_target, k, n, round(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE a END, 6) AS low, round(CASE WHEN k = n THEN 1.0::DOUBLE ELSE d END, 6) AS high FROM i WHERE step = 34"""
+SELECT {name}, k, n, round(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE a END, 6) AS low, round(CASE WHEN k = n THEN 1.0::DOUBLE ELSE d END, 6) AS high FROM i WHERE step = 34"""
 
 
-@query("f8_exact_intervals", _F8)
+@query("f8_exact_intervals", _interval_sql(f"{SEL_SQL}, c AS (SELECT true_target, sum(S)::BIGINT AS k, count(*) AS n FROM sel GROUP BY 1)", "true_target"))
 def exact_intervals(spark, sf_dir):
     """Clopper-Pearson intervals of each class's retention; the SQL halves towards them by sums of the binomial's tails."""
     rows = selected(spark, sf_dir).groupBy("true_target").agg(F.sum("S").alias("k"), F.count("*").alias("n")).collect()  # a row for each class
     return rounded(spark.createDataFrame([(r.true_target, r.k, r.n, *clopper_pearson(r.k, r.n)) for r in rows], "true_target int, k long, n long, low double, high double"))
 
 
-@query("a30_trigger_intervals")
+@query("a30_trigger_intervals", _interval_sql(f"{score_sql(0.05)}, {trig_sql('0.001', 22)}, {outcome_sql()}, {regret_sql(22)}, c AS (SELECT 'target_rate' AS rate, hits::BIGINT AS k, n_targets::BIGINT AS n FROM rg UNION ALL SELECT 'false_trigger_rate', false_triggers::BIGINT, n_others::BIGINT FROM rg)", "rate"))
 def trigger_intervals(spark, sf_dir):
-    """Exact intervals of the target and the false trigger rate; f8 holds the intervals against SQL."""
+    """Exact intervals of the target and the false trigger rate."""
     r = D.regret(_outcomes(spark, sf_dir), 22).first()
     return rounded(spark.createDataFrame(D.trigger_intervals(int(r.hits), int(r.n_targets), int(r.false_triggers), int(r.n_others)), "rate string, k long, n long, low double, high double"))
 
