@@ -88,7 +88,7 @@ def _scan(df: DataFrame, columns: list[str], by: tuple[str, ...], inside: dict[t
 
 def order_statistics(df: DataFrame, columns: list[str], ranks: Callable[[int], list[int]], by: tuple[str, ...] = ()) -> dict[tuple, tuple[int, dict[int, float]]]:
     """(column, group...) -> number of values and the value at each rank (from 0) that ranks(number) asks for. Nulls and NaN
-    are no values. Jobs run while this is called; df is scanned two to four times."""
+    are no values. Jobs run while this is called; df is scanned two to four times, and has to give the same rows each time."""
     before, bits = 0, BITS
     hist = _scan(df, columns, by, None, before, bits)
     total = {name: int(n.sum()) for name, (_, n) in hist.items()}
