@@ -2,8 +2,9 @@
 
 A double is a 64-bit key of the same order. A scan counts the keys' first BITS bits, each task by itself, so that a task sends
 a row for each prefix that it has met. The totals tell in which prefix a rank lies; the next scan looks into these prefixes
-alone. As soon as few enough rows are left in them their values themselves are counted: two scans for some millions of
-values, three for hundreds of billions, four at most. Nothing is written or sorted, and only counts are shuffled."""
+alone, by as many bits as keep what the driver gets below MOST rows, whatever the number of groups, columns and shares. As soon
+as few enough rows are left in them their values themselves are counted: two scans for some millions of values of a column,
+three or four for more. Nothing is written or sorted, only counts are shuffled, and the driver gets them as Arrow columns."""
 
 from __future__ import annotations
 
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits that a scan adds, and rows that are few enough to be counted by value.
-BITS, FEW = 16, 50_000
+#: Bits that a scan adds at most and at least, and rows that are few enough to be counted by value.
+BITS, LEAST_BITS, FEW = 16, 4, 50_000
+#: Counts that a scan after the first sends to the driver at most, unless there are more than MOST >> LEAST_BITS prefixes to refine.
+MOST = 1 << 18
 _TOP = np.uint64(1 << 63)
 
 
@@ -75,20 +78,23 @@ def _scan(df: DataFrame, columns: list[str], by: tuple[str, ...], inside: dict[t
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), *groups, pa.array(found.view(np.int64)), pa.array(n)], ["column", *by, "prefix", "n"])
 
     schema = ", ".join(["column int", *(f"{c} {t}" for c, t in picked.dtypes[: len(by)]), "prefix long, n long"])
-    out: dict[tuple, list] = {}
-    for r in picked.mapInArrow(run, schema).groupBy("column", *by, "prefix").agg(F.sum("n").alias("n")).collect():  # 2^BITS rows at most for each column and group, or FEW
-        out.setdefault((r[0], *r[1 : 1 + len(by)]), []).append((r[-2], r[-1]))
+    counts = picked.mapInArrow(run, schema).groupBy("column", *by, "prefix").agg(F.sum("n").alias("n")).toArrow()  # 2^BITS rows at most for each column and group, or MOST
     found = {}
-    for name, rows in out.items():
-        prefix, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        order = np.argsort(prefix.view(np.uint64))
-        found[name] = (prefix.view(np.uint64)[order], n[order])
+    for batch in counts.combine_chunks().to_batches():
+        prefix, n = batch.column("prefix").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+        group, names = _numbered(batch, 1 + len(by))
+        order = np.lexsort((prefix, group))
+        ends = np.searchsorted(group[order], np.arange(len(names) + 1))
+        for g, name in enumerate(names):
+            own = order[ends[g] : ends[g + 1]]
+            found[name] = (prefix[own], n[own])
     return found
 
 
 def order_statistics(df: DataFrame, columns: list[str], ranks: Callable[[int], list[int]], by: tuple[str, ...] = ()) -> dict[tuple, tuple[int, dict[int, float]]]:
     """(column, group...) -> number of values and the value at each rank (from 0) that ranks(number) asks for. Nulls and NaN
-    are no values. Jobs run while this is called; df is scanned two to four times, and has to give the same rows each time."""
+    are no values. Jobs run while this is called; df is scanned two to four times, more often for thousands of ranks, and has to
+    give the same rows each time."""
     before, bits = 0, BITS
     hist = _scan(df, columns, by, None, before, bits)
     total = {name: int(n.sum()) for name, (_, n) in hist.items()}
@@ -107,10 +113,15 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: Callable[[int], l
             left += int(n[np.isin(prefix, inside[name])].sum())
         if bits == 64:
             return {name: (total[name], {r: float(values_of(np.array([p], np.uint64))[0]) for r, (p, _) in own.items()}) for name, own in at.items()}
-        before, bits = bits, 64 if left <= FEW else min(64, bits + BITS)
+        before, bits = bits, 64 if left <= FEW else min(64, bits + _added(left, sum(map(len, inside.values()))))
         hist = _scan(df, columns, by, inside, before, bits)
 
 
+def _added(left: int, prefixes: int) -> int:
+    """Bits of the next scan, which counts no more rows than are left and no more parts than the prefixes have."""
+    return BITS if left <= MOST else max(min(LEAST_BITS, BITS), min(BITS, (MOST // max(prefixes, 1)).bit_length() - 1))
+
+
 def percentiles_of(df: DataFrame, columns: list[str], shares: list[float] | Callable[[int], list[float]], by: tuple[str, ...] = ()) -> dict[tuple, list[float]]:
     """(column, group...) -> exact percentiles with linear interpolation; `shares` may depend on the number of values. A column
     and group without values has no entry."""

@@ -183,7 +183,7 @@ SELECT {g}, n, round(brier, 9) AS brier, round(reliability, 9) AS reliability, r
 @query("s15_audit_cells", _cells_sql())
 def audit_cells(spark, sf_dir):
     """The audit's figures in one table: each population and epoch, whole and in every kind of stratum."""
-    rows = C.populations(scored(spark, sf_dir)).withColumn("m_r", F.lit(-19.3) + F.col("distmod") + 3.1 * F.col("mwebv"))
+    rows = C.populations(kept(scored(spark, sf_dir), "scored")).withColumn("m_r", F.lit(-19.3) + F.col("distmod") + 3.1 * F.col("mwebv"))
     return rounded(C.audit_cells(rows, _KINDS, ("population", "epoch")), 9)  # shares of 1,200 rows tie at six places
 
 

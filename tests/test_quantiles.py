@@ -68,3 +68,19 @@ def test_groups_of_a_batch():
     number, names = Q._numbered(batch, 2)
     assert [names[k] for k in number] == [(1, "x"), (None, "x"), (1, None), (None, "x")]
     assert Q._numbered(batch, 0)[1] == [()]
+
+
+def test_what_the_driver_gets_is_bounded(spark, monkeypatch):
+    """Many groups and shares of values that are nearly all different: no scan after the first sends more than 2^18 counts."""
+    sent = []
+    real = Q._scan
+    monkeypatch.setattr(Q, "_scan", lambda *a: (found := real(*a), sent.append(sum(len(p) for p, _ in found.values())))[0])
+    df = spark.range(0, 900_000, 1, 4).selectExpr("id % 9 as g", "pmod(id * 7919, 900001) / 900001D as x")
+    shares = [i / 20 for i in range(21)]
+    got = Q.percentiles(df, "x", shares, ("g",))
+    assert max(sent[1:]) <= 1 << 18 and len(sent) <= 4
+    i = np.arange(900_000)
+    x = i * 7919 % 900001 / 900001
+    assert set(got) == {(g,) for g in range(9)}
+    for g in range(9):
+        assert np.allclose(got[g,], np.quantile(x[i % 9 == g], shares), rtol=1e-13, atol=0)
