@@ -160,7 +160,7 @@ SELECT population, epoch, class_id, bin, count(*) AS n, round(avg(p), 6) AS mean
 )
 def reliability_curves(spark, sf_dir):
     """Curves of every population, epoch and class at once."""
-    return rounded(C.adaptive_bins(C.populations(scored(spark, sf_dir)), by=("population", "epoch")))
+    return rounded(C.adaptive_bins(C.populations(kept(scored(spark, sf_dir), "scored")), by=("population", "epoch")))
 
 
 _KINDS = {"probability decile": ("p_64", 10), "magnitude quintile": ("m_r", 5), "redshift quintile": ("hostgal_photoz", 5)}
