@@ -7,9 +7,10 @@
 2. A second pass emits each class's prefix in that order: two sets with Jaccard of at least T share an n-gram of their
    prefixes. Prefix rows meet by n-gram, those of very frequent n-grams split into cells, and stay if some other row of
    their n-gram passes the length and positional filters.
-3. First each cell pairs its members with a few pivots only; what these connect needs no further comparison. At last all
-   remaining pairs between different components are candidates, cell against cell, so every link between components is
-   found.
+3. First each cell pairs its members with a few pivots only; what these connect needs no further comparison. Then every two
+   components that still meet try a few of their pairs, since in a large group of near copies nearly all of what the pivots
+   left apart links somewhere. At last all remaining pairs between different components are candidates, cell against cell, so
+   every link between components is found.
    Rows of n-grams with many rows carry a signature, counts of their set by 256 slots: what two signatures differ by
    bounds the symmetric difference from below, so large groups of sets that are near each other but do not link are not
    paired.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, by_bytes, discard, mix, ready, shared_folder, windows
@@ -34,6 +35,8 @@ SLICE_BYTES = 1 << 20
 CHUNK, LISTED = 1 << 22, 1 << 20
 #: Rows of a frequent n-gram in a cell, pivots of a cell, rounds of pivots, pairs that are verified against one copy of a set.
 CELL_ROWS, PIVOTS, PIVOT_ROUNDS, PAIRS_PER_COPY = 2048, 3, 2, 1024
+#: Rounds in which two components try a few pairs before all, and how many.
+ROOT_ROUNDS, ROOT_PAIRS = 2, 8
 #: Halvings of the suffix filter.
 SUFFIX_DEPTH = 3
 #: Rows of an n-gram from which on they carry signatures, slots of a signature.
@@ -272,7 +275,7 @@ def _emit(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.concatenate(found), axis=0)
         for at in range(0, len(pairs), 1 << 16):
             part = pairs[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, k]) for k in range(part.shape[1])], ["a", "b", "low", "high"][: part.shape[1]])
 
 
 def _pivot_pairs(rows: DataFrame, keys: list[str], seed: int, percent: int) -> DataFrame:
@@ -295,8 +298,18 @@ def _pivot_pairs(rows: DataFrame, keys: list[str], seed: int, percent: int) -> D
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b), a < b: every pair of an n-gram's rows, cells of a split n-gram meeting two by two."""
+def _few(found: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    """ROOT_PAIRS at most of the rows (a, b, low, high) of any two components low and high, by a keyed hash of the pair."""
+    x = np.unique(np.concatenate(found), axis=0)
+    lot = mix(mix(x[:, 0].view(np.uint64) ^ np.uint64(seed)) + x[:, 1].view(np.uint64))
+    x = x[np.lexsort((lot, x[:, 3], x[:, 2]))]
+    first = np.flatnonzero(np.append(True, (x[1:, 2:] != x[:-1, 2:]).any(axis=1)))
+    return [x[np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < ROOT_PAIRS]]
+
+
+def _all_pairs(rows: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
+    """Candidates (a, b), a < b: every pair of an n-gram's rows, cells of a split n-gram meeting two by two. With a seed, rows
+    (a, b, low, high) of a few of them for any two components low and high, ROOT_PAIRS from each task's stretch of rows."""
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     met = rows.withColumn("other", other).withColumns({"low": F.least("cell", "other"), "high": F.greatest("cell", "other")}).drop("other", "cells")
 
@@ -310,15 +323,22 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 keep = _pairs(rows, x, y, percent) & ((rows["low"][x] == rows["high"][x]) | (rows["cell"][x] != rows["cell"][y]))
                 a, b = rows["node"][x[keep]], rows["node"][y[keep]]
                 if len(a):
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                    ends = [np.minimum(a, b), np.maximum(a, b)]
+                    if seed is not None:
+                        a, b = rows["root"][x[keep]], rows["root"][y[keep]]
+                        ends += [np.minimum(a, b), np.maximum(a, b)]
+                    found.append(np.stack(ends, 1))
                     held += len(a)
                 if held > 1 << 20:
-                    yield from _emit(found)
-                    found, held = [], 0
-            yield from _emit(found)
+                    found = found if seed is None else _few(found, seed)
+                    held = 0 if seed is None else len(found[0])
+                    if held == 0 or held > 1 << 19:
+                        yield from _emit(found)
+                        found, held = [], 0
+            yield from _emit(found if seed is None or not found else _few(found, seed))
 
     keys = ["token", "low", "high"]
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long" + (", low long, high long" if seed is not None else ""))
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, alike: frozenset[int]) -> DataFrame:
@@ -491,7 +511,8 @@ def _roots(rows: DataFrame, described: DataFrame, width: int, percent: int, alik
     sets = _bucketed(_sets_of(rows, shared.select("node").distinct(), width, alike), "node", buckets, f"{work}/sets", name)
 
     tried = roots = None
-    for turn in range(PIVOT_ROUNDS + 1):
+    last = PIVOT_ROUNDS + ROOT_ROUNDS
+    for turn in range(last + 1):
         now = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if roots is not None:
             open_ = now.groupBy("token").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("token")
@@ -499,8 +520,12 @@ def _roots(rows: DataFrame, described: DataFrame, width: int, percent: int, alik
         if turn and turn < PIVOT_ROUNDS:
             now = now.where("cells > 1")
         few, many = now.where("not many").drop("many"), now.where("many").drop("many").join(sets.select("node", "slots"), "node")
-        if turn == PIVOT_ROUNDS:
+        if turn == last:
             pairs = _all_pairs(few, percent).union(_all_pairs(many, percent))
+        elif turn >= PIVOT_ROUNDS:
+            pairs = _all_pairs(few, percent, turn).union(_all_pairs(many, percent, turn)).dropDuplicates(["a", "b"])
+            place = F.row_number().over(Window.partitionBy("low", "high").orderBy(F.xxhash64("a", "b", F.lit(turn))))
+            pairs = pairs.withColumn("place", place).where(F.col("place") <= ROOT_PAIRS).select("a", "b")
         elif turn:  # cells of a split n-gram send a member of each component; others have met already
             one = F.min_by(F.struct("node", "n", "at", "slots"), F.xxhash64("node", F.lit(turn)))
             split = many.groupBy("token", "cell", "cells", "root").agg(one.alias("x")).select("token", "cell", "cells", "root", "x.*")

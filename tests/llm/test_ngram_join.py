@@ -132,3 +132,13 @@ def test_sets_that_share_half_of_their_fingerprint(spark, monkeypatch):
     docs = near_copies(rnd, 20, start=0) + near_copies(rnd, 20, words=90, start=100) + [(300 + i, f"lonely{i} words here") for i in range(20)] + [(400, "lonely3 words here")]
     assert run(spark, docs) == brute(docs)
     assert len(found[0]) == 7
+
+
+def test_components_try_few_pairs_before_all(spark, monkeypatch):
+    """Near copies of which two seldom link: pairs follow the copies, not their square, and the components are the same."""
+    counts = []
+    kept = N._kept
+    monkeypatch.setattr(N, "_kept", lambda df, folder: (out := kept(df, folder), counts.append(out.count()) if "/pairs-" in folder else None)[0])
+    docs = near_copies(random.Random(5), 400, words=90, edits=1)
+    assert run(spark, docs) == brute(docs)
+    assert sum(counts) <= 30 * len(docs), counts
