@@ -261,8 +261,8 @@ def positivity(spark, sf_dir):
 
 
 def _study(rows, spark, sf_dir):
-    """Rows of the study's classes: what novelty is fitted to."""
-    return rows.join(metadata(spark, sf_dir).where("true_target <> 15").select("object_id"), "object_id", "left_semi")
+    """Rows of the study's classes: what novelty is fitted to. All objects are not broadcast, however small their file is."""
+    return rows.join(metadata(spark, sf_dir).where("true_target <> 15").select("object_id").hint("merge"), "object_id", "left_semi")
 
 
 def _fit_sql(features: tuple[str, ...], where: str) -> str:
@@ -304,7 +304,7 @@ def epoch_novelty(spark, sf_dir):
 
 @query("m6_held_out_novelty", f"WITH {WIDE_SQL}, train AS (SELECT w.* FROM wide w JOIN meta USING (object_id) WHERE true_target <> 15), {_fit_sql(N.SUBSPACES[0.0], 'epoch = 0')} SELECT object_id, round({_score_sql(N.SUBSPACES[0.0]).replace('hostgal_photoz', 'w.hostgal_photoz').replace('m_w.', 'm_').replace('s_w.', 's_')}, 6) AS novelty FROM wide w JOIN meta USING (object_id), fit WHERE epoch = 0 AND true_target = 15")
 def held_out_novelty(spark, sf_dir):
-    rows = wide(spark, sf_dir).join(metadata(spark, sf_dir).select("object_id", "true_target"), "object_id")
+    rows = wide(spark, sf_dir).join(metadata(spark, sf_dir).select("object_id", "true_target").hint("merge"), "object_id")
     return rounded(N.epoch_scores(rows.where("true_target <> 15"), P.held_out(rows, 15), 0.0).select("object_id", "novelty"))
 
 
@@ -358,7 +358,7 @@ _SUBSET_SQL = " UNION ALL ".join(f"SELECT ''{k}'' AS grp, w.hostgal_photoz AS x,
 
 @query("p14_completeness_auc", f"WITH {WIDE_SQL}, {_auc_sql(_SUBSET_SQL)} SELECT grp AS subset, {_AUC_OUT} FROM a")
 def completeness_auc(spark, sf_dir):
-    rows = wide(spark, sf_dir).where("epoch = 2").join(metadata(spark, sf_dir).select("object_id", "true_target"), "object_id")
+    rows = wide(spark, sf_dir).where("epoch = 2").join(metadata(spark, sf_dir).select("object_id", "true_target").hint("merge"), "object_id")
     return rounded(D.auc(D.completeness(rows.withColumn("hit", (F.col("true_target") == 90).cast("long"))), "hostgal_photoz", by=("subset",)))
 
 

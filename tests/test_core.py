@@ -559,3 +559,15 @@ def test_stream_equals_batch(spark, tmp_path):
             inside = [r for r in own if r[2] <= t0 + e]
             want[o, e] = (len(inside), sum(r[3] for r in inside))
     assert got == want
+
+
+def test_all_objects_are_not_broadcast(spark):
+    """The classes of representations' objects come with them or by a merge, however small the objects' file is."""
+    from skytriage.query_basics import left_outer
+    from skytriage.query_features import constrainability, wide
+    from skytriage.query_metrics import _study
+
+    folder = "/root/testdata/sf0.001"
+    for df in (left_outer(spark, folder), constrainability(spark, folder), _study(wide(spark, folder), spark, folder)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("Inner" in x or "LeftSemi" in x)]
